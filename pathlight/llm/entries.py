@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, simhash
+from . import decontaminate, simhash, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -24,12 +28,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_substrings": op2_substrings,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM f),
+r AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM c GROUP BY doc_id),
+k AS (SELECT d.doc_id, d.w, r.n, u.p FROM d LEFT JOIN r ON d.doc_id = r.doc_id, LATERAL (SELECT unnest(range(1, len(d.w) + 1)) AS p) u),
+x AS (SELECT k.doc_id, string_agg(k.w[k.p], ' ' ORDER BY k.p) AS t FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.p = c.p WHERE c.p IS NULL GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(x.t, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
 OP10_SQL = r"""
 WITH b AS (
   SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id,
@@ -58,4 +75,4 @@ FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN t ON d.rid = t.rid
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op2_substrings": OP2_SQL, "op10_decontamination": OP10_SQL}
