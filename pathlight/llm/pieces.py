@@ -329,10 +329,11 @@ def encode(docs: DataFrame, model_path: str, keep_row: bool = False, block_bytes
         if len(first) < len(names):
             found = found.take(pa.array(first))
             names = found.column("unit").to_pylist()
-        if len(names) <= max((int(_unpack(x.as_py()).max(initial=-1)) for x in texts.column("numbers")), default=-1):
+        rows = [_unpack(x.as_py()) for x in texts.column("numbers")]
+        if len(names) < max((int(x.max()) + 1 for x in rows if len(x)), default=0):
             raise RuntimeError("the documents came in another order the second time; write them to a table first")
         ids, offsets = tool.block(names, found.column("segments").combine_chunks()) if names else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        out = [_texts_ids(_unpack(x.as_py()), ids, offsets) for x in texts.column("numbers")]
+        out = [_texts_ids(x, ids, offsets) for x in rows]
         bounds = np.concatenate(([0], np.cumsum([len(x) for x in out])))
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
         return pa.table({"row": texts.column("row"), "n_bytes": texts.column("n_bytes"), "ids": lists})
