@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, pieces, simhash, substrings, toxicity
+from . import decontaminate, lines, pieces, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,6 +43,7 @@ def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_substrings": op2_substrings,
+        "op3_quality": op3_quality,
         "op6_pieces": op6_pieces,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
@@ -58,6 +63,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS B
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, list_filter(string_split_regex(t, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS ls FROM d),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+a AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM a) GROUP BY rid),
+l AS (SELECT rid, x, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x09-\x0D\x20]+', ' ', 'g')) AS norm FROM (SELECT rid, unnest(ls) AS x FROM w)),
+h AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+f AS (SELECT host, norm FROM (SELECT d.host, l.norm, count(DISTINCT l.rid) AS n FROM l JOIN d ON l.rid = d.rid GROUP BY 1, 2) c JOIN h USING (host)
+      WHERE c.n > 50 AND c.n > 0.02 * h.n),
+q AS (SELECT l.rid, sum(length(l.x)) AS chars, coalesce(sum(length(l.x)) FILTER (WHERE f.norm IS NOT NULL), 0) AS gone, count(f.norm) AS n
+      FROM l JOIN d ON l.rid = d.rid LEFT JOIN f ON f.host = d.host AND f.norm = l.norm GROUP BY l.rid),
+b AS (SELECT d.rid, d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(d.t, '[\x09-\x0D\x20]', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(w.ls) - len(list_distinct(w.ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+      FROM d JOIN w ON d.rid = w.rid LEFT JOIN r ON d.rid = r.rid)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CAST(coalesce(q.n, 0) AS BIGINT) AS n_lines_removed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(q.chars - q.gone >= 0.3 * q.chars, true) AS kept
+FROM b LEFT JOIN q ON b.rid = q.rid
+"""
+
 OP10_SQL = r"""
 WITH b AS (
   SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id,
@@ -86,4 +115,4 @@ FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN t ON d.rid = t.rid
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_substrings": OP2_SQL, "op3_quality": OP3_SQL, "op10_decontamination": OP10_SQL}
