@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, lines, pieces, simhash, substrings, toxicity
+from . import decontaminate, lines, pieces, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -44,6 +48,7 @@ def queries() -> dict:
         "op1_toxicity": op1_toxicity,
         "op2_substrings": op2_substrings,
         "op3_quality": op3_quality,
+        "op4_tokens": op4_tokens,
         "op6_pieces": op6_pieces,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
