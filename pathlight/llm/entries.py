@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, lines, pieces, simhash, substrings, tokens, toxicity
+from . import decontaminate, lines, pages, pieces, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_report(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -50,6 +54,7 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_tokens": op4_tokens,
         "op6_pieces": op6_pieces,
+        "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
