@@ -27,9 +27,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import words as W
 
 WINDOW = 20
-#: Two independent hashes of 64 bits identify a final window.
+#: The hash of its minimizer and an independent one, of 64 bits each, identify a final window.
 _SECOND = np.uint64(0xA24BAED4963EE407)
-_TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _starts_in(text_of: np.ndarray, size: int) -> np.ndarray:
@@ -99,57 +98,139 @@ def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
 
 
+def _minimizer_of(level: np.ndarray, span: int) -> np.ndarray:
+    """For each window start, the place of the first least value among ``span``."""
+    least = W.sliding(level, span)
+    at = np.zeros(len(least), np.int64)
+    places = np.arange(len(least))
+    for ahead in range(span - 1, -1, -1):
+        same = level[ahead : ahead + len(least)] == least
+        at[same] = places[same] + ahead
+    return at
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index, length) of the maximal runs of consecutive integers."""
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(values) != 1, [True]))) if len(values) else np.zeros(1, np.int64)
+    return edges[:-1], np.diff(edges)
+
+
 def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFrame:
-    """(key, key2, doc_id, at, known) of the final windows around repeated minimizers."""
+    """The final windows around repeated minimizers: (key, doc_id, at, hashes array<bigint>, known int).
+
+    A row holds the windows that share a minimizer of hash ``key``; they start at ``at`` and the words
+    after it, and ``hashes`` (zero for a gap) are theirs. A row with ``known`` windows from ``at`` says
+    that an equal window starts earlier in the same block of texts.
+    """
     half = (window + 1) // 2
     span = window - half + 1
 
     def run(batches):
         for batch in batches:
             ids = _ids(batch)
-            anchors = batch.column("anchors").combine_chunks() if isinstance(batch.column("anchors"), pa.ChunkedArray) else batch.column("anchors")
+            anchors = batch.column("anchors")
             flat = anchors.flatten().to_numpy(zero_copy_only=False)
             counts = np.concatenate(([0], np.cumsum(anchors.value_lengths().to_numpy(zero_copy_only=False))))
             for row, data, offsets in W.text_blocks(batch.column("text")):
                 starts, ends, text_of = W.split(data, offsets, W.SPACES)
                 n_texts = len(offsets) - 1
-                first = np.searchsorted(text_of, np.arange(n_texts), "left")
                 h = W.hash_words(data, starts, ends)
-                own = np.repeat(first, np.diff(counts[row : row + n_texts + 1])) + flat[counts[row] : counts[row + n_texts]]
-                # A final window holds a minimizer if it starts up to span - 1 words before it.
-                mark = np.zeros(len(h) + 1, np.int64)
-                np.add.at(mark, np.maximum(own - span + 1, 0), 1)
-                np.add.at(mark, own + 1, -1)
-                at = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & _starts_in(text_of, window))
+                if len(h) < window:
+                    continue
+                first = np.searchsorted(text_of, np.arange(n_texts), "left")
                 level = W.window_hashes(h, half)
-                key = W.join_hashes(level[at], level[at + window - half]) if len(at) else np.zeros(0, np.uint64)
-                other = W.window_hashes(W._mix(h ^ _SECOND), window)
-                key2 = other[at] if len(at) else key
-                first_at, leader = _first_of_each(key)
-                # Equal keys with unequal second hashes are unequal windows: they go on one by one.
-                follower = (leader != np.arange(len(at))) & (key2 == key2[leader])
-                word = at - first[text_of[at]]
-                doc = ids[row + text_of[at]]
-                lead_doc, lead_word = doc[leader], word[leader]
-                later = follower & ((doc > lead_doc) | (doc == lead_doc) & (word > lead_word))
-                key = np.where(later, W._mix(key + at.astype(np.uint64)), key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(doc), pa.array(word.astype(np.int32)), pa.array(later)],
-                    names=["key", "key2", "doc_id", "at", "known"],
-                )
+                repeated = np.zeros(len(level), bool)
+                repeated[np.repeat(first, np.diff(counts[row : row + n_texts + 1])) + flat[counts[row] : counts[row + n_texts]]] = True
+                minimizer = _minimizer_of(level, span)
+                at = np.flatnonzero(repeated[minimizer] & _starts_in(text_of, window)[: len(minimizer)])
+                if not len(at):
+                    continue
+                key, own = level[minimizer[at]], W.window_hashes(W._mix(h ^ _SECOND), window)[at] | np.uint64(1)
+                _, leader = _first_of_each(W.join_hashes(key, own))
+                word, doc = at - first[text_of[at]], ids[row + text_of[at]]
+                later = (key == key[leader]) & (own == own[leader]) & ((doc > doc[leader]) | (doc == doc[leader]) & (word > word[leader]))
+                own[later] = 0
+                # Rows of windows to compare with other blocks: one for each minimizer.
+                cut = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(minimizer[at]) != 0))))
+                size = np.diff(np.concatenate((cut, [len(at)])))
+                some = np.add.reduceat(own != 0, cut) > 0
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(own.view(np.int64)))
+                yield _window_batch(key[cut], doc[cut], word[cut], lists, np.zeros(len(cut), np.int32)).filter(pa.array(some))
+                # Rows of windows that are known to repeat; their key only spreads them.
+                done = np.flatnonzero(later)
+                begin, length = _runs(at[done] + text_of[at[done]])  # a step more from text to text
+                lead = done[begin] if len(done) else done
+                empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(lead) + 1, np.int32)), pa.array([], pa.int64()))
+                yield _window_batch(W._mix(own[lead] + key[lead] + at[lead].astype(np.uint64)), doc[lead], word[lead], empty, length.astype(np.int32))
 
     found = texts.join(anchored, "doc_id").select("doc_id", "text", "anchors")
-    return found.mapInArrow(run, "key bigint, key2 bigint, doc_id bigint, at int, known boolean")
+    return found.mapInArrow(run, "key bigint, doc_id bigint, at int, hashes array<bigint>, known int")
+
+
+def _window_batch(key, doc, at, lists, known) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), lists, pa.array(known)], names=["key", "doc_id", "at", "hashes", "known"]
+    )
+
+
+def _later_starts(rows: pa.Table) -> pa.RecordBatch:
+    """(doc_id, starts) of the windows that an equal one precedes; ``rows`` has all rows of its keys."""
+    key, doc, at = (rows.column(c).to_numpy() for c in ("key", "doc_id", "at"))
+    lists = rows.column("hashes").combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    own = lists.flatten().to_numpy(zero_copy_only=False)
+    of_row = np.repeat(np.arange(len(key)), size)
+    start = at[of_row] + np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    held = np.flatnonzero(own)
+    of_row, start, own = of_row[held], start[held], own[held]
+    order = np.lexsort((start, doc[of_row], own, key[of_row]))
+    k, o, d, s = key[of_row][order], own[order], doc[of_row][order], start[order]
+    head = np.ones(len(k), bool)
+    head[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0)) if len(k) else np.zeros(0, np.int64)
+    later = np.zeros(len(k), bool)
+    later[order] = (d != d[first]) | (s != s[first])
+    known = rows.column("known").to_numpy().astype(np.int64)
+    extra = np.repeat(np.arange(len(key)), known)
+    of_row = np.concatenate((of_row[later], extra))
+    start = np.concatenate((start[later], at[extra] + np.arange(len(extra)) - np.repeat(np.cumsum(known) - known, known)))
+    order = np.lexsort((start, doc[of_row]))
+    d, start = doc[of_row][order], start[order]
+    cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((cut, [len(d)])).astype(np.int32)), pa.array(start.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(d[cut]), lists], names=["doc_id", "starts"])
+
+
+#: Rows of windows compared at once; more if one key has more.
+_COMPARED = 200_000
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Return (doc_id, starts array<int>): word positions of windows that an equal window precedes."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rows = _window_rows(docs.repartition("doc_id"), _repeated_anchors(docs, window), window)
-    same = Window.partitionBy("key", "key2", "known")
-    rows = rows.withColumn("earliest", F.min(F.struct("doc_id", "at")).over(same))
-    later = rows.where(F.col("known") | (F.struct("doc_id", "at") > F.col("earliest")))
-    return later.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < _COMPARED:
+                continue
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            whole = np.flatnonzero(key != key[-1])
+            end = int(whole[-1]) + 1 if len(whole) else 0
+            if end:
+                yield _later_starts(rows.slice(0, end))
+            held = rows.slice(end).to_batches()
+            size -= end
+        if size:
+            yield _later_starts(pa.Table.from_batches(held))
+
+    later = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, starts array<int>")
+    return later.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
