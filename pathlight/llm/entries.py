@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, lines, pages, pieces, simhash, substrings, tokens, toxicity
+from . import decontaminate, lines, ngrams, pages, pieces, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_report(table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,6 +57,7 @@ def queries() -> dict:
         "op2_substrings": op2_substrings,
         "op3_quality": op3_quality,
         "op4_tokens": op4_tokens,
+        "op5_language_model": op5_language_model,
         "op6_pieces": op6_pieces,
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
