@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, lines, ngrams, pages, pieces, simhash, substrings, tokens, toxicity
+from . import decontaminate, licenses, lines, ngrams, pages, pieces, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_report(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def queries() -> dict:
         "op4_tokens": op4_tokens,
         "op5_language_model": op5_language_model,
         "op6_pieces": op6_pieces,
+        "op7_licenses": op7_licenses,
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
