@@ -174,7 +174,7 @@ def _window_batch(key, doc, at, lists, known) -> pa.RecordBatch:
 
 
 def _later_starts(rows: pa.Table) -> pa.RecordBatch:
-    """(doc_id, starts) of the windows that an equal one precedes; ``rows`` has all rows of its keys."""
+    """(doc_id, starts) of each row's windows that an equal one precedes; ``rows`` has all rows of its keys."""
     key, doc, at = (rows.column(c).to_numpy() for c in ("key", "doc_id", "at"))
     lists = rows.column("hashes").combine_chunks()
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -194,11 +194,11 @@ def _later_starts(rows: pa.Table) -> pa.RecordBatch:
     extra = np.repeat(np.arange(len(key)), known)
     of_row = np.concatenate((of_row[later], extra))
     start = np.concatenate((start[later], at[extra] + np.arange(len(extra)) - np.repeat(np.cumsum(known) - known, known)))
-    order = np.lexsort((start, doc[of_row]))
-    d, start = doc[of_row][order], start[order]
-    cut = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))) if len(d) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((cut, [len(d)])).astype(np.int32)), pa.array(start.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(d[cut]), lists], names=["doc_id", "starts"])
+    order = np.argsort(of_row, kind="stable")
+    of_row, start = of_row[order], start[order]
+    cut = np.flatnonzero(np.diff(of_row, prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((cut, [len(of_row)])).astype(np.int32)), pa.array(start.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(doc[of_row[cut]]), lists], names=["doc_id", "starts"])
 
 
 #: Rows of windows compared at once; more if one key has more.
