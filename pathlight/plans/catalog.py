@@ -1,11 +1,14 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""All registered queries of the engine."""
 
 from __future__ import annotations
 
+from . import detector_queries, explorer_queries, function_queries, graph_queries, metric_queries, native_queries, reference_queries  # noqa: F401  they register themselves
+from .registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

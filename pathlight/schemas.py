@@ -1,0 +1,21 @@
+"""Declared schemas of the observation model."""
+
+from __future__ import annotations
+
+ELEMENTS = (
+    "ts timestamp_ntz, collector string, peer_asn bigint, peer_ip string, elem_type string, prefix string, prefix_ip_version int, prefix_len int, origin_asn bigint, "
+    "as_path array<bigint>, as_path_dedup array<bigint>, as_path_len int, has_as_set boolean, next_hop string, communities array<string>, med bigint, local_pref bigint, source_file string"
+)
+RIB = "snapshot_ts timestamp_ntz, collector string, peer_asn bigint, prefix string, prefix_ip_version int, prefix_len int, origin_asn bigint, as_path_dedup array<bigint>, as_path_len int"
+ASN = "asn bigint, country_iso2 string, rir string, is_african boolean, allocation_date string, snapshot_date string"
+ROA = "prefix string, asn bigint, max_len int, ta string, snapshot_date string"
+RELATION = "as_a bigint, as_b bigint, relationship string, source string, snapshot_date string"
+EVIDENCE = "as_a bigint, as_b bigint, relationship string, sources array<string>, snapshot_date string"
+IRR = "prefix string, asn bigint, source string, snapshot_date string"
+ANYCAST = "prefix string, source string, snapshot_date string"
+ORG = "asn bigint, asn_name string, org_id string, org_name string, snapshot_date string"
+EVENTS = (
+    "event_id string, detector string, severity string, confidence string, score double, prefix string, asns array<bigint>, country_iso2 string, first_seen timestamp_ntz, last_seen timestamp_ntz, "
+    "peers int, collectors array<string>, evidence string, summary string, status string, dataplane string"
+)
+INCIDENTS = "incident_id string, prefix string, severity string, score double, first_seen timestamp_ntz, last_seen timestamp_ntz, event_ids array<string>, detectors array<string>, summary string"
