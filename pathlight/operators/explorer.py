@@ -188,3 +188,20 @@ def overview(elements: DataFrame, days: int = 7) -> DataFrame:
     last = elements.agg(F.max("ts").alias("last"))
     rows = elements.join(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr(f"interval {days} days"))
     return rows.agg(F.count_distinct("prefix").alias("prefixes"), F.count_distinct("origin_asn").alias("asns"), F.count_if(F.col("elem_type") != "R").alias("updates"))
+
+
+def collectors(configured: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Configured collectors (collector, role) with their ingested files and bytes."""
+    held = coverage.groupBy("collector").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
+    return configured.join(held, "collector", "left").fillna(0, ["files", "bytes"])
+
+
+def country_series(country_metrics: DataFrame, country: str) -> DataFrame:
+    """Indicators of one country by window."""
+    return country_metrics.where(F.col("country_iso2") == country).groupBy("window_start").agg(F.avg("avg_hhi").alias("avg_hhi"), F.max("asns").alias("asns"))
+
+
+def incident_list(rows: DataFrame, severities: list[str] | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """Incidents by score, the earliest first among equals."""
+    held = rows if not severities else rows.where(F.col("severity").isin(severities))
+    return held.orderBy(F.desc("score"), "first_seen", "incident_id").offset(offset).limit(min(limit, 500))

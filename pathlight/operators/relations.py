@@ -46,3 +46,17 @@ def sources(links: DataFrame, evidence: DataFrame, known: DataFrame) -> DataFram
     met = links.join(both, ["a", "b"], "left").join(oriented(known), ["a", "b"], "left")
     own: Column = F.coalesce("sources", F.when(F.col("relation").isNotNull(), F.array(F.lit("caida"))).otherwise(F.array().cast("array<string>")))
     return met.withColumn("sources", own).withColumn("confidence", F.when(F.size("sources") >= 2, "high").otherwise("medium")).drop("relation")
+
+
+def evidence(relations: DataFrame, presence: DataFrame, as_sets: DataFrame) -> DataFrame:
+    """Corroborated relations: shared exchange points for peers, membership in the provider's set for customers.
+
+    ``presence``: (asn, ix_id); ``as_sets``: (asn, member). Presence is joined by exchange, not by pairs of
+    all members: only known relations are looked up.
+    """
+    p2p = relations.where("relationship = 'p2p'")
+    a, b = presence.select(F.col("asn").alias("as_a"), "ix_id"), presence.select(F.col("asn").alias("as_b"), "ix_id")
+    met = p2p.join(a, "as_a").join(b, ["as_b", "ix_id"]).select("as_a", "as_b").distinct().withColumn("ix", F.lit("peeringdb"))
+    sets = as_sets.select(F.col("asn").alias("as_a"), F.col("member").alias("as_b")).distinct().withColumn("irr", F.lit("irr"))
+    out = relations.join(met, ["as_a", "as_b"], "left").join(sets, ["as_a", "as_b"], "left")
+    return out.select("as_a", "as_b", "relationship", F.array_compact(F.array(F.lit("caida"), "ix", "irr")).alias("sources"))

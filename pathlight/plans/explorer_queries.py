@@ -207,3 +207,23 @@ def q31(spark, d):
 def q32(spark, d):
     event = spark.sql("select '197.32.0.0/12' as prefix, timestamp_ntz'2024-01-10' as first_seen, timestamp_ntz'2024-01-11' as last_seen")
     return explorer.event_timeline(event, metrics.churn_by_prefix(p.elements(spark, d), "6h"), metrics.visibility(p.rib(spark, d), p.roles(spark, d)))
+
+
+@query("q2_collectors", CTE + " SELECT r.collector, r.role, CAST(coalesce(c.files, 0) AS BIGINT) AS files, CAST(coalesce(c.bytes, 0) AS BIGINT) AS bytes FROM (SELECT * FROM roles UNION ALL SELECT 'c9', 'local') r LEFT JOIN (SELECT collector, count(DISTINCT date_trunc('day', ts)) AS files, sum(seq % 100) AS bytes FROM obs GROUP BY 1) c USING (collector)")
+def q2(spark, d):
+    e = p.elements(spark, d)
+    configured = p.roles(spark, d).unionAll(spark.sql("select 'c9', 'local'"))
+    coverage = e.groupBy("collector").agg(F.count_distinct(F.to_date("ts")).alias("files"), F.sum(F.col("seq") % 100).alias("bytes"))
+    return explorer.collectors(configured, coverage)
+
+
+@query("q27_country_series", CTE + " , u0 AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, origin_asn, path[len(path) - 1] AS u, count(*) AS n FROM obs WHERE elem_type = 'A' AND len(path) >= 2 GROUP BY 1, 2, 3), u1 AS (SELECT *, n / sum(n) OVER (PARTITION BY window_start, origin_asn) AS s FROM u0), u2 AS (SELECT window_start, origin_asn, sum(s * s) AS hhi FROM u1 GROUP BY 1, 2) SELECT window_start, round(avg(hhi), 6) AS avg_hhi, count(DISTINCT origin_asn) AS asns FROM u2 JOIN ref_asn a ON a.asn = origin_asn AND a.country_iso2 = 'NATION_5' GROUP BY 1")
+def q27(spark, d):
+    rows = metrics.country(p.elements(spark, d), p.rib(spark, d), p.asns(spark, d), p.roles(spark, d), "1d")
+    return explorer.country_series(rows, "NATION_5").withColumn("avg_hhi", F.round("avg_hhi", 6))
+
+
+@query("q33_incidents", f"SELECT event_id AS incident_id, severity, score, first_seen FROM ({_EV}) WHERE severity IN ('critical', 'watch') ORDER BY score DESC, first_seen, event_id LIMIT 50 OFFSET 10")
+def q33(spark, d):
+    rows = _events(spark, d).select(F.col("event_id").alias("incident_id"), "severity", "score", "first_seen")
+    return explorer.incident_list(rows, ["critical", "watch"], 50, 10)

@@ -109,3 +109,32 @@ def j12(spark, d):
     local = p.asns(spark, d).where("country_iso2 = 'NATION_5'").select("asn")
     rel = relations.oriented(p.relations(spark, d)).withColumnsRenamed({"a": "asn", "b": "neighbour"})
     return rel.join(local, "asn", "left_semi").join(local.withColumnRenamed("asn", "neighbour"), "neighbour", "left_anti").select("asn", "neighbour", "relation")
+
+
+@query("s19_relationship_evidence", CTE + ", pr AS (SELECT asn, asn % 5 AS ix_id FROM ref_asn), st AS (SELECT as_a AS asn, as_b AS member FROM ref_rel WHERE as_b % 2 = 0) SELECT r.as_a, r.as_b, r.relationship, concat('caida', CASE WHEN relationship = 'p2p' AND EXISTS (SELECT 1 FROM pr x JOIN pr y USING (ix_id) WHERE x.asn = r.as_a AND y.asn = r.as_b) THEN ',peeringdb' ELSE '' END, CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.asn = r.as_a AND st.member = r.as_b) THEN ',irr' ELSE '' END) AS sources FROM ref_rel r")
+def s19(spark, d):
+    rel = p.relations(spark, d)
+    presence = p.asns(spark, d).select("asn", (F.col("asn") % 5).alias("ix_id"))
+    sets = rel.where("as_b % 2 = 0").select(F.col("as_a").alias("asn"), F.col("as_b").alias("member"))
+    return relations.evidence(rel, presence, sets).withColumn("sources", F.array_join("sources", ","))
+
+
+@query("s13_registry", "SELECT asn, country_iso2, rir, rir = 'rir0' OR country_iso2 IN ('NATION_3', 'NATION_4') AS is_african FROM (SELECT *, row_number() OVER (PARTITION BY asn ORDER BY f) AS k FROM (SELECT p_partkey AS asn, concat('NATION_', CAST(p_partkey % 25 AS VARCHAR)) AS country_iso2, 'rir0' AS rir, 0 AS f FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, concat('NATION_', CAST(p_partkey % 7 AS VARCHAR)), 'rir1', 1 FROM part)) WHERE k = 1")
+def s13(spark, d):
+    from pathlight.sources import readers
+
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("asn"))
+    made = lambda rows, m, rir: rows.select("asn", F.concat(F.lit("NATION_"), (F.col("asn") % m).cast("string")).alias("country_iso2"), F.lit(rir).alias("rir"), F.lit("").alias("allocation_date"))
+    out = readers.build_registry([made(part.where("asn % 3 = 0"), 25, "rir0"), made(part, 7, "rir1")], ["NATION_3", "NATION_4"], "x")
+    return out.select("asn", "country_iso2", "rir", (F.col("is_african") | (F.col("rir") == "rir0")).alias("is_african"))
+
+
+@query("s26_incremental_merge", "SELECT user_id, event_type, max(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END) AS from_new, count(DISTINCT event_id % 2) AS sides FROM events GROUP BY 1, 2")
+def s26(spark, d):
+    from pathlight.sources import tables
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    keyed = e.select(F.lit(0).alias("ts"), F.lit("c").alias("collector"), F.col("user_id").alias("peer_asn"), F.lit("i").alias("peer_ip"), F.col("event_type").alias("elem_type"), F.lit("p").alias("prefix"), (F.col("event_id") % 2).alias("side")).distinct()
+    merged = tables.merge_window(keyed.where("side = 1"), keyed.where("side = 0"))
+    sides = keyed.groupBy("peer_asn", "elem_type").agg(F.count_distinct("side").alias("sides"))
+    return merged.join(sides, ["peer_asn", "elem_type"]).select(F.col("peer_asn").alias("user_id"), F.col("elem_type").alias("event_type"), F.when(F.col("side") == 0, 1).otherwise(0).alias("from_new"), "sides")
