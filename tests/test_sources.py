@@ -105,3 +105,29 @@ def test_catalog(spark, tmp_path):
 def test_export(spark, tmp_path):
     readers.export_csv(spark.range(2).withColumn("x", F.lit("a;b")), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), sep=";", header=True).count() == 2
+
+
+def mrt_record(kind, subtype, body, seconds=1787533200):
+    import struct
+
+    return struct.pack(">IHHI", seconds, kind, subtype, len(body)) + body
+
+
+def test_mrt(spark, tmp_path):
+    import gzip
+    import struct
+
+    from pathlight.sources import mrt
+
+    path = bytes([2, 2]) + struct.pack(">II", 174, 37100) + bytes([1, 2]) + struct.pack(">II", 5, 6)
+    own = bytes([0x40, 2, len(path)]) + path + bytes([0x40, 3, 4, 192, 0, 2, 1])
+    message = b"\xff" * 16 + b"\0\0\x02" + struct.pack(">H", 4) + bytes([24, 8, 8, 8]) + struct.pack(">H", len(own)) + own + bytes([22, 197, 155, 64])
+    update = struct.pack(">IIHH", 174, 1, 0, 1) + bytes([196, 60, 1, 5, 10, 0, 0, 1]) + message
+    peers = bytes(4) + struct.pack(">H", 0) + struct.pack(">H", 1) + bytes([2]) + bytes(4) + bytes([196, 60, 1, 5]) + struct.pack(">I", 174)
+    rib = bytes(4) + bytes([12, 102, 64]) + struct.pack(">H", 1) + struct.pack(">HIH", 0, 0, len(own)) + own
+    data = mrt_record(16, 4, update) + mrt_record(13, 1, peers) + mrt_record(13, 2, rib) + mrt_record(16, 4, b"junk")
+    (tmp_path / "updates.gz").write_bytes(gzip.compress(data))
+    spark.dataSource.register(mrt.MrtSource)
+    rows = readers.normalise(spark.read.format("mrt").option("collector", "rrc19").load(str(tmp_path / "updates.gz")))
+    got = sorted((r["elem_type"], r["prefix"], r["peer_asn"], r["origin_asn"], r["has_as_set"]) for r in rows.collect())
+    assert got == [("A", "197.155.64.0/22", 174, 6, True), ("R", "102.64.0.0/12", 174, 6, True), ("W", "8.8.8.0/24", 174, None, False)]
