@@ -177,12 +177,12 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main_path, template_blocks array<bigint>) of hosts with a valid template, and of all hosts."""
-    found = tokens(pages)
-    size = Window.partitionBy("host")
+    # Tokens of a single page are in no class; most text blocks go here, before anything is grouped by host.
+    found = cut(tokens(pages).where("n_pages >= 2 or (path = '' and block is null)"))
     in_class = Window.partitionBy("host", "signature", "n_pages")
     # The root token's vector is one occurrence in each page.
-    found = found.withColumn("host_pages", F.max(F.when(F.col("path") == "", F.col("n_pages"))).over(size))
-    found = found.where((F.col("host_pages") >= MIN_PAGES) & (F.col("n_pages") >= 2))
+    size = found.where("path = '' and block is null").select("host", F.col("n_pages").alias("host_pages"))
+    found = found.where("n_pages >= 2").join(size.where(F.col("host_pages") >= MIN_PAGES), "host")
     found = found.withColumn("members", F.count(F.lit(1)).over(in_class)).withColumn("root", F.max(F.col("path") == "").over(in_class))
     content = F.udf(is_content, "boolean")
     tags = found.where("block is null and path <> '' and n > 0 and members > 1").withColumn("share", F.col("n_pages") / F.col("host_pages"))
