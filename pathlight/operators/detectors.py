@@ -73,7 +73,7 @@ def moas(
     rows = rows.join(direct, ["incumbent", "origin_asn"], "left_anti")
     if stable is not None:
         rows = rows.join(stable, ["prefix", "origin_asn"], "left_anti")
-    rows = origin.validate_irr(origin.validate_rpki(rows, roas), routes)
+    rows = origin.validate_irr(origin.validate_rpki(rows.persist(), roas).persist(), routes).persist()  # few pairs, read by several joins
     rows = rows.where("rpki_status <> 'valid' and not (rpki_status = 'not-found' and irr_status = 'consistent')")
     known = origin.known_anycast(rows, catalogue).withColumn("known", F.lit(True))
     sample = elements.where("elem_type = 'A' and origin_asn is not null").join(known, "prefix", "left_semi").groupBy("prefix", "origin_asn").agg(F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("paths"))
@@ -87,8 +87,8 @@ def moas(
 
 def subprefix(elements: DataFrame, roas: DataFrame, routes: DataFrame, min_excess: int = 1) -> DataFrame:
     """More-specific announcements beyond a covering authorisation, or beyond a covering route object of another AS."""
-    held = origin.validate_rpki(_announced(elements), roas)
-    cover = prefixes.containment_join(held, roas)
+    held = origin.validate_rpki(_announced(elements).persist(), roas).persist()  # one row for each pair, read by several joins
+    cover = prefixes.containment_join(held, roas).persist()
     exceeded = cover.where((F.col("own") > F.col("max_len")) & (F.col("own") - F.col("len") >= min_excess))
     exceeded = exceeded.groupBy("prefix").agg(F.min_by(F.struct("covering", "asn", "max_len"), F.struct("len", "asn")).alias("cover"))
     by_roa = held.where("rpki_status <> 'valid'").join(exceeded, "prefix")
@@ -103,7 +103,7 @@ def subprefix(elements: DataFrame, roas: DataFrame, routes: DataFrame, min_exces
 
 
 def rpki_invalid(elements: DataFrame, roas: DataFrame, min_peers: int = 3) -> DataFrame:
-    held = origin.validate_rpki(_announced(elements), roas).where((F.col("rpki_status") == "invalid") & (F.col("peers") >= min_peers))
+    held = origin.validate_rpki(_announced(elements).persist(), roas).persist().where((F.col("rpki_status") == "invalid") & (F.col("peers") >= min_peers))
     rows = held.join(origin.authorised_asns(held, roas), "prefix", "left")
     asns = F.concat(F.array("origin_asn"), F.slice(F.coalesce("authorised", F.array().cast("array<bigint>")), 1, 3))
     return rows.select(*_event("rpki_invalid", 0.45 + F.least(F.lit(0.2), F.col("peers") * 0.02), asns, F.col("peers"), announcements=F.col("announcements")))

@@ -83,8 +83,8 @@ def prefix_series(daily: DataFrame, origins: DataFrame) -> DataFrame:
 def prefix_table(daily: DataFrame, origins: DataFrame, roas: DataFrame, routes: DataFrame) -> DataFrame:
     """Prefixes of the given origins with presence and validity."""
     own = daily.where("announcements + rib_rows > 0").join(origins.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
-    held = _with_presence(own, ["prefix", "origin_asn"], daily)
-    return origin.validate_irr(origin.validate_rpki(held, roas), routes)
+    held = _with_presence(own, ["prefix", "origin_asn"], daily).persist()  # read by both validations
+    return origin.validate_irr(origin.validate_rpki(held, roas).persist(), routes)
 
 
 def facets(table: DataFrame, *columns: str) -> DataFrame:
