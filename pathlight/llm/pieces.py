@@ -25,22 +25,25 @@ asked for, kept.
 from __future__ import annotations
 
 import hashlib
-import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import words as W
+
 MARK = "▁"
-UNIT = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+_MARK_BYTES = MARK.encode()
 LONGEST = 60
-_MARKS = MARK * 9
+_SPACES = " " * 9
 #: Bytes of text that number their units together.
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 24 << 20
 
 
 @lru_cache(maxsize=4)
@@ -69,7 +72,8 @@ class Vocabulary:
             if plain[i] and len(p) == 1:
                 self.char_ids[ord(p)] = i
             elif plain[i]:
-                self.edges[p] = (model.get_score(i), i)
+                self.edges[p.replace(MARK, " ")] = (model.get_score(i), i)
+        self.char_ids[ord(" ")] = self.char_ids[ord(MARK)]  # units are written with spaces
         self.longest = max(map(len, self.edges), default=1)
 
     def edge_rows(self) -> list[tuple[str, int, int]]:
@@ -87,7 +91,7 @@ def fold_is_exact(vocabulary: Vocabulary) -> bool:
     """Whether merging a piece alone, best score first, never needs a part of worse score than itself."""
     scores = {p: s for p, (s, _) in vocabulary.edges.items()}
     for piece, score in scores.items():
-        if set(piece) == {MARK}:
+        if set(piece) == {" "}:
             continue
         parts = list(piece)
         while len(parts) > 1:
@@ -99,35 +103,65 @@ def fold_is_exact(vocabulary: Vocabulary) -> bool:
     return True
 
 
-def units(text: str | None) -> list[str]:
-    return UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
-
+def _units(column: pa.Array) -> Iterator[tuple[int, np.ndarray, pa.DictionaryArray, np.ndarray]]:
+    """Yield (first row, bytes of each text, its units numbered by appearance, bounds of the texts' units).
 
-def _numbered(batches, block_bytes: int):
-    """Yield (block id, distinct units, frequent ones first, [(row, unit numbers)]) with row = one-row batch slice."""
-    number: dict[str, int] = {}
+    Marks are written as spaces; a literal mark is a space to the model as well.
+    """
+    for row, data, offsets in W.text_blocks(column, 2 << 20):
+        if _MARK_BYTES in data.tobytes():
+            texts = [data[x:y].tobytes().replace(_MARK_BYTES, b" ") for x, y in zip(offsets[:-1], offsets[1:])]
+            sizes = np.diff(offsets)
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+        else:
+            sizes = np.diff(offsets)
+        # A text that isn't empty begins with a mark.
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        flat = np.insert(data, offsets[some], 0x20)
+        begin = offsets[some] + np.arange(len(some))
+        space, feed = flat == 0x20, flat == 0x0A
+        start = feed.copy()
+        start[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+        start[begin] = True
+        at = np.flatnonzero(start)
+        units = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.concatenate((at, [len(flat)])).astype(np.int64)), pa.py_buffer(flat))
+        # Units before each text: texts end where the next one that isn't empty begins.
+        ends = np.concatenate((begin[1:], [len(flat)])) if len(some) else begin
+        bounds = np.zeros(len(offsets), np.int64)
+        bounds[some + 1] = np.searchsorted(at, ends, "left")
+        yield row, sizes, units.dictionary_encode(), np.maximum.accumulate(bounds)
+
+
+def _numbered(batches, block_bytes: int, want_rows: bool):
+    """Yield (block id, distinct units, frequent ones first) or (block id, [(rows, bytes of each, numbers, bounds)])."""
+    parts: list = []
     rows, digest, size = [], xxhash.xxh3_64(), 0
 
     def flush():
-        counts = np.bincount(np.concatenate([x for _, x in rows]) if number else np.zeros(0, np.int64), minlength=len(number))
+        both = pa.chunked_array(parts).unify_dictionaries() if len(parts) > 1 else pa.chunked_array(parts)
+        names = both.chunk(0).dictionary
+        numbers = [c.indices.to_numpy(zero_copy_only=False) for c in both.chunks]
+        counts = np.bincount(np.concatenate(numbers), minlength=len(names))
         order = np.argsort(-counts, kind="stable")
+        block = np.uint64(digest.intdigest()).astype(np.int64)
+        if not want_rows:
+            return block, names.take(pa.array(order))
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        names = list(number)
-        return np.int64(np.uint64(digest.intdigest()).astype(np.int64)), [names[i] for i in order.tolist()], [(row, place[x]) for row, x in rows]
+        return block, [(r, n, place[x], bounds) for (r, n, bounds), x in zip(rows, numbers)]
 
     for batch in batches:
         texts = batch.column("text")
-        for k in range(batch.num_rows):
-            text = texts[k].as_py()
-            found = units(text)
-            rows.append((batch.slice(k, 1), np.fromiter((number.setdefault(u, len(number)) for u in found), np.int64, len(found))))
-            digest.update((text or "").encode() + b"\0")
-            size += len(text or "")
+        for row, sizes, units, bounds in _units(texts):
+            parts.append(units)
+            rows.append((batch.column("row").slice(row, len(sizes)) if want_rows else None, sizes, bounds))
+            digest.update(units.indices.buffers()[1])
+            digest.update(units.dictionary.buffers()[2] or b"")
+            digest.update(bounds.tobytes())
+            size += int(sizes.sum())
             if size >= block_bytes:
                 yield flush()
-                number, rows, size = {}, [], 0
-                digest = xxhash.xxh3_64()
+                parts, rows, size, digest = [], [], 0, xxhash.xxh3_64()
     if rows:
         yield flush()
 
@@ -142,34 +176,46 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
+def _pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers in one to four bytes of seven bits each (frequent units have small numbers), compressed."""
+    x = numbers.astype(np.uint32)
+    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21)
+    place = np.arange(4)
+    parts = (x[:, None] >> (7 * place).astype(np.uint32)) & 127 | (place < size[:, None] - 1).astype(np.uint32) << 7
+    return zstandard.ZstdCompressor(level=3).compress(parts.astype(np.uint8)[place < size[:, None]].tobytes())
 
 
-def _need_inner(edge: Column) -> tuple[Column, Column]:
-    start = F.shiftright(edge, 8).bitwiseAND(F.lit(255))
-    end = start + edge.bitwiseAND(F.lit(255))
-    return _bit(start).bitwiseOR(_bit(end)), _bit(end) - _bit(start + 1)
+def _unpack_numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    first = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    out = np.zeros(len(ends), np.uint32)
+    for k in range(4):
+        more = first + k <= ends
+        out[more] |= (raw[first[more] + k] & 127).astype(np.uint32) << np.uint32(7 * k)
+    return out
 
 
-def merge_segments(edges: Column, length: Column) -> Column:
-    """The edges (rank << 16 | start << 8 | length) that remain as segments once all merges are done."""
+def _bit(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), position.cast("int"))
 
-    def step(mask: Column, edge: Column) -> Column:
-        need, inner = _need_inner(edge)
-        applies = (mask.bitwiseAND(need) == need) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
-        return F.when(applies, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
 
-    bounds = F.aggregate(F.sort_array(edges), _bit(length + 1) - 1, step)
-    held = F.struct(edges.alias("edges"), bounds.alias("bounds"))
+def merge_segments(edges: Column, length: Column) -> Column:
+    """The edges (rank << 16 | start << 8 | length) that remain as segments once all merges are done.
 
-    def stays(pair: Column) -> Column:
-        need, inner = _need_inner(pair["edge"])
-        return (pair["bounds"].bitwiseAND(need) == need) & (pair["bounds"].bitwiseAND(inner) == 0)
+    ``edges``: array<struct<edge, need, inner>>, the latter two being masks of the bounds that an edge
+    needs and of those inside it.
+    """
+
+    def step(mask: Column, e: Column) -> Column:
+        applies = (mask.bitwiseAND(e["need"]) == e["need"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
+        return F.when(applies, mask.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(mask)
 
-    # The bounds go along with each edge, so that the fold is made once.
-    pairs = F.transform(F.array(held), lambda h: F.transform(h["edges"], lambda e: F.struct(e.alias("edge"), h["bounds"].alias("bounds"))))
-    return F.transform(F.filter(F.flatten(pairs), stays), lambda p: p["edge"])
+    bounds = F.aggregate(F.sort_array(edges), _bit(length + 1) - 1, step)
+    # One element each, so that the fold is made once.
+    held = F.array(F.struct(edges.alias("edges"), bounds.alias("bounds")))
+    stays = lambda e, b: (b.bitwiseAND(e["need"]) == e["need"]) & (b.bitwiseAND(e["inner"]) == 0)
+    return F.flatten(F.transform(held, lambda h: F.transform(F.filter(h["edges"], lambda e: stays(e, h["bounds"])), lambda e: e["edge"])))
 
 
 def viterbi_segments(edges: Column, length: Column) -> Column:
@@ -197,46 +243,57 @@ def viterbi_segments(edges: Column, length: Column) -> Column:
 
 def _unit_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches):
-        for block, names, _ in _numbered(batches, block_bytes):
-            n = len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(names, pa.string())], names=["block", "number", "unit"])
+        for block, names in _numbered(batches, block_bytes, False):
+            order = pc.sort_indices(names)  # neighbours share their beginnings: fewer bytes shuffled
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(order), block)), order.cast(pa.int32()), names.take(order).cast(pa.string())], names=["block", "number", "unit"]
+            )
+            del names, order  # before the next block is built
+            W.release()
 
     return docs.select("text").mapInArrow(run, "block bigint, number int, unit string")
 
 
 def _text_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
     def run(batches):
-        for block, _, rows in _numbered(batches, block_bytes):
-            for at in range(0, len(rows), 1000):
-                part = rows[at : at + 1000]
-                ids = pa.concat_arrays([row.column("row") for row, _ in part])
-                sizes = [len((row.column("text")[0].as_py() or "").encode()) for row, _ in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block)), ids, pa.array(sizes, pa.int64()), pa.array([_pack(x) for _, x in part], pa.binary())], names=["block", "row", "n_bytes", "numbers"]
-                )
+        for block, parts in _numbered(batches, block_bytes, True):
+            for ids, sizes, numbers, bounds in parts:
+                packed = [_pack_numbers(numbers[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(packed), block)), ids, pa.array(sizes.astype(np.int64)), pa.array(packed, pa.binary())], names=["block", "row", "n_bytes", "numbers"])
+            del parts
+            W.release()
 
     kind = docs.schema["row"].dataType.simpleString()
     return docs.mapInArrow(run, f"block bigint, row {kind}, n_bytes bigint, numbers binary")
 
 
 def lattice(unit_rows: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(block, number, unit, edges): the packed edges of every unit, by an equi-join of substrings to pieces."""
+    """(unit, places, edges): the packed edges of every distinct unit, by an equi-join of substrings to pieces.
+
+    ``places`` has the (block, number) of the unit in each block. Units are dealt by one shuffle; grouping
+    them, and grouping their edges, needs no other.
+    """
+    dealt = unit_rows.repartition("unit").groupBy("unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
     n = F.length("unit")
-    ends = lambda i: F.sequence(F.lit(2), F.least(F.lit(longest), n - i))
-    spans = F.transform(
-        F.sequence(F.lit(0), n - 2),
-        lambda i: F.transform(ends(i), lambda k: F.struct(i.alias("start"), k.alias("size"), F.substring(F.col("unit"), i + 1, k).alias("piece"))),
+    short = (n >= 2) & (n <= LONGEST) & ~F.contains(F.col("unit"), F.lit(_SPACES))
+    # The substring at -1 is empty and stands for the unit itself; it alone carries the places.
+    starts = F.when(short, F.sequence(F.lit(-1), n - 2)).otherwise(F.array(F.lit(-1)))
+    each = dealt.select("unit", "places", F.explode(starts).alias("start"))
+    each = each.select("unit", F.when(F.col("start") < 0, F.col("places")).alias("places"), "start")
+    sizes = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start"))))
+    each = each.select("unit", "places", "start", F.explode(sizes).alias("size"))
+    each = each.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
+    found = each.join(F.broadcast(pieces), "piece")
+    start, end = F.greatest("start", F.lit(0)), F.greatest("start", F.lit(0)) + F.col("size")
+    edge = F.struct(
+        (F.shiftleft(F.col("rank").cast("bigint"), 16) + start * 256 + F.col("size")).alias("edge"), _bit(start).bitwiseOR(_bit(end)).alias("need"), (_bit(end) - _bit(start + 1)).alias("inner")
     )
-    none = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("piece")))
-    short = (n >= 2) & (n <= LONGEST) & ~F.contains(F.col("unit"), F.lit(_MARKS))
-    spans = F.when(short, F.concat(none, F.flatten(spans))).otherwise(none)
-    found = unit_rows.select("block", "number", "unit", F.inline(spans)).join(F.broadcast(pieces), "piece")
-    packed = F.shiftleft(F.col("rank").cast("bigint"), 16) + F.col("start") * 256 + F.col("size")
-    return found.groupBy("block", "number").agg(F.first("unit").alias("unit"), F.collect_list(packed).alias("edges"))
+    found = found.select("unit", "places", F.when(F.col("size") > 0, edge).alias("edge"))
+    return found.groupBy("unit").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
 
 
 class _Finish:
-    """Turns a block's segments and numbered texts into ids."""
+    """Turns the segments of units into ids."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -244,19 +301,19 @@ class _Finish:
         self.by_rank: dict[int, int] = {}
         self.marks = {}
         for piece, rank, i in rows:
-            if set(piece) == {MARK}:
+            if set(piece) == {" "}:
                 self.marks[len(piece)] = i  # pieces of equal score are told apart by length
             else:
                 self.by_rank[rank] = i
         self.ids = np.zeros(max(self.by_rank, default=0) + 2, np.int32)
         for rank, i in self.by_rank.items():
             self.ids[rank] = i
-        self.mark_rank = next((rank for piece, rank, _ in rows if piece and set(piece) == {MARK}), -1)
+        self.mark_rank = next((rank for piece, rank, _ in rows if piece and set(piece) == {" "}), -1)
 
     def library(self, unit: str) -> list[int]:
         model = _processor(self.v.proto)
-        if unit[0] == MARK:
-            return model.encode(unit[1:].replace(MARK, " "))
+        if unit[0] == " ":
+            return model.encode(unit[1:])
         return model.encode("\n" + unit)[2:]
 
     def block(self, names: list[str], segments: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +337,7 @@ class _Finish:
         for k in np.flatnonzero(keep & (ids < 0)).tolist():
             other[k] = self.v.byte_ids[list(chr(code[k]).encode("utf-8", "replace"))]
             count[k] = len(other[k])
-        for k in np.flatnonzero((lengths > LONGEST) | np.fromiter((_MARKS in u for u in names), bool, len(names))).tolist():
+        for k in np.flatnonzero((lengths > LONGEST) | np.fromiter((_SPACES in u for u in names), bool, len(names))).tolist():
             a, b = first[k], first[k] + lengths[k]
             count[a:b] = 0
             for j in range(a, b):
@@ -310,6 +367,16 @@ def decode(vocabulary: Vocabulary, ids) -> str:
 
 def encode(docs: DataFrame, model_path: str, keep_row: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Return (row, n_bytes, ids array<int>); ``row`` is the doc_id or, with ``keep_row``, the whole document."""
+    return _encode(docs, model_path, keep_row, block_bytes, "ids array<int>", lambda rows: {"ids": _lists(rows)})
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32)))
+
+
+def _encode(docs: DataFrame, model_path: str, keep_row: bool, block_bytes: int, columns: str, shape: Callable) -> DataFrame:
+    """(row, n_bytes, columns): what ``shape`` makes of the id arrays of some documents."""
     spark = docs.sparkSession
     vocabulary = load(model_path)
     if not fold_is_exact(vocabulary):
@@ -317,30 +384,54 @@ def encode(docs: DataFrame, model_path: str, keep_row: bool = False, block_bytes
     kept = [c for c in docs.columns if c != "text"]
     docs = docs.select("text", (F.struct(*kept) if keep_row else F.col("doc_id")).alias("row"))
     pieces = spark.createDataFrame([r[:2] for r in vocabulary.edge_rows()], "piece string, rank int")
-    edges = lattice(_unit_rows(docs, block_bytes).repartition("block"), pieces, vocabulary.longest)
-    segments = edges.select("block", "number", "unit", merge_segments(F.filter("edges", lambda e: e > 0), F.length("unit")).alias("segments"))
+    edges = lattice(_unit_rows(docs, block_bytes), pieces, vocabulary.longest)
+    segments = edges.select("places", "unit", merge_segments(F.col("edges"), F.length("unit")).alias("segments"))
+    segments = segments.select(F.explode("places").alias("place"), "unit", "segments")
     proto = spark.sparkContext.broadcast(vocabulary.proto)
 
+    def pack_answers(batches):
+        tool = None
+        for batch in batches:
+            tool = tool or _finish(proto.value)
+            ids, offsets = tool.block(batch.column("unit").to_pylist(), batch.column("segments"))
+            block, number = batch.column("block").to_numpy(), batch.column("number").to_numpy()
+            order = np.lexsort((number, block))
+            cut = np.concatenate((np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1)), [len(order)])) if len(order) else [0]
+            size = np.diff(offsets)
+            rows = []
+            for a, b in zip(cut[:-1], cut[1:]):
+                own = order[a:b]
+                rows.append((block[own[0]], _pack(np.diff(number[own], prepend=0)), _pack(size[own]), _pack(_texts_ids(own, ids, offsets))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["block", "numbers", "sizes", "ids"]
+            )
+
+    answers = segments.select("place.block", "place.number", "unit", "segments").mapInArrow(pack_answers, "block bigint, numbers binary, sizes binary, ids binary")
+
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
-        tool = _finish(proto.value)
-        found = found.sort_by("number")
-        names = found.column("unit").to_pylist()
-        first = np.flatnonzero(np.diff(found.column("number").to_numpy(), prepend=-1))  # blocks of equal texts number equally
-        if len(first) < len(names):
-            found = found.take(pa.array(first))
-            names = found.column("unit").to_pylist()
-        rows = [_unpack(x.as_py()) for x in texts.column("numbers")]
-        if len(names) < max((int(x.max()) + 1 for x in rows if len(x)), default=0):
+        none = [np.zeros(0, np.int64)]
+        numbers = np.concatenate(none + [np.cumsum(_unpack(x.as_py()).astype(np.int64)) for x in found.column("numbers")])
+        sizes, flat = (np.concatenate(none + [_unpack(x.as_py()).astype(np.int64) for x in found.column(c)]) for c in ("sizes", "ids"))
+        rows = [_unpack_numbers(x.as_py()) for x in texts.column("numbers")]
+        n = max((int(x.max()) + 1 for x in rows if len(x)), default=0)
+        first = np.full(n, -1, np.int64)
+        if len(numbers) and numbers.max() < n:
+            first[numbers] = np.cumsum(sizes) - sizes
+        if (first < 0).any():
             raise RuntimeError("the documents came in another order the second time; write them to a table first")
-        ids, offsets = tool.block(names, found.column("segments").combine_chunks()) if names else (np.zeros(0, np.int32), np.zeros(1, np.int64))
-        out = [_texts_ids(x, ids, offsets) for x in rows]
-        bounds = np.concatenate(([0], np.cumsum([len(x) for x in out])))
-        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-        return pa.table({"row": texts.column("row"), "n_bytes": texts.column("n_bytes"), "ids": lists})
+        length = np.zeros(n, np.int64)
+        length[numbers] = sizes
+        out = []
+        for x in rows:
+            size = length[x]
+            out.append(flat[np.repeat(first[x] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].astype(np.int32))
+        made = shape(out)
+        W.release()
+        return pa.table({"row": texts.column("row"), "n_bytes": texts.column("n_bytes"), **made})
 
     texts = _text_rows(docs, block_bytes)
     kind = docs.schema["row"].dataType.simpleString()
-    return texts.groupBy("block").cogroup(segments.groupBy("block")).applyInArrow(finish, f"row {kind}, n_bytes bigint, ids array<int>")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, f"row {kind}, n_bytes bigint, {columns}")
 
 
 @lru_cache(maxsize=2)
@@ -348,30 +439,22 @@ def _finish(proto: bytes) -> _Finish:
     return _Finish(Vocabulary(proto))
 
 
-def _with_report(encoded: DataFrame, proto: bytes) -> DataFrame:
-    held = encoded.sparkSession.sparkContext.broadcast(proto)
-
-    def run(batches):
-        vocabulary = _finish(held.value).v
-        for batch in batches:
-            rows = [x.values.to_numpy(zero_copy_only=False).astype("<i4") for x in batch.column("ids")]
-            digest = [hashlib.sha256(x.tobytes()).hexdigest() for x in rows]
-            size = [len(decode(vocabulary, x.tolist()).encode()) for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("n_bytes"), pa.array([len(x) for x in rows], pa.int64()), pa.array(digest), pa.array(size, pa.int64())],
-                names=["doc_id", "n_bytes", "n_pieces", "ids_sha256", "n_bytes_decoded"],
-            )
-
-    kind = encoded.schema["row"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_pieces bigint, ids_sha256 string, n_bytes_decoded bigint")
-
-
 def encoding_report(docs: DataFrame, model_path: str) -> DataFrame:
     """Return (doc_id, n_bytes, n_pieces, ids_sha256, n_bytes_decoded): the digest of encoding, and decoding again.
 
     ``ids_sha256`` is over the ids as little-endian 32-bit integers.
     """
-    return _with_report(encode(docs, model_path), load(model_path).proto)
+    held = docs.sparkSession.sparkContext.broadcast(load(model_path).proto)
+
+    def shape(rows: list[np.ndarray]) -> dict:
+        vocabulary = _finish(held.value).v
+        return {
+            "n_pieces": pa.array([len(x) for x in rows], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in rows], pa.string()),
+            "n_bytes_decoded": pa.array([len(decode(vocabulary, x.tolist()).encode()) for x in rows], pa.int64()),
+        }
+
+    return _encode(docs, model_path, False, BLOCK_BYTES, "n_pieces bigint, ids_sha256 string, n_bytes_decoded bigint", shape).withColumnRenamed("row", "doc_id")
 
 
 def decode_table(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -7,6 +7,7 @@ cut off. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,23 @@ BLOCK_BYTES = 4 << 20
 #: Bytes hashed at once; bounds the 64-bit temporaries.
 HASH_BYTES = 1 << 19
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _LIBC = None
+
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
 
 
+def release() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """Boolean table over the 256 bytes, true inside the inclusive ranges."""
     table = np.zeros(256, bool)
