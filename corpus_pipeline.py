@@ -43,7 +43,8 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_bytes, ids) of every document, ids being its SentencePiece encoding."""
     kept = docs.select("text", "doc_id", "lang", "source")
-    encoded = pieces.encode(kept, public_tokenizers.path("piece_bpe_32k.model"), keep_row=True)
+    # Rows are carried along and workers come from other stages: smaller blocks than the operator's own.
+    encoded = pieces.encode(kept, public_tokenizers.path("piece_bpe_32k.model"), keep_row=True, block_bytes=8 << 20)
     return encoded.select("row.doc_id", "row.lang", "row.source", "n_bytes", "ids")
 
 
