@@ -6,12 +6,14 @@ dictionary stands beside the ordinary one. The numbers of windows that gain at l
 weighed by a logistic curve; weights and thresholds are calibrated on labelled rows that neither
 dictionary has seen.
 
-The toxic dictionary is trained on what sets toxic rows apart: the parts of their words whose letter
-sequences are many times as frequent in toxic rows as in ordinary ones. Dictionaries and calibration
-use a bounded sample of labelled rows (``SAMPLE_TOXIC``, ``SAMPLE_ORDINARY``, chosen by a hash of the
-id); scoring covers all windows of all texts.
-
-Cases: null and empty texts have one empty window and get the score of a text without any gain; without
+Each language has dictionaries and weights of its own. Its toxic dictionary is trained on what sets its
+toxic rows apart: the parts of their words whose letter sequences are significantly more frequent among
+words of the language's toxic rows than of its ordinary ones. Dictionaries and calibration use a bounded
+sample of labelled rows (``SAMPLE_TOXIC``, ``SAMPLE_ORDINARY``, chosen by a hash of the id); scoring covers
+all windows of all texts.
+
+Cases: languages with few toxic rows, null ones and tables without ``lang`` use a model of all languages;
+null and empty texts have one empty window and get the score of a text without any gain; without
 labelled rows of both kinds every score is the share of toxic labels; labels that are null are not used
 and repeated labels of a document count as toxic if one of them is; an empty table gives an empty result.
 """
@@ -36,8 +38,11 @@ THRESHOLD = 0.3
 ORDINARY_BYTES = 32_768
 #: Tried for the toxic dictionary: bytes, and bytes of a segment.
 TOXIC_BYTES, TOXIC_SEGMENTS = (1_024, 2_048, 4_096), (12, 16, 24, 32)
-#: Letter sequences of this many bytes tell toxic words apart if so many toxic rows hold them, and so many times as often.
-GRAM, LEAST_ROWS, LEAST_RATIO = 5, 8, 40
+#: Lengths of the letter sequences that tell toxic words apart. So many toxic rows hold one; its likelihood ratio (as
+#: chi-squared) and its share of a language's toxic words over its share of the ordinary ones are at least so large.
+GRAMS, LEAST_ROWS, LEAST_LIKELIHOOD, LEAST_RATIO = (4, 5, 6, 7), 4, 20, 3
+#: Toxic rows, and ordinary ones, that a language must have for a model of its own.
+LEAST_TOXIC = 9
 #: Gains in bytes at which windows are counted.
 GAINS = (1, 2, 3, 4, 5, 6, 8)
 LEVEL = 3
@@ -69,28 +74,46 @@ def _train_best(samples: list[bytes]) -> bytes:
     return min(tried, key=lambda d: sum(len(c(x)) for c in [_compressor(d).compress] for x in samples))
 
 
-def _toxic_parts(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """The parts of words in toxic rows that are made of sequences rare in ordinary rows."""
+def _toxic_parts(toxic: list[str], ordinary: list[str]) -> tuple[list[bytes], list[bytes]]:
+    """For the toxic dictionary, the parts of words in toxic rows of a language that are made of sequences rarer in its
+    ordinary rows; for the ordinary one, the ordinary rows without the few words that have such a sequence."""
+
+    def words(text: str) -> list[str]:
+        return [f" {w} " for w in sorted(set(text.lower().split()))]
+
+    def grams(word: str) -> set[str]:
+        return {word[i : i + n] for n in GRAMS for i in range(len(word) - n + 1)}
 
-    def words(text: str) -> list[bytes]:
-        return [b" %b " % w for w in text.lower().encode().split()]
+    def counted(texts: list[str], among: Counter | None = None) -> tuple[Counter, int]:
+        held, found = Counter(w for t in texts for w in words(t)), Counter()
+        for word, n in held.items():
+            for g in grams(word):
+                if among is None or g in among:
+                    found[g] += n
+        return found, held.total()
 
-    def grams(text: str) -> set[bytes]:
-        return {w[i : i + GRAM] for w in set(words(text)) for i in range(len(w) - GRAM + 1)}
+    here, n_here = counted(toxic)
+    here = Counter({g: n for g, n in here.items() if n >= LEAST_ROWS})
+    there, n_there = counted(ordinary, here)
 
-    here, there = Counter(g for t in toxic for g in grams(t)), Counter(g for t in ordinary for g in grams(t))
-    least = min(LEAST_ROWS, max(2, len(toxic) // 20))
-    strong = {g for g, n in here.items() if n >= least and n * len(ordinary) > LEAST_RATIO * len(toxic) * (there[g] + len(ordinary) / 1000)}
+    def is_strong(n: int, m: int) -> bool:
+        share = (n + m) / (n_here + n_there)
+        likelihood = 2 * (n * np.log(n / share / n_here) + (m * np.log(m / share / n_there) if m else 0))
+        return n * n_there > LEAST_RATIO * (m + 0.5) * n_here and likelihood > LEAST_LIKELIHOOD
+
+    strong = {g for g, n in here.items() if is_strong(n, there[g])}
+    rows = Counter(g for t in toxic for g in {g for w in words(t) for g in grams(w) & strong})
+    strong = {g for g in strong if rows[g] >= LEAST_ROWS}
     samples = []
     for text in toxic:
         parts = []
-        for word in sorted(set(words(text))):
-            hits = [i for i in range(len(word) - GRAM + 1) if word[i : i + GRAM] in strong]
+        for word in words(text):
+            hits = [(i, i + n) for n in GRAMS for i in range(len(word) - n + 1) if word[i : i + n] in strong]
             if hits:
-                parts.append(word[hits[0] : hits[-1] + GRAM])
+                parts.append(word[min(h[0] for h in hits) : max(h[1] for h in hits)].encode())
         if parts:
             samples.append(b" ".join(parts).center(8))  # the trainer passes over shorter samples
-    return samples
+    return samples, [" ".join(w for w in t.lower().split() if strong.isdisjoint(grams(f" {w} "))).encode() for t in ordinary]
 
 
 class Model:
@@ -126,23 +149,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """Train dictionaries on two thirds of the rows of each kind and calibrate on all others."""
-    if not toxic or not ordinary:
-        return None
-    parts = lambda rows: ([x for i, x in enumerate(rows) if i % 3], [x for i, x in enumerate(rows) if i % 3 == 0])
-    (toxic_train, toxic_rest), (plain_train, plain_rest) = parts(toxic), parts(ordinary)
-    toxic_train, plain_train = toxic_train or toxic, plain_train or ordinary
-    model = Model(_train([t.lower().encode() for t in plain_train], ORDINARY_BYTES, 64), _train_best(_toxic_parts(toxic_train, plain_train)))
+def _fit(parts: list[bytes], plain: list[bytes], toxic: list[str], ordinary: list[str]) -> Model:
+    """Train dictionaries and calibrate on the rows that they are not trained on."""
+    (_, toxic_rest), (_, plain_rest) = _thirds(toxic), _thirds(ordinary)
+    model = Model(_train(plain, ORDINARY_BYTES, 64), _train_best(parts))
     model.calibrate(toxic_rest + plain_rest, np.array([1.0] * len(toxic_rest) + [0.0] * len(plain_rest)))
     return model
 
 
+def _thirds(rows: list) -> tuple[list, list]:
+    """Two thirds of the rows for dictionaries, all others for calibration."""
+    return [x for i, x in enumerate(rows) if i % 3], [x for i, x in enumerate(rows) if i % 3 == 0]
+
+
+def fit(rows: list[tuple[str | None, str, int]]) -> dict[str | None, Model] | None:
+    """Models by language of labelled rows (lang, text, toxic), that of all languages under None; None without rows of both kinds."""
+    kinds = lambda held: tuple([text for _, text, label in held if label == k] for k in (1, 0))
+    toxic, ordinary = kinds(rows)
+    if not toxic or not ordinary:
+        return None
+    models: dict[str | None, Model] = {}
+    all_parts, all_plain = [], []
+    langs = sorted({r[0] for r in rows if r[0] is not None}) + [None] * any(r[0] is None for r in rows)
+    for lang in langs:
+        own_toxic, own_ordinary = kinds([r for r in rows if r[0] == lang])
+        parts, plain = _toxic_parts(_thirds(own_toxic)[0] or own_toxic, _thirds(own_ordinary)[0] or own_ordinary)
+        all_parts += parts
+        all_plain += plain
+        if lang is not None and parts and len(own_toxic) >= LEAST_TOXIC and len(own_ordinary) >= LEAST_TOXIC:
+            models[lang] = _fit(parts, plain, own_toxic, own_ordinary)
+    models[None] = _fit(all_parts, all_plain, toxic, ordinary)
+    return models
+
+
+def score(models: dict[str | None, Model], langs: list[str | None], texts: list[str | None]) -> np.ndarray:
+    """Scores of texts by the models of their languages."""
+    out, at = np.zeros(len(texts)), {}
+    for i, lang in enumerate(langs):
+        at.setdefault(lang if lang in models else None, []).append(i)
+    for lang, held in at.items():
+        out[held] = models[lang].score([texts[i] for i in held])
+    return out
+
+
+def _lang(docs: DataFrame):
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("_lang")
+
+
 def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
+def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, Model] | None, float]:
     """Fit on a bounded sample of labelled documents that aren't held out; also their share of toxic labels."""
     known = labels.where("toxic is not null and doc_id is not null").where(~is_held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = known.agg(F.avg("toxic"), F.count("*")).first()
@@ -150,24 +208,24 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[Model | None, float]:
     for value, bound in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         some = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text", _lang(docs)).where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_lang", "toxic").collect()
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0]), float(shares[0] or 0.0)
+    return fit([(r["_lang"], r["text"], r["toxic"]) for r in rows]), float(shares[0] or 0.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep_row: bool = False) -> DataFrame:
     """Return (doc_id, score) of every document; with ``keep_row`` (row, score), row being the whole document."""
-    model, share = fit_on(docs, labels)
-    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    models, share = fit_on(docs, labels)
+    held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
     first = "row" if keep_row else "doc_id"
-    source = docs.select("text", F.struct(*docs.columns).alias("row")) if keep_row else docs.select("doc_id", "text")
+    source = docs.select("text", _lang(docs), F.struct(*docs.columns).alias("row")) if keep_row else docs.select("doc_id", "text", _lang(docs))
 
     def run(batches):
         own = pickle.loads(held.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            score = own.score(texts) if own is not None and texts else np.full(len(texts), share)
-            yield pa.RecordBatch.from_arrays([batch.column(first), pa.array(score, pa.float64())], names=[first, "score"])
+            scores = score(own, batch.column("_lang").to_pylist(), texts) if own is not None and texts else np.full(len(texts), share)
+            yield pa.RecordBatch.from_arrays([batch.column(first), pa.array(scores, pa.float64())], names=[first, "score"])
 
     return source.mapInArrow(run, f"{first} {source.schema[first].dataType.simpleString()}, score double")
 

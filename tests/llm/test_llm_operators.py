@@ -264,6 +264,33 @@ def test_toxicity(spark):
     assert [r["score"] for r in toxicity.toxicity_report(docs.limit(1), labels.where("toxic = 0")).collect()] == [0.0]
 
 
+def test_toxicity_of_every_language():
+    rng = random.Random(5)
+    syllables = {"en": "the of and tion ing er an re ea nd st th".split(), "de": "ver lich keit ung sch ein ge be tz pf".split(), "es": "cion mente os ado ez rr ll que ta mi".split()}
+    insults = {"en": ["scoundrel", "numbskull"], "de": ["halunk", "schurk"], "es": ["payas", "bribon"]}
+    rows = []
+    for lang, own in syllables.items():
+        say = lambda n: ["".join(rng.choices(own, k=3)) for _ in range(n)]  # noqa: B023, E731
+        for i in range({"en": 900, "de": 450, "es": 450}[lang]):
+            w = say(rng.randrange(40, 90))
+            suffixed = lambda: rng.choice(insults[lang]) + rng.choice(own)  # noqa: B023, E731
+            # Every fifth ordinary row has such a word by chance: no sequence is 40 times as frequent in toxic rows.
+            for _ in range(len(w) // 10 + 1 if i % 6 == 0 else lang != "en" and i % 5 == 0):
+                w[rng.randrange(len(w))] = suffixed()
+            rows.append((lang, " ".join(w), int(i % 6 == 0)))
+    rng.shuffle(rows)
+    known, held = rows[::2], rows[1::2]
+    models = toxicity.fit(known)
+    assert set(models) == {None, "en", "de", "es"}
+    scores = toxicity.score(models, [r[0] for r in held], [r[1] for r in held])
+    for lang in syllables:
+        got = [(label, s >= toxicity.THRESHOLD) for (own, _, label), s in zip(held, scores) if own == lang]
+        toxic = [hit for label, hit in got if label]
+        assert sum(toxic) >= 0.7 * len(toxic), lang
+        assert sum(hit for label, hit in got if not label) <= 0.1 * len(got), lang
+    assert toxicity.score(models, [None, "fr"], ["", None]).shape == (2,)
+
+
 def test_licenses(spark):
     docs = spark.createDataFrame(
         [(1, "some words here\nReleased under the MIT License.\nmore words"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the mit students visited the university and the public library"), (4, None), (5, ""), (6, "This work is licensed under the GNU General Public License, version 3.")],
