@@ -5,7 +5,7 @@ path. Tokens that occur equally often in each page of a host have one occurrence
 them. The vector is never collected: a token's signature is the sum over pages of a page hash times the
 occurrences, an ordinary partial aggregation, and equal signatures are equal vectors. Classes that occur
 in enough pages are valid and are nested by the paths of their tags into the host's template. Text
-blocks of the class of every page are template text (menus, notices); of the slots that remain between
+blocks in enough of the host's pages that aren't empty are template text (menus, notices); of the slots that remain between
 template tags, the main one is the slot that holds the most text outside of links and of containers
 named as something else than content. Its blocks in each page are the page's text.
 
@@ -14,7 +14,7 @@ if their checked size allows, else by a shuffle that adaptive execution splits f
 
 Cases: null and empty html gives an empty text; a null url is a host of its own; pages of any length are
 taken whole; a page without the template's main slot is read from its article, its main or its body;
-repeated rows each get their text; extra columns are ignored; an empty table gives an empty result.
+a page that has template text only keeps it; repeated rows each get their text; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .lineage import cut
 
-#: Pages that a host must have for a template of its own, and for template text.
-MIN_PAGES, MIN_TEXT_PAGES = 3, 8
+#: Pages that a host must have for a template of its own, and pages that template text is in.
+MIN_PAGES = 3
+#: Share of the host's pages that a template's token is in.
+MIN_SHARE = 0.5
 #: Bytes up to which templates are broadcast.
 BROADCAST_BYTES = 32 << 20
 ALL_HOSTS = "*"
@@ -47,6 +49,7 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 VOID = frozenset("area base br col embed hr img input link meta source track".split())
 #: Elements that end a block and aren't containers.
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd dt figcaption caption tr td th option".split())
+CONTENT = frozenset("html body main article".split())
 NOT_CONTENT = frozenset("nav header footer aside form head button select dialog menu object audio video canvas map".split())
 NOT_CONTENT_NAMES = frozenset(
     "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -74,7 +77,10 @@ def is_content(path: str) -> bool:
     """Whether no container of the path is named as something else than content."""
     for label in path.split("/"):
         name, _, names = label.partition(".")
-        if name in NOT_CONTENT or names and NOT_CONTENT_NAMES & set(re.split(r"[._\-]+", names)):
+        if name in NOT_CONTENT:
+            return False
+        # Names of the page and of its content say what else it has ("has-sidebar"); of others the last part says what they are.
+        if name not in CONTENT and any(w in NOT_CONTENT_NAMES or re.split(r"[_\-]+", w)[-1] in NOT_CONTENT_NAMES for w in names.split(".")):
             return False
     return True
 
@@ -114,6 +120,9 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
             if name == "a":
                 in_link = not closing
             continue
+        if name == "br":  # a line of its block, which is judged as a whole
+            parts.append(" ")
+            continue
         end()
         if name in VOID or name in BREAKS:
             continue
@@ -152,7 +161,7 @@ def tokens(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 tags, blocks = parse(page)
                 mark = xxhash.xxh3_64_intdigest(page or "") | 1
-                own: dict[tuple, list] = {("", None): [1, 0]}
+                own: dict[tuple, list] = {("", None): [1, 0]} if tags or blocks else {}  # empty pages have no part in templates
                 for path in tags:
                     own.setdefault((path, None), [0, 0])[0] += 1
                 for b in blocks:
@@ -186,10 +195,11 @@ def templates(pages: DataFrame) -> DataFrame:
     found = found.withColumn("members", F.count(F.lit(1)).over(in_class)).withColumn("root", F.max(F.col("path") == "").over(in_class))
     content = F.udf(is_content, "boolean")
     tags = found.where("block is null and path <> '' and n > 0 and members > 1").withColumn("share", F.col("n_pages") / F.col("host_pages"))
-    tags = tags.where((F.col("root") | (F.col("share") >= 0.5)) & content("path"))
+    tags = tags.where((F.col("root") | (F.col("share") >= MIN_SHARE)) & content("path"))
     named = F.when(F.col("path").rlike(r"(^|/)article(\.[^/]*)?$"), 2).when(F.col("path").rlike(r"(^|/)main(\.[^/]*)?$|role0?main"), 1).otherwise(0)
     main = tags.groupBy("host").agg(F.max_by("path", F.struct(named, "chars", F.length("path"))).alias("main_path"))
-    blocks = found.where((F.col("block").isNotNull()) & F.col("root") & (F.col("host_pages") >= MIN_TEXT_PAGES)).groupBy("host").agg(F.collect_set("block").alias("template_blocks"))
+    often = (F.col("n_pages") >= MIN_PAGES) & (F.col("n_pages") >= MIN_SHARE * F.col("host_pages"))
+    blocks = found.where(F.col("block").isNotNull() & often).groupBy("host").agg(F.collect_set("block").alias("template_blocks"))
     return main.join(blocks, "host", "left")
 
 
@@ -218,15 +228,15 @@ def extract(pages: DataFrame) -> DataFrame:
 def main_text(page: str | None, main: str, common: frozenset = frozenset()) -> str:
     """Text of the main slot; of the article, the main element or the body where the page has no such slot."""
     _, blocks = parse(page)
-    blocks = [b for b in blocks if is_content(b.path)]
-    slot = [b for b in blocks if main and (b.path == main or b.path.startswith(main + "/"))]
-    for name in ("article", "main", "body"):
-        if slot:
-            break
-        slot = [b for b in blocks if re.search(rf"(^|/){name}(\.[^/]*)?(/|$)", b.path)]
-    slot = slot or [b for b in blocks if b.linked < len(b.text)]
-    if common:
-        slot = [b for b in slot if xxhash.xxh3_64_intdigest(b.text) - (1 << 63) not in common]
+    slot: list[Block] = []
+    # Blocks of all containers are read only if no others are there.
+    for held in ([b for b in blocks if is_content(b.path)], blocks):
+        slot = slot or [b for b in held if main and (b.path == main or b.path.startswith(main + "/"))]
+        for name in ("article", "main", "body"):
+            slot = slot or [b for b in held if re.search(rf"(^|/){name}(\.[^/]*)?(/|$)", b.path)]
+        slot = slot or [b for b in held if b.linked < len(b.text)]
+    # Copies of one page have nothing but common text.
+    slot = [b for b in slot if xxhash.xxh3_64_intdigest(b.text) - (1 << 63) not in common] or slot
     return " ".join(b.text for b in slot)
 
 

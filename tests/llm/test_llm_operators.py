@@ -313,3 +313,16 @@ def test_pages(spark):
     assert got[3] == [("T3 first & boldly 3 x second part3", 34)] and len(got[0]) == 2
     assert got[20] == [("alone", 5)] and got[21] == [("", 0)] and got[22] == [("", 0)] and got[23] == [("plain text", 10)]
     assert pages.page_report(spark.createDataFrame([], "page_id bigint, url string, html string")).isEmpty()
+
+
+def test_page_templates_and_names(spark):
+    notice = "<div><p>all rights of this host are reserved</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(f"<article><p>text {i}</p>{notice}</article>")) for i in range(5)] + [(5, "http://h.example/5", ""), (6, "http://h.example/6", None)]
+    rows += [(7, "http://h.example/7", page("<article><p>no such page</p></article>"))]
+    body = lambda i: f"<html><body class='has-sidebar search'><main class='comment-form'><p>words {i}</p><div class='search-result-item'><p>found {i}</p></div><div class='site-footer'>end</div></main></body></html>"
+    rows += [(10 + i, f"http://b.example/{i}", body(i)) for i in range(4)] + [(20 + i, "http://copies.example/", page("<article><p>same</p></article>")) for i in range(4)]
+    rows += [(30, "http://lone.example/", "<html><body><div class='widget'><p>in a widget</p></div></body></html>")]
+    got = {r["page_id"]: r["text"] for r in pages.page_report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == ["text 0", "text 1", "text 2", "text 3", "text 4", "", "", "no such page"]
+    assert [got[10 + i] for i in range(4)] == [f"words {i} found {i}" for i in range(4)]
+    assert {got[20 + i] for i in range(4)} == {"same"} and got[30] == "in a widget"
