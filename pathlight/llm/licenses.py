@@ -183,6 +183,7 @@ def scan(docs: DataFrame, model: Classifier | None = None) -> DataFrame:
     """Return (doc_id, n_paragraphs, found array<struct<paragraph: int, family: string, probability: double>>)."""
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model or fit_on(docs)))
 
+    @W.released
     def run(batches):
         own = pickle.loads(held.value)
         for batch in batches:

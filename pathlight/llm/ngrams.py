@@ -228,6 +228,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], shards: int, block_bytes: int):
 def _entries(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
     """(shard, block, tokens, counts, contexts, sizes, words, pair_counts): packed n-grams of each block."""
 
+    @W.released
     def run(batches):
         for block, b, _ in _blocks(batches, shards, block_bytes):
             n = len(b.tokens)
@@ -300,6 +301,7 @@ def _unpack_codes(data: bytes) -> np.ndarray:
 def _sequences(docs: DataFrame, shards: int, block_bytes: int) -> DataFrame:
     """(block, doc_id, train, start, sequence): numbered tokens of every text."""
 
+    @W.released
     def run(batches):
         for block, b, rows in _blocks(batches, shards, block_bytes):
             at = 0

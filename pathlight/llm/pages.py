@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import words as W
 from .lineage import cut
 
 #: Pages that a host must have for a template of its own, and pages that template text is in.
@@ -155,6 +156,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     Every token is also counted for the host of all pages.
     """
 
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             sums: dict[tuple, list] = {}
@@ -213,6 +215,7 @@ def extract(pages: DataFrame) -> DataFrame:
     size = found.agg(F.sum(F.length("host") + F.length("main_path") + 8 * F.size(F.coalesce("template_blocks", F.array())))).first()[0] or 0
     met = pages.withColumn("host", _host()).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
+    @W.released
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []

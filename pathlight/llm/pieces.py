@@ -14,8 +14,11 @@ vocabularies ``viterbi_segments`` folds the best path over the same lattice.
 Units over 60 characters (segments are bits of a long) and units with nine or more spaces in a row
 (pieces of equal score) are encoded by the library inside the task.
 
-The documents are read twice, by block both times; they must come in the same order, as those of a table
-do (a block that doesn't find its units raises an error).
+A unit is folded once for the blocks of ``TOGETHER`` input partitions, so that the places of a frequent unit
+are a bounded list however large the corpus is.
+
+The documents are read twice, by block both times, in the same order: those that come out of a shuffle are
+materialised first.
 
 Cases: null and empty texts have no pieces; unknown characters become byte pieces; rows may repeat and
 ids may be null; an empty table gives an empty result; extra columns are ignored or, where the row is
@@ -34,9 +37,11 @@ import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
+from .lineage import in_fixed_order
 
 MARK = "▁"
 _MARK_BYTES = MARK.encode()
@@ -44,6 +49,10 @@ LONGEST = 60
 _SPACES = " " * 9
 #: Bytes of text that number their units together.
 BLOCK_BYTES = 24 << 20
+#: Input partitions whose units are folded together.
+TOGETHER = 64
+#: Ids that are handed on together.
+_HANDED = 1 << 20
 
 
 @lru_cache(maxsize=4)
@@ -242,19 +251,28 @@ def viterbi_segments(edges: Column, length: Column) -> Column:
 
 
 def _unit_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(together, block, number, unit): the distinct units of each block."""
+
+    @W.released
     def run(batches):
+        together = TaskContext.get().partitionId() // TOGETHER
         for block, names in _numbered(batches, block_bytes, False):
             order = pc.sort_indices(names)  # neighbours share their beginnings: fewer bytes shuffled
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(order), block)), order.cast(pa.int32()), names.take(order).cast(pa.string())], names=["block", "number", "unit"]
-            )
-            del names, order  # before the next block is built
+            for at in range(0, len(order), _HANDED // 8):
+                part = order.slice(at, _HANDED // 8)
+                n = len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, together, np.int32)), pa.array(np.full(n, block)), part.cast(pa.int32()), names.take(part).cast(pa.string())],
+                    names=["together", "block", "number", "unit"],
+                )
+            del names, order, part  # before the next block is built
             W.release()
 
-    return docs.select("text").mapInArrow(run, "block bigint, number int, unit string")
+    return docs.select("text").mapInArrow(run, "together int, block bigint, number int, unit string")
 
 
 def _text_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
+    @W.released
     def run(batches):
         for block, parts in _numbered(batches, block_bytes, True):
             for ids, sizes, numbers, bounds in parts:
@@ -270,26 +288,26 @@ def _text_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
 def lattice(unit_rows: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(unit, places, edges): the packed edges of every distinct unit, by an equi-join of substrings to pieces.
 
-    ``places`` has the (block, number) of the unit in each block. Units are dealt by one shuffle; grouping
-    them, and grouping their edges, needs no other.
+    ``places`` has the (block, number) of the unit in the blocks that are folded together. Units are dealt by
+    one shuffle; grouping them, and grouping their edges, needs no other.
     """
-    dealt = unit_rows.repartition("unit").groupBy("unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
+    dealt = unit_rows.repartition("together", "unit").groupBy("together", "unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
     n = F.length("unit")
     short = (n >= 2) & (n <= LONGEST) & ~F.contains(F.col("unit"), F.lit(_SPACES))
     # The substring at -1 is empty and stands for the unit itself; it alone carries the places.
     starts = F.when(short, F.sequence(F.lit(-1), n - 2)).otherwise(F.array(F.lit(-1)))
-    each = dealt.select("unit", "places", F.explode(starts).alias("start"))
-    each = each.select("unit", F.when(F.col("start") < 0, F.col("places")).alias("places"), "start")
+    each = dealt.select("together", "unit", "places", F.explode(starts).alias("start"))
+    each = each.select("together", "unit", F.when(F.col("start") < 0, F.col("places")).alias("places"), "start")
     sizes = F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(2), F.least(F.lit(longest), n - F.col("start"))))
-    each = each.select("unit", "places", "start", F.explode(sizes).alias("size"))
+    each = each.select("together", "unit", "places", "start", F.explode(sizes).alias("size"))
     each = each.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("size")))
     found = each.join(F.broadcast(pieces), "piece")
     start, end = F.greatest("start", F.lit(0)), F.greatest("start", F.lit(0)) + F.col("size")
     edge = F.struct(
         (F.shiftleft(F.col("rank").cast("bigint"), 16) + start * 256 + F.col("size")).alias("edge"), _bit(start).bitwiseOR(_bit(end)).alias("need"), (_bit(end) - _bit(start + 1)).alias("inner")
     )
-    found = found.select("unit", "places", F.when(F.col("size") > 0, edge).alias("edge"))
-    return found.groupBy("unit").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
+    found = found.select("together", "unit", "places", F.when(F.col("size") > 0, edge).alias("edge"))
+    return found.groupBy("together", "unit").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
 
 
 class _Finish:
@@ -361,13 +379,26 @@ def _texts_ids(numbers: np.ndarray, ids: np.ndarray, offsets: np.ndarray) -> np.
 
 def decode(vocabulary: Vocabulary, ids) -> str:
     """The text of piece ids: bytes of byte pieces, marks as spaces, the leading space dropped."""
-    text = b"".join([vocabulary.text[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+    text = b"".join(map(vocabulary.text.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, keep_row: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Return (row, n_bytes, ids array<int>); ``row`` is the doc_id or, with ``keep_row``, the whole document."""
-    return _encode(docs, model_path, keep_row, block_bytes, "ids array<int>", lambda rows: {"ids": _lists(rows)})
+def encode(docs: DataFrame, model_path: str, keep_row: bool = False, block_bytes: int = BLOCK_BYTES, digest: bool = False) -> DataFrame:
+    """Return (row, n_bytes, ids array<int>); ``row`` is the doc_id or, with ``keep_row``, the whole document.
+
+    With ``digest`` the ids are decoded again and ``decoded_sha256`` tells the text that comes out.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(load(model_path).proto)
+
+    def shape(rows: list[np.ndarray]) -> dict:
+        made = {"ids": _lists(rows)}
+        if digest:
+            vocabulary = _finish(held.value).v
+            made["decoded_sha256"] = pa.array([hashlib.sha256(decode(vocabulary, x).encode()).hexdigest() for x in rows], pa.string())
+        return made
+
+    return _encode(docs, model_path, keep_row, block_bytes, "ids array<int>" + ", decoded_sha256 string" * digest, shape)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -376,19 +407,20 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def _encode(docs: DataFrame, model_path: str, keep_row: bool, block_bytes: int, columns: str, shape: Callable) -> DataFrame:
-    """(row, n_bytes, columns): what ``shape`` makes of the id arrays of some documents."""
+    """(row, n_bytes, columns): what ``shape`` makes of the id arrays of consecutive documents."""
     spark = docs.sparkSession
     vocabulary = load(model_path)
     if not fold_is_exact(vocabulary):
         raise ValueError("a piece of this vocabulary needs a part of worse score")
     kept = [c for c in docs.columns if c != "text"]
-    docs = docs.select("text", (F.struct(*kept) if keep_row else F.col("doc_id")).alias("row"))
+    docs = in_fixed_order(docs).select("text", (F.struct(*[F.col(f"`{c}`") for c in kept]) if keep_row else F.col("doc_id")).alias("row"))
     pieces = spark.createDataFrame([r[:2] for r in vocabulary.edge_rows()], "piece string, rank int")
     edges = lattice(_unit_rows(docs, block_bytes), pieces, vocabulary.longest)
     segments = edges.select("places", "unit", merge_segments(F.col("edges"), F.length("unit")).alias("segments"))
     segments = segments.select(F.explode("places").alias("place"), "unit", "segments")
     proto = spark.sparkContext.broadcast(vocabulary.proto)
 
+    @W.released
     def pack_answers(batches):
         tool = None
         for batch in batches:
@@ -409,25 +441,38 @@ def _encode(docs: DataFrame, model_path: str, keep_row: bool, block_bytes: int,
     answers = segments.select("place.block", "place.number", "unit", "segments").mapInArrow(pack_answers, "block bigint, numbers binary, sizes binary, ids binary")
 
     def finish(texts: pa.Table, found: pa.Table) -> pa.Table:
-        none = [np.zeros(0, np.int64)]
-        numbers = np.concatenate(none + [np.cumsum(_unpack(x.as_py()).astype(np.int64)) for x in found.column("numbers")])
-        sizes, flat = (np.concatenate(none + [_unpack(x.as_py()).astype(np.int64) for x in found.column(c)]) for c in ("sizes", "ids"))
-        rows = [_unpack_numbers(x.as_py()) for x in texts.column("numbers")]
-        n = max((int(x.max()) + 1 for x in rows if len(x)), default=0)
-        first = np.full(n, -1, np.int64)
-        if len(numbers) and numbers.max() < n:
-            first[numbers] = np.cumsum(sizes) - sizes
-        if (first < 0).any():
-            raise RuntimeError("the documents came in another order the second time; write them to a table first")
-        length = np.zeros(n, np.int64)
+        numbers = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_unpack(x.as_py()).astype(np.int64)) for x in found.column("numbers"))])
+        sizes, flat = (np.concatenate([np.zeros(0, np.int32), *(_unpack(x.as_py()).astype(np.int32) for x in found.column(c))]) for c in ("sizes", "ids"))
+        n = int(numbers.max()) + 1 if len(numbers) else 0
+        first, length = np.full(n, -1, np.int64), np.zeros(n, np.int32)
+        first[numbers] = np.cumsum(sizes, dtype=np.int64) - sizes
         length[numbers] = sizes
-        out = []
-        for x in rows:
+        del numbers, sizes
+        made: dict[str, list] = {}
+        rows: list[np.ndarray] = []
+
+        def hand_on() -> None:
+            for c, values in shape(rows).items():
+                made.setdefault(c, []).append(values)
+            rows.clear()
+
+        held = 0
+        for packed in texts.column("numbers"):
+            x = _unpack_numbers(packed.as_py())
+            if len(x) and (int(x.max()) >= n or (first[x] < 0).any()):
+                raise RuntimeError("a block of texts doesn't meet its units: the documents change while they are read")
             size = length[x]
-            out.append(flat[np.repeat(first[x] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))].astype(np.int32))
-        made = shape(out)
+            ends = np.cumsum(size, dtype=np.int64)
+            rows.append(flat[np.repeat(first[x] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            held += len(rows[-1])
+            if held >= _HANDED:
+                hand_on()
+                held = 0
+        if rows or not made:
+            hand_on()
+        del first, length, flat
         W.release()
-        return pa.table({"row": texts.column("row"), "n_bytes": texts.column("n_bytes"), **made})
+        return pa.table({"row": texts.column("row"), "n_bytes": texts.column("n_bytes"), **{c: pa.chunked_array(v) for c, v in made.items()}})
 
     texts = _text_rows(docs, block_bytes)
     kind = docs.schema["row"].dataType.simpleString()
@@ -451,7 +496,7 @@ def encoding_report(docs: DataFrame, model_path: str) -> DataFrame:
         return {
             "n_pieces": pa.array([len(x) for x in rows], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in rows], pa.string()),
-            "n_bytes_decoded": pa.array([len(decode(vocabulary, x.tolist()).encode()) for x in rows], pa.int64()),
+            "n_bytes_decoded": pa.array([len(decode(vocabulary, x).encode()) for x in rows], pa.int64()),
         }
 
     return _encode(docs, model_path, False, BLOCK_BYTES, "n_pieces bigint, ids_sha256 string, n_bytes_decoded bigint", shape).withColumnRenamed("row", "doc_id")
@@ -461,6 +506,7 @@ def decode_table(encoded: DataFrame, model_path: str) -> DataFrame:
     """Return ``encoded`` (row, ids) with a column ``text`` decoded from the ids."""
     held = encoded.sparkSession.sparkContext.broadcast(load(model_path).proto)
 
+    @W.released
     def run(batches):
         vocabulary = _finish(held.value).v
         for batch in batches:

@@ -71,6 +71,7 @@ def _fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Return (doc_id, fp bigint), the fingerprint of every document."""
 
+    @W.released
     def run(batches):
         for batch in batches:
             fp = _fingerprints(batch.column("text"), shingle).view(np.int64)
@@ -169,6 +170,7 @@ def close_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
             pairs = pairs.view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    @W.released
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -208,7 +210,13 @@ def near_duplicate_report(found: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """The documents, with all their columns, that have the least doc_id of their component.
 
-    Rows that repeat a doc_id are the same document; rows without one stay.
+    Rows that repeat a doc_id are the same document, of which one row stays; rows without one stay.
     """
-    gone = near_duplicates(docs.where("doc_id is not null"), shingle, budget).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    found = near_duplicates(docs.where("doc_id is not null"), shingle, budget).select("doc_id", "component_id")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = docs.join(gone.unionByName(again), "doc_id", "left_anti").select(docs.columns)
+    # Of repeated rows with unequal texts, that of the least hash.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
+    return once.unionByName(one)

@@ -69,6 +69,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     ``known``: it is repeated within its block.
     """
 
+    @W.released
     def run(batches):
         for batch in batches:
             ids = _ids(batch)
@@ -125,6 +126,7 @@ def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFram
     half = (window + 1) // 2
     span = window - half + 1
 
+    @W.released
     def run(batches):
         for batch in batches:
             ids = _ids(batch)
@@ -210,6 +212,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     rows = _window_rows(docs.repartition("doc_id"), _repeated_anchors(docs, window), window)
 
+    @W.released
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0

@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from . import words as W
+
 LIMIT = 2048
 #: Bounds: rows of the sample, entries of the broadcast table and of a worker's cache.
 SAMPLE_ROWS = 2_000
@@ -114,6 +116,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     long = [n for n, k in zip(table.names, table.lengths.tolist()) if k == 255]
     held = docs.sparkSession.sparkContext.broadcast((model, table.as_dict() if not long else {n: k for n, k in table.as_dict().items() if k < 255}))
 
+    @W.released
     def run(batches):
         model, frequent = held.value
         counter = _counter(model)

@@ -6,16 +6,19 @@ dictionary stands beside the ordinary one. The numbers of windows that gain at l
 weighed by a logistic curve; weights and thresholds are calibrated on labelled rows that neither
 dictionary has seen.
 
-Each language has dictionaries and weights of its own. Its toxic dictionary is trained on what sets its
-toxic rows apart: the parts of their words whose letter sequences are significantly more frequent among
-words of the language's toxic rows than of its ordinary ones. Dictionaries and calibration use a bounded
-sample of labelled rows (``SAMPLE_TOXIC``, ``SAMPLE_ORDINARY``, chosen by a hash of the id); scoring covers
-all windows of all texts.
-
-Cases: languages with few toxic rows, null ones and tables without ``lang`` use a model of all languages;
-null and empty texts have one empty window and get the score of a text without any gain; without
-labelled rows of both kinds every score is the share of toxic labels; labels that are null are not used
-and repeated labels of a document count as toxic if one of them is; an empty table gives an empty result.
+The labelled rows are grouped by their language for training, so that each language has dictionaries and
+weights of its own. A score takes nothing but the text: a text goes to the language whose ordinary
+dictionary compresses it best. A toxic dictionary is trained on what sets the toxic rows apart: the parts
+of their words whose letter sequences are significantly more frequent among words of the language's toxic
+rows than of its ordinary ones. Dictionaries and calibration use a bounded sample of labelled rows
+(``SAMPLE_TOXIC``, ``SAMPLE_ORDINARY``, chosen by a hash of the id, none above ``SAMPLE_CHARS`` characters);
+scoring covers all windows of all texts.
+
+Cases: languages with few toxic rows, and texts without words, use a model of all languages; null and
+empty texts have one empty window and get the score of a text without any gain; without labelled rows of
+both kinds every score is the share of toxic labels; labels that are null are not used and repeated
+labels of a document count as toxic if one of them is; a table without ``lang`` has one language; an empty
+table gives an empty result; extra columns are kept by ``drop_toxic`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -28,9 +31,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from . import words as W
+
 #: Bounds of the labelled sample that the model is fitted on.
 SAMPLE_TOXIC = 2_000
 SAMPLE_ORDINARY = 6_000
+SAMPLE_CHARS = 32_768
+#: Bytes compressed at once to tell the language of a text.
+CHUNK = 1_000
 #: Words in a window, and from one window to the next.
 WINDOW, STEP = 4, 2
 THRESHOLD = 0.3
@@ -182,20 +190,28 @@ def fit(rows: list[tuple[str | None, str, int]]) -> dict[str | None, Model] | No
     return models
 
 
-def score(models: dict[str | None, Model], langs: list[str | None], texts: list[str | None]) -> np.ndarray:
-    """Scores of texts by the models of their languages."""
+def route(models: dict[str | None, Model], texts: list[str | None]) -> list[str | None]:
+    """For each text the language whose ordinary dictionary compresses it best; None if it has no words or no
+    language has a model of its own."""
+    ordinary = {lang: _compressor(m.ordinary).compress for lang, m in models.items() if lang is not None}
+    out = []
+    for text in texts:
+        data = (text or "").lower().encode()
+        parts = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)] if ordinary and data.strip() else []
+        out.append(min(ordinary, key=lambda x: sum(len(ordinary[x](p)) for p in parts)) if parts else None)
+    return out
+
+
+def score(models: dict[str | None, Model], texts: list[str | None]) -> np.ndarray:
+    """Scores of texts by the models of the languages that they compress to."""
     out, at = np.zeros(len(texts)), {}
-    for i, lang in enumerate(langs):
-        at.setdefault(lang if lang in models else None, []).append(i)
+    for i, lang in enumerate(route(models, texts)):
+        at.setdefault(lang, []).append(i)
     for lang, held in at.items():
         out[held] = models[lang].score([texts[i] for i in held])
     return out
 
 
-def _lang(docs: DataFrame):
-    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("_lang")
-
-
 def is_held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
@@ -208,7 +224,8 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> tuple[dict[str | None, Model]
     for value, bound in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
         some = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select("doc_id", "text", _lang(docs)).where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_lang", "toxic").collect()
+    lang = (F.col("lang") if "lang" in docs.columns else F.lit("")).cast("string").alias("_lang")
+    rows = docs.select("doc_id", "text", lang).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_lang", "toxic").collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([(r["_lang"], r["text"], r["toxic"]) for r in rows]), float(shares[0] or 0.0)
 
@@ -218,13 +235,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_row: bool = False)
     models, share = fit_on(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
     first = "row" if keep_row else "doc_id"
-    source = docs.select("text", _lang(docs), F.struct(*docs.columns).alias("row")) if keep_row else docs.select("doc_id", "text", _lang(docs))
+    source = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) if keep_row else docs.select("doc_id", "text")
 
+    @W.released
     def run(batches):
         own = pickle.loads(held.value)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            scores = score(own, batch.column("_lang").to_pylist(), texts) if own is not None and texts else np.full(len(texts), share)
+            scores = score(own, texts) if own is not None and texts else np.full(len(texts), share)
             yield pa.RecordBatch.from_arrays([batch.column(first), pa.array(scores, pa.float64())], names=[first, "score"])
 
     return source.mapInArrow(run, f"{first} {source.schema[first].dataType.simpleString()}, score double")

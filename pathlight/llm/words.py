@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ HASH_BYTES = 1 << 19
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
     _LIBC.malloc_trim
+    _LIBC.mallopt(-3, 8 << 20)  # arrays above this are mapped one by one, so that freeing them gives memory back
 except (OSError, AttributeError):  # not glibc
     _LIBC = None
 
@@ -36,6 +38,19 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+def released(run):
+    """The function of a mapInArrow, giving freed memory back once a partition is done."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     """Boolean table over the 256 bytes, true inside the inclusive ranges."""
     table = np.zeros(256, bool)

@@ -97,7 +97,8 @@ def test_simhash(spark, docs):
     got = simhash.near_duplicate_report(simhash.near_duplicates(docs)).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got if r["doc_id"] is not None} == {d: (f"{f:016x}", label[d]) for d, f in rows.items()}
     assert len(got) == docs.count()
-    assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == {None, *label.values()}
+    kept = [r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()]
+    assert set(kept) == {None, *label.values()} and len(kept) == len(set(kept))
     assert simhash.near_duplicates(empty(spark)).isEmpty()
 
 
@@ -282,13 +283,25 @@ def test_toxicity_of_every_language():
     known, held = rows[::2], rows[1::2]
     models = toxicity.fit(known)
     assert set(models) == {None, "en", "de", "es"}
-    scores = toxicity.score(models, [r[0] for r in held], [r[1] for r in held])
+    assert sum(a == r[0] for a, r in zip(toxicity.route(models, [r[1] for r in held]), held)) >= 0.99 * len(held)
+    scores = toxicity.score(models, [r[1] for r in held])
     for lang in syllables:
         got = [(label, s >= toxicity.THRESHOLD) for (own, _, label), s in zip(held, scores) if own == lang]
         toxic = [hit for label, hit in got if label]
         assert sum(toxic) >= 0.7 * len(toxic), lang
         assert sum(hit for label, hit in got if not label) <= 0.1 * len(got), lang
-    assert toxicity.score(models, [None, "fr"], ["", None]).shape == (2,)
+    assert toxicity.score(models, ["", None]).shape == (2,) and toxicity.route(models, ["", None, " "]) == [None] * 3
+
+
+def test_toxicity_odd_rows(spark):
+    rows = [(i, f"plain words of row {i} " * 9 + ("dunderhead " * 3 if i % 4 == 0 else ""), "en", "x") for i in range(60)]
+    rows += [(61, "long " * 60_000, None, "x"), (62, None, "en", "x"), rows[0], rows[0], (None, "dunderhead", "en", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] * 2, "doc_id bigint, toxic int")
+    got = toxicity.toxicity_report(docs, labels).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 0}) == 1
+    assert toxicity.drop_toxic(docs, labels).columns == docs.columns
+    assert toxicity.toxicity_report(docs.limit(0), labels).isEmpty()
 
 
 def test_licenses(spark):
