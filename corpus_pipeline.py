@@ -41,11 +41,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_bytes, ids) of every document, ids being its SentencePiece encoding."""
+    """(doc_id, lang, source, n_bytes, ids, decoded_sha256) of every document: its SentencePiece ids, and the digest
+    of the text that they decode to, by which a lossy encoding shows."""
     kept = docs.select("text", "doc_id", "lang", "source")
     # Rows are carried along and workers come from other stages: smaller blocks than the operator's own.
-    encoded = pieces.encode(kept, public_tokenizers.path("piece_bpe_32k.model"), keep_row=True, block_bytes=8 << 20)
-    return encoded.select("row.doc_id", "row.lang", "row.source", "n_bytes", "ids")
+    encoded = pieces.encode(kept, public_tokenizers.path("piece_bpe_32k.model"), keep_row=True, block_bytes=8 << 20, digest=True)
+    return encoded.select("row.doc_id", "row.lang", "row.source", "n_bytes", "ids", "decoded_sha256")
 
 
 STAGES = [
