@@ -42,7 +42,7 @@ DISCOUNT = 0.75
 BINS = 4096
 #: Bytes of text in a block, and for which there is one shard.
 BLOCK_BYTES = 24 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 HELD_OUT = 2
 
 _END = np.uint64(0x5851F42D4C957F2D)

@@ -48,9 +48,11 @@ _MARK_BYTES = MARK.encode()
 LONGEST = 60
 _SPACES = " " * 9
 #: Bytes of text that number their units together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 #: Input partitions whose units are folded together.
 TOGETHER = 64
+#: Partitions of units for one of ``spark.sql.shuffle.partitions``: a unit has ten edges and more, which are sorted.
+FINER = 3
 #: Ids that are handed on together.
 _HANDED = 1 << 20
 
@@ -291,7 +293,8 @@ def lattice(unit_rows: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     ``places`` has the (block, number) of the unit in the blocks that are folded together. Units are dealt by
     one shuffle; grouping them, and grouping their edges, needs no other.
     """
-    dealt = unit_rows.repartition("together", "unit").groupBy("together", "unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
+    partitions = FINER * int(unit_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = unit_rows.repartition(partitions, "together", "unit").groupBy("together", "unit").agg(F.collect_list(F.struct("block", "number")).alias("places"))
     n = F.length("unit")
     short = (n >= 2) & (n <= LONGEST) & ~F.contains(F.col("unit"), F.lit(_SPACES))
     # The substring at -1 is empty and stands for the unit itself; it alone carries the places.

@@ -215,8 +215,10 @@ def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDG
     found = near_duplicates(docs.where("doc_id is not null"), shingle, budget).select("doc_id", "component_id")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(gone.unionByName(again), "doc_id", "left_anti").select(docs.columns)
+    # Both joins deal the same rows by doc_id, which Spark does once.
+    known = docs.where("doc_id is not null")
+    once = known.join(gone.unionByName(again), "doc_id", "left_anti").select(docs.columns)
     # Of repeated rows with unequal texts, that of the least hash.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
-    return once.unionByName(one)
+    one = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64("text")).alias("_row")).select("_row.*")
+    return once.unionByName(one).unionByName(docs.where("doc_id is null"))
