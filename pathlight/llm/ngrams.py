@@ -16,7 +16,7 @@ from contexts to their successors (monotone), and the successors (monotone, as w
 the context). Discounted probabilities and backoff weights are quantised to bins of equal population.
 Levels are decoded a block at a time, the only part that is ever unpacked.
 
-The documents are read twice in the same order, as those of a table are (else an error is raised).
+The documents are read twice in the same order: those that come out of a shuffle are materialised first.
 
 Cases: null and empty texts have the end token alone; rows with a null doc_id train, as texts that
 aren't held out; every row of repeated ids trains and is scored by itself; an empty table gives an empty
@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .lineage import cut
+from .lineage import cut, in_fixed_order
 
 DISCOUNT = 0.75
 #: Bins of quantised probabilities; bin 0 is for what was never seen.
@@ -322,7 +322,7 @@ def score_documents(docs: DataFrame, train: F.Column, block_bytes: int = BLOCK_B
 
     ``train``: condition on the columns of ``docs`` for the texts to learn from.
     """
-    docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train"))
+    docs = in_fixed_order(docs.select("doc_id", "text", F.coalesce(train, F.lit(True)).alias("train")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     entries = _entries(docs, shards, block_bytes)
@@ -344,7 +344,7 @@ def score_documents(docs: DataFrame, train: F.Column, block_bytes: int = BLOCK_B
         start = texts.column("start")[0].as_py()
         pairs, of_token = pairs_of(sequence, bounds, start, len(counts))
         if len(pairs) != len(seen) or len(counts) != len(backoff):
-            raise RuntimeError("the documents came in another order the second time; write them to a table first")
+            raise RuntimeError("a block of texts doesn't meet its answers: the documents change while they are read")
         plain = (counts + 1) / (n + v + 1)
         logs = np.log10(seen + backoff[pairs // len(counts)] * plain[pairs % len(counts)])
         add = lambda x: np.add.reduceat(x, bounds[:-1])

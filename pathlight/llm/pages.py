@@ -3,18 +3,24 @@
 Tokens of a page are its container start tags, told apart by their path, and its text blocks at their
 path. Tokens that occur equally often in each page of a host have one occurrence vector; a class groups
 them. The vector is never collected: a token's signature is the sum over pages of a page hash times the
-occurrences, an ordinary partial aggregation, and equal signatures are equal vectors. Classes that occur
-in enough pages are valid and are nested by the paths of their tags into the host's template. Text
-blocks in enough of the host's pages that aren't empty are template text (menus, notices); of the slots that remain between
-template tags, the main one is the slot that holds the most text outside of links and of containers
-named as something else than content. Its blocks in each page are the page's text.
+occurrences, an ordinary partial aggregation, and equal signatures (64 bits) are equal vectors. Classes of
+two tokens and more that occur in enough of the host's pages that aren't empty are valid. The paths of
+their tags nest them into the host's template; text blocks of as many pages are template text (menus,
+notices). What is left between template tags are the slots. A tag's slots, its own and those nested below
+it, hold so much text outside of links; the main tag is the innermost one whose slots hold most of the
+host's text (an article or main element goes before others). The text of its slots in each page is the
+page's text; nested slots whose template tag is named as something else than content (comments, an
+advert) are left out.
 
 Hosts with few pages share the template of all pages. Templates are joined to pages by host: broadcast
-if their checked size allows, else by a shuffle that adaptive execution splits for large hosts.
+if their checked size allows, else by a shuffle that adaptive execution splits for large hosts. A host's
+template is a small row: each of its tags and texts is in half of the pages, so there are at most twice as
+many as in a page.
 
 Cases: null and empty html gives an empty text; a null url is a host of its own; pages of any length are
-taken whole; a page without the template's main slot is read from its article, its main or its body;
-a page that has template text only keeps it; repeated rows each get their text; extra columns are ignored; an empty table gives an empty result.
+taken whole; a page without the template's main tag is read from its article, its main or its body;
+a page whose text stands in other pages nearly whole (a copy) keeps it; repeated rows each get their text; extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +41,11 @@ from .lineage import cut
 MIN_PAGES = 3
 #: Share of the host's pages that a template's token is in.
 MIN_SHARE = 0.5
+#: Share of the host's text that the slots of its main tag hold, and those of one that is named so.
+MAIN_SHARE, NAMED_SHARE = 0.6, 0.1
 #: Bytes up to which templates are broadcast.
+#: Share of a page's main text that isn't template text, below which the page is a copy of others and keeps all.
+OWN_SHARE = 0.1
 BROADCAST_BYTES = 32 << 20
 ALL_HOSTS = "*"
 
@@ -46,8 +56,8 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that stay in the line of text around them.
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta source track".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+VOID = frozenset("area base br col embed hr input link meta source track".split())
 #: Elements that end a block and aren't containers.
 BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote dd dt figcaption caption tr td th option".split())
 CONTENT = frozenset("html body main article".split())
@@ -74,15 +84,23 @@ def _label(name: str, attributes: str) -> str:
     return ".".join([name, *words])
 
 
-def is_content(path: str) -> bool:
-    """Whether no container of the path is named as something else than content."""
+def is_content(path: str, template: frozenset | None = None) -> bool:
+    """Whether no container of the path is something else than content: by its element, or by a name of it.
+
+    The last part of a name ("site-footer") counts only for tags of the template, all of them where none is given.
+    """
+    at = 0
     for label in path.split("/"):
+        at += len(label) + 1
         name, _, names = label.partition(".")
         if name in NOT_CONTENT:
             return False
-        # Names of the page and of its content say what else it has ("has-sidebar"); of others the last part says what they are.
-        if name not in CONTENT and any(w in NOT_CONTENT_NAMES or re.split(r"[_\-]+", w)[-1] in NOT_CONTENT_NAMES for w in names.split(".")):
-            return False
+        # Names of the page and of its content say what else it has ("has-sidebar").
+        if name in CONTENT:
+            continue
+        for w in names.split("."):
+            if w in NOT_CONTENT_NAMES or (template is None or path[: at - 1] in template) and re.split(r"[_\-]+", w)[-1] in NOT_CONTENT_NAMES:
+                return False
     return True
 
 
@@ -151,9 +169,9 @@ def _host():
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, path, block, signature, n_pages, n, chars): tokens of hosts; ``block`` is null for tags.
+    """(host, path, block, content, low, high, n_pages, n, chars): tokens of hosts; ``block`` is null for tags.
 
-    Every token is also counted for the host of all pages.
+    ``low`` and ``high`` are the halves of the signature. Every tag is also counted for the host of all pages.
     """
 
     @W.released
@@ -162,47 +180,73 @@ def tokens(pages: DataFrame) -> DataFrame:
             sums: dict[tuple, list] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 tags, blocks = parse(page)
-                mark = xxhash.xxh3_64_intdigest(page or "") | 1
+                mark = xxhash.xxh3_64_intdigest(page or "")
                 own: dict[tuple, list] = {("", None): [1, 0]} if tags or blocks else {}  # empty pages have no part in templates
                 for path in tags:
                     own.setdefault((path, None), [0, 0])[0] += 1
                 for b in blocks:
                     own.setdefault((b.path, None), [0, 0])[1] += len(b.text) - b.linked
-                    own.setdefault((b.path, xxhash.xxh3_64_intdigest(b.text) - (1 << 63)), [0, 0])[0] += 1
+                    own.setdefault((b.path, _text_id(b.text)), [0, 0])[0] += 1
                 for (path, block), (n, chars) in own.items():
                     for h in (host, ALL_HOSTS) if block is None else (host,):
-                        held = sums.setdefault((h, path, block), [0, 0, 0, 0])
-                        held[0] = held[0] + mark * n & 0xFFFFFFFF  # 32 bits here, so that Spark's sum can't overflow
-                        held[1] += 1
-                        held[2] += n
-                        held[3] += chars
+                        held = sums.setdefault((h, path, block), [0, 0, 0, 0, 0])
+                        # 32 bits of each half here, so that Spark's sums can't overflow.
+                        held[0] = held[0] + mark * n & 0xFFFFFFFF
+                        held[1] = held[1] + (mark >> 32) * n & 0xFFFFFFFF
+                        held[2] += 1
+                        held[3] += n
+                        held[4] += chars
             keys = list(sums)
+            content = {path: is_content(path) for _, path, _ in keys}
             columns = [pa.array([k[i] for k in keys], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))]
-            columns += [pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "block", "signature", "n_pages", "n", "chars"])
+            columns.append(pa.array([content[k[1]] for k in keys], pa.bool_()))
+            columns += [pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "block", "content", "low", "high", "n_pages", "n", "chars"])
 
-    rows = pages.select(_host().alias("host"), "html").mapInArrow(run, "host string, path string, block bigint, signature bigint, n_pages bigint, n bigint, chars bigint")
-    add = {c: F.sum(c).alias(c) for c in ("signature", "n_pages", "n", "chars")}
-    return rows.groupBy("host", "path", "block").agg(*add.values())
+    kinds = "host string, path string, block bigint, content boolean, low bigint, high bigint, n_pages bigint, n bigint, chars bigint"
+    rows = pages.select(_host().alias("host"), "html").mapInArrow(run, kinds)
+    add = [F.sum(c).alias(c) for c in ("low", "high", "n_pages", "n", "chars")]
+    found = rows.groupBy("host", "path", "block", "content").agg(*add)
+    return found.withColumn("low", F.col("low") % (1 << 32)).withColumn("high", F.col("high") % (1 << 32))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, main_path, template_blocks array<bigint>) of hosts with a valid template, and of all hosts."""
-    # Tokens of a single page are in no class; most text blocks go here, before anything is grouped by host.
-    found = cut(tokens(pages).where("n_pages >= 2 or (path = '' and block is null)"))
-    in_class = Window.partitionBy("host", "signature", "n_pages")
-    # The root token's vector is one occurrence in each page.
+def _text_id(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def template_tokens(pages: DataFrame) -> DataFrame:
+    """(host, path, block, content, chars, in_template): tags with text or in a valid class, and template text."""
+    # Text of a single page is in no class; most of it goes here, before anything is grouped by host.
+    found = cut(tokens(pages).where("n_pages >= 2 or block is null"))
     size = found.where("path = '' and block is null").select("host", F.col("n_pages").alias("host_pages"))
-    found = found.where("n_pages >= 2").join(size.where(F.col("host_pages") >= MIN_PAGES), "host")
-    found = found.withColumn("members", F.count(F.lit(1)).over(in_class)).withColumn("root", F.max(F.col("path") == "").over(in_class))
-    content = F.udf(is_content, "boolean")
-    tags = found.where("block is null and path <> '' and n > 0 and members > 1").withColumn("share", F.col("n_pages") / F.col("host_pages"))
-    tags = tags.where((F.col("root") | (F.col("share") >= MIN_SHARE)) & content("path"))
-    named = F.when(F.col("path").rlike(r"(^|/)article(\.[^/]*)?$"), 2).when(F.col("path").rlike(r"(^|/)main(\.[^/]*)?$|role0?main"), 1).otherwise(0)
-    main = tags.groupBy("host").agg(F.max_by("path", F.struct(named, "chars", F.length("path"))).alias("main_path"))
-    often = (F.col("n_pages") >= MIN_PAGES) & (F.col("n_pages") >= MIN_SHARE * F.col("host_pages"))
-    blocks = found.where(F.col("block").isNotNull() & often).groupBy("host").agg(F.collect_set("block").alias("template_blocks"))
-    return main.join(blocks, "host", "left")
+    found = found.join(size.where(F.col("host_pages") >= MIN_PAGES), "host")
+    often = (F.col("n_pages") >= MIN_SHARE * F.col("host_pages")) & (F.col("n_pages") >= F.when(F.col("block").isNull(), 2).otherwise(MIN_PAGES))
+    in_class = Window.partitionBy("host", "low", "high", "n_pages", F.col("n") > 0)
+    found = found.withColumn("members", F.count(F.lit(1)).over(in_class))
+    valid = often & (F.col("n") > 0) & ((F.col("members") > 1) | F.col("block").isNotNull())
+    return found.select("host", "path", "block", "content", "chars", valid.alias("in_template")).where("in_template or chars > 0")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, main_path, tags array<string>, texts array<bigint>) of hosts with a template, and of all hosts."""
+    found = cut(template_tokens(pages))
+    tags = found.where("block is null and in_template and content and path <> ''").select("host", "path")
+    # Text at a path is in the slots of all tags that the path is nested in.
+    steps = F.split("path", "/")
+    nested = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))
+    held = found.where("block is null and content and chars > 0")
+    slots = held.select("host", F.explode(nested).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("chars")).join(tags, ["host", "path"])
+    whole = held.groupBy("host").agg(F.sum("chars").alias("all_chars"))
+    share = F.col("chars") / F.col("all_chars")
+    named = F.when(share < NAMED_SHARE, 0).when(F.col("path").rlike(r"(^|/)article(\.[^/]*)?$"), 2).when(F.col("path").rlike(r"(^|/)main(\.[^/]*)?$|role0?main"), 1).otherwise(0)
+    most = share >= MAIN_SHARE
+    # The innermost of those with most of the text, else that with the most text.
+    rank = F.struct(named, most, F.when(most, F.size(F.split("path", "/"))).otherwise(0), "chars", "path")
+    main = slots.join(whole, "host").groupBy("host").agg(F.max_by("path", rank).alias("main_path"))
+    rest = found.where("in_template").groupBy("host").agg(
+        F.collect_set(F.when(F.col("block").isNull(), F.col("path"))).alias("tags"), F.collect_set("block").alias("texts")
+    )
+    return main.join(rest, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -210,37 +254,41 @@ def extract(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     spark = pages.sparkSession
     found = cut(templates(pages))
-    default = found.where(F.col("host") == ALL_HOSTS).select("main_path").first()
-    held = spark.sparkContext.broadcast(default["main_path"] if default else "")
-    size = found.agg(F.sum(F.length("host") + F.length("main_path") + 8 * F.size(F.coalesce("template_blocks", F.array())))).first()[0] or 0
+    default = found.where(F.col("host") == ALL_HOSTS).first()
+    held = spark.sparkContext.broadcast((default["main_path"], frozenset(default["tags"])) if default else ("", frozenset()))
+    weight = F.length("host") + F.length("main_path") + F.length(F.array_join("tags", "")) + 8 * F.size("texts")
+    size = found.agg(F.sum(weight)).first()[0] or 0
     met = pages.withColumn("host", _host()).join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
 
     @W.released
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            out = []
-            rows = zip(batch.column("html").to_pylist(), batch.column("main_path").to_pylist(), batch.column("template_blocks").to_pylist())
-            for page, main, common in rows:
-                out.append(main_text(page, main or held.value, frozenset(common or ())))
+            out, main, tags = [], *held.value
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "main_path", "tags", "texts")))
+            for page, own_main, own_tags, texts in rows:
+                # Hosts without a template of their own have the tags of all pages.
+                out.append(main_text(page, own_main or main, frozenset(own_tags or ()) if own_main else tags, frozenset(texts or ())))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return met.select("page_id", "url", "html", "main_path", "template_blocks").mapInArrow(run, f"page_id {kind}, url string, text string")
+    return met.select("page_id", "url", "html", "main_path", "tags", "texts").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
-def main_text(page: str | None, main: str, common: frozenset = frozenset()) -> str:
-    """Text of the main slot; of the article, the main element or the body where the page has no such slot."""
+def main_text(page: str | None, main: str, tags: frozenset = frozenset(), texts: frozenset = frozenset()) -> str:
+    """Text of the main tag's slots; of the article, the main element or the body where the page has no such tag."""
     _, blocks = parse(page)
     slot: list[Block] = []
     # Blocks of all containers are read only if no others are there.
-    for held in ([b for b in blocks if is_content(b.path)], blocks):
+    for held in ([b for b in blocks if is_content(b.path, tags)], blocks):
         slot = slot or [b for b in held if main and (b.path == main or b.path.startswith(main + "/"))]
         for name in ("article", "main", "body"):
             slot = slot or [b for b in held if re.search(rf"(^|/){name}(\.[^/]*)?(/|$)", b.path)]
         slot = slot or [b for b in held if b.linked < len(b.text)]
-    # Copies of one page have nothing but common text.
-    slot = [b for b in slot if xxhash.xxh3_64_intdigest(b.text) - (1 << 63) not in common] or slot
-    return " ".join(b.text for b in slot)
+    own = [b for b in slot if _text_id(b.text) not in texts]
+    # Copies of one page have little but text that stands in others.
+    if sum(len(b.text) for b in own) < OWN_SHARE * sum(len(b.text) for b in slot):
+        own = slot
+    return " ".join(b.text for b in own)
 
 
 def page_report(pages: DataFrame) -> DataFrame:

@@ -24,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .components import connected_components
+from .components import connected_components, with_least
 from .lineage import cut
 
 SHINGLE = 3
 BUDGET = 3
 SEED = 42
 #: Pairs of nodes walked together.
-_FRONTIER = 1 << 20
+_FRONTIER = 1 << 18
 
 
 def _fingerprints(column: pa.Array, shingle: int) -> np.ndarray:
@@ -81,8 +81,56 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _close_pairs(u: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Yield index pairs of leaves within ``budget`` bits; ``u``: sorted distinct, by trie node of depth 16."""
+class Linked:
+    """Which leaves are connected so far: a label for each, and where it changes from leaf to leaf."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+        self.kept: list[np.ndarray] = []
+        self._count()
+
+    def _count(self) -> None:
+        self.changes = np.concatenate(([0], np.cumsum(self.label[1:] != self.label[:-1]))) if len(self.label) else self.label
+
+    def one(self, a, a1, b, b1) -> np.ndarray:
+        """Whether all leaves of both ranges are connected."""
+        c = self.changes
+        return (self.label[a] == self.label[b]) & (c[a1 - 1] == c[a]) & (c[b1 - 1] == c[b])
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Connect pairs; those that connect something new are kept."""
+        p, q = np.minimum(self.label[x], self.label[y]), np.maximum(self.label[x], self.label[y])
+        new = np.flatnonzero(p != q)
+        if not len(new):
+            return
+        _, first = np.unique(np.stack((p[new], q[new])), axis=1, return_index=True)
+        new = new[first]
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (j := parent.get(i, i)) != i:
+                parent[i] = parent.get(j, j)
+                i = j
+            return i
+
+        for k, i, j in zip(new.tolist(), p[new].tolist(), q[new].tolist()):
+            i, j = root(i), root(j)
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                self.kept.append(np.array([x[k], y[k]]))
+        moved = np.arange(len(self.label))
+        for i in parent:
+            moved[i] = root(i)
+        self.label = moved[self.label]
+        self._count()
+
+
+def _close_pairs(u: np.ndarray, budget: int, linked: Linked | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield index pairs of leaves within ``budget`` bits; ``u``: sorted distinct, by trie node of depth 16.
+
+    Pairs of nodes are also dropped once all their leaves are ``linked``, so that a run of near copies is
+    walked until it is connected and not until all its pairs are seen.
+    """
     top = u >> np.uint64(48)
     edges = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1], [True])))
     low, high = edges[:-1], edges[1:]
@@ -98,6 +146,11 @@ def _close_pairs(u: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.nd
             a, a1, b, b1, diff = a[:half], a1[:half], b[:half], b1[:half], diff[:half]
             stack.append((depth, a, a1, b, b1, diff))
             continue
+        if linked is not None:
+            open_ = ~linked.one(a, a1, b, b1)
+            a, a1, b, b1, diff = a[open_], a1[open_], b[open_], b1[open_], diff[open_]
+            if not len(a):
+                continue
         same = a == b
         # Pairs of leaves are compared at once; nothing is left to prune below them.
         leaf = ~same & (a1 - a == 1) & (b1 - b == 1)
@@ -131,22 +184,10 @@ def _close_pairs(u: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def _forest(u: np.ndarray, budget: int) -> np.ndarray:
     """Spanning forest of the links among the leaves ``u``, as rows of two indexes."""
-    parent = list(range(len(u)))
-    kept = []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for x, y in _close_pairs(u, budget):
-        for i, j in zip(x.tolist(), y.tolist()):
-            p, q = root(i), root(j)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                kept.append((i, j))
-    return np.array(kept, np.int64).reshape(-1, 2)
+    linked = Linked(len(u))
+    for x, y in _close_pairs(u, budget, linked):
+        linked.add(x, y)
+    return np.array(linked.kept, np.int64).reshape(-1, 2)
 
 
 def close_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -198,8 +239,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
     nodes = of_docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected_components(close_links(nodes.select("fp"), budget))
     grouped = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    return of_docs.join(grouped.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    grouped = with_least(grouped, "label", "least", "component_id").select("fp", "component_id")
+    return of_docs.join(grouped, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_report(found: DataFrame) -> DataFrame:

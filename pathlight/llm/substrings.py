@@ -10,7 +10,7 @@ window of which an equal one starts earlier marks its words; marked words are re
 Windows of one task are compared among themselves first: only the earliest of each content goes into
 the shuffle, so a passage that a third of all documents share arrives once per block of texts.
 
-Cases: null and empty texts have no words; texts shorter than a window lose nothing; rows with a null
+Cases: doc_id may be of any integer type, others raise a TypeError; null and empty texts have no words; texts shorter than a window lose nothing; rows with a null
 doc_id are kept whole and take away nothing; rows that repeat a doc_id are read as the same document
 (equal positions of them are not earlier than each other); extra columns are kept by
 ``drop_repeated_words`` and ignored elsewhere; an empty table gives an empty result.
@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from . import words as W
 
@@ -148,8 +149,12 @@ def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFram
                 if not len(at):
                     continue
                 key, own = level[minimizer[at]], W.window_hashes(W._mix(h ^ _SECOND), window)[at] | np.uint64(1)
-                _, leader = _first_of_each(W.join_hashes(key, own))
                 word, doc = at - first[text_of[at]], ids[row + text_of[at]]
+                # The leader of a content is its earliest window by (doc_id, word): one row of it is sent, wherever it stands.
+                order = np.lexsort((word, doc))
+                _, early = _first_of_each(W.join_hashes(key, own)[order])
+                leader = np.empty(len(at), np.int64)
+                leader[order] = order[early]
                 later = (key == key[leader]) & (own == own[leader]) & ((doc > doc[leader]) | (doc == doc[leader]) & (word > word[leader]))
                 own[later] = 0
                 # Rows of windows to compare with other blocks: one for each minimizer.
@@ -209,7 +214,9 @@ _COMPARED = 200_000
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Return (doc_id, starts array<int>): word positions of windows that an equal window precedes."""
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer: the earlier of two documents is that of the smaller one")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null")
     rows = _window_rows(docs.repartition("doc_id"), _repeated_anchors(docs, window), window)
 
     @W.released

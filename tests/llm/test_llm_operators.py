@@ -339,3 +339,41 @@ def test_page_templates_and_names(spark):
     assert [got[i] for i in range(8)] == ["text 0", "text 1", "text 2", "text 3", "text 4", "", "", "no such page"]
     assert [got[10 + i] for i in range(4)] == [f"words {i} found {i}" for i in range(4)]
     assert {got[20 + i] for i in range(4)} == {"same"} and got[30] == "in a widget"
+
+
+def test_page_templates_against_brute_force(spark):
+    """Occurrence vectors of tokens, collected and compared one by one, give the same template tokens."""
+    rng = random.Random(4)
+    side = "<div class='box'><p>fixed side text</p></div>"
+    rows = []
+    for i in range(9):
+        body = "".join(f"<section><p>{rng.choice('abc')} text {i} {k}</p></section>" for k in range(rng.randrange(1, 5)))
+        rows.append((i, "http://h.example/x", f"<html><body>{side}<article><div class='lead'><p>{'word ' * 30}{i}</p></div>{body}{'<aside><p>seldom</p></aside>' * (i == 2)}</article></body></html>"))
+    rows += [(20, "http://h.example/e", None)]
+    vectors = collections.defaultdict(lambda: [0] * len(rows))
+    for k, r in enumerate(rows):
+        tags, blocks = pages.parse(r[2])
+        for t in tags + [""] * bool(tags):
+            vectors[t, None][k] += 1
+        for b in blocks:
+            vectors[b.path, pages._text_id(b.text)][k] += 1
+    sizes = collections.Counter(tuple(v) for v in vectors.values())
+    want = {t for t, v in vectors.items() if 2 * sum(x > 0 for x in v) >= 9 and (t[1] is not None or sizes[tuple(v)] > 1)}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {(r["path"], r["block"]) for r in pages.template_tokens(df).where("in_template and host = 'h.example'").collect()}
+    assert got == want and ("html/body/div.box", pages._text_id("fixed side text")) in got and len(got) > 5
+    text = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
+    for i, _, html in rows[:9]:
+        inner = re.sub("<aside>.*</aside>", "", html[html.index("<article>") : html.index("</article>")])
+        assert text[i] == " ".join(" ".join(re.sub("<[^>]*>", " ", inner).split()).split())
+
+
+def test_page_odd_cases(spark):
+    article = lambda inner: page(f"<article><p>start</p>{inner}<p>end</p></article>")
+    rows = [(i, f"http://h.example/{i}", article(f"<p>own {i}</p>")) for i in range(6)]
+    rows += [(6, "http://h.example/6", article("<div class='related-work'><p>Prior studies.</p></div><section class='hidden-costs'><p>Costs.</p></section><p>foo<img src=x>bar</p>"))]
+    rows += [(7, "http://h.example/7", article("<p>" + "long text " * 40_000 + "</p>"))]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id bigint, url string, html string, host string, block int")
+    got = {r["page_id"]: r["text"] for r in pages.page_report(df).collect()}
+    # What stands on most pages of a host is template text, wherever it stands.
+    assert got[3] == "own 3" and got[6] == "Prior studies. Costs. foobar" and len(got[7]) == 400_000 - 1
