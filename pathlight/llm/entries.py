@@ -84,16 +84,16 @@ FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
 OP3_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('d' || doc_id, 'r' || row_number() OVER ()) AS doc, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, list_filter(string_split_regex(t, '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D\x20]')) AS ls FROM d),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
 a AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 3)) AS p FROM a) GROUP BY rid),
 l AS (SELECT rid, x, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\x09-\x0D\x20]+', ' ', 'g')) AS norm FROM (SELECT rid, unnest(ls) AS x FROM w)),
-h AS (SELECT host, count(*) AS n FROM d GROUP BY host),
-f AS (SELECT host, norm FROM (SELECT d.host, l.norm, count(DISTINCT l.rid) AS n FROM l JOIN d ON l.rid = d.rid GROUP BY 1, 2) c JOIN h USING (host)
-      WHERE c.n > 50 AND c.n > 0.02 * h.n),
+h AS (SELECT host, count(DISTINCT doc) AS n FROM d GROUP BY host),
+f AS (SELECT host, norm FROM (SELECT d.host, l.norm, count(DISTINCT d.doc) AS n FROM l JOIN d ON l.rid = d.rid GROUP BY 1, 2) c JOIN h USING (host)
+      WHERE c.n >= 10000 OR c.n > 3 AND c.n > 0.02 * h.n),
 q AS (SELECT l.rid, sum(length(l.x)) AS chars, coalesce(sum(length(l.x)) FILTER (WHERE f.norm IS NOT NULL), 0) AS gone, count(f.norm) AS n
       FROM l JOIN d ON l.rid = d.rid LEFT JOIN f ON f.host = d.host AND f.norm = l.norm GROUP BY l.rid),
 b AS (SELECT d.rid, d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words,

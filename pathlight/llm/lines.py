@@ -1,23 +1,25 @@
 """Quality rules by cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, digits as 0, runs of white space as one space, trimmed) and hashed;
-for each host (the document's source) and line the documents with the line are counted. A line is above
-the limit if more than ``max_docs`` documents of the host have it and they are more than ``max_share``
-of the host's documents. Lines above the limit are removed; a document is rejected if less than
-``min_left`` of its line characters are left. Counting is a partial aggregation before its shuffle, and
-a document sends each of its lines once; a line that all documents share is one row for each task.
+for each host (the document's source) and line the distinct documents with the line are counted. A line is
+above the limit if more than ``max_docs`` documents of the host and more than ``max_share`` of them have it,
+or ``any_docs`` documents, which is boilerplate on a host of any size. Lines above the limit are removed; a
+document is rejected if less than ``min_left`` of its line characters are left. A line that very many
+documents share is counted by document first, so that no task counts it alone.
 
 Cases: null and empty texts have no words and lines and fail the base rule; a null source is a host of
-its own; null or repeated doc_ids are counted by row, and every row gets its own verdict; texts of any
-length are taken whole; empty tables give empty results; extra columns are ignored.
+its own; rows that repeat a doc_id are one document to the counts, a row without one is a document of its
+own, and every row gets its own verdict; texts of any length are taken whole; empty tables give empty
+results; extra columns are ignored by ``judge`` and kept by ``remove_frequent_lines``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-MAX_DOCS = 50
+MAX_DOCS = 3
 MAX_SHARE = 0.02
+ANY_DOCS = 10_000
 MIN_LEFT = 0.3
 MIN_WORDS = 50
 _SPACE = r"[\x09-\x0D\x20]+"
@@ -71,28 +73,37 @@ def _hashed_lines(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(normalised(x)).alias("h"), F.length(x).cast("bigint").alias("chars")))
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, any_docs: int = ANY_DOCS) -> DataFrame:
     """Return (host, h, n_docs): hashes of lines above the limit, with the documents that have them."""
-    docs = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), "text")
+    doc = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id")).alias("doc")
+    docs = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), doc, "text")
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.translate(x, _SPACES, "") != "")
-    rows = docs.select("host", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(normalised(x))))).alias("h"))
-    counts = rows.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > max_docs)
-    sizes = docs.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    return counts.join(sizes, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs")
+    rows = docs.select("host", "doc", F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(normalised(x))))).alias("h"))
+    counts = rows.groupBy("host", "h").agg(F.count_distinct("doc").alias("n_docs")).where(F.col("n_docs") > min(max_docs, any_docs - 1))
+    sizes = docs.groupBy("host").agg(F.count_distinct("doc").alias("host_docs"))
+    n = F.col("n_docs")
+    above = (n >= any_docs) | (n > max_docs) & (n > max_share * F.col("host_docs"))
+    return counts.join(sizes, "host").where(above).select("host", "h", "n_docs")
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, any_docs: int = ANY_DOCS) -> DataFrame:
     """Return (doc_id, base columns, n_lines_removed, kept) of every row."""
-    common = frequent_lines(docs, host, max_docs, max_share).select("host", "h", F.lit(True).alias("common"))
-    own = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text", F.monotonically_increasing_id().alias("row"))
+    common = frequent_lines(docs, host, max_docs, max_share, any_docs)
+    return _verdicts(docs, common, host, min_left).drop("_key")
+
+
+def _verdicts(docs: DataFrame, common: DataFrame, host: str, min_left: float) -> DataFrame:
+    """``judge``'s rows with ``_key``, the hash of id, host and text."""
+    common = common.select("host", "h", F.lit(True).alias("common"))
+    own = docs.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), "text", F.monotonically_increasing_id().alias("row"), F.xxhash64("doc_id", F.coalesce(F.col(host), F.lit("")), "text").alias("_key"))
     measured = base_measures(own)
-    base = F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    nothing = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).cast("bigint").alias("chars")))
-    # The first row of a document carries its measures, the others one line each.
+    base = F.struct("_key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    nothing = F.array(F.struct(F.xxhash64("row").alias("h"), F.lit(0).cast("bigint").alias("chars")))
+    # The first row of a document carries its measures (its h only spreads such rows), the others one line each.
     rows = measured.select("row", "host", base.alias("base"), F.posexplode(F.concat(nothing, _hashed_lines(F.col("_lines")))).alias("k", "line"))
     rows = rows.select("row", "host", F.when(F.col("k") == 0, F.col("base")).alias("base"), F.col("line.h").alias("h"), F.col("line.chars").alias("chars"))
     met = rows.join(common, ["host", "h"], "left")
-    gone = F.coalesce("common", F.lit(False))
+    gone = F.coalesce("common", F.lit(False)) & F.col("base").isNull()
     whole = met.groupBy("row").agg(
         F.first("base", ignorenulls=True).alias("base"),
         F.sum("chars").alias("chars"),
@@ -103,16 +114,16 @@ def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_s
     return whole.select("base.*", "n_lines_removed", (~F.col("base.base_failed") & left).alias("kept"))
 
 
-def remove_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def remove_frequent_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, any_docs: int = ANY_DOCS) -> DataFrame:
     """The documents that pass, with all their columns, without the lines above the limit.
 
-    The lines of a document are matched by doc_id, which must be unique here; rows with a null one go.
+    Rows are matched to their lines by a hash of their id, host and text: rows alike in these fare alike.
     """
-    common = frequent_lines(docs, host, max_docs, max_share)
-    held = docs.where("doc_id is not null")
-    lines = held.select("doc_id", F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(_hashed_lines(F.split("text", "\n", -1))).alias("line")).select("doc_id", "host", "line.h")
-    gone = lines.join(common, ["host", "h"]).groupBy("doc_id").agg(F.collect_set("h").alias("_gone"))
-    passed = judge(docs, host, max_docs, max_share, min_left).where("kept").select("doc_id").distinct()
-    joined = held.join(passed, "doc_id", "left_semi").join(gone, "doc_id", "left")
+    common = frequent_lines(docs, host, max_docs, max_share, any_docs)
+    key = F.xxhash64("doc_id", F.coalesce(F.col(host), F.lit("")), "text").alias("_key")
+    each = docs.select(key, F.coalesce(F.col(host), F.lit("")).alias("host"), F.explode(_hashed_lines(F.split("text", "\n", -1))).alias("line"))
+    gone = each.select("_key", "host", "line.h").join(common, ["host", "h"]).groupBy("_key").agg(F.collect_set("h").alias("_gone"))
+    passed = _verdicts(docs, common, host, min_left).where("kept").select("_key").distinct()
+    joined = docs.select("*", key).join(passed, "_key", "left_semi").join(gone, "_key", "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_gone", F.xxhash64(normalised(x)))), "\n")
     return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)

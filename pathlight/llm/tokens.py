@@ -1,13 +1,16 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact hash table from frequent pre-tokens to their numbers of tokens, broadcast to the
-tasks: the pre-tokens that the vocabulary holds whole, and the most frequent ones of a bounded sample of
-texts. Tier two encodes the pre-tokens that miss it and keeps their lengths in a bounded cache of the
-worker. Pre-tokens are never shuffled, and neither table changes a count.
-
-The pre-tokenizer is applied as a regular expression where that is known to agree with the library:
-texts without special strings whose characters stand before U+0250 or are general punctuation. Any
-other text is encoded by the library as a whole.
+Tier one is a table from frequent pre-tokens to their numbers of tokens: the pre-tokens that the vocabulary
+holds whole, and the most frequent ones of a bounded sample of texts (chosen by a hash of the text). It is
+broadcast compactly, as compressed names and one byte for each length, and becomes a hash table once in a
+worker. Tier two encodes the pre-tokens that miss it and keeps their lengths in a bounded cache, which
+belongs to the worker and the model and outlives a task. Pre-tokens are never shuffled, and neither table
+changes a count.
+
+Texts whose characters stand before U+0250 or are general punctuation are cut into pre-tokens by the
+tokenizer's own pattern as a regular expression, where that is known to agree with the library; other
+scripts by the library's pre-tokenizer. Only a text that holds one of the special strings is encoded by
+the library as a whole.
 
 Cases: null and empty texts have no tokens; texts of any length are taken whole; rows may repeat and ids
 may be null; an empty table gives an empty result; extra columns are ignored.
@@ -16,23 +19,25 @@ may be null; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import pickle
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from . import words as W
 
 LIMIT = 2048
-#: Bounds: rows of the sample, entries of the broadcast table and of a worker's cache.
+#: Bounds: rows of the sample and characters of one, entries of the broadcast table and of a worker's cache.
 SAMPLE_ROWS = 2_000
+SAMPLE_CHARS = 32_768
 TABLE_ENTRIES = 131_072
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 
 _KNOWN = regex.compile(r"[\x00-\x1B\x20-ɏ‐-‧‰-⁞€]*")
 _PLAIN = regex.compile(r"[\x00-\x1B\x20-\x7FÀ-ÖØ-öø-ÿ]*")
@@ -55,9 +60,12 @@ class TokenCounter:
         self.whole = [w[: -len(self.suffix)] for w in spec["model"]["vocab"] if self.suffix and w.endswith(self.suffix)]
 
     def pretokens(self, text: str) -> list[str] | None:
-        """The pre-tokens, or None where only the library is sure of them."""
-        if any(s in text for s in self.special) or not _KNOWN.fullmatch(text):
+        """The pre-tokens, or None for a text with a special string, which the library cuts in its own way."""
+        if any(s in text for s in self.special):
             return None
+        if not _KNOWN.fullmatch(text):
+            text = self.tokenizer.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         # Letters of this range have one lower-case character each, whatever stands beside them.
         text = text.lower() if _PLAIN.fullmatch(text) else self.tokenizer.normalizer.normalize_str(text)
         return self.pattern.findall(text)
@@ -70,16 +78,17 @@ class TokenCounter:
 
 
 class LengthTable:
-    """Open table from 64-bit hashes of pre-tokens to their lengths: two sorted arrays."""
+    """Pre-tokens and their lengths, packed for the broadcast; lengths over 255 are left out."""
 
     def __init__(self, pretokens: list[str], lengths: list[int]) -> None:
-        h = np.array([xxhash.xxh3_64_intdigest(p) for p in pretokens], np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hashes, self.lengths = h[order], np.array(lengths, np.uint8)[order]
-        self.names = [pretokens[i] for i in order.tolist()]
+        held = [(p, n) for p, n in zip(pretokens, lengths) if n <= 255]
+        names = [p.encode() for p, _ in held]
+        self.sizes = np.array([len(p) for p in names], np.uint16).tobytes()
+        self.lengths = bytes(n for _, n in held)
+        self.names = zstandard.ZstdCompressor(level=9).compress(b"".join(names))
 
-    def as_dict(self) -> dict[str, int]:
-        return dict(zip(self.names, self.lengths.tolist()))
+    def pack(self) -> bytes:
+        return pickle.dumps((self.names, self.sizes, self.lengths))
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +96,20 @@ def _counter(model: str) -> TokenCounter:
     return TokenCounter(model)
 
 
-_dicts: dict[str, tuple[dict, dict]] = {}
+# These live in the module, which a worker imports once, and not in the function that a task unpickles.
+@lru_cache(maxsize=2)
+def _frequent(packed: bytes) -> dict[str, int]:
+    """The hash table of a packed table."""
+    names, sizes, lengths = pickle.loads(packed)
+    data = zstandard.ZstdDecompressor().decompress(names)
+    ends = np.cumsum(np.frombuffer(sizes, np.uint16), dtype=np.int64).tolist()
+    return {data[a:b].decode(): n for a, b, n in zip([0, *ends], ends, lengths)}
+
+
+@lru_cache(maxsize=2)
+def _cache(model: str) -> dict[str, int]:
+    """The worker's cache of a model's pre-token lengths."""
+    return {}
 
 
 def frequent_table(docs: DataFrame, model: str) -> LengthTable:
@@ -96,7 +118,8 @@ def frequent_table(docs: DataFrame, model: str) -> LengthTable:
     seen: Counter = Counter()
     size = docs.count()
     modulus = max(1, size // SAMPLE_ROWS)
-    rows = docs.select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(modulus)) == 0)).limit(SAMPLE_ROWS)
+    some = F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("text"), F.lit(modulus)) == 0)
+    rows = docs.select("text").where(some).orderBy(F.xxhash64("text")).limit(SAMPLE_ROWS)
     for row in rows.toLocalIterator():
         seen.update(counter.pretokens(row["text"]) or ())
     names = dict.fromkeys(p for p, _ in seen.most_common(TABLE_ENTRIES))
@@ -105,22 +128,19 @@ def frequent_table(docs: DataFrame, model: str) -> LengthTable:
             break
         if p.isascii() and counter.pretokens(p) == [p]:
             names.setdefault(p)
-    return LengthTable(list(names), [min(n, 255) for n in counter.lengths(list(names))])
+    return LengthTable(list(names), counter.lengths(list(names)))
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     """Return (doc_id, n_bytes, n_tokens) of every document, as the library for the model file counts."""
     with open(model_path) as f:
         model = f.read()
-    table = frequent_table(docs, model)
-    long = [n for n, k in zip(table.names, table.lengths.tolist()) if k == 255]
-    held = docs.sparkSession.sparkContext.broadcast((model, table.as_dict() if not long else {n: k for n, k in table.as_dict().items() if k < 255}))
+    held = docs.sparkSession.sparkContext.broadcast((model, frequent_table(docs, model).pack()))
 
     @W.released
     def run(batches):
-        model, frequent = held.value
-        counter = _counter(model)
-        cache: dict[str, int] = _dicts.setdefault("cache", ({}, {}))[0]
+        model, packed = held.value
+        counter, frequent, cache = _counter(model), _frequent(packed), _cache(model)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             totals = np.zeros(len(texts), np.int64)

@@ -114,6 +114,19 @@ def test_trie_join_finds_all_close_pairs():
     assert got == want and len(want) > 100
 
 
+def test_a_run_of_near_copies_is_linked_without_all_pairs():
+    rng = np.random.default_rng(6)
+    base = np.uint64(rng.integers(1 << 62))
+    u = np.unique(np.array([base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a in range(48) for b in range(a)]))
+    assert len(simhash._forest(u, 3)) == len(u) - 1
+    linked, walked = simhash.Linked(len(u)), 0
+    for x, y in simhash._close_pairs(u, 3, linked):
+        linked.add(x, y)
+        walked += len(x)
+    every = sum(len(x) for x, _ in simhash._close_pairs(u, 3))
+    assert walked <= every and len(set(linked.label.tolist())) == 1
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (5, 5), (None, 3)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
@@ -193,6 +206,9 @@ def test_token_counts(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
+    counter = tokens._counter(open(path).read())
+    other = ["日本語 テキスト 😀", "Ωμέγα ΣΟΦΟΣ οδός", "İstanbul ẞ ﬁn", "a\u0301b e\u0323\u0301 x", "नमस्ते दुनिया 123", "مرحبا بالعالم"]
+    assert [sum(counter.lengths(counter.pretokens(t))) for t in other] == [len(library.encode(t, add_special_tokens=False).ids) for t in other]
     got = tokens.token_report(docs, path, limit=100)
     assert collections.Counter(tuple(r)[:3] for r in got.collect()) == want
     assert got.where("over_limit <> (n_tokens > 100)").isEmpty() and tokens.token_report(empty(spark), path).isEmpty()
@@ -240,6 +256,13 @@ def test_quality_rules(spark, docs):
     verdict = {r["doc_id"]: (r["n_lines_removed"], r["kept"]) for r in lines.judge(boiler, max_docs=3, max_share=0.0).collect()}
     assert verdict[0] == (1, False) and verdict[1] == (1, True)
     assert "common" not in lines.remove_frequent_lines(boiler, max_docs=3, max_share=0.0).where("doc_id = 1").first()["text"]
+    no_ids = lines.remove_frequent_lines(boiler.withColumn("doc_id", F.lit(None).cast("bigint")), max_docs=3, max_share=0.0)
+    assert no_ids.count() == 7 and no_ids.where(F.contains("text", F.lit("common"))).isEmpty()
+    # Defaults: a line in more than three documents and two percent of them; rows of one document count once.
+    assert {r["doc_id"]: r["n_lines_removed"] for r in lines.judge(boiler.unionByName(boiler)).collect()} == dict.fromkeys(range(8), 1)
+    one = boiler.withColumn("doc_id", F.lit(1)).unionByName(boiler.where("doc_id < 2").withColumn("doc_id", F.col("doc_id") + 7))
+    assert lines.judge(one).where("n_lines_removed > 0").isEmpty()
+    assert lines.judge(boiler, max_docs=100, any_docs=4).where("n_lines_removed = 0").isEmpty()
 
 
 def test_toxicity(spark):
