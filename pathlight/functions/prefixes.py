@@ -56,14 +56,17 @@ def reserved_asn(asn: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def with_ancestors(prefixes: DataFrame, lengths: Column | None = None) -> DataFrame:
+def with_ancestors(prefixes: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Rows (prefix, version, len, key) for every covering prefix of the distinct ``prefix`` values, itself included.
 
-    ``lengths``: array<int> of lengths worth probing (those present in the reference).
+    ``lengths``: one row (lengths array<struct<version: int, len: int>>) of those worth probing; all without it.
     """
     held = prefixes.select("prefix").distinct().where(is_valid(F.col("prefix")))
     held = held.select("prefix", version(F.col("prefix")).alias("version"), length(F.col("prefix")).alias("own"), bits(F.col("prefix")).alias("all_bits"))
-    probes = F.sequence(F.lit(0), F.col("own")) if lengths is None else F.filter(lengths, lambda x: x <= F.col("own"))
+    probes = F.sequence(F.lit(0), F.col("own"))
+    if lengths is not None:
+        held = held.join(F.broadcast(lengths))  # one row, of 162 entries at most
+        probes = F.transform(F.filter("lengths", lambda x: (x["version"] == F.col("version")) & (x["len"] <= F.col("own"))), lambda x: x["len"])
     held = held.select("prefix", "version", "own", "all_bits", F.explode(probes).alias("len"))
     return held.select("prefix", "version", "own", "len", F.substring(F.col("all_bits"), F.lit(1), F.col("len")).alias("key"))
 
@@ -76,7 +79,8 @@ def containment_join(prefixes: DataFrame, reference: DataFrame) -> DataFrame:
     """
     ref = reference.where(is_valid(F.col("prefix"))).withColumnRenamed("prefix", "covering")
     ref = ref.withColumn("version", version(F.col("covering"))).withColumn("len", length(F.col("covering"))).withColumn("key", key(F.col("covering")))
-    return with_ancestors(prefixes).join(ref, ["version", "len", "key"]).drop("key")
+    lengths = ref.agg(F.collect_set(F.struct("version", "len")).alias("lengths"))
+    return with_ancestors(prefixes, lengths).join(ref, ["version", "len", "key"]).drop("key")
 
 
 def bogon_table(spark: SparkSession) -> DataFrame:

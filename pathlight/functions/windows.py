@@ -33,9 +33,9 @@ def auto_bucket_hours(days: float) -> int:
 def fill_gaps(series: DataFrame, ts: str, step: str, keys: list[str], values: list[str]) -> DataFrame:
     """Every step between the first and last of the whole series for every key, zero where nothing was."""
     span = series.agg(F.min(ts).alias("a"), F.max(ts).alias("b"))
-    steps = span.select(F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(ts))
-    # One row of bounds and the distinct keys: not a product of data with data.
-    dense = steps.join(F.broadcast(series.select(*keys).distinct())) if keys else steps
+    # The one row of bounds is broadcast; each key lists its own steps.
+    bounded = series.select(*keys).distinct().join(F.broadcast(span)) if keys else span
+    dense = bounded.select(*keys, F.explode(F.expr(f"sequence(a, b, interval {step})")).alias(ts))
     return dense.join(series, [ts, *keys], "left").fillna(0, values)
 
 

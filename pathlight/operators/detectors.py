@@ -40,10 +40,12 @@ def _announced(elements: DataFrame) -> DataFrame:
     )
 
 
-def _event(name: str, score: Column, asns: Column, peers: Column, **evidence: Column) -> list[Column]:
+def _event(name: str, score: Column, asns: Column, peers: Column, sure: Column | None = None, **evidence: Column) -> list[Column]:
+    """Columns of a candidate; ``sure``: its confidence, where that isn't judged by peers and collectors."""
+    sure = confidence(peers, F.size("collectors")) if sure is None else sure
     return [
         F.lit(name).alias("detector"), "prefix", asns.cast("array<bigint>").alias("asns"), "first_seen", "last_seen", clamp(score).alias("score"),
-        confidence(peers, F.size("collectors")).alias("confidence"), "collectors", F.to_json(F.struct(*[c.alias(k) for k, c in evidence.items()])).alias("evidence"),
+        sure.alias("confidence"), "collectors", F.to_json(F.struct(*[c.alias(k) for k, c in evidence.items()])).alias("evidence"),
     ]
 
 
@@ -73,7 +75,7 @@ def moas(
     rows = rows.join(direct, ["incumbent", "origin_asn"], "left_anti")
     if stable is not None:
         rows = rows.join(stable, ["prefix", "origin_asn"], "left_anti")
-    rows = origin.validate_irr(origin.validate_rpki(rows.persist(), roas).persist(), routes).persist()  # few pairs, read by several joins
+    rows = origin.validate(rows, roas, routes)
     rows = rows.where("rpki_status <> 'valid' and not (rpki_status = 'not-found' and irr_status = 'consistent')")
     known = origin.known_anycast(rows, catalogue).withColumn("known", F.lit(True))
     sample = elements.where("elem_type = 'A' and origin_asn is not null").join(known, "prefix", "left_semi").groupBy("prefix", "origin_asn").agg(F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("paths"))
@@ -87,30 +89,34 @@ def moas(
 
 def subprefix(elements: DataFrame, roas: DataFrame, routes: DataFrame, min_excess: int = 1) -> DataFrame:
     """More-specific announcements beyond a covering authorisation, or beyond a covering route object of another AS."""
-    held = origin.validate_rpki(_announced(elements).persist(), roas).persist()  # one row for each pair, read by several joins
-    cover = prefixes.containment_join(held, roas).persist()
+    held = origin.validate_rpki(_announced(elements), roas)
+    cover = prefixes.containment_join(held, roas)
     exceeded = cover.where((F.col("own") > F.col("max_len")) & (F.col("own") - F.col("len") >= min_excess))
     exceeded = exceeded.groupBy("prefix").agg(F.min_by(F.struct("covering", "asn", "max_len"), F.struct("len", "asn")).alias("cover"))
     by_roa = held.where("rpki_status <> 'valid'").join(exceeded, "prefix")
-    one = by_roa.select(*_event("subprefix", 0.6 + F.least(F.lit(0.25), F.col("peers") * 0.05), F.array("cover.asn", "origin_asn"), F.col("peers"), covering=F.col("cover.covering"), max_len=F.col("cover.max_len")))
+    one = by_roa.select(*_event("subprefix", 0.6 + F.least(F.lit(0.25), F.col("peers") * 0.05), F.array("origin_asn", "cover.asn"), F.col("peers"), covering=F.col("cover.covering"), max_len=F.col("cover.max_len")))
     uncovered = held.join(cover.select("prefix").distinct(), "prefix", "left_anti")
     irr = prefixes.containment_join(uncovered, routes).where("own > len").withColumnRenamed("asn", "route_asn")
     met = uncovered.join(irr.select("prefix", "covering", "len", "route_asn"), "prefix")
     same = met.groupBy("prefix", "origin_asn").agg(F.bool_or(F.col("route_asn") == F.col("origin_asn")).alias("same"), F.min_by(F.struct("covering", F.col("route_asn").alias("asn")), F.struct("len", "route_asn")).alias("cover"))
     by_irr = uncovered.join(same.where("not same"), ["prefix", "origin_asn"])
-    two = by_irr.select(*_event("subprefix", 0.4 + F.least(F.lit(0.15), F.col("peers") * 0.03), F.array("cover.asn", "origin_asn"), F.col("peers"), covering=F.col("cover.covering"), max_len=F.lit(None).cast("int")))
+    two = by_irr.select(*_event("subprefix", 0.4 + F.least(F.lit(0.15), F.col("peers") * 0.03), F.array("origin_asn", "cover.asn"), F.col("peers"), covering=F.col("cover.covering"), max_len=F.lit(None).cast("int")))
     return one.unionByName(two)
 
 
 def rpki_invalid(elements: DataFrame, roas: DataFrame, min_peers: int = 3) -> DataFrame:
-    held = origin.validate_rpki(_announced(elements).persist(), roas).persist().where((F.col("rpki_status") == "invalid") & (F.col("peers") >= min_peers))
+    held = origin.validate_rpki(_announced(elements), roas).where((F.col("rpki_status") == "invalid") & (F.col("peers") >= min_peers))
     rows = held.join(origin.authorised_asns(held, roas), "prefix", "left")
     asns = F.concat(F.array("origin_asn"), F.slice(F.coalesce("authorised", F.array().cast("array<bigint>")), 1, 3))
     return rows.select(*_event("rpki_invalid", 0.45 + F.least(F.lit(0.2), F.col("peers") * 0.02), asns, F.col("peers"), announcements=F.col("announcements")))
 
 
 def route_leaks(elements: DataFrame, relations: DataFrame, evidence: DataFrame | None = None, min_peers: int = 2) -> DataFrame:
-    """Paths that go up or sideways after they went down, by prefix and leaking AS."""
+    """Paths that go up or sideways after they went down, by prefix and leaking AS.
+
+    The score is capped unless two sources know the link at which the path leaks (by default only the inferred
+    relations do).
+    """
     rows = elements.where("elem_type = 'A' and as_path_len >= 3")
     held = rows.groupBy("prefix", "path").agg(F.count_distinct("peer_asn").alias("peers"), F.array_sort(F.collect_set("collector")).alias("collectors"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     bad = rel.valley_free(rows, relations).where("violation is not null").select("path", "violation")
@@ -121,11 +127,13 @@ def route_leaks(elements: DataFrame, relations: DataFrame, evidence: DataFrame |
     )
     out = out.where(F.col("peers") >= min_peers)
     score = 0.4 + F.least(F.lit(0.2), F.col("peers") * 0.04)
-    if evidence is not None:
+    if evidence is None:
+        score = F.least(F.lit(0.55), score)
+    else:
         out = out.withColumn("a", F.get("first.path", F.col("first.violation"))).withColumn("b", F.get("first.path", F.col("first.violation") + 1))
         out = rel.sources(out, evidence, relations)
         score = F.when(F.size("sources") < 2, F.least(F.lit(0.55), score)).otherwise(score)
-    return out.select(*_event("valley_free", score, F.array("leaker", F.try_element_at("first.path", F.lit(-1))), F.col("peers"), path=paths.path_text(F.col("first.path")), n_paths=F.col("n_paths")))
+    return out.select(*_event("valley_free", score, F.array("leaker"), F.col("peers"), path=paths.path_text(F.col("first.path")), n_paths=F.col("n_paths")))
 
 
 def robust_z(series: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -164,7 +172,8 @@ def visibility_drops(rib: DataFrame, active: DataFrame, drop: float = 0.4, min_c
     alert = rows.join(base, "prefix").where((F.col("ratio") < F.col("baseline") * (1 - drop)) & (F.size("collectors") >= min_collectors))
     alert = alert.withColumn("first_seen", F.col("snapshot_ts")).withColumn("last_seen", F.col("snapshot_ts") + F.expr("interval 8 hours"))
     lost = 1 - F.col("ratio") / F.col("baseline")
-    return alert.select(*_event("visibility_drop", F.least(F.lit(0.7), 0.3 + 0.5 * lost), F.array_compact(F.array("origin_asn")), F.col("peers"), ratio=F.round("ratio", 4), baseline=F.round("baseline", 4)))
+    sure = F.when(F.size("collectors") >= min_collectors, "medium").otherwise("low")
+    return alert.select(*_event("visibility_drop", F.least(F.lit(0.7), 0.3 + 0.5 * lost), F.array_compact(F.array("origin_asn")), F.col("peers"), sure, ratio=F.round("ratio", 4), baseline=F.round("baseline", 4)))
 
 
 def unroutable(elements: DataFrame) -> DataFrame:
@@ -172,8 +181,15 @@ def unroutable(elements: DataFrame) -> DataFrame:
     return held.select(*_event("bogon", F.lit(0.5), F.array("origin_asn"), F.col("peers"), is_bogon=F.col("is_bogon"), is_reserved_asn=F.col("is_reserved_asn")))
 
 
-def finish(candidates: DataFrame, asns: DataFrame) -> DataFrame:
-    """Events: severity, country of the first known AS, deterministic id; high confidence falls where few countries are known."""
+#: Share of a country's AS numbers that must be observed for high confidence.
+LOW_COVERAGE = 0.3
+
+
+def finish(candidates: DataFrame, asns: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
+    """Events: severity, country of the first known AS, deterministic id.
+
+    ``coverage`` (country_iso2, coverage_ratio): high confidence falls to medium in countries of which little is observed.
+    """
     known = asns.select("asn", "country_iso2", "is_african")
     keyed = candidates.withColumn(
         "event_id",
@@ -181,7 +197,13 @@ def finish(candidates: DataFrame, asns: DataFrame) -> DataFrame:
     )
     each = keyed.select("event_id", F.posexplode("asns").alias("i", "asn")).join(known, "asn")
     found = each.groupBy("event_id").agg(F.min_by("country_iso2", "i").alias("country_iso2"), F.bool_or("is_african").alias("african"))
-    return keyed.join(found, "event_id", "left").withColumn("severity", severity(F.col("score"))).withColumn("african", F.coalesce("african", F.lit(False)))
+    out = keyed.join(found, "event_id", "left").withColumn("severity", severity(F.col("score"))).withColumn("african", F.coalesce("african", F.lit(False)))
+    if coverage is None:
+        return out
+    few = coverage.where(F.col("coverage_ratio") < LOW_COVERAGE).select("country_iso2", F.lit(True).alias("_few"))
+    out = out.join(few, "country_iso2", "left")
+    low = (F.col("confidence") == "high") & F.col("_few").isNotNull()
+    return out.withColumn("confidence", F.when(low, "medium").otherwise(F.col("confidence"))).drop("_few")
 
 
 def confirm(events: DataFrame, signals: DataFrame) -> DataFrame:

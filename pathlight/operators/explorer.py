@@ -1,7 +1,7 @@
 """Read queries over elements, daily summaries, metrics and events: one function, one lazy DataFrame.
 
-Tables of prefixes and neighbours are answered from the daily summaries where those cover the asked days,
-and from the elements otherwise (``choose_source``); both give the same rows.
+Tables of prefixes and neighbours read daily summaries, stored or computed (``summaries.choose``); both give
+the same rows.
 """
 
 from __future__ import annotations
@@ -15,11 +15,6 @@ from pathlight.functions import paths, windows
 from . import metrics, origin, relations as rel
 
 
-def choose_source(summary: DataFrame | None, days: list[date], covered: set[date]) -> bool:
-    """Whether the summary may answer: it exists and covers every asked day."""
-    return summary is not None and set(days) <= covered
-
-
 def day_range(rows: DataFrame, first: date | None, last: date | None, ts: str = "ts") -> DataFrame:
     """Rows of whole days from ``first`` to ``last``, both included."""
     if first is not None:
@@ -46,8 +41,8 @@ def asn_list(elements: DataFrame, asns: DataFrame, limit: int = 25, offset: int
 
 def prefix_list(elements: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
     """Prefixes by updates, with the origin seen most and the number of origins."""
-    rows = elements.groupBy("prefix").agg(
-        F.count_if(F.col("elem_type") != "R").alias("updates"), metrics.smallest_mode("origin_asn").alias("origin_asn"), F.count_distinct("origin_asn").alias("origins"), F.max("ts").alias("last_seen")
+    rows = elements.where("elem_type <> 'R'").groupBy("prefix").agg(
+        F.count(F.lit(1)).alias("updates"), metrics.smallest_mode("origin_asn").alias("origin_asn"), F.count_distinct("origin_asn").alias("origins"), F.max("ts").alias("last_seen")
     )
     return rows.where("updates > 0").orderBy(F.desc("updates"), "prefix").offset(offset).limit(min(limit, 500))
 
@@ -83,8 +78,7 @@ def prefix_series(daily: DataFrame, origins: DataFrame) -> DataFrame:
 def prefix_table(daily: DataFrame, origins: DataFrame, roas: DataFrame, routes: DataFrame) -> DataFrame:
     """Prefixes of the given origins with presence and validity."""
     own = daily.where("announcements + rib_rows > 0").join(origins.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
-    held = _with_presence(own, ["prefix", "origin_asn"], daily).persist()  # read by both validations
-    return origin.validate_irr(origin.validate_rpki(held, roas).persist(), routes)
+    return origin.validate(_with_presence(own, ["prefix", "origin_asn"], daily), roas, routes)
 
 
 def facets(table: DataFrame, *columns: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathlight.functions import ids
 
@@ -26,7 +26,11 @@ def _grouped(events: Column, minutes: int) -> Column:
 def correlate(events: DataFrame, minutes: int = 60) -> DataFrame:
     """(incident_id, prefix, severity, score, first_seen, last_seen, event_ids, detectors) of event rows."""
     held = events.withColumn("prefix", F.coalesce("prefix", F.lit("-")))
-    listed = held.groupBy("prefix").agg(F.array_sort(F.collect_list(F.struct("first_seen", "detector", "event_id", "score", "last_seen"))).alias("events"))
+    # An event further from the one before it than the gap begins an incident for sure: what is folded lies between such.
+    near = Window.partitionBy("prefix").orderBy("first_seen", "detector", "event_id")
+    apart = F.unix_micros(F.col("first_seen").cast("timestamp")) - F.unix_micros(F.lag("first_seen").over(near).cast("timestamp")) > minutes * 60_000_000
+    held = held.withColumn("_apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_part", F.sum("_apart").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = held.groupBy("prefix", "_part").agg(F.array_sort(F.collect_list(F.struct("first_seen", "detector", "event_id", "score", "last_seen"))).alias("events"))
     each = listed.select("prefix", F.explode(_grouped(F.col("events"), minutes)).alias("g"))
     detectors = F.array_sort(F.array_distinct(F.transform("g", lambda e: e["detector"])))
     score = F.array_max(F.transform("g", lambda e: e["score"])) + F.least(F.lit(0.25), 0.08 * (F.size(detectors) - 1))

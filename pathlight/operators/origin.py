@@ -34,6 +34,23 @@ def validate_irr(pairs: DataFrame, routes: DataFrame) -> DataFrame:
     return _back(pairs, found, status, "irr_status")
 
 
+def validate(pairs: DataFrame, roas: DataFrame, routes: DataFrame) -> DataFrame:
+    """Add rpki_status and irr_status by one containment join against both references."""
+    tagged = roas.select("prefix", "asn", "max_len", F.lit(True).alias("roa")).unionByName(routes.select("prefix", "asn", F.lit(None).cast("int").alias("max_len"), F.lit(False).alias("roa")))
+    cover = prefixes.containment_join(pairs, tagged).select("prefix", "own", "asn", "max_len", "roa")
+    met = pairs.select("prefix", "origin_asn").distinct().join(cover, "prefix", "left")
+    same = F.coalesce(F.col("asn") == F.col("origin_asn"), F.lit(False))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    found = met.groupBy("prefix", "origin_asn").agg(
+        any_of(F.col("roa")).alias("roa"), any_of(F.col("roa") & same & (F.col("own") <= F.col("max_len"))).alias("valid"), any_of(~F.col("roa")).alias("route"), any_of(~F.col("roa") & same).alias("consistent")
+    )
+    unknown = F.col("origin_asn").isNull()
+    rpki = F.when(~F.col("roa") | unknown, "not-found").when(F.col("valid"), "valid").otherwise("invalid")
+    irr = F.when(~F.col("route") | unknown, "absent").when(F.col("consistent"), "consistent").otherwise("inconsistent")
+    found = found.select("prefix", F.coalesce("origin_asn", F.lit(-1)).alias("_o"), rpki.alias("rpki_status"), irr.alias("irr_status"))
+    return pairs.withColumn("_o", F.coalesce("origin_asn", F.lit(-1))).join(found, ["prefix", "_o"], "left").drop("_o")
+
+
 def authorised_asns(pairs: DataFrame, roas: DataFrame) -> DataFrame:
     """(prefix, authorised array<bigint>): every AS of a covering authorisation."""
     return prefixes.containment_join(pairs, roas).groupBy("prefix").agg(F.array_sort(F.collect_set("asn")).alias("authorised"))

@@ -1,0 +1,53 @@
+"""Stored daily summaries: built by day, used for the days that they cover and that haven't changed since."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pathlight.sources.tables import DataUnavailable, read_partitions
+
+from . import metrics
+
+SUMMARIES: dict[str, Callable[[DataFrame], DataFrame]] = {"daily_prefix_origin": metrics.daily_prefix_origin, "daily_adjacency": metrics.daily_adjacency}
+
+
+def store(elements: DataFrame, folder: str) -> None:
+    """Write all summaries of the days in ``elements``; the days are replaced, others stay."""
+    for name, make in SUMMARIES.items():
+        rows = make(elements).withColumn("date", F.to_date("day"))
+        rows.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{folder}/{name}")
+
+
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    try:
+        return read_partitions(spark, f"{folder}/{name}")
+    except DataUnavailable:
+        return None
+
+
+def fresh_days(spark: SparkSession, folder: str, name: str, source: DataFrame) -> set[str]:
+    """Days of the stored summary that were written after all of the source's files of that day.
+
+    ``source``: a file table with ``ts``; its files' times are metadata that the scan has at hand.
+    """
+    stored = _stored(spark, folder, name)
+    if stored is None:
+        return set()
+    # A day is one row here.
+    written = stored.groupBy("date").agg(F.min("_metadata.file_modification_time").alias("written"))
+    changed = source.groupBy(F.to_date("ts").cast("string").alias("date")).agg(F.max("_metadata.file_modification_time").alias("changed"))
+    return {r["date"] for r in written.join(changed, "date").where("written >= changed").select("date").collect()}
+
+
+def choose(spark: SparkSession, folder: str, name: str, elements: DataFrame, days: set[str], fresh: set[str]) -> DataFrame:
+    """The summary of the asked days: stored rows of the fresh ones, the others computed from their elements."""
+    stored, kept = _stored(spark, folder, name), sorted(days & fresh)
+    missing = sorted(days - fresh)
+    parts = []
+    if stored is not None and kept:
+        parts.append(stored.where(F.col("date").isin(kept)).drop("date"))
+    if missing or not parts:
+        parts.append(SUMMARIES[name](elements.where(F.to_date("ts").cast("string").isin(missing))))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -11,7 +11,7 @@ from . import projection as p
 from .metric_queries import NET
 from .projection import CTE
 from .reference_queries import LINKS, REL
-from .registry import query
+from .registry import query, uuid_sql
 
 
 def _shown(events: DataFrame) -> DataFrame:
@@ -53,8 +53,8 @@ _SUB = CTE + NET + _ANN + """, h AS (SELECT ann.*, rpki_status FROM ann JOIN val
  ex AS (SELECT * FROM (SELECT c.prefix, r.asn, row_number() OVER (PARTITION BY c.prefix ORDER BY c.len, r.asn) AS k FROM (SELECT DISTINCT prefix FROM ann) q JOIN cover c USING (prefix) JOIN ref_roa r ON r.prefix = c.covering WHERE c.own > r.max_len AND c.own > c.len) WHERE k = 1),
  uc AS (SELECT h.* FROM h WHERE prefix NOT IN (SELECT c.prefix FROM cover c JOIN ref_roa r ON r.prefix = c.covering)),
  ir AS (SELECT uc.prefix, uc.origin_asn, arg_min(r.asn, c.len * 1000000 + r.asn) AS asn FROM uc JOIN cover c ON c.prefix = uc.prefix AND c.own > c.len JOIN ref_irr r ON r.prefix = c.covering GROUP BY 1, 2 HAVING NOT bool_or(r.asn = uc.origin_asn))
- SELECT 'subprefix' AS detector, prefix, ex.asn || ' ' || origin_asn AS asns, first_seen, last_seen, round(0.6 + least(0.25, peers * 0.05), 6)::DOUBLE AS score, """ + _CONF + """ FROM h JOIN ex USING (prefix) WHERE rpki_status <> 'valid'
- UNION ALL SELECT 'subprefix', prefix, ir.asn || ' ' || origin_asn, first_seen, last_seen, round(0.4 + least(0.15, peers * 0.03), 6)::DOUBLE, """ + _CONF + " FROM uc JOIN ir USING (prefix, origin_asn)"
+ SELECT 'subprefix' AS detector, prefix, origin_asn || ' ' || ex.asn AS asns, first_seen, last_seen, round(0.6 + least(0.25, peers * 0.05), 6)::DOUBLE AS score, """ + _CONF + """ FROM h JOIN ex USING (prefix) WHERE rpki_status <> 'valid'
+ UNION ALL SELECT 'subprefix', prefix, origin_asn || ' ' || ir.asn, first_seen, last_seen, round(0.4 + least(0.15, peers * 0.03), 6)::DOUBLE, """ + _CONF + " FROM uc JOIN ir USING (prefix, origin_asn)"
 
 
 @query("a2_subprefix", _SUB)
@@ -62,8 +62,11 @@ def a2(spark, d):
     return _shown(detectors.subprefix(p.elements(spark, d), p.roas(spark, d), p.irr_routes(spark, d)))
 
 
-@query("a3_rpki_invalid", CTE + NET + _ANN + """, au AS (SELECT c.prefix, list_sort(list(DISTINCT r.asn)) AS l FROM cover c JOIN ref_roa r ON r.prefix = c.covering GROUP BY 1)
- SELECT 'rpki_invalid' AS detector, prefix, array_to_string(list_concat([origin_asn], l[1:3]), ' ') AS asns, first_seen, last_seen, round(0.45 + least(0.2, peers * 0.02), 6)::DOUBLE AS score, """ + _CONF + " FROM ann JOIN val USING (prefix, origin_asn) JOIN au USING (prefix) WHERE rpki_status = 'invalid' AND peers >= 3")
+_INVALID = CTE + NET + _ANN + """, au AS (SELECT c.prefix, list_sort(list(DISTINCT r.asn)) AS l FROM cover c JOIN ref_roa r ON r.prefix = c.covering GROUP BY 1)
+ SELECT 'rpki_invalid' AS detector, prefix, array_to_string(list_concat([origin_asn], l[1:3]), ' ') AS asns, first_seen, last_seen, round(0.45 + least(0.2, peers * 0.02), 6)::DOUBLE AS score, """ + _CONF + " FROM ann JOIN val USING (prefix, origin_asn) JOIN au USING (prefix) WHERE rpki_status = 'invalid' AND peers >= 3"
+
+
+@query("a3_rpki_invalid", _INVALID)
 def a3(spark, d):
     return _shown(detectors.rpki_invalid(p.elements(spark, d), p.roas(spark, d)))
 
@@ -71,9 +74,12 @@ def a3(spark, d):
 @query("a4_route_leaks", CTE + LINKS + """, hp AS (SELECT prefix, path, count(DISTINCT peer_asn) AS peers, list(DISTINCT collector) AS cs, min(ts) AS f, max(ts) AS l FROM obs WHERE elem_type = 'A' AND len(path) >= 3 GROUP BY 1, 2),
  lk2 AS (SELECT hp.*, path[violation + 1] AS leaker FROM hp JOIN vf USING (path) WHERE violation IS NOT NULL),
  g AS (SELECT prefix, leaker, CAST(sum(peers) AS BIGINT) AS peers, list_sort(list_distinct(flatten(list(cs)))) AS cs, min(f) AS first_seen, max(l) AS last_seen, min(path) AS fp FROM lk2 GROUP BY 1, 2)
- SELECT 'valley_free' AS detector, prefix, leaker || ' ' || fp[len(fp)] AS asns, first_seen, last_seen, round(0.4 + least(0.2, peers * 0.04), 6)::DOUBLE AS score, """ + _CONF + " FROM g WHERE peers >= 2")
+ , ev AS (SELECT as_a AS a, as_b AS b FROM ref_rel WHERE (as_a + as_b) % 5 = 0 UNION SELECT as_b, as_a FROM ref_rel WHERE (as_a + as_b) % 5 = 0)
+ SELECT 'valley_free' AS detector, prefix, CAST(leaker AS VARCHAR) AS asns, first_seen, last_seen, round(CASE WHEN EXISTS (SELECT 1 FROM ev WHERE ev.a = leaker AND ev.b = fp[list_position(fp, leaker) + 1]) THEN 0.4 + least(0.2, peers * 0.04) ELSE least(0.55, 0.4 + least(0.2, peers * 0.04)) END, 6)::DOUBLE AS score, """ + _CONF + " FROM g WHERE peers >= 2")
 def a4(spark, d):
-    return _shown(detectors.route_leaks(p.elements(spark, d), p.relations(spark, d)))
+    links = p.relations(spark, d)
+    evidence = links.where((F.col("as_a") + F.col("as_b")) % 5 == 0).withColumn("sources", F.array(F.lit("caida"), F.lit("ix")))
+    return _shown(detectors.route_leaks(p.elements(spark, d), links, evidence))
 
 
 _Z = """, ser AS (SELECT prefix, time_bucket(INTERVAL 6 HOUR, ts) AS w, count(*) AS updates, count(DISTINCT peer_asn) AS peers, list_sort(list(DISTINCT collector)) AS cs FROM obs WHERE elem_type <> 'R' GROUP BY 1, 2),
@@ -98,7 +104,7 @@ def a5(spark, d):
  tt AS (SELECT * FROM t WHERE act = (SELECT max(act) FROM t)), mo AS (SELECT s, prefix, origin_asn FROM (SELECT s, prefix, origin_asn, row_number() OVER (PARTITION BY s, prefix ORDER BY count(*) DESC, origin_asn) AS k FROM rib GROUP BY 1, 2, 3) WHERE k = 1),
  se AS (SELECT s, prefix, count(DISTINCT (collector, peer_asn)) AS peers, list_sort(list(DISTINCT collector)) AS cs FROM rib GROUP BY 1, 2), r AS (SELECT se.*, peers / tot AS ratio FROM se JOIN tt USING (s)),
  b AS (SELECT prefix, median(ratio) AS base FROM r GROUP BY 1 HAVING count(*) >= 3 AND median(ratio) >= 0.05)
- SELECT 'visibility_drop' AS detector, prefix, CAST(mo.origin_asn AS VARCHAR) AS asns, s AS first_seen, s + INTERVAL 8 HOUR AS last_seen, round(least(0.7, 0.3 + 0.5 * (1 - ratio / base)), 6)::DOUBLE AS score, """ + _CONF + " FROM r JOIN b USING (prefix) JOIN mo USING (s, prefix) WHERE ratio < base * 0.6 AND len(cs) >= 2")
+ SELECT 'visibility_drop' AS detector, prefix, CAST(mo.origin_asn AS VARCHAR) AS asns, s AS first_seen, s + INTERVAL 8 HOUR AS last_seen, round(least(0.7, 0.3 + 0.5 * (1 - ratio / base)), 6)::DOUBLE AS score, 'medium' AS confidence, array_to_string(cs, ',') AS collectors FROM r JOIN b USING (prefix) JOIN mo USING (s, prefix) WHERE ratio < base * 0.6 AND len(cs) >= 2""")
 def a6(spark, d):
     e = p.elements(spark, d)
     return _shown(detectors.visibility_drops(p.rib(spark, d), e, min_baseline=0.05))
@@ -116,13 +122,26 @@ def _events(spark, d) -> DataFrame:
     return detectors.finish(found, p.asns(spark, d))
 
 
-@query("a8_region_events")
+_EVENTS = f"""WITH RECURSIVE raw AS (SELECT * FROM ({_MOAS}) UNION ALL SELECT * FROM ({_INVALID}) UNION ALL SELECT * FROM ({_SUB})), regs AS (SELECT * FROM ({CTE} SELECT * FROM ref_asn)),
+ l AS (SELECT *, list_transform(string_split(asns, ' '), lambda x: CAST(x AS BIGINT)) AS own FROM raw),
+ ev AS (SELECT l.*, {uuid_sql(detectors.NAMESPACE, "detector || '|' || prefix || '|' || array_to_string(list_sort(own), ',') || '|' || CAST(first_seen AS VARCHAR)")} AS event_id FROM l),
+ co AS (SELECT event_id, arg_min(country_iso2, list_position(own, asn)) AS country_iso2, bool_or(is_african) AS african FROM ev, regs WHERE list_contains(own, regs.asn) GROUP BY 1)"""
+
+
+@query("a8_region_events", _EVENTS + " SELECT event_id, detector, prefix, CASE WHEN score >= 0.65 THEN 'critical' WHEN score >= 0.35 THEN 'watch' ELSE 'info' END AS severity, country_iso2, african FROM ev JOIN co USING (event_id) WHERE country_iso2 IS NOT NULL OR african")
 def a8(spark, d):
     found = _events(spark, d).where("country_iso2 is not null or african")
     return found.select("event_id", "detector", "prefix", "severity", F.coalesce("country_iso2", F.lit("")).alias("country_iso2"), "african")
 
 
-@query("a9_incidents")
+_INCIDENTS = _EVENTS + """, e AS (SELECT prefix AS k, first_seen, last_seen, detector, event_id, score, row_number() OVER (PARTITION BY prefix ORDER BY first_seen, detector, event_id) AS i FROM ev),
+ r AS (SELECT k, i, first_seen AS anchor FROM e WHERE i = 1 UNION ALL SELECT e.k, e.i, CASE WHEN e.first_seen - r.anchor <= INTERVAL 60 MINUTE THEN r.anchor ELSE e.first_seen END FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1),
+ g AS (SELECT k AS prefix, anchor AS first_seen, max(last_seen) AS last_seen, count(*) AS n, list_sort(list(DISTINCT detector)) AS ds, max(score) AS top FROM r JOIN e USING (k, i) GROUP BY k, anchor),
+ s AS (SELECT *, round(least(1.0, top + least(0.25, 0.08 * (len(ds) - 1))), 3)::DOUBLE AS score FROM g)
+ SELECT substr(sha1(encode(prefix || '|' || CAST(first_seen AS VARCHAR))), 1, 16) AS incident_id, prefix, CASE WHEN score >= 0.65 THEN 'critical' WHEN score >= 0.35 THEN 'watch' ELSE 'info' END AS severity, score, first_seen, last_seen, CAST(n AS INTEGER) AS n_events, array_to_string(ds, ',') AS detectors FROM s"""
+
+
+@query("a9_incidents", _INCIDENTS)
 def a9(spark, d):
     out = incidents.correlate(_events(spark, d))
     return out.select("incident_id", "prefix", "severity", "score", "first_seen", "last_seen", F.size("event_ids").alias("n_events"), F.array_join("detectors", ",").alias("detectors"))
@@ -152,8 +171,8 @@ def a11(spark, d):
     return detectors.confirm(e, one.unionByName(two)).select("event_id", "severity", F.coalesce("dataplane", F.lit("")).alias("dataplane"))
 
 
-@query("a12_recall", CTE + " SELECT count(*) AS planted, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS found, round(count(*) FILTER (WHERE hit) / count(*), 6) AS recall FROM (SELECT t.prefix, t.day, EXISTS (SELECT 1 FROM obs WHERE elem_type = 'W' AND seq % 5 = 0 AND obs.prefix = t.prefix AND CAST(obs.ts AS DATE) = t.day) AS hit FROM (SELECT DISTINCT prefix, CAST(ts AS DATE) AS day FROM obs WHERE seq % 7 = 0) t)")
+@query("a12_recall", CTE + " SELECT count(*) AS planted, CAST(count(*) FILTER (WHERE hit) AS BIGINT) AS found, round(count(*) FILTER (WHERE hit) / count(*), 6) AS recall FROM (SELECT t.prefix, t.day, EXISTS (SELECT 1 FROM obs WHERE elem_type = 'W' AND obs.prefix = t.prefix AND CAST(obs.ts AS DATE) = t.day) AS hit FROM (SELECT DISTINCT prefix, CAST(ts AS DATE) AS day FROM obs WHERE elem_type = 'A') t)")
 def a12(spark, d):
     e = p.elements(spark, d)
-    truth = e.where("seq % 7 = 0").select("prefix", F.to_date("ts").alias("day")).distinct()
-    return incidents.recall(truth, e.where("elem_type = 'W' and seq % 5 = 0").withColumnRenamed("ts", "first_seen")).withColumn("recall", F.round("recall", 6))
+    truth = e.where("elem_type = 'A'").select("prefix", F.to_date("ts").alias("day")).distinct()
+    return incidents.recall(truth, e.where("elem_type = 'W'").withColumnRenamed("ts", "first_seen")).withColumn("recall", F.round("recall", 6))

@@ -44,7 +44,7 @@ def q6(spark, d):
     return rows.agg(F.count_if(F.col("elem_type") == "A").alias("announcements"), F.count_distinct("peer_asn").alias("peers"), F.max("ts").alias("last_seen")).orderBy(F.desc("announcements"), "prefix").limit(200)
 
 
-@query("q7_prefix_list", CTE + ", mo AS (SELECT prefix, origin_asn FROM (SELECT prefix, origin_asn, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, origin_asn) AS k FROM obs WHERE origin_asn IS NOT NULL GROUP BY 1, 2) WHERE k = 1) SELECT prefix, CAST(count(*) FILTER (WHERE elem_type <> 'R') AS BIGINT) AS updates, any_value(mo.origin_asn) AS origin_asn, count(DISTINCT o.origin_asn) AS origins, max(ts) AS last_seen FROM obs o LEFT JOIN mo USING (prefix) GROUP BY 1 HAVING count(*) FILTER (WHERE elem_type <> 'R') > 0 ORDER BY 2 DESC, 1 LIMIT 25")
+@query("q7_prefix_list", CTE + ", upd AS (SELECT * FROM obs WHERE elem_type <> 'R'), mo AS (SELECT prefix, origin_asn FROM (SELECT prefix, origin_asn, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, origin_asn) AS k FROM upd WHERE origin_asn IS NOT NULL GROUP BY 1, 2) WHERE k = 1) SELECT prefix, count(*) AS updates, any_value(mo.origin_asn) AS origin_asn, count(DISTINCT o.origin_asn) AS origins, max(ts) AS last_seen FROM upd o LEFT JOIN mo USING (prefix) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
 def q7(spark, d):
     return explorer.prefix_list(p.elements(spark, d))
 

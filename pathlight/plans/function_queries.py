@@ -10,7 +10,7 @@ from pathlight.functions import ids, paths, prefixes, windows
 
 from . import projection as p
 from .projection import CTE
-from .registry import query
+from .registry import query, uuid_sql
 
 
 @query("x1_parse_path", """WITH t AS (SELECT o_orderkey AS k, concat(CAST(o_orderkey % 7 AS VARCHAR), ' {', CAST(o_custkey AS VARCHAR), ',12} ', CAST(o_orderkey % 3 AS VARCHAR), '.', CAST(o_custkey % 9 AS VARCHAR), ' x') AS s FROM orders)
@@ -75,7 +75,7 @@ def x18(spark, d):
     return p.elements(spark, d).select("prefix").distinct().select("prefix", ids.short_id(F.col("prefix")).alias("id"), F.sha2("prefix", 256).alias("digest"))
 
 
-@query("x17_uuid5")
+@query("x17_uuid5", CTE + f" SELECT prefix, {uuid_sql(uuid.NAMESPACE_URL, 'prefix')} AS id FROM (SELECT DISTINCT prefix FROM obs)")
 def x17(spark, d):
     held = p.elements(spark, d).select("prefix").distinct()
     return held.select("prefix", ids.uuid5(uuid.NAMESPACE_URL, F.col("prefix")).alias("id"))
@@ -93,9 +93,9 @@ def p2(spark, d):
     return rows.groupBy("collector", "prefix").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("p4_overlap", CTE + " SELECT prefix, origin_asn, min(ts) AS first_seen, max(ts) AS last_seen FROM obs WHERE elem_type = 'A' AND seq % 13 = 0 GROUP BY 1, 2 HAVING max(ts) >= TIMESTAMP '2024-01-10' AND min(ts) <= TIMESTAMP '2024-01-12'")
+@query("p4_overlap", CTE + " SELECT prefix, origin_asn, collector, peer_asn, min(ts) AS first_seen, max(ts) AS last_seen FROM obs WHERE elem_type = 'A' GROUP BY 1, 2, 3, 4 HAVING max(ts) >= TIMESTAMP '2024-01-10' AND min(ts) <= TIMESTAMP '2024-01-12'")
 def p4(spark, d):
-    spans = p.elements(spark, d).where("elem_type = 'A' and seq % 13 = 0").groupBy("prefix", "origin_asn").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    spans = p.elements(spark, d).where("elem_type = 'A'").groupBy("prefix", "origin_asn", "collector", "peer_asn").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     return spans.where("last_seen >= timestamp_ntz'2024-01-10' and first_seen <= timestamp_ntz'2024-01-12'")
 
 

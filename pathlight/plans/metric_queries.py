@@ -145,11 +145,11 @@ def w6(spark, d):
 _DAYS = ", days AS (SELECT DISTINCT date_trunc('day', ts) AS day FROM obs), cal AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM days)"
 
 
-@query("w7_islands", CTE + _DAYS + """, o AS (SELECT DISTINCT prefix, origin_asn, date_trunc('day', ts) AS day FROM obs WHERE elem_type = 'A' AND seq % 17 = 0), r AS (SELECT o.*, cal.i - row_number() OVER (PARTITION BY prefix, origin_asn ORDER BY o.day) AS g FROM o JOIN cal USING (day))
- SELECT prefix, origin_asn, min(day) AS run_start, max(day) AS run_end, count(*) AS n_days FROM r GROUP BY prefix, origin_asn, g""")
+@query("w7_islands", CTE + _DAYS + """, o AS (SELECT DISTINCT prefix, origin_asn, collector, peer_asn, date_trunc('day', ts) AS day FROM obs WHERE elem_type = 'A'), r AS (SELECT o.*, cal.i - row_number() OVER (PARTITION BY prefix, origin_asn, collector, peer_asn ORDER BY o.day) AS g FROM o JOIN cal USING (day))
+ SELECT prefix, origin_asn, collector, peer_asn, min(day) AS run_start, max(day) AS run_end, count(*) AS n_days FROM r GROUP BY prefix, origin_asn, collector, peer_asn, g""")
 def w7(spark, d):
     e = p.elements(spark, d).withColumn("day", windows.day(F.col("ts")))
-    return windows.islands(e.where("elem_type = 'A' and seq % 17 = 0"), ["prefix", "origin_asn"], e)
+    return windows.islands(e.where("elem_type = 'A'"), ["prefix", "origin_asn", "collector", "peer_asn"], e)
 
 
 @query("d13_presence", CTE + _DAYS + """, o AS (SELECT DISTINCT prefix, origin_asn, date_trunc('day', ts) AS day FROM obs WHERE elem_type = 'A'), t AS (SELECT prefix, origin_asn, string_agg(CASE WHEN o.day IS NULL THEN '0' ELSE '1' END, '' ORDER BY cal.day) AS s FROM (SELECT DISTINCT prefix, origin_asn FROM o) k CROSS JOIN cal LEFT JOIN o USING (prefix, origin_asn, day) GROUP BY 1, 2)

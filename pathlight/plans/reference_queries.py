@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from pathlight.functions import paths, prefixes
 from pathlight.operators import origin, relations
@@ -90,12 +90,14 @@ def d12(spark, d):
     return origin.known_anycast(_pairs(spark, d), p.anycast(spark, d))
 
 
-@query("x9_path_similarity", CTE + """, s AS (SELECT DISTINCT path FROM obs WHERE prefix = '197.0.0.0/12' AND elem_type = 'A' AND peer_asn IN (64, 66)), z AS (SELECT path, path[1 : len(path) - 1] AS c FROM s)
- SELECT array_to_string(a.path, ' ') AS one, array_to_string(b.path, ' ') AS other, round(len(list_intersect(list_distinct(a.c), list_distinct(b.c))) / len(list_distinct(list_concat(a.c, b.c))), 6) AS jaccard FROM z a JOIN z b ON a.path[1] = b.path[1]""")
+@query("x9_path_similarity", CTE + """, s AS (SELECT DISTINCT prefix, array_to_string(path, ' ') AS t, path FROM obs WHERE elem_type = 'A'), z AS (SELECT prefix, t, lag(t) OVER w AS o, path[1 : len(path) - 1] AS a, lag(path[1 : len(path) - 1]) OVER w AS b FROM s WINDOW w AS (PARTITION BY prefix ORDER BY t))
+ SELECT prefix, t AS one, o AS other, round(len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM z WHERE o IS NOT NULL""")
 def x9(spark, d):
-    s = p.elements(spark, d).where("prefix = '197.0.0.0/12' and elem_type = 'A' and peer_asn in (64, 66)").select("path", F.get("path", F.lit(0)).alias("k")).distinct()
-    met = s.join(s.withColumnRenamed("path", "other"), "k")
-    return met.select(paths.path_text(F.col("path")).alias("one"), paths.path_text(F.col("other")).alias("other"), F.round(paths.jaccard(F.col("path"), F.col("other")), 6).alias("jaccard"))
+    # Each distinct path of a prefix against the one before it.
+    s = p.elements(spark, d).where("elem_type = 'A'").select("prefix", "path").distinct().withColumn("one", paths.path_text(F.col("path")))
+    near = Window.partitionBy("prefix").orderBy("one")
+    met = s.withColumn("before", F.lag("path").over(near)).where("before is not null")
+    return met.select("prefix", "one", paths.path_text(F.col("before")).alias("other"), F.round(paths.jaccard(F.col("path"), F.col("before")), 6).alias("jaccard"))
 
 
 @query("j5_active_semi_join", CTE + " SELECT collector, prefix, count(*) AS n FROM obs WHERE elem_type = 'R' AND collector IN (SELECT collector FROM obs WHERE elem_type = 'W') GROUP BY 1, 2")

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _RUNS = "run_id string, kind string, status string, rows bigint, seconds double, note string, at timestamp"
+_PARTITIONS = "name string, date string, collector string, path string, rows bigint, bytes bigint, at timestamp"
 _INGESTED = "url string, collector string, kind string, status string, bytes bigint, attempts int, at timestamp"
 
 
@@ -43,6 +44,13 @@ class Catalog:
     def record_file(self, url: str, collector: str, kind: str, status: str, size: int) -> None:
         self._append("ingested", _INGESTED, (url, collector, kind, status, size, 1, datetime.now(timezone.utc)))
 
+    def record_partition(self, table: str, date: str, collector: str, path: str, rows: int, size: int) -> None:
+        self._append("partitions", _PARTITIONS, (f"{table}/{date}/{collector}", date, collector, path, rows, size, datetime.now(timezone.utc)))
+
+    def registered(self) -> DataFrame:
+        """(name, date, collector, path, rows, bytes, at): the latest record of each partition."""
+        return self._latest("partitions", _PARTITIONS, "name")
+
     def coverage(self) -> DataFrame:
         """(collector, kind, files, bytes, failed)."""
         return self.ingested().groupBy("collector", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("status") == "failed").alias("failed"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
@@ -19,7 +22,9 @@ def read_partitions(spark: SparkSession, path: str, first: str | None = None, la
     """
     try:
         rows = spark.read.option("mergeSchema", "true").parquet(path)
-    except Exception as error:
+    except AnalysisException as error:  # anything else is no sign that the table isn't there
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         raise DataUnavailable(f"{path}: no such table") from error
     if "date" in rows.columns:
         rows = rows.withColumn("date", F.col("date").cast("string"))
@@ -52,11 +57,62 @@ def rib_snapshots(elements: DataFrame) -> DataFrame:
 
 
 def merge_window(stored: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Stored and new rows, one for each key: the new one where both have it."""
-    new = new.withColumn("_new", F.lit(1))
-    rows = new if stored is None else stored.withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
-    last = Window.partitionBy(*KEYS).orderBy(F.desc("_new"))
-    return rows.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_new")
+    """Stored and new rows, one for each key: the new one where both have it, the last one among new ones."""
+    new = new.withColumn("_new", F.lit(1)).withColumn("_at", F.monotonically_increasing_id())
+    if stored is not None:
+        new = stored.withColumn("_new", F.lit(0)).withColumn("_at", F.monotonically_increasing_id()).unionByName(new, allowMissingColumns=True)
+    last = Window.partitionBy(*KEYS).orderBy(F.desc("_new"), F.desc("_at"))
+    return new.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k", "_new", "_at")
+
+
+def replace_read(rows: DataFrame, path: str) -> None:
+    """``write_elements`` of rows that are made from the table's own partitions: they are staged beside it first."""
+    staging = f"{path.rstrip('/')}_staging"
+    rows.write.mode("overwrite").parquet(staging)
+    write_elements(rows.sparkSession.read.parquet(staging), path)
+
+
+def partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(date, collector, rows, files) of the partitions that exist."""
+    rows = spark.read.parquet(path).select(F.col("date").cast("string").alias("date"), "collector", F.col("_metadata.file_path").alias("file"))
+    return rows.groupBy("date", "collector").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files"))
+
+
+def drop_partitions(spark: SparkSession, path: str, keys: list[tuple[str, str]]) -> int:
+    """Delete the partitions (date, collector) that exist among ``keys``; returns how many did."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    gone = 0
+    for date, collector in keys:
+        folder = hadoop.Path(f"{path}/date={date}/collector={collector}")
+        gone += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return gone
+
+
+def compact(spark: SparkSession, path: str, most_files: int = 1) -> int:
+    """Rewrite the partitions with more than ``most_files`` files, sorted; returns how many there were. Again, it does nothing."""
+    scattered = [(r["date"], r["collector"]) for r in partitions(spark, path).where(F.col("files") > most_files).collect()]  # partitions, not rows
+    if scattered:
+        chosen = reduce(lambda a, b: a | b, [(F.col("date").cast("string") == d) & (F.col("collector") == c) for d, c in scattered])
+        rows = spark.read.option("mergeSchema", "true").parquet(path).where(chosen).drop("date")
+        staging = f"{path.rstrip('/')}_staging"
+        rows.write.mode("overwrite").parquet(staging)
+        dated = spark.read.parquet(staging).withColumn("date", F.to_date("ts"))
+        one = dated.repartition(len(scattered), "date", "collector").sortWithinPartitions("date", "collector", "prefix", "ts")
+        one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "collector").parquet(path)
+    return len(scattered)
+
+
+def curate(spark: SparkSession, parsed: DataFrame, path: str, rib_path: str, collectors: list[str] | None = None, ipv4_only: bool = True) -> None:
+    """The curation job: normalised messages to element partitions, table dump rows to snapshots.
+
+    IPv6 rows and those of other collectors go where asked.
+    """
+    if collectors is not None:
+        parsed = parsed.where(F.col("collector").isin(collectors))
+    write_elements(parsed.where("elem_type <> 'R'"), path, ipv4_only)
+    rows = rib_snapshots(parsed.where("prefix_ip_version = 4") if ipv4_only else parsed).withColumn("date", F.to_date("snapshot_ts"))
+    dealt = rows.repartitionByRange("date", "collector", "prefix").sortWithinPartitions("date", "collector", "prefix")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "collector").parquet(rib_path)
 
 
 def keep_history(snapshot: DataFrame, path: str, date: str) -> None:

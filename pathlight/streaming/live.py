@@ -17,7 +17,7 @@ def live_stream(spark: SparkSession, folder: str, files_per_batch: int = 50) ->
     return readers.live_elements(spark.readStream.schema(readers.LIVE).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_batch).json(folder))
 
 
-def _merge_batch(path: str) -> Callable[[DataFrame, int], None]:
+def _merge_batch(path: str, after: Callable[[list[str]], None] | None = None) -> Callable[[DataFrame, int], None]:
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
@@ -26,9 +26,9 @@ def _merge_batch(path: str) -> Callable[[DataFrame, int], None]:
             stored = tables.read_partitions(batch.sparkSession, path, min(days), max(days)).drop("date")
         except tables.DataUnavailable:
             stored = None
-        merged = tables.merge_window(stored, batch)
-        # The partitions read are those replaced: what is to be written is materialised first.
-        tables.write_elements(merged.checkpoint() if batch.sparkSession.sparkContext.getCheckpointDir() else merged.persist(), path)
+        tables.replace_read(tables.merge_window(stored, batch), path)
+        if after is not None:
+            after(days)
 
     return merge
 
@@ -38,6 +38,11 @@ def merge_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(_merge_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def watch(stream: DataFrame, path: str, checkpoint: str, detect: Callable[[list[str]], None]) -> StreamingQuery:
+    """Merge each micro-batch and then run ``detect`` on the days that it touched; it may run again after a failure."""
+    return stream.writeStream.foreachBatch(_merge_batch(path, detect)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def deduplicated(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Elements once by key, for bounded lateness."""
     return stream.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(tables.KEYS)

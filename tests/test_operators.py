@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pathlight.operators import detectors, graph, incidents, metrics, origin, relations
+from pathlight.operators import detectors, graph, incidents, metrics, origin, relations, runs, summaries
 
 T0 = datetime(2026, 8, 24)
 ELEMENT = "ts timestamp_ntz, seq bigint, collector string, peer_asn bigint, peer_ip string, elem_type string, prefix string, prefix_ip_version int, origin_asn bigint, path array<bigint>, as_path_len int, has_as_set boolean"
@@ -135,3 +135,59 @@ def test_relationship_confidence(spark):
     links = spark.createDataFrame([(2, 1), (3, 4)], "a bigint, b bigint")
     got = {r["a"]: (r["sources"], r["confidence"]) for r in relations.sources(links, evidence, rel).collect()}
     assert got == {2: (["caida", "ix"], "high"), 3: ([], "medium")}
+
+
+def test_leaks_name_the_leaker_and_are_capped(spark):
+    rows = [(f"10.{i}.0.0/16", [1, 2, 3, 4], p) for i in range(2) for p in range(1, 9)]
+    elements = spark.createDataFrame([(x, path, peer, "c1" if peer % 2 else "c2", "A", len(path)) for x, path, peer in rows], "prefix string, path array<bigint>, peer_asn bigint, collector string, elem_type string, as_path_len int")
+    elements = elements.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    # From the collector: up to 2's provider? no: 1 provides 2 (down), 3 provides 2 (up again).
+    relations = spark.createDataFrame([(1, 2, "p2c"), (3, 2, "p2c"), (3, 4, "p2c")], "as_a bigint, as_b bigint, relationship string")
+    alone = detectors.route_leaks(elements, relations).collect()
+    assert alone and all(len(r["asns"]) == 1 and r["score"] == 0.55 for r in alone)
+    leaker = alone[0]["asns"][0]
+    evidence = spark.createDataFrame([(a, b, ["caida", "irr"]) for a, b in ((1, 2), (2, 3), (3, 4))], "as_a bigint, as_b bigint, sources array<string>")
+    sure = detectors.route_leaks(elements, relations, evidence).collect()
+    assert all(r["asns"] == [leaker] and abs(r["score"] - 0.6) < 1e-9 for r in sure)
+
+
+def test_confidence_falls_where_little_is_observed(spark):
+    found = spark.createDataFrame([("10.0.0.0/8", [1], "high", 0.7), ("11.0.0.0/8", [2], "high", 0.7), ("12.0.0.0/8", [1], "low", 0.2)], "prefix string, asns array<bigint>, confidence string, score double")
+    found = found.withColumn("detector", F.lit("d")).withColumn("first_seen", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    asns = spark.createDataFrame([(1, "KE", True), (2, "TN", True)], "asn bigint, country_iso2 string, is_african boolean")
+    coverage = spark.createDataFrame([("KE", 0.1), ("TN", 0.3)], "country_iso2 string, coverage_ratio double")
+    got = {r["prefix"]: (r["confidence"], r["severity"]) for r in detectors.finish(found, asns, coverage).collect()}
+    assert got == {"10.0.0.0/8": ("medium", "critical"), "11.0.0.0/8": ("high", "critical"), "12.0.0.0/8": ("low", "info")}
+
+
+def test_a_failing_detector_leaves_the_others_alone(spark, tmp_path):
+    asns = spark.createDataFrame([(1, "KE", True)], "asn bigint, country_iso2 string, is_african boolean")
+    row = spark.createDataFrame([("10.0.0.0/8", [1], "high", 0.7, "d")], "prefix string, asns array<bigint>, confidence string, score double, detector string")
+    row = row.withColumn("first_seen", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).withColumn("last_seen", F.col("first_seen"))
+    found = {"good": lambda: row, "bad": lambda: row.select(F.raise_error(F.lit("no data")).alias("x")), "worse": lambda: row.select("nothing"), "off": lambda: row}
+    got = runs.run(spark, found, str(tmp_path), "r1", asns, disabled=frozenset({"off"}))
+    assert got["good"] == 1 and got["incidents"] == 1 and set(got) == {"good", "bad", "worse", "incidents"} and "nothing" in got["worse"]
+    assert runs.run(spark, {"good": lambda: row}, str(tmp_path), "r2", asns)["good"] == 1
+
+
+def test_stored_summaries_answer_for_fresh_days(spark, tmp_path):
+    schema = "ts timestamp_ntz, prefix string, origin_asn bigint, elem_type string, prefix_ip_version int, path array<bigint>"
+    make = lambda rows: spark.createDataFrame([(datetime(2024, 1, d, h), p, o, k, 4, [1, o or 2, 3]) for d, h, p, o, k in rows], schema)
+    rows = [(1, 0, "10.0.0.0/8", 7, "A"), (1, 3, "10.0.0.0/8", None, "W"), (2, 1, "10.0.0.0/8", 7, "R"), (3, 1, "11.0.0.0/8", 8, "A")]
+    make(rows).write.parquet(f"{tmp_path}/source")
+    source, folder = spark.read.parquet(f"{tmp_path}/source"), f"{tmp_path}/summaries"
+    assert summaries.fresh_days(spark, folder, "daily_adjacency", source) == set()
+    summaries.store(source.where("ts < timestamp_ntz'2024-01-03'"), folder)
+    days = {"2024-01-01", "2024-01-02", "2024-01-03"}
+    for name, compute in summaries.SUMMARIES.items():
+        fresh = summaries.fresh_days(spark, folder, name, source)
+        assert fresh == {"2024-01-01", "2024-01-02"}
+        got, want = summaries.choose(spark, folder, name, source, days, fresh), compute(source)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    make([(2, 9, "12.0.0.0/8", 9, "A")]).write.mode("append").parquet(f"{tmp_path}/source")
+    source = spark.read.parquet(f"{tmp_path}/source")
+    # All files of the day count: the day of the new file is stale, so it is computed.
+    fresh = summaries.fresh_days(spark, folder, "daily_prefix_origin", source)
+    assert fresh == {"2024-01-01"}
+    got = summaries.choose(spark, folder, "daily_prefix_origin", source, days, fresh)
+    assert got.where("prefix = '12.0.0.0/8'").count() == 1

@@ -131,3 +131,63 @@ def test_mrt(spark, tmp_path):
     rows = readers.normalise(spark.read.format("mrt").option("collector", "rrc19").load(str(tmp_path / "updates.gz")))
     got = sorted((r["elem_type"], r["prefix"], r["peer_asn"], r["origin_asn"], r["has_as_set"]) for r in rows.collect())
     assert got == [("A", "197.155.64.0/22", 174, 6, True), ("R", "102.64.0.0/12", 174, 6, True), ("W", "8.8.8.0/24", 174, None, False)]
+
+
+ROW = "ts timestamp_ntz, collector string, peer_asn bigint, peer_ip string, elem_type string, prefix string, prefix_ip_version int, prefix_len int, origin_asn bigint, as_path_dedup array<bigint>, as_path_len int"
+
+
+def elements(spark, rows):
+    from datetime import datetime
+
+    return spark.createDataFrame([(datetime(2024, 1, d), c, 64, "10.0.0.1", k, p, 4, 8, o, [64, o], 2) for d, c, k, p, o in rows], ROW)
+
+
+def test_last_of_a_batch_counts(spark):
+    batch = elements(spark, [(1, "c", "A", "10.0.0.0/8", o) for o in range(50)]).coalesce(1)
+    assert [r["origin_asn"] for r in tables.merge_window(None, batch).collect()] == [49]
+    assert [r["origin_asn"] for r in tables.merge_window(batch, batch.where("origin_asn < 7")).collect()] == [6]
+
+
+def test_partitions_are_listed_compacted_and_dropped(spark, tmp_path):
+    path = str(tmp_path / "elements")
+    rows = [(d, c, "A", f"{k}.0.0.0/8", k) for d in (1, 2) for c in ("c0", "c1") for k in range(1, 9)]
+    tables.write_elements(elements(spark, rows), path, max_rows=3)
+    before = {tuple(r)[:3]: r["files"] for r in tables.partitions(spark, path).collect()}
+    assert len(before) == 4 and all(n > 1 for n in before.values())
+    assert tables.compact(spark, path) == 4 and tables.compact(spark, path) == 0
+    after = tables.partitions(spark, path).collect()
+    assert all(r["files"] == 1 and r["rows"] == 8 for r in after)
+    assert tables.drop_partitions(spark, path, [("2024-01-01", "c0"), ("2024-01-09", "c0")]) == 1
+    assert tables.partitions(spark, path).count() == 3
+    held = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    held.record_partition("elements", "2024-01-02", "c0", path, 1, 10)
+    held.record_partition("elements", "2024-01-02", "c0", path, 8, 90)
+    assert [(r["name"], r["rows"]) for r in held.registered().collect()] == [("elements/2024-01-02/c0", 8)]
+
+
+def test_curation_splits_messages_and_snapshots(spark, tmp_path):
+    parsed = elements(spark, [(1, "c0", "A", "10.0.0.0/8", 7), (1, "c0", "R", "10.0.0.0/8", 7), (1, "c9", "A", "11.0.0.0/8", 8)])
+    tables.curate(spark, parsed, str(tmp_path / "e"), str(tmp_path / "rib"), collectors=["c0"])
+    assert spark.read.parquet(str(tmp_path / "e")).select("prefix", "elem_type").collect() == [("10.0.0.0/8", "A")]
+    assert spark.read.parquet(str(tmp_path / "rib")).count() == 1
+
+
+def test_a_failing_read_is_not_a_missing_table(spark, tmp_path):
+    with pytest.raises(tables.DataUnavailable):
+        tables.read_partitions(spark, str(tmp_path / "none"))
+    broken = tmp_path / "broken" / "date=2024-01-01" / "collector=c"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception) as error:
+        live._merge_batch(str(tmp_path / "broken"))(elements(spark, [(1, "c", "A", "10.0.0.0/8", 7)]), 0)
+    assert not isinstance(error.value, tables.DataUnavailable) and (broken / "part-0.parquet").read_bytes() == b"no parquet at all"
+
+
+def test_watching_detects_on_the_touched_days(spark, tmp_path):
+    seen = []
+    merge = live._merge_batch(str(tmp_path / "e"), seen.append)
+    merge(elements(spark, [(1, "c", "A", "10.0.0.0/8", 7), (2, "c", "A", "10.0.0.0/8", 7)]), 0)
+    merge(elements(spark, [(2, "c", "A", "10.0.0.0/8", 9)]), 1)
+    assert [sorted(x) for x in seen] == [["2024-01-01", "2024-01-02"], ["2024-01-02"]]
+    got = {r["date"]: r["origin_asn"] for r in spark.read.parquet(str(tmp_path / "e")).withColumn("date", F.col("date").cast("string")).collect()}
+    assert got == {"2024-01-01": 7, "2024-01-02": 9}
