@@ -52,7 +52,7 @@ BLOCK_BYTES = 40 << 20
 #: Input partitions whose units are folded together.
 TOGETHER = 64
 #: Partitions of units for one of ``spark.sql.shuffle.partitions``: a unit has ten edges and more, which are sorted.
-FINER = 3
+FINER = 2
 #: Ids that are handed on together.
 _HANDED = 1 << 20
 
@@ -267,7 +267,7 @@ def _unit_rows(docs: DataFrame, block_bytes: int) -> DataFrame:
                     [pa.array(np.full(n, together, np.int32)), pa.array(np.full(n, block)), part.cast(pa.int32()), names.take(part).cast(pa.string())],
                     names=["together", "block", "number", "unit"],
                 )
-            del names, order, part  # before the next block is built
+            names = order = part = None  # before the next block is built
             W.release()
 
     return docs.select("text").mapInArrow(run, "together int, block bigint, number int, unit string")

@@ -1,7 +1,10 @@
 """The pipeline: its stages one after the other against their operators' decisions."""
 
+import hashlib
+
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pathlight.llm import decontaminate, simhash, substrings, toxicity
@@ -30,9 +33,35 @@ def test_stages_take_effect(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = {r["doc_id"]: library.encode(r["text"] or "") for r in docs.collect()}
     assert {r["doc_id"]: list(r["ids"]) for r in five.collect()} == want
+    text = {r["doc_id"]: hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in docs.collect()}
+    assert {r["doc_id"]: r["decoded_sha256"] for r in five.collect()} == text
 
 
 def test_run(spark):
     kept = corpus_pipeline.run(spark, SF)
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert 0 < kept.count() < n and kept.columns == ["doc_id", "lang", "source", "n_bytes", "ids"]
+    assert 0 < kept.count() < n and kept.columns == ["doc_id", "lang", "source", "n_bytes", "ids", "decoded_sha256"]
+
+
+def test_odd_rows(spark):
+    """Empty, null, repeated and clashing rows go through all stages, one after the other."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("doc_id", "text", "lang", "source", "n_chars")
+    twice = docs.orderBy("doc_id").limit(3)
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "no id", "en", "s", 5), (900_001, "", "en", "s", 0), (900_002, None, "en", None, None)], docs.schema)
+    docs = docs.unionByName(twice).unionByName(odd)
+    for name in ("row", "ids", "n_bytes", "score"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF).cache()
+        if k == 0:  # a model of so few rows may reject any of them; the others go on with all
+            assert out.columns == docs.columns and out.count() <= docs.count()
+            continue
+        if k < 4:
+            assert out.columns == docs.columns, name
+            assert out.where("doc_id is null").count() == 2, name
+        docs = out
+    ids = [r["doc_id"] for r in docs.collect()]
+    assert len(ids) == len(set(ids)) + 1 and None in ids
+    empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).isEmpty()
