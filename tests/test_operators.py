@@ -77,26 +77,26 @@ def test_incidents_measure_from_the_first_event(spark):
 def planted(spark):
     """A week of quiet announcements with one anomaly of each kind."""
     rows, rib = [], []
-    quiet = {"197.155.64.0/22": [174, 37100], "197.248.0.0/16": [174, 37300], "102.64.0.0/12": [3320, 36800], "196.60.0.0/18": [174, 37500], "197.32.0.0/13": [174, 37600]}
+    quiet = {"41.72.96.0/22": [1740, 29100], "105.16.0.0/16": [1740, 29300], "154.64.0.0/12": [6320, 28800], "129.140.0.0/18": [1740, 29500], "156.32.0.0/13": [1740, 29600]}
     peers = [(peer, f"rrc{peer % 2}") for peer in range(1, 9)]
     for hour in range(0, 168, 6):
         for prefix, path in quiet.items():
             for peer, collector in peers[:4] if hour % 12 else peers:
                 rows.append(element(hour * 60 + peer, "A", prefix, [peer, *path], peer, collector))
             for peer, collector in peers:
-                if not (prefix == "197.32.0.0/13" and hour == 156) or peer <= 2:
+                if not (prefix == "156.32.0.0/13" and hour == 156) or peer <= 2:
                     rib.append((T0 + timedelta(hours=hour), collector, peer, prefix, path[-1], len(path)))
     for peer, collector in peers:
-        rows.append(element(81 * 60 + peer, "A", "197.155.64.0/22", [peer, 174, 45090], peer, collector))
-        rows.append(element(134 * 60 + peer, "A", "197.248.160.0/20", [peer, 174, 37300], peer, collector))
-        rows.append(element(107 * 60 + peer, "A", "102.64.0.0/12", [3320, 36800, 174, 36700], peer, collector))
-        rows += [element(146 * 60 + k, "A", "196.60.0.0/18", [peer, 174, 37500], peer, collector) for k in range(25)]
+        rows.append(element(75 * 60 + peer, "A", "41.72.96.0/22", [peer, 1740, 51090], peer, collector))
+        rows.append(element(128 * 60 + peer, "A", "105.16.160.0/20", [peer, 1740, 29300], peer, collector))
+        rows.append(element(101 * 60 + peer, "A", "154.64.0.0/12", [6320, 28800, 1740, 28700], peer, collector))
+        rows += [element(146 * 60 + k, "A", "129.140.0.0/18", [peer, 1740, 29500], peer, collector) for k in range(25)]
     elements = frame(spark, rows)
     snapshots = spark.createDataFrame(rib, "snapshot_ts timestamp_ntz, collector string, peer_asn bigint, prefix string, origin_asn bigint, as_path_len int")
-    roas = spark.createDataFrame([("197.155.64.0/22", 37100, 22), ("197.248.0.0/16", 37300, 16)], "prefix string, asn bigint, max_len int")
+    roas = spark.createDataFrame([("41.72.96.0/22", 29100, 22), ("105.16.0.0/16", 29300, 16)], "prefix string, asn bigint, max_len int")
     routes = spark.createDataFrame([], "prefix string, asn bigint")
-    rel = spark.createDataFrame([(174, 36800, "p2c"), (3320, 36800, "p2c"), (174, 36700, "p2c"), (3320, 36700, "p2c"), (174, 3320, "p2p")], "as_a bigint, as_b bigint, relationship string")
-    orgs = spark.createDataFrame([(37100, "o1")], "asn bigint, org_id string")
+    rel = spark.createDataFrame([(1740, 28800, "p2c"), (6320, 28800, "p2c"), (1740, 28700, "p2c"), (6320, 28700, "p2c"), (1740, 6320, "p2p")], "as_a bigint, as_b bigint, relationship string")
+    orgs = spark.createDataFrame([(29100, "o1")], "asn bigint, org_id string")
     anycast = spark.createDataFrame([], "prefix string")
     return elements, snapshots, roas, routes, rel, orgs, anycast
 
@@ -106,9 +106,9 @@ def test_every_planted_anomaly_is_found(spark):
     found = detectors.moas(elements, roas, routes, rel, orgs, anycast)
     for more in (detectors.subprefix(elements, roas, routes), detectors.route_leaks(elements, rel), detectors.churn_spikes(elements), detectors.visibility_drops(rib, elements)):
         found = found.unionByName(more)
-    truth = [("197.155.64.0/22", 81), ("197.248.160.0/20", 134), ("102.64.0.0/12", 107), ("196.60.0.0/18", 146), ("197.32.0.0/13", 156)]
+    truth = [("41.72.96.0/22", 75), ("105.16.160.0/20", 128), ("154.64.0.0/12", 101), ("129.140.0.0/18", 146), ("156.32.0.0/13", 156)]
     days = spark.createDataFrame([(p, (T0 + timedelta(hours=h)).date()) for p, h in truth], "prefix string, day date")
-    asns = spark.createDataFrame([(37100, "KE", True)], "asn bigint, country_iso2 string, is_african boolean")
+    asns = spark.createDataFrame([(29100, "KE", True)], "asn bigint, country_iso2 string, is_african boolean")
     events = detectors.finish(found, asns).cache()
     assert incidents.recall(days, events).first()["recall"] == 1.0
     assert {r["detector"] for r in events.select("detector").collect()} == {"moas", "subprefix", "valley_free", "churn_spike", "visibility_drop"}
