@@ -336,6 +336,87 @@ def test_licenses(spark):
     assert got == {1: (1, "mit"), 2: (1, "apache"), 3: (0, ""), 4: (0, ""), 5: (0, ""), 6: (1, "gpl")}
 
 
+AGPL = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU Affero General Public License\n as published by the Free Software Foundation, either version 3\n"
+BSD = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+
+
+def license_texts():
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    plain = [say(n) for n in (1, 24, 25, 36, 37, 90)] + ["", None, " \n\r\n ", "***\n\n***"]
+    return plain + [say(300) + "\n" + AGPL + "\n" + say(30), "MIT License\nCopyright (c) " + say(4), say(50) + "\n\nMIT License\n\n" + say(3), BSD, "dual: released under the MIT License or licensed under the Apache License, Version 2.0, " + say(9), say(6000) + " Released under the ISC License " + say(2000)]
+
+
+def test_licenses_in_wrapped_long_and_odd_texts(spark, docs):
+    texts = license_texts()
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(12, texts[12], "x"), (None, texts[13], "x")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, families string")
+    got = collections.defaultdict(list)
+    for r in licenses.license_report(table).collect():
+        got[r["doc_id"]].append((r["n_paragraphs"], r["families"]))
+    assert [got[i][0][1] for i in range(10, 16)] == ["agpl", "mit", "mit", "bsd", "apache,mit", "isc"]
+    assert all(not got[i][0][1] for i in range(10)) and [got[i][0][0] for i in range(6, 10)] == [0, 0, 0, 0]
+    assert got[10][0][0] == 2 and got[12] == [(3, "mit")] * 2 and got[None] == [(1, "bsd")]
+    assert licenses.license_report(empty(spark)).isEmpty()
+    assert licenses.license_report(docs).count() == docs.count()
+    models = [licenses.fit_on(docs.repartition(n)).weights for n in (1, 7)]
+    assert (models[0] == models[1]).all()
+
+
+def test_licenses_against_brute_force(spark):
+    """Paragraphs, windows, sums of weights and shingles, one by one in plain Python."""
+    model = licenses.fit([])
+    texts = license_texts()
+
+    def bucket(gram):
+        data = np.frombuffer(" ".join(gram).encode(), np.uint8)
+        starts, ends, _ = words.split(data, np.array([0, len(data)]), words.NOT_ALNUM)
+        return int(words.window_hashes(words.hash_words(data, starts, ends), len(gram))[0] >> np.uint64(48))
+
+    def windows_of(w):
+        out, at = [], 0
+        while True:
+            out.append((at, min(at + licenses.WINDOW, len(w))))
+            if at + licenses.WINDOW >= len(w):
+                return out
+            at += licenses.STEP
+
+    def brute(text):
+        found, n = [], 0
+        for part in re.split(r"\n(?:\s*\n)+", text or ""):
+            lines = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), x)) for x in part.split("\n")]
+            whole = [w for x in lines for w in x]
+            if not whole:
+                continue
+            spans, at = set(windows_of(whole)), 0
+            for x in lines:
+                spans |= {(a + at, b + at) for a, b in windows_of(x)} if x else set()
+                at += len(x)
+            best = {}
+            for a, b in spans:
+                grams = [bucket(whole[i : i + k]) for k in (1, 2, 3) for i in range(a, b - k + 1)]
+                z = model.weights[grams].astype(float).sum(0) / max(len(grams), 1) ** 0.5 + model.bias
+                p = 1 / (1 + np.exp(z[-1] - z[:-1]))
+                near = whole[max(0, a - licenses.STEP) : b + licenses.STEP]
+                own = {tuple(near[i : i + 3]) for i in range(max(1, len(near) - 2))} | ({tuple(whole[a:b])} if b - a < 3 else set())
+                held = {}
+                for f, templates in licenses.TEMPLATES.items():
+                    for t in templates:
+                        if len(own & t) >= licenses.CONFIRM * len(t) and (len(own & t) / len(t), len(own & t)) > held.get(f, (0, 0, 0))[:2]:
+                            held[f] = (len(own & t) / len(t), len(own & t), own & t)
+                for c, f in enumerate(licenses.FAMILIES):
+                    if p[c] >= model.least[c] and f in held and not any(held[f][2] < x[2] for x in held.values()):
+                        best[f] = max(best.get(f, 0), p[c])
+            found += [(n, f, pytest.approx(x)) for f, x in sorted(best.items())]
+            n += 1
+        return n, found
+
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()
+    got = {r["doc_id"]: (r["n_paragraphs"], [(x["paragraph"], x["family"], x["probability"]) for x in r["found"]]) for r in rows}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert sum(len(x[1]) for x in got.values()) >= 6
+
+
 def page(body, nav="<ul><li><a href=/a>A</a></li></ul>"):
     return f'<!DOCTYPE html><html><head><title>t</title><script>var x="</p>";</script></head><body><nav>{nav}</nav><div class="ad">Buy now</div>{body}<footer>&copy; all</footer></body></html>'
 
