@@ -365,8 +365,8 @@ def test_licenses_in_wrapped_long_and_odd_texts(spark, docs):
 
 def test_licenses_against_brute_force(spark):
     """Paragraphs, windows, sums of weights and shingles, one by one in plain Python."""
-    model = licenses.fit([])
     texts = license_texts()
+    model = licenses.fit([t for t in texts[:6] for _ in range(20)])
 
     def bucket(gram):
         data = np.frombuffer(" ".join(gram).encode(), np.uint8)
