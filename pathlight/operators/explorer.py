@@ -32,19 +32,66 @@ def _with_presence(rows: DataFrame, keys: list[str], calendar: DataFrame) -> Dat
     return out.select(*keys, F.array_min("seen").alias("first_day"), F.array_max("seen").alias("last_day"), F.size("seen").alias("n_days"), windows.presence(F.col("seen"), F.col("days")).alias("status"))
 
 
-def asn_list(elements: DataFrame, asns: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
-    """Origins with their prefixes and updates, most updates first."""
-    each = elements.where("origin_asn is not null").groupBy(F.col("origin_asn").alias("asn")).agg(F.count_distinct("prefix").alias("prefixes"), F.count(F.lit(1)).alias("updates"))
-    out = each.join(asns.select("asn", "country_iso2"), "asn", "left")
-    return out.orderBy(F.desc("updates"), "asn").offset(offset).limit(min(limit, 500))
+def _page(rows: DataFrame, order: list, limit: int, offset: int, total: bool) -> DataFrame:
+    """One page of at most 500 rows; with ``total``, each has the number of all rows."""
+    page = rows.orderBy(*order).offset(offset).limit(min(limit, 500))
+    return page.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))) if total else page  # one row
 
 
-def prefix_list(elements: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
-    """Prefixes by updates, with the origin seen most and the number of origins."""
-    rows = elements.where("elem_type <> 'R'").groupBy("prefix").agg(
-        F.count(F.lit(1)).alias("updates"), metrics.smallest_mode("origin_asn").alias("origin_asn"), F.count_distinct("origin_asn").alias("origins"), F.max("ts").alias("last_seen")
+def asn_list(
+    elements: DataFrame, asns: DataFrame, limit: int = 25, offset: int = 0, country: str | None = None, african_only: bool = False, text: str | None = None, total: bool = False
+) -> DataFrame:
+    """Origins with their prefixes and updates, most updates first; ``text`` may stand anywhere in the number."""
+    rows, known = elements.where("origin_asn is not null"), asns.select("asn", "country_iso2", "is_african")
+    if text is not None:
+        rows = rows.where(F.contains(F.col("origin_asn").cast("string"), F.lit(text)))
+    each = rows.groupBy(F.col("origin_asn").alias("asn")).agg(F.count_distinct("prefix").alias("prefixes"), F.count(F.lit(1)).alias("updates"))
+    if country is not None:
+        known = known.where(F.col("country_iso2") == country)
+    if african_only:
+        known = known.where("is_african")
+    out = each.join(known, "asn", "left" if country is None and not african_only else "inner").withColumn("is_african", F.coalesce("is_african", F.lit(False)))
+    return _page(out, [F.desc("updates"), "asn"], limit, offset, total)
+
+
+def asn_details(page: DataFrame, upstreams: DataFrame, events: DataFrame) -> DataFrame:
+    """A page of AS numbers with their transit and their number of events.
+
+    The main upstream is that of the window with the most observations, the later of equals. An AS without transit
+    has nulls, one without events zero.
+    """
+    held = upstreams.withColumnRenamed("origin_asn", "asn").join(F.broadcast(page.select("asn")), "asn", "left_semi")  # at most 500 rows
+    transit = held.groupBy("asn").agg(
+        F.max("upstream_count").alias("upstream_count"), F.max_by("primary_upstream", F.struct("observations", "window_start")).alias("primary_upstream"), F.avg("hhi_transit").alias("hhi_transit")
+    )
+    open_events = events.select(F.explode(F.array_distinct("asns")).alias("asn")).groupBy("asn").agg(F.count(F.lit(1)).alias("open_events"))
+    return page.join(transit, "asn", "left").join(open_events, "asn", "left").fillna(0, ["open_events"]).orderBy(F.desc("updates"), "asn")
+
+
+def prefix_list(elements: DataFrame, limit: int = 25, offset: int = 0, text: str | None = None, origin_asn: int | None = None, total: bool = False) -> DataFrame:
+    """Prefixes by updates, with the origin seen most and the number of origins; ``text`` begins the prefix."""
+    held = elements.where("elem_type <> 'R'")
+    if text is not None:
+        held = held.where(F.startswith("prefix", F.lit(text)))
+    if origin_asn is not None:
+        held = held.where(F.col("origin_asn") == origin_asn)
+    rows = held.groupBy("prefix").agg(F.count(F.lit(1)).alias("updates"), metrics.smallest_mode("origin_asn").alias("origin_asn"), F.count_distinct("origin_asn").alias("origins"), F.max("ts").alias("last_seen"))
+    return _page(rows, [F.desc("updates"), "prefix"], limit, offset, total)
+
+
+def prefix_details(page: DataFrame, visibility: DataFrame) -> DataFrame:
+    """A page of prefixes with their mean visibility, null where no snapshot has them."""
+    held = visibility.join(F.broadcast(page.select("prefix")), "prefix", "left_semi")  # at most 500 rows
+    return page.join(held.groupBy("prefix").agg(F.avg("visibility_ratio").alias("visibility")), "prefix", "left").orderBy(F.desc("updates"), "prefix")
+
+
+def countries(country_metrics: DataFrame, rpki: DataFrame) -> DataFrame:
+    """Means of the countries' indicators over all windows, with the share of announced prefixes that are valid."""
+    rows = country_metrics.groupBy("country_iso2").agg(
+        F.avg("transit_dependency_ratio").alias("transit_dependency_ratio"), F.avg("avg_hhi").alias("hhi_transit"), F.avg("avg_upstreams").alias("avg_upstreams"),
+        F.max("asns").alias("asns"), F.avg("visibility").alias("visibility"), F.avg("coverage_ratio").alias("coverage_ratio"),
     )
-    return rows.where("updates > 0").orderBy(F.desc("updates"), "prefix").offset(offset).limit(min(limit, 500))
+    return rows.join(rpki.select("country_iso2", F.col("valid_ratio").alias("rpki_coverage_ratio")), "country_iso2", "left")
 
 
 def prefix_card(elements: DataFrame, prefix: str) -> DataFrame:

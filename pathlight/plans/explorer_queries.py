@@ -11,7 +11,7 @@ from . import projection as p
 from .metric_queries import ADJ, NET, _DAYS, _VIS
 from .projection import CTE
 from .reference_queries import REL
-from .registry import query
+from .registry import ORACLES, query
 
 _NAMED = "CASE relation WHEN 'up' THEN 'provider' WHEN 'down' THEN 'customer' WHEN 'peer' THEN 'peer' ELSE 'unknown' END"
 _STATUS = "CASE WHEN regexp_matches(s, '^1*$') THEN 'stable' WHEN regexp_matches(s, '10+1') THEN 'unstable' WHEN regexp_matches(s, '^0+1+$') THEN 'new' WHEN regexp_matches(s, '^1+0+$') THEN 'left' ELSE 'unstable' END"
@@ -35,7 +35,22 @@ def q4(spark, d):
 
 @query("q5_asn_list", CTE + " SELECT o.origin_asn AS asn, count(DISTINCT prefix) AS prefixes, count(*) AS updates, any_value(a.country_iso2) AS country_iso2 FROM obs o LEFT JOIN ref_asn a ON a.asn = o.origin_asn WHERE o.origin_asn IS NOT NULL GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10 OFFSET 1")
 def q5(spark, d):
-    return explorer.asn_list(p.elements(spark, d), p.asns(spark, d), 10, 1)
+    return explorer.asn_list(p.elements(spark, d), p.asns(spark, d), 10, 1).drop("is_african")
+
+
+_TRANSIT = """, t0 AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, origin_asn, path[len(path) - 1] AS u, count(*) AS n FROM obs WHERE elem_type = 'A' AND len(path) >= 2 GROUP BY 1, 2, 3),
+ t1 AS (SELECT *, n / sum(n) OVER (PARTITION BY w, origin_asn) AS s FROM t0), t2 AS (SELECT w, origin_asn, count(*) AS k, arg_max(u, (n, -u)) AS main, sum(s * s) AS hhi, sum(n) AS n FROM t1 GROUP BY 1, 2),
+ t3 AS (SELECT origin_asn AS asn, max(k) AS upstream_count, arg_max(main, (n, w)) AS primary_upstream, round(avg(hhi), 6) AS hhi_transit FROM t2 GROUP BY 1)"""
+
+
+@query("q5_asn_page", CTE + _TRANSIT + """, base AS (SELECT o.origin_asn AS asn, a.country_iso2, a.is_african, count(DISTINCT prefix) AS prefixes, count(*) AS updates FROM obs o LEFT JOIN ref_asn a ON a.asn = o.origin_asn WHERE o.origin_asn IS NOT NULL AND a.is_african AND CAST(o.origin_asn AS VARCHAR) LIKE '%0%' GROUP BY 1, 2, 3),
+ ev AS (SELECT asn, count(*) AS n FROM (SELECT unnest([100 + o_orderkey % 7, 80 + o_orderkey % 4]) AS asn FROM orders) GROUP BY 1)
+ SELECT b.*, (SELECT count(*) FROM base) AS total, upstream_count, primary_upstream, hhi_transit, coalesce(ev.n, 0) AS open_events FROM (SELECT * FROM base ORDER BY updates DESC, asn LIMIT 50) b LEFT JOIN t3 USING (asn) LEFT JOIN ev USING (asn)""")
+def q5b(spark, d):
+    e = p.elements(spark, d)
+    page = explorer.asn_list(e, p.asns(spark, d), 50, african_only=True, text="0", total=True)
+    events = spark.read.parquet(f"{d}/orders.parquet").select(F.array(100 + F.col("o_orderkey") % 7, 80 + F.col("o_orderkey") % 4).alias("asns"))
+    return explorer.asn_details(page, metrics.upstreams(e, "1d"), events).withColumn("hhi_transit", F.round("hhi_transit", 6))
 
 
 @query("q6_asn_card", CTE + " SELECT prefix, CAST(count(*) FILTER (WHERE elem_type = 'A') AS BIGINT) AS announcements, count(DISTINCT peer_asn) AS peers, max(ts) AS last_seen FROM obs WHERE origin_asn = 105 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
@@ -49,6 +64,13 @@ def q7(spark, d):
     return explorer.prefix_list(p.elements(spark, d))
 
 
+@query("q7_prefix_page", CTE + _VIS + """, base AS (SELECT prefix, min(origin_asn) AS origin_asn, count(*) AS updates, count(DISTINCT origin_asn) AS origins, max(ts) AS last_seen FROM obs WHERE elem_type <> 'R' AND origin_asn = 105 AND prefix LIKE '197.%' GROUP BY 1)
+ SELECT b.*, (SELECT count(*) FROM base) AS total, round(v.visibility, 6) AS visibility FROM (SELECT * FROM base ORDER BY updates DESC, prefix LIMIT 50) b LEFT JOIN (SELECT prefix, avg(visibility_ratio) AS visibility FROM vis GROUP BY 1) v USING (prefix)""")
+def q7b(spark, d):
+    page = explorer.prefix_list(p.elements(spark, d), 50, 0, "197.", 105, total=True)
+    return explorer.prefix_details(page, metrics.visibility(p.rib(spark, d), p.roles(spark, d))).withColumn("visibility", F.round("visibility", 6))
+
+
 @query("q8_prefix_card", CTE + ", r AS (SELECT origin_asn, array_to_string(path, ' ') AS t, count(*) AS n, count(*) FILTER (WHERE true) AS m FROM obs WHERE prefix = '197.32.0.0/12' AND origin_asn IS NOT NULL GROUP BY 1, 2), t AS (SELECT origin_asn, count(*) AS paths, arg_max(t, (n, t)) AS main_path FROM r GROUP BY 1) SELECT o.origin_asn, count(*) AS observations, count(DISTINCT peer_asn) AS peers, min(ts) AS first_seen, max(ts) AS last_seen, any_value(main_path) AS main_path, any_value(paths) AS paths FROM obs o JOIN t ON t.origin_asn = o.origin_asn WHERE prefix = '197.32.0.0/12' GROUP BY 1")
 def q8(spark, d):
     return explorer.prefix_card(p.elements(spark, d), "197.32.0.0/12")
@@ -65,6 +87,14 @@ def q9(spark, d):
     return vis.groupBy("country_iso2").agg(F.round(F.avg("visibility_ratio"), 6).alias("visibility"), F.max("peers_total").alias("peers"), F.count(F.lit(1)).alias("snapshots"))
 
 
+@query("q9_country_indicators", f"""SELECT c.country_iso2, round(avg(transit_dependency_ratio), 4) AS transit_dependency_ratio, round(avg(avg_hhi), 4) AS hhi_transit, round(avg(avg_upstreams), 4) AS avg_upstreams, max(asns) AS asns, round(avg(visibility), 4) AS visibility,
+ round(avg(coverage_ratio), 4) AS coverage_ratio, round(any_value(r.valid_ratio), 4) AS rpki_coverage_ratio FROM ({ORACLES['m6_country']}) c LEFT JOIN ({ORACLES['m8_rpki_coverage']}) r ON r.country_iso2 = c.country_iso2 GROUP BY 1""")
+def q9b(spark, d):
+    e, a = p.elements(spark, d), p.asns(spark, d)
+    rows = explorer.countries(metrics.country(e, p.rib(spark, d), a, p.roles(spark, d), "1d"), metrics.rpki_coverage(e, a, p.roas(spark, d)))
+    return rows.withColumns({c: F.round(c, 4) for c in ("transit_dependency_ratio", "hhi_transit", "avg_upstreams", "visibility", "coverage_ratio", "rpki_coverage_ratio")})
+
+
 @query("q10_search", CTE + " SELECT kind, value FROM (SELECT 'asn' AS kind, CAST(asn AS VARCHAR) AS value FROM ref_asn UNION SELECT 'prefix', prefix FROM obs UNION SELECT 'country', country_iso2 FROM ref_asn) WHERE value LIKE '1%' ORDER BY 1, 2 LIMIT 20")
 def q10(spark, d):
     return explorer.search(p.asns(spark, d), p.elements(spark, d), "1")
