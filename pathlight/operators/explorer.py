@@ -231,6 +231,19 @@ def overview(elements: DataFrame, days: int = 7) -> DataFrame:
     return rows.agg(F.count_distinct("prefix").alias("prefixes"), F.count_distinct("origin_asn").alias("asns"), F.count_if(F.col("elem_type") != "R").alias("updates"))
 
 
+def overview_facts(elements: DataFrame, asns: DataFrame, visibility: DataFrame, events: DataFrame, days: int = 7, limit: int = 10) -> DataFrame:
+    """(part, name, value) beside ``overview``: African countries, median visibility, events of the trailing window by
+    severity and detector, and the prefixes with the most updates in it with their origins and withdrawals."""
+    last = F.broadcast(elements.agg((F.max("ts") - F.expr(f"interval {days} days")).alias("since")))  # one row
+    countries = asns.where("is_african").agg(F.count_distinct("country_iso2").cast("double").alias("value")).select(F.lit("countries").alias("part"), F.lit("").alias("name"), "value")
+    median = visibility.agg(F.median("visibility_ratio").alias("value")).select(F.lit("median_visibility").alias("part"), F.lit("").alias("name"), "value")
+    found = facets(events.join(last).where("first_seen >= since"), "severity", "detector").select(F.concat(F.lit("events_by_"), "facet").alias("part"), F.col("value").alias("name"), F.col("n").cast("double").alias("value"))
+    rows = elements.join(last).where("ts >= since and elem_type <> 'R'").groupBy("prefix").agg(F.count(F.lit(1)).alias("updates"), F.count_distinct("origin_asn").alias("origins"), F.count_if(F.col("elem_type") == "W").alias("withdrawals"))
+    top = rows.orderBy(F.desc("updates"), "prefix").limit(limit)
+    parts = F.array(*[F.struct(F.lit(f"top_{c}").alias("part"), F.col("prefix").alias("name"), F.col(c).cast("double").alias("value")) for c in ("updates", "origins", "withdrawals")])
+    return countries.unionByName(median).unionByName(found).unionByName(top.select(F.inline(parts)))
+
+
 def collectors(configured: DataFrame, coverage: DataFrame) -> DataFrame:
     """Configured collectors (collector, role) with their ingested files and bytes."""
     held = coverage.groupBy("collector").agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))

@@ -223,6 +223,17 @@ def q29(spark, d):
     return explorer.event_list(_events(spark, d), ["moas", "bogon"], ["critical"], min_score=0.7).limit(100)
 
 
+@query("q3_overview_facts", CTE + _VIS + f""", e AS (SELECT * REPLACE (first_seen + INTERVAL 9000 DAY AS first_seen) FROM ({_EV})), since AS (SELECT max(ts) - INTERVAL 7 DAY AS s FROM obs), recent AS (SELECT * FROM e WHERE first_seen >= (SELECT s FROM since)),
+ top AS (SELECT prefix, CAST(count(*) AS DOUBLE) AS u, CAST(count(DISTINCT origin_asn) AS DOUBLE) AS o, CAST(count(*) FILTER (WHERE elem_type = 'W') AS DOUBLE) AS w FROM obs WHERE ts >= (SELECT s FROM since) AND elem_type <> 'R' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+ SELECT 'countries' AS part, '' AS name, CAST(count(DISTINCT country_iso2) AS DOUBLE) AS value FROM ref_asn WHERE is_african UNION ALL SELECT 'median_visibility', '', median(visibility_ratio) FROM vis
+ UNION ALL SELECT 'events_by_severity', severity, count(*) FROM recent GROUP BY 2 UNION ALL SELECT 'events_by_detector', detector, count(*) FROM recent GROUP BY 2
+ UNION ALL SELECT 'top_updates', prefix, u FROM top UNION ALL SELECT 'top_origins', prefix, o FROM top UNION ALL SELECT 'top_withdrawals', prefix, w FROM top""")
+def q3b(spark, d):
+    e, events = p.elements(spark, d), _events(spark, d)
+    events = events.withColumn("first_seen", F.col("first_seen") + F.expr("interval 9000 days"))  # around the elements' time
+    return explorer.overview_facts(e, p.asns(spark, d), metrics.visibility(p.rib(spark, d), p.roles(spark, d)), events)
+
+
 @query("q30_event_facets", f"WITH e AS ({_EV}) SELECT 'detector' AS facet, detector AS value, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM e GROUP BY 2")
 def q30(spark, d):
     return explorer.facets(_events(spark, d), "detector", "severity")
