@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, licenses, lines, ngrams, pages, pieces, simhash, substrings, tokens, toxicity
+from . import decontaminate, divergence, licenses, lines, ngrams, pages, pieces, resampling, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(found)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -67,6 +75,8 @@ def queries() -> dict:
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
+        "op12_resampling": op12_resampling,
+        "op13_divergence": op13_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -133,6 +143,55 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM d LEFT JOIN h ON d.rid = h.rid LEFT JOIN t ON d.rid = t.rid
 """
 
+OP12_SQL = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY b) AS t
+  FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+d AS (
+  SELECT part, row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT 's' AS part, doc_id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark)),
+f AS (
+  SELECT part, rid, unnest(w) AS f FROM d
+  UNION ALL SELECT part, rid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d),
+n AS (SELECT part, rid, f, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+y AS (SELECT f, list_transform(range(1, len(h), 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[i]) - 1) + strpos('0123456789ABCDEF', h[i + 1]) - 1) AS y FROM h),
+b AS (SELECT f, xor(list_reduce(list_prepend(4294967295, y), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b FROM y, tab),
+m AS (SELECT part, rid, b, n FROM n JOIN b ON n.f = b.f),
+c AS (SELECT b, coalesce(sum(n) FILTER (WHERE part = 's'), 0) AS s, coalesce(sum(n) FILTER (WHERE part = 't'), 0) AS t FROM m GROUP BY b),
+z AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+g AS (SELECT b, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM c, z),
+q AS (SELECT rid, sum(n) AS n, CAST(floor(CAST(sum(n * g) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM m JOIN g ON m.b = g.b WHERE part = 's' GROUP BY rid),
+r AS (
+  SELECT doc_id, CAST(coalesce(q.n, 0) AS BIGINT) AS n_features, coalesce(q.weight, 0) AS weight, len(w) >= 20 AS chance,
+         coalesce(q.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN q ON d.rid = q.rid WHERE part = 's'),
+o AS (SELECT *, row_number() OVER (PARTITION BY chance ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER (PARTITION BY chance) // 100 AS wanted FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN chance AND place <= wanted THEN place END AS rank FROM o
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(list_filter(string_split_regex(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (WHERE k.term IS NOT NULL), 0) AS n
+      FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 2) // (s.n + 2 * v.v) AS p,
+             1 + 1000000000 * (k.n + 2) // (v.n + 2 * v.v) AS q
+      FROM s JOIN k ON s.lang = k.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM y)
+SELECT lang, source, part, item, value, rank FROM z WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": OP2_SQL, "op3_quality": OP3_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_substrings": OP2_SQL, "op3_quality": OP3_SQL, "op10_decontamination": OP10_SQL, "op12_resampling": OP12_SQL, "op13_divergence": OP13_SQL}

@@ -172,3 +172,22 @@ def sliding(values: np.ndarray, size: int, reduce=np.minimum) -> np.ndarray:
         length *= 2
     rest = size - length
     return reduce(power[: len(values) - size + 1], power[rest:]) if rest else power
+
+
+#: Bytes of a text split into words at once.
+SLICE_BYTES = 1 << 20
+
+
+def lists_of_words(text: str | None, table: bytes, slice_bytes: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``slice_bytes`` of text; ``table`` maps each separator to a space."""
+    data, at = (text or "").encode().translate(table), 0
+    while at < len(data):
+        end = data.find(b" ", at + slice_bytes)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end
+
+
+def word_table(separators: np.ndarray) -> bytes:
+    """For ``lists_of_words``: A-Z to a-z, separators to spaces."""
+    return np.where(separators[LOWER], 32, LOWER).astype(np.uint8).tobytes()
