@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, divergence, licenses, lines, ngrams, pages, pieces, resampling, simhash, substrings, tokens, toxicity
+from . import decontaminate, divergence, languages, licenses, lines, ngrams, pages, pieces, resampling, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(found)
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_report(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op8_html": op8_html,
         "op9_simhash": op9_simhash,
         "op10_decontamination": op10_decontamination,
+        "op11_languages": op11_languages,
         "op12_resampling": op12_resampling,
         "op13_divergence": op13_divergence,
         "pipeline": corpus_pipeline.run,
