@@ -1,7 +1,7 @@
 """Read queries over elements, daily summaries, metrics and events: one function, one lazy DataFrame.
 
-Tables of prefixes and neighbours read daily summaries, stored or computed (``summaries.choose``); both give
-the same rows.
+Lists and tables of prefixes, AS numbers and neighbours read daily tables, stored or computed
+(``store.Store.table``); both give the same rows.
 """
 
 from __future__ import annotations
@@ -38,14 +38,22 @@ def _page(rows: DataFrame, order: list, limit: int, offset: int, total: bool) ->
     return page.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total")))) if total else page  # one row
 
 
+def of_family(rows: DataFrame, ip_version: int | None) -> DataFrame:
+    """Rows of one address family, of both where it is None."""
+    return rows if ip_version is None else rows.where(F.col("ip_version") == ip_version)
+
+
 def asn_list(
-    elements: DataFrame, asns: DataFrame, limit: int = 25, offset: int = 0, country: str | None = None, african_only: bool = False, text: str | None = None, total: bool = False
+    daily: DataFrame, asns: DataFrame, limit: int = 25, offset: int = 0, country: str | None = None, african_only: bool = False, text: str | None = None, total: bool = False
 ) -> DataFrame:
-    """Origins with their prefixes and updates, most updates first; ``text`` may stand anywhere in the number."""
-    rows, known = elements.where("origin_asn is not null"), asns.select("asn", "country_iso2", "is_african")
+    """Origins with their prefixes and updates, most updates first; ``text`` may stand anywhere in the number.
+
+    ``daily``: the daily table of prefixes and origins.
+    """
+    rows, known = daily.where("origin_asn is not null"), asns.select("asn", "country_iso2", "is_african")
     if text is not None:
         rows = rows.where(F.contains(F.col("origin_asn").cast("string"), F.lit(text)))
-    each = rows.groupBy(F.col("origin_asn").alias("asn")).agg(F.count_distinct("prefix").alias("prefixes"), F.count(F.lit(1)).alias("updates"))
+    each = rows.groupBy(F.col("origin_asn").alias("asn")).agg(F.count_distinct("prefix").alias("prefixes"), F.sum(F.col("announcements") + F.col("withdrawals") + F.col("rib_rows")).alias("updates"))
     if country is not None:
         known = known.where(F.col("country_iso2") == country)
     if african_only:
@@ -68,14 +76,20 @@ def asn_details(page: DataFrame, upstreams: DataFrame, events: DataFrame) -> Dat
     return page.join(transit, "asn", "left").join(open_events, "asn", "left").fillna(0, ["open_events"]).orderBy(F.desc("updates"), "asn")
 
 
-def prefix_list(elements: DataFrame, limit: int = 25, offset: int = 0, text: str | None = None, origin_asn: int | None = None, total: bool = False) -> DataFrame:
-    """Prefixes by updates, with the origin seen most and the number of origins; ``text`` begins the prefix."""
-    held = elements.where("elem_type <> 'R'")
+def prefix_list(daily: DataFrame, limit: int = 25, offset: int = 0, text: str | None = None, origin_asn: int | None = None, ip_version: int | None = None, least_updates: int = 1, total: bool = False) -> DataFrame:
+    """Prefixes by updates, with the origin seen most (the smallest of several) and the number of origins; ``text``
+    begins the prefix. Prefixes with fewer updates than asked are left out once they are counted.
+
+    ``daily``: the daily table of prefixes and origins, in detail.
+    """
+    held = of_family(daily, ip_version).where("announcements + withdrawals > 0")
     if text is not None:
         held = held.where(F.startswith("prefix", F.lit(text)))
     if origin_asn is not None:
         held = held.where(F.col("origin_asn") == origin_asn)
-    rows = held.groupBy("prefix").agg(F.count(F.lit(1)).alias("updates"), metrics.smallest_mode("origin_asn").alias("origin_asn"), F.count_distinct("origin_asn").alias("origins"), F.max("ts").alias("last_seen"))
+    each = held.groupBy("prefix", "origin_asn").agg(F.sum(F.col("announcements") + F.col("withdrawals")).alias("n"), F.max("last_update").alias("at"))
+    main = F.max_by(F.when(F.col("origin_asn").isNotNull(), F.col("origin_asn")), F.when(F.col("origin_asn").isNotNull(), F.struct("n", -F.col("origin_asn"))))
+    rows = each.groupBy("prefix").agg(F.sum("n").alias("updates"), main.alias("origin_asn"), F.count("origin_asn").alias("origins"), F.max("at").alias("last_seen")).where(F.col("updates") >= least_updates)
     return _page(rows, [F.desc("updates"), "prefix"], limit, offset, total)
 
 
@@ -116,15 +130,15 @@ def search(asns: DataFrame, prefixes: DataFrame, text: str, limit: int = 20) ->
     return one.unionByName(two).unionByName(three).where(F.startswith("value", F.lit(text))).orderBy("kind", "value").limit(limit)
 
 
-def prefix_series(daily: DataFrame, origins: DataFrame) -> DataFrame:
-    """Distinct prefixes by day of the given origins (asn), from the daily summary."""
-    own = daily.where("announcements + rib_rows > 0").join(origins.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
+def prefix_series(daily: DataFrame, origins: DataFrame, ip_version: int | None = None) -> DataFrame:
+    """Distinct prefixes by day of the given origins (asn), from the daily table."""
+    own = of_family(daily, ip_version).where("announcements + rib_rows > 0").join(origins.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
     return own.groupBy("day").agg(F.count_distinct("prefix").alias("prefixes"))
 
 
-def prefix_table(daily: DataFrame, origins: DataFrame, roas: DataFrame, routes: DataFrame) -> DataFrame:
+def prefix_table(daily: DataFrame, origins: DataFrame, roas: DataFrame, routes: DataFrame, ip_version: int | None = None) -> DataFrame:
     """Prefixes of the given origins with presence and validity."""
-    own = daily.where("announcements + rib_rows > 0").join(origins.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
+    own = of_family(daily, ip_version).where("announcements + rib_rows > 0").join(origins.select(F.col("asn").alias("origin_asn")), "origin_asn", "left_semi")
     return origin.validate(_with_presence(own, ["prefix", "origin_asn"], daily), roas, routes)
 
 
@@ -141,18 +155,18 @@ def _neighbours(adjacency: DataFrame, members: DataFrame, relations: DataFrame)
     return held.join(kinds, ["asn", "neighbour"], "left").withColumn("kind", named).drop("relation")
 
 
-def neighbour_table(adjacency: DataFrame, members: DataFrame, relations: DataFrame, asns: DataFrame) -> DataFrame:
+def neighbour_table(adjacency: DataFrame, members: DataFrame, relations: DataFrame, asns: DataFrame, ip_version: int | None = None) -> DataFrame:
     """Neighbours of the members with their kind, families, presence and country."""
-    rows = _neighbours(adjacency, members, relations)
+    rows = _neighbours(of_family(adjacency, ip_version), members, relations)
     flags = rows.groupBy("asn", "neighbour").agg(F.max("kind").alias("kind"), F.bool_or(F.col("ip_version") == 4).alias("v4"), F.bool_or(F.col("ip_version") == 6).alias("v6"))
     held = _with_presence(rows, ["asn", "neighbour"], adjacency)
     return flags.join(held, ["asn", "neighbour"]).join(asns.select(F.col("asn").alias("neighbour"), "country_iso2"), "neighbour", "left")
 
 
-def neighbour_series(adjacency: DataFrame, members: DataFrame, relations: DataFrame) -> DataFrame:
+def neighbour_series(adjacency: DataFrame, members: DataFrame, relations: DataFrame, ip_version: int | None = None) -> DataFrame:
     """Distinct (member, neighbour) pairs by day and kind, zero where there are none."""
     kinds = ["provider", "customer", "peer", "unknown"]
-    rows = _neighbours(adjacency, members, relations)
+    rows = _neighbours(of_family(adjacency, ip_version), members, relations)
     return rows.groupBy("day").pivot("kind", kinds).agg(F.count_distinct(F.struct("asn", "neighbour"))).fillna(0, kinds)
 
 

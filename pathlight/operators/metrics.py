@@ -74,17 +74,22 @@ def upstreams(elements: DataFrame, window: str = "1h") -> DataFrame:
     )
 
 
-def coverage(elements: DataFrame, asns: DataFrame) -> DataFrame:
-    """Observed and allocated AS numbers of each African country."""
-    african = asns.where("is_african")
-    seen = elements.where("origin_asn is not null").select(F.col("origin_asn").alias("asn")).distinct().join(african, "asn").groupBy("country_iso2").agg(F.count_distinct("asn").alias("observed_asns"))
+def coverage(elements: DataFrame, asns: DataFrame, by_day: bool = False) -> DataFrame:
+    """Observed and allocated AS numbers of each African country, over all elements or of each day by itself."""
+    african, day = asns.where("is_african"), windows.day(F.col("ts")).alias("day")
+    keys = ["day", "country_iso2"] if by_day else ["country_iso2"]
+    seen = elements.where("origin_asn is not null").select(*[day] * by_day, F.col("origin_asn").alias("asn")).distinct().join(african, "asn").groupBy(*keys).agg(F.count_distinct("asn").alias("observed_asns"))
     total = african.groupBy("country_iso2").agg(F.count_distinct("asn").alias("allocated_asns"))
-    out = total.join(seen, "country_iso2", "left").withColumn("observed_asns", F.coalesce("observed_asns", F.lit(0).cast("bigint")))
+    if by_day:
+        days = elements.agg(F.collect_set(day).alias("days"))  # one row
+        total = total.join(F.broadcast(days)).select("country_iso2", "allocated_asns", F.explode("days").alias("day"))
+    out = total.join(seen, keys, "left").withColumn("observed_asns", F.coalesce("observed_asns", F.lit(0).cast("bigint")))
     return out.withColumn("coverage_ratio", F.col("observed_asns") / F.col("allocated_asns"))
 
 
-def country(elements: DataFrame, rib: DataFrame, asns: DataFrame, roles: DataFrame, window: str = "1h") -> DataFrame:
-    """Transit indicators of African countries by window, with mean visibility and coverage of the country."""
+def country(elements: DataFrame, rib: DataFrame, asns: DataFrame, roles: DataFrame, window: str = "1h", by_day: bool = False) -> DataFrame:
+    """Transit indicators of African countries by window, with mean visibility and coverage of the country: over all
+    rows, or those of the window's day."""
     african = asns.where("is_african")
     up = upstreams(elements, window)
     flags = asns.select(F.col("asn").alias("primary_upstream"), F.col("is_african").alias("upstream_african"))
@@ -93,23 +98,36 @@ def country(elements: DataFrame, rib: DataFrame, asns: DataFrame, roles: DataFra
         F.count_distinct("origin_asn").alias("asns"), F.avg("hhi_transit").alias("avg_hhi"), F.avg("upstream_count").alias("avg_upstreams"),
         (1 - F.avg(F.coalesce("upstream_african", F.lit(False)).cast("int"))).alias("transit_dependency_ratio"),
     )
-    vis = visibility(rib, roles).join(african.select(F.col("asn").alias("origin_asn"), "country_iso2"), "origin_asn").groupBy("country_iso2").agg(F.avg("visibility_ratio").alias("visibility"))
-    return out.join(vis, "country_iso2", "left").join(coverage(elements, asns).select("country_iso2", "coverage_ratio"), "country_iso2", "left")
-
-
-def rpki_coverage(elements: DataFrame, asns: DataFrame, roas: DataFrame) -> DataFrame:
-    """Announced prefixes of each African country by origin validity; a prefix may be in several classes."""
-    pairs = elements.where("elem_type = 'A' and origin_asn is not null").select("prefix", "origin_asn").distinct()
+    keys = ["day", "country_iso2"] if by_day else ["country_iso2"]
+    seen = visibility(rib, roles).join(african.select(F.col("asn").alias("origin_asn"), "country_iso2"), "origin_asn")
+    if by_day:
+        out, seen = out.withColumn("day", windows.day(F.col("window_start"))), seen.withColumn("day", windows.day(F.col("snapshot_ts")))
+    vis = seen.groupBy(*keys).agg(F.avg("visibility_ratio").alias("visibility"))
+    return out.join(vis, keys, "left").join(coverage(elements, asns, by_day).select(*keys, "coverage_ratio"), keys, "left")
+
+
+def rpki_coverage(elements: DataFrame, asns: DataFrame, roas: DataFrame, by_day: bool = False) -> DataFrame:
+    """Announced prefixes of each African country by origin validity, over all elements or of each day by itself; a
+    prefix may be in several classes."""
+    announced = elements.where("elem_type = 'A' and origin_asn is not null")
+    pairs = announced.select("prefix", "origin_asn").distinct()
     rows = origin.validate_rpki(pairs, roas).join(asns.where("is_african").select(F.col("asn").alias("origin_asn"), "country_iso2"), "origin_asn")
+    keys = ["day", "country_iso2"] if by_day else ["country_iso2"]
+    if by_day:
+        rows = announced.select(windows.day(F.col("ts")).alias("day"), "prefix", "origin_asn").distinct().join(rows, ["prefix", "origin_asn"])
     of = lambda s: F.count_distinct(F.when(F.col("rpki_status") == s, F.col("prefix")))
-    out = rows.groupBy("country_iso2").agg(F.count_distinct("prefix").alias("announced"), of("valid").alias("valid"), of("invalid").alias("invalid"), of("not-found").alias("not_found"))
+    out = rows.groupBy(*keys).agg(F.count_distinct("prefix").alias("announced"), of("valid").alias("valid"), of("invalid").alias("invalid"), of("not-found").alias("not_found"))
     return out.withColumn("valid_ratio", F.col("valid") / F.col("announced"))
 
 
-def daily_prefix_origin(elements: DataFrame) -> DataFrame:
-    """Announcements, withdrawals and dump rows by day, prefix and origin; a null origin is a group."""
+def daily_prefix_origin(elements: DataFrame, detail: bool = False) -> DataFrame:
+    """Announcements, withdrawals and dump rows by day, prefix and origin; a null origin is a group.
+
+    ``detail`` adds the address family and the time of the last message.
+    """
     of = lambda t: F.count_if(F.col("elem_type") == t)
-    return elements.groupBy(windows.day(F.col("ts")).alias("day"), "prefix", "origin_asn").agg(of("A").alias("announcements"), of("W").alias("withdrawals"), of("R").alias("rib_rows"))
+    more = [F.max("prefix_ip_version").alias("ip_version"), F.max(F.when(F.col("elem_type") != "R", F.col("ts"))).alias("last_update")] if detail else []
+    return elements.groupBy(windows.day(F.col("ts")).alias("day"), "prefix", "origin_asn").agg(of("A").alias("announcements"), of("W").alias("withdrawals"), of("R").alias("rib_rows"), *more)
 
 
 def daily_adjacency(elements: DataFrame) -> DataFrame:

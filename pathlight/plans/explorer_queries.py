@@ -8,6 +8,7 @@ from pathlight.functions import paths
 from pathlight.operators import detectors, explorer, metrics
 
 from . import projection as p
+from . import stored
 from .metric_queries import ADJ, NET, _DAYS, _VIS
 from .projection import CTE
 from .reference_queries import REL
@@ -35,7 +36,7 @@ def q4(spark, d):
 
 @query("q5_asn_list", CTE + " SELECT o.origin_asn AS asn, count(DISTINCT prefix) AS prefixes, count(*) AS updates, any_value(a.country_iso2) AS country_iso2 FROM obs o LEFT JOIN ref_asn a ON a.asn = o.origin_asn WHERE o.origin_asn IS NOT NULL GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10 OFFSET 1")
 def q5(spark, d):
-    return explorer.asn_list(p.elements(spark, d), p.asns(spark, d), 10, 1).drop("is_african")
+    return explorer.asn_list(_daily(spark, d), p.asns(spark, d), 10, 1).drop("is_african")
 
 
 _TRANSIT = """, t0 AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, origin_asn, path[len(path) - 1] AS u, count(*) AS n FROM obs WHERE elem_type = 'A' AND len(path) >= 2 GROUP BY 1, 2, 3),
@@ -47,10 +48,9 @@ _TRANSIT = """, t0 AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, origin_asn,
  ev AS (SELECT asn, count(*) AS n FROM (SELECT unnest([100 + o_orderkey % 7, 80 + o_orderkey % 4]) AS asn FROM orders) GROUP BY 1)
  SELECT b.*, (SELECT count(*) FROM base) AS total, upstream_count, primary_upstream, hhi_transit, coalesce(ev.n, 0) AS open_events FROM (SELECT * FROM base ORDER BY updates DESC, asn LIMIT 50) b LEFT JOIN t3 USING (asn) LEFT JOIN ev USING (asn)""")
 def q5b(spark, d):
-    e = p.elements(spark, d)
-    page = explorer.asn_list(e, p.asns(spark, d), 50, african_only=True, text="0", total=True)
+    page = explorer.asn_list(_daily(spark, d), p.asns(spark, d), 50, african_only=True, text="0", total=True)
     events = spark.read.parquet(f"{d}/orders.parquet").select(F.array(100 + F.col("o_orderkey") % 7, 80 + F.col("o_orderkey") % 4).alias("asns"))
-    return explorer.asn_details(page, metrics.upstreams(e, "1d"), events).withColumn("hhi_transit", F.round("hhi_transit", 6))
+    return explorer.asn_details(page, stored.table(spark, d, "upstream"), events).withColumn("hhi_transit", F.round("hhi_transit", 6))
 
 
 @query("q6_asn_card", CTE + " SELECT prefix, CAST(count(*) FILTER (WHERE elem_type = 'A') AS BIGINT) AS announcements, count(DISTINCT peer_asn) AS peers, max(ts) AS last_seen FROM obs WHERE origin_asn = 105 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
@@ -61,14 +61,14 @@ def q6(spark, d):
 
 @query("q7_prefix_list", CTE + ", upd AS (SELECT * FROM obs WHERE elem_type <> 'R'), mo AS (SELECT prefix, origin_asn FROM (SELECT prefix, origin_asn, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, origin_asn) AS k FROM upd WHERE origin_asn IS NOT NULL GROUP BY 1, 2) WHERE k = 1) SELECT prefix, count(*) AS updates, any_value(mo.origin_asn) AS origin_asn, count(DISTINCT o.origin_asn) AS origins, max(ts) AS last_seen FROM upd o LEFT JOIN mo USING (prefix) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25")
 def q7(spark, d):
-    return explorer.prefix_list(p.elements(spark, d))
+    return explorer.prefix_list(_daily(spark, d))
 
 
 @query("q7_prefix_page", CTE + _VIS + """, base AS (SELECT prefix, min(origin_asn) AS origin_asn, count(*) AS updates, count(DISTINCT origin_asn) AS origins, max(ts) AS last_seen FROM obs WHERE elem_type <> 'R' AND origin_asn = 105 AND prefix LIKE '197.%' GROUP BY 1)
  SELECT b.*, (SELECT count(*) FROM base) AS total, round(v.visibility, 6) AS visibility FROM (SELECT * FROM base ORDER BY updates DESC, prefix LIMIT 50) b LEFT JOIN (SELECT prefix, avg(visibility_ratio) AS visibility FROM vis GROUP BY 1) v USING (prefix)""")
 def q7b(spark, d):
-    page = explorer.prefix_list(p.elements(spark, d), 50, 0, "197.", 105, total=True)
-    return explorer.prefix_details(page, metrics.visibility(p.rib(spark, d), p.roles(spark, d))).withColumn("visibility", F.round("visibility", 6))
+    page = explorer.prefix_list(_daily(spark, d), 50, 0, "197.", 105, total=True)
+    return explorer.prefix_details(page, stored.table(spark, d, "visibility")).withColumn("visibility", F.round("visibility", 6))
 
 
 @query("q8_prefix_card", CTE + ", r AS (SELECT origin_asn, array_to_string(path, ' ') AS t, count(*) AS n, count(*) FILTER (WHERE true) AS m FROM obs WHERE prefix = '197.32.0.0/12' AND origin_asn IS NOT NULL GROUP BY 1, 2), t AS (SELECT origin_asn, count(*) AS paths, arg_max(t, (n, t)) AS main_path FROM r GROUP BY 1) SELECT o.origin_asn, count(*) AS observations, count(DISTINCT peer_asn) AS peers, min(ts) AS first_seen, max(ts) AS last_seen, any_value(main_path) AS main_path, any_value(paths) AS paths FROM obs o JOIN t ON t.origin_asn = o.origin_asn WHERE prefix = '197.32.0.0/12' GROUP BY 1")
@@ -101,7 +101,7 @@ def q10(spark, d):
 
 
 def _daily(spark, d) -> DataFrame:
-    return metrics.daily_prefix_origin(p.elements(spark, d))
+    return stored.table(spark, d, "daily_prefix_origin")
 
 
 def _one(spark, asn: int) -> DataFrame:
@@ -150,7 +150,7 @@ _NT = """, t AS (SELECT asn, neighbour, string_agg(CASE WHEN n.day IS NULL THEN
 
 
 def _adj(spark, d) -> DataFrame:
-    return metrics.daily_adjacency(p.elements(spark, d))
+    return stored.table(spark, d, "daily_adjacency")
 
 
 @query("q15_neighbours", _neighbour_sql("SELECT CAST(81 AS BIGINT) AS asn") + _NT)

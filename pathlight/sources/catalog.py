@@ -6,6 +6,7 @@ import time
 from contextlib import contextmanager
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _RUNS = "run_id string, kind string, status string, rows bigint, seconds double, note string, at timestamp"
@@ -19,14 +20,20 @@ class Catalog:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
 
-    def _append(self, name: str, schema: str, row: tuple) -> None:
-        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
+    def _append(self, name: str, schema: str, *rows: tuple) -> None:
+        self.spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
 
-    def _latest(self, name: str, schema: str, key: str) -> DataFrame:
+    def _rows(self, name: str, schema: str) -> DataFrame:
+        """All records of a kind; none if there is no table yet. Any other failing read is an error."""
         try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        except Exception:
-            rows = self.spark.createDataFrame([], schema)
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _latest(self, name: str, schema: str, key: str) -> DataFrame:
+        rows = self._rows(name, schema)
         return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "at").alias("x")).select(key, "x.*")
 
     def runs(self) -> DataFrame:
@@ -35,17 +42,20 @@ class Catalog:
     def ingested(self) -> DataFrame:
         """Latest state of each file with its attempts."""
         latest = self._latest("ingested", _INGESTED, "url").drop("attempts")
-        try:
-            tries = self.spark.read.schema(_INGESTED).parquet(f"{self.folder}/ingested").groupBy("url").agg(F.sum("attempts").cast("int").alias("attempts"))
-        except Exception:
-            return latest.withColumn("attempts", F.lit(0))
+        tries = self._rows("ingested", _INGESTED).groupBy("url").agg(F.sum("attempts").cast("int").alias("attempts"))
         return latest.join(tries, "url")
 
     def record_file(self, url: str, collector: str, kind: str, status: str, size: int) -> None:
         self._append("ingested", _INGESTED, (url, collector, kind, status, size, 1, datetime.now(timezone.utc)))
 
     def record_partition(self, table: str, date: str, collector: str, path: str, rows: int, size: int) -> None:
-        self._append("partitions", _PARTITIONS, (f"{table}/{date}/{collector}", date, collector, path, rows, size, datetime.now(timezone.utc)))
+        self.record_partitions([(table, date, collector, path, rows, size)])
+
+    def record_partitions(self, found: list[tuple[str, str, str, str, int, int]]) -> None:
+        """Record (table, date, collector, path, rows, bytes) of several partitions at once."""
+        now = datetime.now(timezone.utc)
+        if found:
+            self._append("partitions", _PARTITIONS, *[(f"{x[0]}/{x[1]}/{x[2]}", *x[1:], now) for x in found])
 
     def registered(self) -> DataFrame:
         """(name, date, collector, path, rows, bytes, at): the latest record of each partition."""

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pathlight.operators import detectors, graph, incidents, metrics, origin, relations, runs, summaries
+from pathlight.operators import detectors, graph, incidents, metrics, origin, relations, runs
 
 T0 = datetime(2026, 8, 24)
 ELEMENT = "ts timestamp_ntz, seq bigint, collector string, peer_asn bigint, peer_ip string, elem_type string, prefix string, prefix_ip_version int, origin_asn bigint, path array<bigint>, as_path_len int, has_as_set boolean"
@@ -168,26 +168,3 @@ def test_a_failing_detector_leaves_the_others_alone(spark, tmp_path):
     got = runs.run(spark, found, str(tmp_path), "r1", asns, disabled=frozenset({"off"}))
     assert got["good"] == 1 and got["incidents"] == 1 and set(got) == {"good", "bad", "worse", "incidents"} and "nothing" in got["worse"]
     assert runs.run(spark, {"good": lambda: row}, str(tmp_path), "r2", asns)["good"] == 1
-
-
-def test_stored_summaries_answer_for_fresh_days(spark, tmp_path):
-    schema = "ts timestamp_ntz, prefix string, origin_asn bigint, elem_type string, prefix_ip_version int, path array<bigint>"
-    make = lambda rows: spark.createDataFrame([(datetime(2024, 1, d, h), p, o, k, 4, [1, o or 2, 3]) for d, h, p, o, k in rows], schema)
-    rows = [(1, 0, "10.0.0.0/8", 7, "A"), (1, 3, "10.0.0.0/8", None, "W"), (2, 1, "10.0.0.0/8", 7, "R"), (3, 1, "11.0.0.0/8", 8, "A")]
-    make(rows).write.parquet(f"{tmp_path}/source")
-    source, folder = spark.read.parquet(f"{tmp_path}/source"), f"{tmp_path}/summaries"
-    assert summaries.fresh_days(spark, folder, "daily_adjacency", source) == set()
-    summaries.store(source.where("ts < timestamp_ntz'2024-01-03'"), folder)
-    days = {"2024-01-01", "2024-01-02", "2024-01-03"}
-    for name, compute in summaries.SUMMARIES.items():
-        fresh = summaries.fresh_days(spark, folder, name, source)
-        assert fresh == {"2024-01-01", "2024-01-02"}
-        got, want = summaries.choose(spark, folder, name, source, days, fresh), compute(source)
-        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
-    make([(2, 9, "12.0.0.0/8", 9, "A")]).write.mode("append").parquet(f"{tmp_path}/source")
-    source = spark.read.parquet(f"{tmp_path}/source")
-    # All files of the day count: the day of the new file is stale, so it is computed.
-    fresh = summaries.fresh_days(spark, folder, "daily_prefix_origin", source)
-    assert fresh == {"2024-01-01"}
-    got = summaries.choose(spark, folder, "daily_prefix_origin", source, days, fresh)
-    assert got.where("prefix = '12.0.0.0/8'").count() == 1
