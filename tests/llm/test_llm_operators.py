@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -456,16 +457,16 @@ def test_page_templates_against_brute_force(spark):
     rows += [(20, "http://h.example/e", None)]
     vectors = collections.defaultdict(lambda: [0] * len(rows))
     for k, r in enumerate(rows):
-        tags, blocks = pages.parse(r[2])
-        for t in tags + [""] * bool(tags):
-            vectors[t, None][k] += 1
-        for b in blocks:
-            vectors[b.path, pages._text_id(b.text)][k] += 1
+        p = pages.Page(r[2])
+        for path in p.paths if r[2] else ():
+            vectors[path, None][k] += 1
+        for at, text, _ in p.blocks:
+            vectors[p.paths[at], pages._text_id(text)][k] += 1
     sizes = collections.Counter(tuple(v) for v in vectors.values())
     want = {t for t, v in vectors.items() if 2 * sum(x > 0 for x in v) >= 9 and (t[1] is not None or sizes[tuple(v)] > 1)}
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {(r["path"], r["block"]) for r in pages.template_tokens(df).where("in_template and host = 'h.example'").collect()}
-    assert got == want and ("html/body/div.box", pages._text_id("fixed side text")) in got and len(got) > 5
+    assert got == want and pages._text_id("fixed side text") in {b for _, b in got} and len(got) > 5
     text = {r["page_id"]: r["text"] for r in pages.extract(df).collect()}
     for i, _, html in rows[:9]:
         inner = re.sub("<aside>.*</aside>", "", html[html.index("<article>") : html.index("</article>")])
@@ -479,5 +480,63 @@ def test_page_odd_cases(spark):
     rows += [(7, "http://h.example/7", article("<p>" + "long text " * 40_000 + "</p>"))]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id bigint, url string, html string, host string, block int")
     got = {r["page_id"]: r["text"] for r in pages.page_report(df).collect()}
-    # What stands on most pages of a host is template text, wherever it stands.
-    assert got[3] == "own 3" and got[6] == "Prior studies. Costs. foobar" and len(got[7]) == 400_000 - 1
+    # Text in the main tag's own slot stays, on however many pages it stands.
+    assert got[3] == "start own 3 end" and got[6] == "start Prior studies. Costs. foobar end" and len(got[7]) == 400_000 - 1 + len("start  end")
+
+
+def test_article_text_stays(spark):
+    """Neither text that other pages have too nor a name on a page's own container takes text out of the main slot."""
+    shared = "<p>This sentence stands on half of the pages.</p>"
+    odd = ["search", "hidden", "menu", "comment", "toolbar"]
+    rows = []
+    for i in range(12):
+        inner = f"<p>{'own words ' * 9}{i}</p>" + shared * (i < 6) + f"<div class='notes-search'><p>note {i}</p></div>" + (f"<div class='{odd[i]}'><p>odd {i}</p></div>" if i < 5 else "")
+        rows.append((i, "http://h.example/", page(f"<article>{inner}</article>")))
+    got = {r["page_id"]: r["text"] for r in pages.page_report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        want = [("own words " * 9) + str(i)] + ["This sentence stands on half of the pages."] * (i < 6) + [f"note {i}"] + [f"odd {i}"] * (i < 5)
+        assert got[i] == " ".join(want)
+
+
+def test_slots_of_hosts_without_article(spark):
+    """The main slot by brute force over the collected pages: no article or main element, no telling names."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    rows, want = [], {}
+    for host in range(3):
+        for i in range(7):
+            lead, parts = say(30), [say(rng.randrange(20, 60)) for _ in range(rng.randrange(1, 4))]
+            body = f"<div class='k{host}x q'><p>{lead}</p>" + "".join(f"<section class=z><h2>{say(2)}</h2><p>{x}</p></section>" for x in parts) + "</div>"
+            rows.append((host * 10 + i, f"http://host{host}.example/{i}", f"<html><body><div class=u1><p>same on all pages of {host}</p></div>{body}<div class=u2><p>{say(3)}</p></div><footer>{say(4)}</footer></body></html>"))
+            want[host * 10 + i] = " ".join(re.sub("<[^>]*>", " ", body).split())
+    got = {r["page_id"]: r["text"] for r in pages.page_report(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == want
+    # The chosen tag holds nearly all text outside of other elements, and no tag nested in it does.
+    for host in range(3):
+        text = collections.Counter()
+        for k, _, source in rows:
+            if k // 10 == host:
+                p = pages.Page(source)
+                for at, x, linked in p.blocks:
+                    while True:
+                        text[p.paths[at]] += (len(x) - linked) * (not p.outside[at])
+                        if at == 0:
+                            break
+                        at = p.parents[at]
+        chosen = next(r["main"] for r in pages.templates(spark.createDataFrame(rows, "page_id bigint, url string, html string")).where(f"host = 'host{host}.example'").collect())
+        assert text[chosen] >= pages.NEARLY_ALL * text[0] and sum(x >= pages.NEARLY_ALL * text[0] for x in text.values()) == 4  # page, html, body, it
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, '<a "' * 250_000, "<a '\">' " * 120_000, '<a ">" ' * 140_000, "<!-- <p" * 120_000, "<" * 1_000_000, "<script>" * 120_000, "</div" * 200_000, "<div>" * 60_000 + "</section>" * 60_000 + "x", "<div><b><i>" * 40_000 + "</div></span>" * 40_000 + "x", "<div class='a" * 80_000, "<?" * 300_000, "&" * 1_000_000])
+def test_broken_markup_is_scanned_once(source):
+    began = time.perf_counter()
+    pages.Page(source)
+    assert time.perf_counter() - began < 4  # about a megabyte; what grows with the square takes minutes
+
+
+def test_pieces_of_markup():
+    read = lambda x: [b[1] for b in pages.Page(x).blocks]
+    assert read("<p title='a > b'>one</p><!-- <p>no</p> -->two <3 & x<y") == ["one", "two <3 & x<y"]
+    assert read("<p>a<script>if (1 < 2) '</p>'</script>b</p><style>p{}</style>") == ["ab"]
+    assert read("x<!-- open <p>y") == ["x"] and read("x<script>y") == ["x"] and read("a <b unclosed") == ["a <b unclosed"]
+    assert read("<DIV>a<br/>b</DIV>c<?php x ?>d<!DOCTYPE e>f") == ["a b", "cdf"]
