@@ -195,7 +195,7 @@ def items_digest(item_ids: list[str]) -> str:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no benchmark window occurs."""
     names = docs.columns
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in names]).alias("row"))
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     blocks = _index_blocks(benchmark, window, BLOCK_WORDS)
     for held in blocks:
 

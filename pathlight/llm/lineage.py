@@ -3,19 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a new temporary one where it is unset, as in tests."""
-    context = spark.sparkContext
-    if (folder := context.getCheckpointDir()) is not None:
-        return folder
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(folder)
-    return context.getCheckpointDir() or folder
+from pathlight.session import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:

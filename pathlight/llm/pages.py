@@ -120,9 +120,12 @@ class Page:
                     in_link = not closing
             elif name == "br":  # a line of its block, which is judged as a whole
                 parts.append(" ")
+            elif name in _RAW:
+                if name == "title":
+                    end()
             elif name:
                 end()
-                if name in VOID or name in BREAKS or name in _RAW:
+                if name in VOID or name in BREAKS:
                     continue
                 if closing:
                     if opened.get(name):

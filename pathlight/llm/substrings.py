@@ -11,8 +11,9 @@ Windows of one task are compared among themselves first: only the earliest of ea
 the shuffle, so a passage that a third of all documents share arrives once per block of texts.
 
 Cases: doc_id may be of any integer type, others raise a TypeError; null and empty texts have no words; texts shorter than a window lose nothing; rows with a null
-doc_id are kept whole and take away nothing; rows that repeat a doc_id are read as the same document
-(equal positions of them are not earlier than each other); extra columns are kept by
+doc_id are kept whole and take away nothing; rows that repeat a doc_id with the same text are one document,
+and with other texts variants of it, each with its own words (windows at equal positions of variants are not
+earlier than each other); extra columns are kept by
 ``drop_repeated_words`` and ignored elsewhere; an empty table gives an empty result.
 """
 
@@ -23,11 +24,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import IntegralType, LongType, StringType, StructType
 
 from . import words as W
+from .lineage import cut
 
 WINDOW = 20
+#: Variants of repeated ids up to which they are broadcast.
+FEW_VARIANTS = 100_000
 #: The hash of its minimizer and an independent one, of 64 bits each, identify a final window.
 _SECOND = np.uint64(0xA24BAED4963EE407)
 
@@ -64,8 +68,25 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").to_numpy(zero_copy_only=False)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``_variant``: 0, and for an id with several texts the number of the text among them.
+
+    Ids with one text, nearly all, are told by an aggregation of hashes; texts aren't shuffled for it.
+    """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")).distinct()
+    several = texts.groupBy("_id").agg(F.min("_text").alias("_a"), F.max("_text").alias("_b")).where("_a <> _b").select("_id")
+    if several.isEmpty():
+        return docs.withColumn("_variant", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
+    variants = cut(texts.join(several, "_id", "left_semi").select("_id", "_text", place.alias("_variant")))
+    if variants.count() <= FEW_VARIANTS:
+        variants = F.broadcast(variants)
+    on = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text"))
+    return docs.join(variants, on, "left").drop("_id", "_text").withColumn("_variant", F.coalesce("_variant", F.lit(0)))
+
+
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id, at, known): the earliest minimizer of each content in a block, and the others.
+    """(key, doc_id, variant, at, known): the earliest minimizer of each content in a block, and the others.
 
     ``known``: it is repeated within its block.
     """
@@ -73,7 +94,7 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     @W.released
     def run(batches):
         for batch in batches:
-            ids = _ids(batch)
+            ids, variants = _ids(batch), batch.column("variant").to_numpy()
             for row, data, offsets in W.text_blocks(batch.column("text")):
                 starts, ends, text_of = W.split(data, offsets, W.SPACES)
                 at, key = _anchors(W.hash_words(data, starts, ends), text_of, window)
@@ -85,19 +106,19 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                 # Followers are repeated for sure; their key only spreads them.
                 key = np.where(follower, W._mix(key + at.astype(np.uint64)), key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(ids[row + text_of[at]]), pa.array(word.astype(np.int32)), pa.array(np.where(follower, 2, again).astype(np.int8))],
-                    names=["key", "doc_id", "at", "known"],
+                    [pa.array(key.view(np.int64)), pa.array(ids[row + text_of[at]]), pa.array(variants[row + text_of[at]]), pa.array(word.astype(np.int32)), pa.array(np.where(follower, 2, again).astype(np.int8))],
+                    names=["key", "doc_id", "variant", "at", "known"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, at int, known tinyint")
+    return docs.mapInArrow(run, "key bigint, doc_id bigint, variant int, at int, known tinyint")
 
 
 def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchors array<int>): the minimizers that occur more than once."""
+    """(doc_id, variant, anchors array<int>): the minimizers that occur more than once."""
     rows = _anchor_rows(docs, window)
     same = Window.partitionBy("key", F.col("known") == 2)
     found = rows.withColumn("n", F.count(F.lit(1)).over(same)).where("known > 0 or n > 1")
-    return found.groupBy("doc_id").agg(F.collect_list("at").alias("anchors"))
+    return found.groupBy("doc_id", "variant").agg(F.collect_list("at").alias("anchors"))
 
 
 def _minimizer_of(level: np.ndarray, span: int) -> np.ndarray:
@@ -118,7 +139,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFrame:
-    """The final windows around repeated minimizers: (key, doc_id, at, hashes array<bigint>, known int).
+    """The final windows around repeated minimizers: (key, doc_id, variant, at, hashes array<bigint>, known int).
 
     A row holds the windows that share a minimizer of hash ``key``; they start at ``at`` and the words
     after it, and ``hashes`` (zero for a gap) are theirs. A row with ``known`` windows from ``at`` says
@@ -130,7 +151,7 @@ def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFram
     @W.released
     def run(batches):
         for batch in batches:
-            ids = _ids(batch)
+            ids, variants = _ids(batch), batch.column("variant").to_numpy()
             anchors = batch.column("anchors")
             flat = anchors.flatten().to_numpy(zero_copy_only=False)
             counts = np.concatenate(([0], np.cumsum(anchors.value_lengths().to_numpy(zero_copy_only=False))))
@@ -149,7 +170,7 @@ def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFram
                 if not len(at):
                     continue
                 key, own = level[minimizer[at]], W.window_hashes(W._mix(h ^ _SECOND), window)[at] | np.uint64(1)
-                word, doc = at - first[text_of[at]], ids[row + text_of[at]]
+                word, doc, variant = at - first[text_of[at]], ids[row + text_of[at]], variants[row + text_of[at]]
                 # The leader of a content is its earliest window by (doc_id, word): one row of it is sent, wherever it stands.
                 order = np.lexsort((word, doc))
                 _, early = _first_of_each(W.join_hashes(key, own)[order])
@@ -158,30 +179,30 @@ def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFram
                 later = (key == key[leader]) & (own == own[leader]) & ((doc > doc[leader]) | (doc == doc[leader]) & (word > word[leader]))
                 own[later] = 0
                 # Rows of windows to compare with other blocks: one for each minimizer.
-                cut = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(minimizer[at]) != 0))))
-                size = np.diff(np.concatenate((cut, [len(at)])))
-                some = np.add.reduceat(own != 0, cut) > 0
+                edge = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(minimizer[at]) != 0))))
+                size = np.diff(np.concatenate((edge, [len(at)])))
+                some = np.add.reduceat(own != 0, edge) > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(own.view(np.int64)))
-                yield _window_batch(key[cut], doc[cut], word[cut], lists, np.zeros(len(cut), np.int32)).filter(pa.array(some))
+                yield _window_batch(key[edge], doc[edge], variant[edge], word[edge], lists, np.zeros(len(edge), np.int32)).filter(pa.array(some))
                 # Rows of windows that are known to repeat; their key only spreads them.
                 done = np.flatnonzero(later)
                 begin, length = _runs(at[done] + text_of[at[done]])  # a step more from text to text
                 lead = done[begin] if len(done) else done
                 empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(lead) + 1, np.int32)), pa.array([], pa.int64()))
-                yield _window_batch(W._mix(own[lead] + key[lead] + at[lead].astype(np.uint64)), doc[lead], word[lead], empty, length.astype(np.int32))
+                yield _window_batch(W._mix(own[lead] + key[lead] + at[lead].astype(np.uint64)), doc[lead], variant[lead], word[lead], empty, length.astype(np.int32))
 
-    found = texts.join(anchored, "doc_id").select("doc_id", "text", "anchors")
-    return found.mapInArrow(run, "key bigint, doc_id bigint, at int, hashes array<bigint>, known int")
+    found = texts.join(anchored, ["doc_id", "variant"]).select("doc_id", "variant", "text", "anchors")
+    return found.mapInArrow(run, "key bigint, doc_id bigint, variant int, at int, hashes array<bigint>, known int")
 
 
-def _window_batch(key, doc, at, lists, known) -> pa.RecordBatch:
+def _window_batch(key, doc, variant, at, lists, known) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(doc), pa.array(at.astype(np.int32)), lists, pa.array(known)], names=["key", "doc_id", "at", "hashes", "known"]
+        [pa.array(key.view(np.int64)), pa.array(doc), pa.array(variant), pa.array(at.astype(np.int32)), lists, pa.array(known)], names=["key", "doc_id", "variant", "at", "hashes", "known"]
     )
 
 
 def _later_starts(rows: pa.Table) -> pa.RecordBatch:
-    """(doc_id, starts) of each row's windows that an equal one precedes; ``rows`` has all rows of its keys."""
+    """(doc_id, variant, starts) of each row's windows that an equal one precedes; ``rows`` has all rows of its keys."""
     key, doc, at = (rows.column(c).to_numpy() for c in ("key", "doc_id", "at"))
     lists = rows.column("hashes").combine_chunks()
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -205,7 +226,8 @@ def _later_starts(rows: pa.Table) -> pa.RecordBatch:
     of_row, start = of_row[order], start[order]
     cut = np.flatnonzero(np.diff(of_row, prepend=-1))
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate((cut, [len(of_row)])).astype(np.int32)), pa.array(start.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[of_row[cut]]), lists], names=["doc_id", "starts"])
+    variant = rows.column("variant").to_numpy()
+    return pa.RecordBatch.from_arrays([pa.array(doc[of_row[cut]]), pa.array(variant[of_row[cut]]), lists], names=["doc_id", "variant", "starts"])
 
 
 #: Rows of windows compared at once; more if one key has more.
@@ -213,11 +235,14 @@ _COMPARED = 200_000
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Return (doc_id, starts array<int>): word positions of windows that an equal window precedes."""
+    """Return (doc_id, variant, starts array<int>): word positions of windows that an equal window precedes.
+
+    ``docs``: as ``numbered`` returns them.
+    """
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be an integer: the earlier of two documents is that of the smaller one")
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null")
-    rows = _window_rows(docs.repartition("doc_id"), _repeated_anchors(docs, window), window)
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("_variant").alias("variant"), "text").where("doc_id is not null")
+    rows = _window_rows(docs.repartition("doc_id", "variant"), _repeated_anchors(docs, window), window)
 
     @W.released
     def run(batches):
@@ -239,8 +264,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if size:
             yield _later_starts(pa.Table.from_batches(held))
 
-    later = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, starts array<int>")
-    return later.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    later = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, variant int, starts array<int>")
+    return later.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -276,8 +301,9 @@ def _kept_rows(batches, window: int, text_out: bool):
 def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Return (doc_id, n_words, n_removed, kept_sha256) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text").where("doc_id is not null").repartition("doc_id")
-    marked = texts.join(repeated_windows(docs, window), "doc_id", "left")
+    held = numbered(docs.select("doc_id", "text"))
+    texts = held.where("doc_id is not null").select("doc_id", F.col("_variant").alias("variant"), "text").repartition("doc_id", "variant")
+    marked = texts.join(repeated_windows(held, window), ["doc_id", "variant"], "left")
     marked = marked.unionByName(docs.select("doc_id", "text").where("doc_id is null"), allowMissingColumns=True)
     return marked.select("doc_id", "text", "starts").mapInArrow(
         lambda batches: _kept_rows(batches, window, False), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -291,11 +317,11 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     other texts stay as they are, those without any word too.
     """
     names = docs.columns
-    row = F.struct(*[F.col(c) for c in names if c != "text"]).alias("row")
-    packed = docs.select("doc_id", "text", row)
-    marked = packed.join(repeated_windows(docs, window), "doc_id", "left").select("row", "text", "starts")
-    kind = packed.schema["row"].dataType.simpleString()
-    out = marked.mapInArrow(lambda batches: _kept_rows(batches, window, True), f"row {kind}, n_words bigint, n_removed bigint, kept_text string")
+    row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
+    packed = numbered(docs.select("doc_id", "text", row))
+    marked = packed.withColumnRenamed("_variant", "variant").join(repeated_windows(packed, window), ["doc_id", "variant"], "left").select("row", "text", "starts")
+    kind = StructType([packed.schema["row"]]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
+    out = marked.mapInArrow(lambda batches: _kept_rows(batches, window, True), kind)
     out = out.where("n_removed = 0 or n_removed < n_words")
     columns = {c: F.col(f"row.`{c}`") for c in names if c != "text"} | {"text": F.col("kept_text")}
     if "n_chars" in columns:

@@ -79,6 +79,38 @@ def test_substrings(spark, docs):
     assert kept.columns == docs.columns and {r["doc_id"]: len(split(r["text"])) for r in kept.collect() if r["doc_id"] is not None} == {d: v[0] - v[1] for d, v in want.items() if v[0] == 0 or v[1] < v[0]}
 
 
+def brute_substrings(rows):
+    """(doc_id, n_words, n_removed, kept) of each row; an equal window starts earlier in a smaller id, or earlier in any row of the id."""
+    found = [(d, split(t)) for d, t in rows]
+    first = {}
+    for d, w in found:
+        for i in range(len(w) - 19):
+            first[tuple(w[i : i + 20])] = min(first.get(tuple(w[i : i + 20]), (d, i)), (d, i))
+    out = []
+    for d, w in found:
+        gone = {p for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] != (d, i) for p in range(i, i + 20)}
+        out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
+    return collections.Counter(out)
+
+
+def test_substrings_of_repeated_ids_with_other_texts(spark):
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+    passage = say(30)
+    rows = [(1, say(400) + " " + passage), (2, passage), (2, "short one"), (3, passage), (2, say(25) + " " + passage + " tail"), (2, passage), (4, None), (4, say(3) + " " + passage), (4, ""), (5, say(50)), (5, passage + " " + passage)]
+    rows += [(6, rows[0][1]), (6, rows[0][1].replace(" ", "\n", 3)), (7, passage[:-1])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, `a.b` int").repartition(5)
+    got = collections.Counter(tuple(r) for r in substrings.removal_report(df).collect())
+    assert got == brute_substrings(rows)
+    kept = substrings.drop_repeated_words(df)
+    assert kept.columns == df.columns
+    want = collections.Counter((d, n - gone) for (d, n, gone, _), k in got.items() for _ in range(k) if n == 0 or gone < n)
+    assert collections.Counter((r["doc_id"], len(split(r["text"]))) for r in kept.collect()) == want
+    items = spark.createDataFrame([("1", passage)], "item_id string, text string")
+    clean = decontaminate.drop_contaminated(df, items)
+    assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {2, 4, 5}
+
+
 def brute_fingerprint(text):
     w = split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(min(len(w), 1), len(w) - 2))]
