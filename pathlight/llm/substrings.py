@@ -69,14 +69,14 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_variant``: 0, and for an id with several texts the number of the text among them.
+    """``docs``; if ids have several texts, with a column ``_variant``: 0, or the number of the text among those of its id.
 
     Ids with one text, nearly all, are told by an aggregation of hashes; texts aren't shuffled for it.
     """
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")).distinct()
     several = texts.groupBy("_id").agg(F.min("_text").alias("_a"), F.max("_text").alias("_b")).where("_a <> _b").select("_id")
     if several.isEmpty():
-        return docs.withColumn("_variant", F.lit(0))
+        return docs
     place = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
     variants = cut(texts.join(several, "_id", "left_semi").select("_id", "_text", place.alias("_variant")))
     if variants.count() <= FEW_VARIANTS:
@@ -85,8 +85,17 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.join(variants, on, "left").drop("_id", "_text").withColumn("_variant", F.coalesce("_variant", F.lit(0)))
 
 
+def _keys(docs: DataFrame) -> list[str]:
+    """What tells documents apart. A variant that is 0 everywhere would only widen what is shuffled."""
+    return ["doc_id", "variant"] if "_variant" in docs.columns or "variant" in docs.columns else ["doc_id"]
+
+
+def _variant(df: DataFrame):
+    return F.col("variant") if "variant" in df.columns else F.lit(0).alias("variant")
+
+
 def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id, variant, at, known): the earliest minimizer of each content in a block, and the others.
+    """(key, doc_id, variant if there are some, at, known): the earliest minimizer of each content in a block, and the others.
 
     ``known``: it is repeated within its block.
     """
@@ -110,7 +119,8 @@ def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
                     names=["key", "doc_id", "variant", "at", "known"],
                 )
 
-    return docs.mapInArrow(run, "key bigint, doc_id bigint, variant int, at int, known tinyint")
+    rows = docs.select("doc_id", _variant(docs), "text").mapInArrow(run, "key bigint, doc_id bigint, variant int, at int, known tinyint")
+    return rows.select("key", *_keys(docs), "at", "known")
 
 
 def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
@@ -118,7 +128,7 @@ def _repeated_anchors(docs: DataFrame, window: int) -> DataFrame:
     rows = _anchor_rows(docs, window)
     same = Window.partitionBy("key", F.col("known") == 2)
     found = rows.withColumn("n", F.count(F.lit(1)).over(same)).where("known > 0 or n > 1")
-    return found.groupBy("doc_id", "variant").agg(F.collect_list("at").alias("anchors"))
+    return found.groupBy(*_keys(docs)).agg(F.collect_list("at").alias("anchors"))
 
 
 def _minimizer_of(level: np.ndarray, span: int) -> np.ndarray:
@@ -191,8 +201,9 @@ def _window_rows(texts: DataFrame, anchored: DataFrame, window: int) -> DataFram
                 empty = pa.ListArray.from_arrays(pa.array(np.zeros(len(lead) + 1, np.int32)), pa.array([], pa.int64()))
                 yield _window_batch(W._mix(own[lead] + key[lead] + at[lead].astype(np.uint64)), doc[lead], variant[lead], word[lead], empty, length.astype(np.int32))
 
-    found = texts.join(anchored, ["doc_id", "variant"]).select("doc_id", "variant", "text", "anchors")
-    return found.mapInArrow(run, "key bigint, doc_id bigint, variant int, at int, hashes array<bigint>, known int")
+    found = texts.join(anchored, _keys(texts))
+    found = found.select("doc_id", _variant(found), "text", "anchors")
+    return found.mapInArrow(run, "key bigint, doc_id bigint, variant int, at int, hashes array<bigint>, known int").select("key", *_keys(texts), "at", "hashes", "known")
 
 
 def _window_batch(key, doc, variant, at, lists, known) -> pa.RecordBatch:
@@ -234,15 +245,20 @@ def _later_starts(rows: pa.Table) -> pa.RecordBatch:
 _COMPARED = 200_000
 
 
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """The columns of ``numbered`` documents that tell them apart, and the text."""
+    return docs.select("doc_id", *[F.col("_variant").alias("variant")] * ("_variant" in docs.columns), "text")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Return (doc_id, variant, starts array<int>): word positions of windows that an equal window precedes.
+    """Return (doc_id, variant if there are some, starts array<int>): word positions of windows that an equal window precedes.
 
     ``docs``: as ``numbered`` returns them.
     """
     if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
         raise TypeError("doc_id must be an integer: the earlier of two documents is that of the smaller one")
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("_variant").alias("variant"), "text").where("doc_id is not null")
-    rows = _window_rows(docs.repartition("doc_id", "variant"), _repeated_anchors(docs, window), window)
+    docs = _told_apart(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).where("doc_id is not null")
+    rows = _window_rows(docs.repartition(*_keys(docs)), _repeated_anchors(docs, window), window)
 
     @W.released
     def run(batches):
@@ -264,8 +280,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if size:
             yield _later_starts(pa.Table.from_batches(held))
 
-    later = rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id bigint, variant int, starts array<int>")
-    return later.groupBy("doc_id", "variant").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
+    later = sorted_rows.select("key", "doc_id", _variant(rows), "at", "hashes", "known").mapInArrow(run, "doc_id bigint, variant int, starts array<int>")
+    return later.groupBy(*_keys(docs)).agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -302,8 +319,8 @@ def removal_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Return (doc_id, n_words, n_removed, kept_sha256) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = numbered(docs.select("doc_id", "text"))
-    texts = held.where("doc_id is not null").select("doc_id", F.col("_variant").alias("variant"), "text").repartition("doc_id", "variant")
-    marked = texts.join(repeated_windows(held, window), ["doc_id", "variant"], "left")
+    texts = _told_apart(held).where("doc_id is not null").repartition(*_keys(held))
+    marked = texts.join(repeated_windows(held, window), _keys(held), "left")
     marked = marked.unionByName(docs.select("doc_id", "text").where("doc_id is null"), allowMissingColumns=True)
     return marked.select("doc_id", "text", "starts").mapInArrow(
         lambda batches: _kept_rows(batches, window, False), f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
@@ -319,7 +336,7 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
     packed = numbered(docs.select("doc_id", "text", row))
-    marked = packed.withColumnRenamed("_variant", "variant").join(repeated_windows(packed, window), ["doc_id", "variant"], "left").select("row", "text", "starts")
+    marked = packed.withColumnRenamed("_variant", "variant").join(repeated_windows(packed, window), _keys(packed), "left").select("row", "text", "starts")
     kind = StructType([packed.schema["row"]]).add("n_words", LongType()).add("n_removed", LongType()).add("kept_text", StringType())
     out = marked.mapInArrow(lambda batches: _kept_rows(batches, window, True), kind)
     out = out.where("n_removed = 0 or n_removed < n_words")
