@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pathlight.functions import paths, prefixes
@@ -19,28 +20,36 @@ def normalise(rows: DataFrame) -> DataFrame:
     held = rows.where(prefixes.is_valid(F.col("prefix"))).withColumn("elem_type", kind)
     held = held.withColumn("as_path", F.when(F.col("elem_type") == "W", empty).otherwise(paths.parse_path(F.col("path_text"))))
     held = held.withColumn("as_path_dedup", paths.drop_prepends(F.col("as_path")))
+    more = ["sequence"] if "sequence" in rows.columns else []
     return held.select(
-        "ts", "collector", "peer_asn", "peer_ip", "elem_type", "prefix", prefixes.version(F.col("prefix")).alias("prefix_ip_version"), prefixes.length(F.col("prefix")).alias("prefix_len"),
+        *more, "ts", "collector", "peer_asn", "peer_ip", "elem_type", "prefix", prefixes.version(F.col("prefix")).alias("prefix_ip_version"), prefixes.length(F.col("prefix")).alias("prefix_len"),
         paths.origin(F.col("as_path_dedup")).alias("origin_asn"), "as_path", "as_path_dedup", F.size("as_path_dedup").alias("as_path_len"),
         ((F.col("elem_type") != "W") & paths.has_as_set(F.col("path_text"))).alias("has_as_set"), "next_hop",
     )
 
 
+def sequenced(rows: DataFrame) -> DataFrame:
+    """Rows of files with the part of their sequence that the scan knows: (time, file, block)."""
+    return rows.select("*", F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("sequence"))
+
+
 def live_elements(messages: DataFrame) -> DataFrame:
     """Live messages (schema LIVE, from JSON lines) to elements: one for each announced and withdrawn prefix."""
+    more = ["sequence"] if "sequence" in messages.columns else []
     base = [
+        *more,
         F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")).cast("timestamp_ntz").alias("ts"), F.split("host", r"\.")[0].alias("collector"), F.col("peer_asn").cast("bigint").alias("peer_asn"), F.col("peer").alias("peer_ip"),
     ]
     path = F.array_join("path", " ")
     seen = messages.select(*base, path.alias("path_text"), F.explode("announcements").alias("x"))
-    seen = seen.select("ts", "collector", "peer_asn", "peer_ip", F.lit("A").alias("elem_type"), F.explode("x.prefixes").alias("prefix"), "path_text", "x.next_hop")
+    seen = seen.select(*more, "ts", "collector", "peer_asn", "peer_ip", F.lit("A").alias("elem_type"), F.explode("x.prefixes").alias("prefix"), "path_text", "x.next_hop")
     gone = messages.select(*base, F.explode("withdrawals").alias("prefix")).withColumns({"elem_type": F.lit("W"), "path_text": F.lit(""), "next_hop": F.lit(None).cast("string")})
     return normalise(seen.unionByName(gone))
 
 
 def read_live(spark: SparkSession, path: str) -> DataFrame:
     """Elements of JSON-lines files; lines that aren't JSON are skipped."""
-    return live_elements(spark.read.schema(LIVE).option("mode", "DROPMALFORMED").json(path))
+    return live_elements(sequenced(spark.read.schema(LIVE).option("mode", "DROPMALFORMED").json(path)))
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -141,5 +150,16 @@ def archive_times(spark: SparkSession, start: str, end: str, minutes: int) -> Da
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """Semicolon-separated files with a header."""
-    rows.write.mode("overwrite").csv(path, sep=";", header=True, quoteAll=True)
+    """Semicolon-separated quoted lines; each file begins with a byte order mark, as spreadsheets expect, and a header."""
+    header = "\ufeff" + ";".join('"' + c.replace('"', '""') + '"' for c in rows.columns)
+    lines = rows.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"sep": ";", "quoteAll": "true", "escape": '"'}).alias("value"))
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            if batch.num_rows and first:
+                yield pa.RecordBatch.from_arrays([pa.array([header])], names=["value"])
+                first = False
+            yield batch
+
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path)

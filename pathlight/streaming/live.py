@@ -14,28 +14,41 @@ from pathlight.sources import readers, tables
 
 def live_stream(spark: SparkSession, folder: str, files_per_batch: int = 50) -> DataFrame:
     """Elements of JSON-lines files as they arrive."""
-    return readers.live_elements(spark.readStream.schema(readers.LIVE).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_batch).json(folder))
+    return readers.live_elements(readers.sequenced(spark.readStream.schema(readers.LIVE).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_batch).json(folder)))
 
 
-def _merge_batch(path: str, after: Callable[[list[str]], None] | None = None) -> Callable[[DataFrame, int], None]:
+def land(stream: DataFrame, path: str, checkpoint: str, minutes: int = 5) -> StreamingQuery:
+    """Write elements below the window of ``minutes`` in which their file arrived (window=yyyyMMddHHmm)."""
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("sequence.time") / (minutes * 60)) * (minutes * 60))
+    rows = stream.withColumn("window", F.date_format(start, "yyyyMMddHHmm"))
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("window").trigger(availableNow=True).start()
+
+
+def _merge_batch(path: str, after: Callable[[list[str]], None] | None = None, catalog=None) -> Callable[[DataFrame, int], None]:
     def merge(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
         days = [str(r[0]) for r in batch.select(F.to_date("ts")).distinct().collect()]  # days of one micro-batch
+        tables.recover(batch.sparkSession, path)
         try:
             stored = tables.read_partitions(batch.sparkSession, path, min(days), max(days)).drop("date")
         except tables.DataUnavailable:
             stored = None
-        tables.replace_read(tables.merge_window(stored, batch), path)
+        keys = tables.swap(tables.merge_window(stored, batch), path)
+        if catalog is not None:
+            tables.register(batch.sparkSession, path, "elements", keys, catalog)
         if after is not None:
             after(days)
 
     return merge
 
 
-def merge_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge each micro-batch into the partitions of its days; replays and late data change nothing twice."""
-    return stream.writeStream.foreachBatch(_merge_batch(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def merge_into(stream: DataFrame, path: str, checkpoint: str, catalog=None) -> StreamingQuery:
+    """Merge each micro-batch into the partitions of its days; replays and late data change nothing twice.
+
+    The partitions are recorded in ``catalog``.
+    """
+    return stream.writeStream.foreachBatch(_merge_batch(path, catalog=catalog)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def watch(stream: DataFrame, path: str, checkpoint: str, detect: Callable[[list[str]], None]) -> StreamingQuery:

@@ -168,3 +168,23 @@ def test_a_failing_detector_leaves_the_others_alone(spark, tmp_path):
     got = runs.run(spark, found, str(tmp_path), "r1", asns, disabled=frozenset({"off"}))
     assert got["good"] == 1 and got["incidents"] == 1 and set(got) == {"good", "bad", "worse", "incidents"} and "nothing" in got["worse"]
     assert runs.run(spark, {"good": lambda: row}, str(tmp_path), "r2", asns)["good"] == 1
+
+
+def test_runs_over_other_days_keep_earlier_events(spark, tmp_path):
+    asns = spark.createDataFrame([(1, "KE", True)], "asn bigint, country_iso2 string, is_african boolean")
+
+    def candidates(day, score=0.7, detector="d"):
+        row = spark.createDataFrame([("10.0.0.0/8", [1], "high", score, detector)], "prefix string, asns array<bigint>, confidence string, score double, detector string")
+        return lambda: row.withColumn("first_seen", F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp_ntz")).withColumn("last_seen", F.col("first_seen"))
+
+    folder = str(tmp_path)
+    runs.run(spark, {"d": candidates(1)}, folder, "r1", asns)
+    runs.run(spark, {"d": candidates(2)}, folder, "r2", asns)
+    held = lambda: sorted((str(r["first_seen"])[:10], r["score"]) for r in runs.events(spark, folder).collect())
+    assert held() == [("2024-01-01", 0.7), ("2024-01-02", 0.7)] and runs.incidents_of(spark, folder).count() == 2
+    report = runs.run(spark, {"d": candidates(1, 0.4), "e": lambda: candidates(1)().select("nothing")}, folder, "r3", asns)  # the same event again, and a failure
+    assert held() == [("2024-01-01", 0.4), ("2024-01-02", 0.7)] and report["incidents"] == 2
+    runs.run(spark, {"d": candidates(3)}, folder, "r4", asns, disabled=frozenset({"d"}))
+    assert len(held()) == 2 and runs.incidents_of(spark, folder).count() == 2
+    runs.run(spark, {"d": candidates(4)}, folder, "r4", asns)  # the run started again
+    assert len(held()) == 3 and runs.incidents_of(spark, folder).count() == 3

@@ -75,6 +75,126 @@ def test_merge_keeps_the_new_row(spark):
     assert sorted((r["ts"], r["v"]) for r in tables.merge_window(old, new).collect()) == [(1, "new"), (2, "old")]
 
 
+def aged(folder, name, rows, seconds):
+    """A file of messages that arrived so many seconds after an hour."""
+    import os
+
+    live_file(folder, name, rows)
+    os.utime(folder / name, (1787533200 + seconds, 1787533200 + seconds))
+
+
+def message(origin, k=0, pad=0):
+    return {**LIVE[0], "path": ["174"] * (pad + 1) + [str(origin)], "announcements": [{"next_hop": "1.1.1.1", "prefixes": [f"197.155.{64 + k}.0/24"]}]}
+
+
+def test_the_later_file_counts_whatever_its_size(spark, tmp_path):
+    folder = tmp_path / "in"
+    # Scans pack large files first: here the older file is the small one for prefix 0, the large one for prefix 1.
+    aged(folder, "a.json", [message(1, 0)], 0)
+    aged(folder, "b.json", [message(2, 0), message(7, 1), *[message(9, 2, 50)] * 300], 60)
+    aged(folder, "c.json", [message(8, 1)], 120)
+    got = tables.merge_window(None, readers.read_live(spark, str(folder)))
+    assert {r["prefix"]: r["origin_asn"] for r in got.collect()} == {"197.155.64.0/24": 2, "197.155.65.0/24": 8, "197.155.66.0/24": 9}
+
+
+def test_the_last_of_a_file_counts_and_an_older_file_changes_nothing(spark, tmp_path):
+    folder, path = tmp_path / "in", str(tmp_path / "table")
+    aged(folder, "b.json", [message(n) for n in (3, 4, 5)], 60)
+    tables.swap(tables.merge_window(None, readers.read_live(spark, str(folder))), path)
+    assert [r["origin_asn"] for r in tables.read_partitions(spark, path).collect()] == [5]
+    for name, origin, seconds, want in (("late.json", 6, 0, 5), ("new.json", 7, 90, 7)):
+        other = tmp_path / name
+        aged(other, name, [message(origin)], seconds)
+        stored = tables.read_partitions(spark, path).drop("date")
+        assert tables.swap(tables.merge_window(stored, readers.read_live(spark, str(other))), path) == ["date=2026-08-24/collector=rrc19"]
+        assert [r["origin_asn"] for r in tables.read_partitions(spark, path).collect()] == [want]
+
+
+@pytest.mark.parametrize("step", ["staged", "journal", "moved away", "one of two"])
+def test_a_swap_that_is_stopped_loses_nothing(spark, tmp_path, monkeypatch, step):
+    path = tmp_path / "t"
+    tables.write_elements(elements(spark, [(d, "c", "A", "10.0.0.0/8", d) for d in (1, 2)]), str(path))
+    new = elements(spark, [(d, "c", "A", "10.0.0.0/8", 10 + d) for d in (1, 2)])
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_commit" if step == "staged" else "_finish", stop)
+        with pytest.raises(KeyboardInterrupt):
+            tables.swap(new, str(path))
+    held = lambda: sorted(r["origin_asn"] for r in spark.read.parquet(str(path)).collect())
+    assert held() == [1, 2]  # what stands beside the table isn't read
+    for day in {"moved away": (1,), "one of two": (1,)}.get(step, ()):
+        token = next(path.glob("_journal-*")).name.removeprefix("_journal-")
+        (path / f"_old-{token}" / f"date=2024-01-0{day}").mkdir(parents=True)
+        (path / f"date=2024-01-0{day}" / "collector=c").rename(path / f"_old-{token}" / f"date=2024-01-0{day}" / "collector=c")
+        if step == "one of two":
+            (path / f"_staging-{token}" / f"date=2024-01-0{day}" / "collector=c").rename(path / f"date=2024-01-0{day}" / "collector=c")
+    assert tables.recover(spark, str(path)) == (step != "staged") and tables.recover(spark, str(path)) == 0
+    assert held() == ([1, 2] if step == "staged" else [11, 12])
+    assert step == "staged" or not list(path.glob("_*-*"))
+
+
+def test_two_swaps_share_no_name(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.swap(elements(spark, [(1, "c", "A", "10.0.0.0/8", 1)]), path)
+    rows = spark.read.parquet(path).drop("date")
+    assert tables.swap(rows.unionByName(elements(spark, [(2, "c", "A", "10.0.0.0/8", 2)])), path) == ["date=2024-01-01/collector=c", "date=2024-01-02/collector=c"]
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_a_look_up_reads_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "t"
+    rows = spark.range(60_000).select(
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit("c").alias("collector"), F.concat(F.lit("10."), (F.col("id") % 200).cast("string"), F.lit(".0.0/16")).alias("prefix"),
+        F.sha2(F.col("id").cast("string"), 256).alias("filler"),
+    )
+    tables.write_elements(rows, str(path), max_rows=10_000_000, row_group=200_000)
+    groups, held = 0, 0
+    for file in path.rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        at = meta.schema.names.index("prefix")
+        for k in range(meta.num_row_groups):
+            column = meta.row_group(k).column(at)
+            groups += 1
+            held += column.statistics.min <= "10.77.0.0/16" <= column.statistics.max
+    assert groups >= 5 and held <= 3
+    assert spark.read.parquet(str(path)).where("prefix = '10.77.0.0/16'").count() == 300
+
+
+def test_compaction_splits_large_partitions_by_ranges(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for k in range(3):
+        elements(spark, [(1, "c", "A", f"{i}.0.0.0/8", i) for i in range(k + 1, 31, 3)]).coalesce(1).withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date", "collector").parquet(path)
+    assert tables.compact(spark, path, file_rows=12) == 0  # thirty rows need three files
+    assert tables.compact(spark, path, file_rows=20) == 1 and tables.compact(spark, path, file_rows=20) == 0
+    spans = sorted((r["a"], r["b"]) for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.min("prefix").alias("a"), F.max("prefix").alias("b")).collect())
+    assert len(spans) == 2 and spans[0][1] < spans[1][0] and spark.read.parquet(path).count() == 30
+
+
+def test_curation_and_merging_record_partitions(spark, tmp_path):
+    held = catalog.Catalog(spark, str(tmp_path / "catalog"))
+    parsed = elements(spark, [(d, "c0", kind, "10.0.0.0/8", 7) for d in (1, 2, 3) for kind in "AR"])
+    tables.curate(spark, parsed, str(tmp_path / "e"), str(tmp_path / "rib"), first="2024-01-02", last="2024-01-03", catalog=held)
+    live._merge_batch(str(tmp_path / "e"), catalog=held)(elements(spark, [(3, "c0", "A", "11.0.0.0/8", 8)]), 0)
+    got = {r["name"]: (r["rows"], r["bytes"] > 0) for r in held.registered().collect()}
+    assert got == {"elements/2024-01-02/c0": (1, True), "elements/2024-01-03/c0": (2, True), "rib_snapshots/2024-01-02/c0": (1, True), "rib_snapshots/2024-01-03/c0": (1, True)}
+
+
+def test_windows_by_arrival(spark, tmp_path):
+    folder = tmp_path / "in"
+    for k, seconds in enumerate((0, 299, 300, 1000)):
+        aged(folder, f"{k}.json", [message(k, k)], seconds)
+    live.land(live.live_stream(spark, str(folder)), str(tmp_path / "landed"), str(tmp_path / "check")).awaitTermination()
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "landed")).collect():
+        got.setdefault(str(r["window"]), set()).add(r["origin_asn"])
+    assert got == {"202608240100": {0, 1}, "202608240105": {2}, "202608240115": {3}}
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     folder, path = live_file(tmp_path / "in"), str(tmp_path / "table")
     for run in ("a", "b"):  # the second starts over: everything arrives again
@@ -103,8 +223,11 @@ def test_catalog(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    readers.export_csv(spark.range(2).withColumn("x", F.lit("a;b")), str(tmp_path / "csv"))
-    assert spark.read.csv(str(tmp_path / "csv"), sep=";", header=True).count() == 2
+    rows = spark.createDataFrame([(1, 'a;"b"', None), (2, "é\tx", 0.5)], "id int, `x;y` string, v double")
+    readers.export_csv(rows, str(tmp_path / "csv"))
+    held = [x.read_bytes() for x in (tmp_path / "csv").glob("*.txt") if x.stat().st_size]
+    assert held and all(x.startswith('\ufeff"id";"x;y";"v"\n'.encode()) for x in held)
+    assert sorted(line for x in held for line in x.decode().splitlines()[1:]) == ['"1";"a;""b""";""', '"2";"é\tx";"0.5"']
 
 
 def mrt_record(kind, subtype, body, seconds=1787533200):
