@@ -1,12 +1,11 @@
-"""Propagation of a prefix: weighted path graph, replay of its state over time, upstreams over time."""
+"""Propagation of a prefix: weighted path graph, its depths, changes of its paths, upstreams over time."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathlight.functions import paths, windows
+from pathlight.session import cut
 
 from . import relations as rel
 
@@ -29,9 +28,31 @@ def edges(weights: DataFrame, relations: DataFrame) -> DataFrame:
 def nodes(weights: DataFrame, max_paths: int = 3) -> DataFrame:
     """(asn, n, depth, sample, hidden): observations through each AS, its least distance from the origin, some of its paths and the number of others."""
     each = weights.select("n", "path", F.posexplode("path").alias("depth", "asn"))
-    listed = F.array_sort(F.collect_set(paths.path_text(F.col("path"))))
-    out = each.groupBy("asn").agg(F.sum("n").alias("n"), F.min("depth").alias("depth"), listed.alias("all"))
-    return out.select("asn", "n", "depth", F.slice("all", 1, max_paths).alias("sample"), F.greatest(F.lit(0), F.size("all") - max_paths).alias("hidden"))
+    out = each.groupBy("asn").agg(F.sum("n").alias("n"), F.min("depth").alias("depth"))
+    # Paths are ranked before they are collected, so that no AS has more than its sample in a row.
+    own = each.select("asn", paths.path_text(F.col("path")).alias("text")).distinct()
+    first = own.withColumn("k", F.row_number().over(Window.partitionBy("asn").orderBy("text"))).where(F.col("k") <= max_paths)
+    sample = first.groupBy("asn").agg(F.array_sort(F.collect_list("text")).alias("sample"))
+    many = own.groupBy("asn").agg(F.greatest(F.lit(0), F.count(F.lit(1)) - max_paths).cast("int").alias("hidden"))
+    return out.join(sample, "asn").join(many, "asn").select("asn", "n", "depth", "sample", "hidden")
+
+
+def depths(edge_rows: DataFrame, roots: DataFrame, max_depth: int = 10_000) -> DataFrame:
+    """(node, depth): least number of edges (a, b) from the ``roots`` (node) to each node that can be reached.
+
+    Level by level: the newly reached nodes are joined with the edges, and what was reached before goes. Cycles end
+    by themselves. Each level is materialised; nothing is collected.
+    """
+    out_of = cut(edge_rows.select("a", "b").distinct())
+    level = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    reached = level
+    for depth in range(1, max_depth + 1):
+        found = out_of.join(level.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        level = cut(found.join(reached, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        reached = reached.unionByName(level)
+    return reached
 
 
 def ranked_paths(weights: DataFrame, limit: int = 500) -> DataFrame:
@@ -53,34 +74,6 @@ def through(weights: DataFrame, asn: int) -> DataFrame:
     return each.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def step_minutes(minutes: float, wanted: int, max_frames: int = 200) -> int:
-    """The step widened so that the frames are at most ``max_frames``, in whole minutes."""
-    return max(wanted, math.ceil(minutes / max_frames))
-
-
-def replay(elements: DataFrame, prefix: str, start: str, end: str, minutes: int) -> DataFrame:
-    """(frame, path, peers): paths in force at every frame end, from validity intervals of each peer's state.
-
-    The state of a (collector, peer) is the path of its last announcement until a withdrawal. Frames are
-    ``start`` and every so many minutes after it, the last one at ``end``. A state is exploded to the
-    frames of its interval, so there is no range join.
-    """
-    rows = elements.where((F.col("prefix") == prefix) & (F.col("elem_type") != "R") & (F.col("ts") <= F.lit(end).cast("timestamp_ntz")))
-    peer = Window.partitionBy("collector", "peer_asn", "peer_ip").orderBy("ts", "seq")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    state = rows.withColumn("until", F.lead("ts").over(peer)).where("elem_type = 'A'")
-    s, e, step = micros(F.lit(start).cast("timestamp_ntz")), micros(F.lit(end).cast("timestamp_ntz")), minutes * 60_000_000
-    # Frames are numbered from 0; the last may be cut short.
-    last = F.ceil((e - s) / step)
-    first = F.greatest(F.lit(0), F.ceil((micros(F.col("ts")) - s) / step))
-    stop = F.least(last, F.coalesce(F.ceil((micros(F.col("until")) - s) / step) - 1, last))
-    # A state that ends within the last, shortened frame is over by its end.
-    stop = F.when(F.col("until").isNotNull() & (micros(F.col("until")) <= e), F.least(stop, last - 1)).otherwise(stop)
-    held = state.select("path", first.alias("a"), stop.alias("b")).where("a <= b").select("path", F.explode(F.sequence("a", "b")).alias("k"))
-    frame = F.timestamp_micros(F.least(e, s + F.col("k") * step)).cast("timestamp_ntz")
-    return held.groupBy(frame.alias("frame"), "path").agg(F.count(F.lit(1)).alias("peers"))
-
-
 def frame_changes(frames: DataFrame) -> DataFrame:
     """(frame, path, change) against the frame before: added and removed paths."""
     order = frames.select("frame").distinct().withColumn("i", F.row_number().over(Window.orderBy("frame")))
@@ -90,8 +83,18 @@ def frame_changes(frames: DataFrame) -> DataFrame:
     return added.where("i > 1").unionByName(gone).join(F.broadcast(order), "i").select("frame", "path", "change")
 
 
-def upstream_series(elements: DataFrame, prefix: str, hours: int) -> DataFrame:
+def upstream_series(elements: DataFrame, prefix: str, hours: int, origin: int | None = None, kinds: tuple[str, ...] = ("A", "R")) -> DataFrame:
     """(bucket, upstream_asn, peers): distinct vantage points by bucket and upstream, zero where there are none."""
-    rows = elements.where((F.col("prefix") == prefix) & (F.col("elem_type") != "W")).withColumn("upstream_asn", paths.upstream(F.col("path"))).where("upstream_asn is not null")
+    rows = elements.where((F.col("prefix") == prefix) & F.col("elem_type").isin(*kinds))
+    if origin is not None:
+        rows = rows.where(F.element_at("path", -1) == origin)
+    rows = rows.withColumn("upstream_asn", paths.upstream(F.col("path"))).where("upstream_asn is not null")
     each = rows.groupBy(windows.bucket(F.col("ts"), hours).alias("bucket"), "upstream_asn").agg(F.count_distinct(F.struct("collector", "peer_ip")).alias("peers"))
     return windows.fill_gaps(each, "bucket", f"{hours} hours", ["upstream_asn"], ["peers"])
+
+
+def upstream_ranking(series: DataFrame) -> DataFrame:
+    """(upstream_asn, peak, peak_at, buckets, rank): upstreams of a series by the most peers that a bucket has."""
+    seen = series.where("peers > 0").groupBy("upstream_asn").agg(F.max("peers").alias("peak"), F.max_by("bucket", F.struct("peers", -F.unix_micros(F.col("bucket").cast("timestamp")))).alias("peak_at"), F.count(F.lit(1)).alias("buckets"))
+    # Upstreams of one prefix.
+    return seen.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("peak"), "upstream_asn")))

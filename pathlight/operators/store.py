@@ -145,6 +145,10 @@ class Store:
             return self.spark.createDataFrame([], self._schemas[source]).drop("date")
         return self.spark.read.schema(self._schemas[source]).option("basePath", path).parquet(*held).drop("date")
 
+    def elements(self, first: str, last: str) -> DataFrame:
+        """Elements of the days from ``first`` to ``last``, from their partitions alone."""
+        return self._source("elements", [d for d in self.days() if first <= d <= last])
+
     def _inputs(self, days: list[str]) -> Inputs:
         return Inputs(self._source("elements", days), self._source("rib", days), window=self.window, **self._references)
 

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pathlight.operators import detectors, graph, incidents, metrics, origin, relations, runs
+from pathlight.operators import detectors, graph, incidents, metrics, origin, relations, replay, runs
 
 T0 = datetime(2026, 8, 24)
 ELEMENT = "ts timestamp_ntz, seq bigint, collector string, peer_asn bigint, peer_ip string, elem_type string, prefix string, prefix_ip_version int, origin_asn bigint, path array<bigint>, as_path_len int, has_as_set boolean"
@@ -47,24 +47,74 @@ def test_severity(spark, score, level):
     assert spark.range(1).select(detectors.severity(F.lit(score))).first()[0] == level
 
 
-def test_replay_matches_the_state_machine(spark):
+def replayed(rows, at, origin=None, targets=(), warm_up=24):
+    """Frames of a replay by a plain state machine: (time, announcements, withdrawals, paths)."""
+    rows = sorted((r for r in rows if at.start - timedelta(hours=warm_up) <= r[0] <= at.end), key=lambda r: (r[0], r[1]))
+    state, out, i = {}, [], 0
+    for k in range(at.last + 1):
+        end, counts = min(at.start + k * timedelta(minutes=at.minutes), at.end), [0, 0]
+        while i < len(rows) and rows[i][0] <= end:
+            r = rows[i]
+            counts[r[5] == "W"] += 1
+            if r[5] == "W":
+                state.pop((r[2], r[4]), None)
+            elif r[9]:
+                state[r[2], r[4]] = r[9]
+            i += 1
+        paths = []
+        for path in state.values():
+            if origin is None or path[-1] == origin:
+                path = path[::-1]
+                stop = next((n for n, x in enumerate(path) if x in targets), len(path))
+                paths.append(tuple(path[: stop + 1]))
+        out.append((end, *(counts if k else (0, 0)), paths))
+    return out
+
+
+@pytest.mark.parametrize("seed, minutes, origin, targets", [(1, 60, None, ()), (2, 45, 9, (2,)), (3, 7, 8, (1, 3)), (4, 240, None, (9,))])
+def test_replay_matches_the_state_machine(spark, seed, minutes, origin, targets):
     import random
 
-    rng = random.Random(5)
-    rows = [element(rng.randrange(0, 300), rng.choice("AAW"), "p", [rng.randrange(1, 4), 9], peer=rng.randrange(1, 4), seq=i) for i in range(80)]
+    rng = random.Random(seed)
+    rows = [element(rng.randrange(-1700, 300), rng.choice("AAAWR"), "p", [rng.randrange(1, 4), rng.randrange(4, 6), rng.choice([8, 9])], peer=rng.randrange(1, 5), collector=f"c{rng.randrange(2)}", seq=i) for i in range(120)]
+    rows += [element(m, "A", "p", [], peer=2, seq=500 + m) for m in (40, 90)]  # no path: nothing changes
+    at = replay.span(T0 + timedelta(minutes=30), T0 + timedelta(minutes=290), minutes)
+    want = replayed(rows, at, origin, targets)
+    elements = frame(spark, rows)
+    held = replay.states(elements, "p", at, origin, list(targets)).cache()
     got = {}
-    for r in graph.replay(frame(spark, rows), "p", "2026-08-24 00:30:00", "2026-08-24 04:50:00", 60).collect():
+    for r in replay.paths(held, at).collect():
         got.setdefault(r["frame"], {})[tuple(r["path"])] = r["peers"]
-    ends = [T0 + timedelta(minutes=m) for m in (30, 90, 150, 210, 270, 290)]
-    for end in ends:
-        state = {}
-        for r in sorted(rows, key=lambda r: (r[0], r[1])):
-            if r[0] <= end:
-                state[r[3]] = tuple(r[9]) if r[5] == "A" else None
-        want = {}
-        for path in filter(None, state.values()):
-            want[path] = want.get(path, 0) + 1
-        assert got.get(end, {}) == want, end
+    for end, _, _, paths in want:
+        assert got.get(end, {}) == {x: paths.count(x) for x in paths}, end
+    edges = [{e for x in paths for e in zip(x, x[1:])} for *_, paths in want]
+    rows = {r["frame"]: (r["announcements"], r["withdrawals"], r["paths"], r["nodes"], r["edges"]) for r in replay.frames(elements, held, "p", at).collect()}
+    assert rows == {w[0]: (w[1], w[2], len(set(w[3])), len({n for x in w[3] for n in x}), len(e)) for w, e in zip(want, edges)}
+    assert {tuple(r) for r in replay.stable_edges(held, at).collect()} == set.intersection(*edges)
+    changed = sorted([(w[0], *e, "added") for w, now, old in zip(want[1:], edges[1:], edges) for e in now - old] + [(w[0], *e, "removed") for w, now, old in zip(want[1:], edges[1:], edges) for e in old - now])
+    assert sorted(tuple(r) for r in replay.changes(held, at).collect()) == changed and changed
+    apart = sorted([(w[0], *e, "added") for w, now in zip(want, edges) for e in now - edges[0]] + [(w[0], *e, "removed") for w, now in zip(want, edges) for e in edges[0] - now])
+    assert sorted(tuple(r) for r in replay.difference(held, at).collect()) == apart
+    assert replay.paths(held, at, max_paths=1).isEmpty() and replay.paths(held, at, max_in_frames=3).isEmpty()
+
+
+def test_replay_spans():
+    at = replay.span(T0, T0 + timedelta(days=10), 15)
+    assert at.clamped and at.start == T0 + timedelta(days=3) and at.minutes == 51 and at.last <= 200
+    assert replay.span(T0, T0 + timedelta(hours=1), 15) == replay.Span(T0, T0 + timedelta(hours=1), 15) and replay.span(T0, T0, 15).last == 0
+
+
+def test_depths_on_graphs_with_cycles(spark):
+    import random
+
+    rng = random.Random(6)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(55)] + [(50, 51), (51, 50)]
+    want, level = {0: 0, 7: 0}, {0, 7}
+    while level:
+        level = {b for a, b in edges if a in level} - set(want)
+        want |= dict.fromkeys(level, max(want.values()) + 1)
+    roots = spark.createDataFrame([(0,), (7,), (7,)], "node bigint")
+    assert {r["node"]: r["depth"] for r in graph.depths(spark.createDataFrame(edges, "a bigint, b bigint"), roots).collect()} == want and max(want.values()) > 3
 
 
 def test_incidents_measure_from_the_first_event(spark):
