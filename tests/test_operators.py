@@ -124,6 +124,60 @@ def test_incidents_measure_from_the_first_event(spark):
     assert [(x[1], x[2]) for x in got] == [(["e0", "e50"], 0.58), (["e65"], 0.5), (["e130"], 0.5)]
 
 
+EVENT = "prefix string, first_seen timestamp_ntz, detector string, event_id string, score double, last_seen timestamp_ntz"
+
+
+def folded(rows, minutes):
+    """Incidents by the plain fold over each prefix's time line: (prefix, event ids)."""
+    out = []
+    for prefix in {r[0] or "-" for r in rows}:
+        anchor = None
+        for r in sorted((r for r in rows if (r[0] or "-") == prefix), key=lambda r: (r[1], r[2], r[3])):
+            if anchor is None or r[1] - anchor > timedelta(minutes=minutes):
+                anchor = r[1]
+                out.append((prefix, []))
+            out[-1][1].append(r[3])
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, range_hours, spread", [(1, 1, 300), (2, 2, 3_000), (3, 24, 20_000), (4, 1, 60)])
+def test_incidents_equal_the_fold(spark, seed, range_hours, spread):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(400):
+        at = T0 + timedelta(minutes=rng.choice([rng.randrange(spread), 60 * rng.randrange(1 + spread // 60)]), microseconds=rng.choice([0, 0, 1]))
+        rows.append((rng.choice(["p", "p", "q", None]), at, rng.choice(["moas", "bogon", "leak"]), f"e{i}", rng.random() * 0.7, at + timedelta(minutes=rng.randrange(90))))
+    got = incidents.correlate(spark.createDataFrame(rows, EVENT), 60, range_hours).collect()
+    assert sorted((r["prefix"], r["event_ids"]) for r in got) == folded(rows, 60)
+    by_id = {r[3]: r for r in rows}
+    for r in got:
+        own = [by_id[e] for e in r["event_ids"]]
+        kinds = sorted({e[2] for e in own})
+        assert r["detectors"] == kinds and r["first_seen"] == min(e[1] for e in own) and r["last_seen"] == max(e[5] for e in own)
+        assert abs(r["score"] - round(min(1.0, max(e[4] for e in own) + min(0.25, 0.08 * (len(kinds) - 1))), 3)) < 1.1e-3
+    assert incidents.correlate(spark.createDataFrame([], EVENT)).isEmpty()
+
+
+def test_a_million_events_of_one_prefix(spark):
+    """As many events without a quiet hour: one task never holds more than a range of them, the incidents are the fold's."""
+    import numpy as np
+
+    n, step = 1_000_000, 7_300_000  # microseconds from one to the next: a quarter of a year
+    events = spark.range(n).select(F.lit("p").alias("prefix"), F.timestamp_micros(F.lit(1787529600000000) + F.col("id") * step + F.pmod(F.col("id") * 7919, F.lit(6_000_000))).cast("timestamp_ntz").alias("first_seen"), F.col("id").alias("event_id"))
+    got = incidents.anchored(events, 60, 24).groupBy("anchor").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+    i = np.arange(n, dtype=np.int64)
+    times, at, want = 1787529600000000 + i * step + i * 7919 % 6_000_000, 0, []
+    while at < n:
+        end = int(np.searchsorted(times, times[at] + 3_600_000_000, "right"))
+        want.append((int(times[at]), at, end - 1, end - at))
+        at = end
+    assert [tuple(r) for r in got] == want and len(want) > 2_000
+    upper, out = incidents.summarise(times[:12_000], 3_600_000_000, int(times[0]))
+    assert len(upper) < 600  # far fewer steps than events
+
+
 def planted(spark):
     """A week of quiet announcements with one anomaly of each kind."""
     rows, rib = [], []
