@@ -78,7 +78,10 @@ def moas(
     rows = origin.validate(rows, roas, routes)
     rows = rows.where("rpki_status <> 'valid' and not (rpki_status = 'not-found' and irr_status = 'consistent')")
     known = origin.known_anycast(rows, catalogue).withColumn("known", F.lit(True))
-    sample = elements.where("elem_type = 'A' and origin_asn is not null").join(known, "prefix", "left_semi").groupBy("prefix", "origin_asn").agg(F.slice(F.array_sort(F.collect_set("path")), 1, 5).alias("paths"))
+    # Paths are ranked before they are collected: five a pair at most.
+    own = elements.where("elem_type = 'A' and origin_asn is not null").join(known, "prefix", "left_semi").select("prefix", "origin_asn", "path").distinct()
+    own = own.withColumn("k", F.row_number().over(Window.partitionBy("prefix", "origin_asn").orderBy("path"))).where("k <= 5")
+    sample = own.groupBy("prefix", "origin_asn").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     rows = rows.join(known, "prefix", "left").join(sample, ["prefix", "origin_asn"], "left").join(sample.withColumnsRenamed({"origin_asn": "incumbent", "paths": "incumbent_paths"}), ["prefix", "incumbent"], "left")
     anycast = F.coalesce(F.col("known") & (origin.most_similar(F.col("incumbent_paths"), F.col("paths")) <= ceiling), F.lit(False))
     rows = rows.where(~anycast)

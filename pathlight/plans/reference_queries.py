@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from pathlight.functions import paths, prefixes
-from pathlight.operators import origin, relations
+from pathlight.operators import as_sets, origin, relations
 
 from . import projection as p
 from .metric_queries import NET
@@ -140,3 +140,25 @@ def s26(spark, d):
     merged = tables.merge_window(keyed.where("side = 1"), keyed.where("side = 0"))
     sides = keyed.groupBy("peer_asn", "elem_type").agg(F.count_distinct("side").alias("sides"))
     return merged.join(sides, ["peer_asn", "elem_type"]).select(F.col("peer_asn").alias("user_id"), F.col("elem_type").alias("event_type"), F.when(F.col("side") == 0, 1).otherwise(0).alias("from_new"), "sides")
+
+
+#: As-sets over all parts: numbers in a set by their remainder, sets in each other with cycles.
+_SETS = """SELECT concat('AS-S', CAST(p_partkey % 97 AS VARCHAR(9))) AS as_set, concat('AS', CAST(p_partkey AS VARCHAR(9))) AS member FROM part
+ UNION SELECT concat('AS-S', CAST(p_partkey % 97 AS VARCHAR(9))), concat('AS-S', CAST((p_partkey % 97 * 5 + 3) % 97 AS VARCHAR(9))) FROM part WHERE p_partkey % 97 % 3 = 0
+ UNION SELECT concat('AS-S', CAST(p_partkey % 97 AS VARCHAR(9))), concat('AS-S', CAST(p_partkey % 97 % 11 AS VARCHAR(9))) FROM part WHERE p_partkey % 97 % 7 = 1"""
+
+
+def _expanded(spark, d, max_depth):
+    members = p._view(spark, d, _SETS, "part")
+    return as_sets.expand(members.select("as_set"), members, max_depth)
+
+
+@query("s18_direct_members", f"WITH m AS ({_SETS}) SELECT as_set, CAST(substr(member, 3) AS BIGINT) AS asn, 1 AS depth FROM m WHERE regexp_matches(member, '^AS[0-9]+$')")
+def s18(spark, d):
+    return _expanded(spark, d, 1)
+
+
+@query("s18_all_members", f"""WITH RECURSIVE m AS ({_SETS}), r AS (SELECT DISTINCT as_set, as_set AS node, 0 AS depth FROM m UNION SELECT r.as_set, m.member, r.depth + 1 FROM r JOIN m ON m.as_set = r.node WHERE r.depth < 40 AND member LIKE 'AS-%'),
+ s AS (SELECT as_set, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT s.as_set, CAST(substr(m.member, 3) AS BIGINT) AS asn, CAST(min(s.depth) + 1 AS INTEGER) AS depth FROM s JOIN m ON m.as_set = s.node WHERE regexp_matches(m.member, '^AS[0-9]+$') GROUP BY 1, 2""")
+def s18b(spark, d):
+    return _expanded(spark, d, None)

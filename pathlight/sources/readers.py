@@ -142,6 +142,15 @@ def read_irr_objects(spark: SparkSession, path: str) -> DataFrame:
     return out.where(prefixes.is_valid(F.col("prefix")) & F.col("asn").isNotNull()).distinct()
 
 
+def read_as_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(as_set, member) of landed as-set objects; ``members`` may be repeated and hold lists."""
+    kind = "objects struct<object: array<struct<attributes: struct<attribute: array<struct<name: string, value: string>>>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)["objects"]["object"]).alias("o"))
+    of = lambda name: F.transform(F.filter("o.attributes.attribute", lambda a: a["name"] == name), lambda a: F.upper(F.trim(a["value"])))
+    named = rows.select(F.get(of("as-set"), F.lit(0)).alias("as_set"), F.explode(of("members")).alias("listed")).where("as_set is not null")
+    return named.select("as_set", F.explode(F.split("listed", r"[,\s]+")).alias("member")).where("member <> ''").distinct()
+
+
 def archive_times(spark: SparkSession, start: str, end: str, minutes: int) -> DataFrame:
     """(ts, name): times of the archive files of a cadence, the first one at or before ``start``."""
     floor = F.expr(f"timestamp_seconds(floor(unix_seconds(timestamp'{start}') / {minutes * 60}) * {minutes * 60})")

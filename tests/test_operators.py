@@ -178,53 +178,89 @@ def test_a_million_events_of_one_prefix(spark):
     assert len(upper) < 600  # far fewer steps than events
 
 
-def planted(spark):
-    """A week of quiet announcements with one anomaly of each kind."""
-    rows, rib = [], []
-    quiet = {"41.72.96.0/22": [1740, 29100], "105.16.0.0/16": [1740, 29300], "154.64.0.0/12": [6320, 28800], "129.140.0.0/18": [1740, 29500], "156.32.0.0/13": [1740, 29600]}
-    peers = [(peer, f"rrc{peer % 2}") for peer in range(1, 9)]
-    for hour in range(0, 168, 6):
-        for prefix, path in quiet.items():
-            for peer, collector in peers[:4] if hour % 12 else peers:
-                rows.append(element(hour * 60 + peer, "A", prefix, [peer, *path], peer, collector))
+def planted(spark, seed):
+    """Days of quiet routing over a random three-level topology, with two anomalies of each kind at random places and times.
+
+    Returns the tables of the detectors and the truth: (prefix, time, detector) of each anomaly.
+    """
+    import ipaddress
+    import random
+
+    rng = random.Random(seed)
+    numbers = rng.sample(range(300, 9000), 40)
+    tops, regions, owners, strangers = numbers[:3], numbers[3:8], numbers[8:22], numbers[22:30]
+    above = {r: rng.sample(tops, 2) for r in regions} | {o: rng.sample(regions, 2) for o in owners + strangers}
+    rel = [(up, down, "p2c") for down, ups in above.items() for up in ups] + [(a, b, "p2p") for i, a in enumerate(tops) for b in tops[i + 1 :]]
+    peers = [(900_000 + k, f"vantage{k % 3}") for k in range(rng.randrange(8, 12))]
+    octets = rng.sample([41, 62, 80, 102, 105, 129, 154, 156, 165, 196, 212], 7)
+    space = {o: ipaddress.ip_network(f"{octets[k % 7]}.{16 * (k // 7) + 16}.0.0/{rng.randrange(13, 20)}", strict=False) for k, o in enumerate(owners)}
+    rounds = range(0, 24 * rng.randrange(6, 10), 5)
+    rows, rib, truth = [], [], []
+
+    def path(peer, origin):
+        region = rng.choice(above[origin])
+        return [peer, rng.choice(above[region]), region, origin]
+
+    def say(hour, prefix, of, share=1.0, times=1):
+        chosen = rng.sample(peers, max(3, int(share * len(peers))))
+        for peer, collector in chosen:
+            rows.extend(element(hour * 60 + rng.randrange(50), "A", str(prefix), of(peer), peer, collector, len(rows)) for _ in range(times))
+
+    drops = {}
+    kinds = ["moas", "subprefix", "valley_free", "churn_spike", "visibility_drop"] * 2
+    for kind, owner in zip(kinds, rng.sample(owners, len(kinds))):
+        hour, prefix = rng.choice(rounds[8:-2]) + rng.randrange(1, 4), space[owner]
+        if kind == "moas":
+            thief = rng.choice(strangers)
+            say(hour, prefix, lambda peer: path(peer, thief), 0.8)
+        elif kind == "subprefix":
+            prefix = rng.choice(list(prefix.subnets(new_prefix=prefix.prefixlen + rng.randrange(2, 5))))
+            say(hour, prefix, lambda peer: path(peer, owner), 0.9)
+        elif kind == "valley_free":  # a region passes what one of its providers said on to the other
+            leaker = rng.choice(regions)
+            say(hour, prefix, lambda peer: [peer, above[leaker][0], leaker, above[leaker][1], owner], 0.7)
+        elif kind == "churn_spike":
+            say(hour, prefix, lambda peer: path(peer, owner), 1.0, rng.randrange(20, 30))
+        else:
+            hour = rng.choice(rounds[8:-2])
+            drops[hour, owner] = {peers[0], peers[1]}
+        truth.append((str(prefix), T0 + timedelta(hours=hour), kind))
+    for hour in rounds:
+        for owner, prefix in space.items():
+            say(hour, prefix, lambda peer: path(peer, owner), rng.choice([0.4, 0.5, 0.6]))
             for peer, collector in peers:
-                if not (prefix == "156.32.0.0/13" and hour == 156) or peer <= 2:
-                    rib.append((T0 + timedelta(hours=hour), collector, peer, prefix, path[-1], len(path)))
-    for peer, collector in peers:
-        rows.append(element(75 * 60 + peer, "A", "41.72.96.0/22", [peer, 1740, 51090], peer, collector))
-        rows.append(element(128 * 60 + peer, "A", "105.16.160.0/20", [peer, 1740, 29300], peer, collector))
-        rows.append(element(101 * 60 + peer, "A", "154.64.0.0/12", [6320, 28800, 1740, 28700], peer, collector))
-        rows += [element(146 * 60 + k, "A", "129.140.0.0/18", [peer, 1740, 29500], peer, collector) for k in range(25)]
-    elements = frame(spark, rows)
+                if (peer, collector) in drops.get((hour, owner), peers):
+                    rib.append((T0 + timedelta(hours=hour), collector, peer, str(prefix), owner, 4))
     snapshots = spark.createDataFrame(rib, "snapshot_ts timestamp_ntz, collector string, peer_asn bigint, prefix string, origin_asn bigint, as_path_len int")
-    roas = spark.createDataFrame([("41.72.96.0/22", 29100, 22), ("105.16.0.0/16", 29300, 16)], "prefix string, asn bigint, max_len int")
+    roas = spark.createDataFrame([(str(n), o, n.prefixlen) for o, n in space.items()], "prefix string, asn bigint, max_len int")
     routes = spark.createDataFrame([], "prefix string, asn bigint")
-    rel = spark.createDataFrame([(1740, 28800, "p2c"), (6320, 28800, "p2c"), (1740, 28700, "p2c"), (6320, 28700, "p2c"), (1740, 6320, "p2p")], "as_a bigint, as_b bigint, relationship string")
-    orgs = spark.createDataFrame([(29100, "o1")], "asn bigint, org_id string")
-    anycast = spark.createDataFrame([], "prefix string")
-    return elements, snapshots, roas, routes, rel, orgs, anycast
+    links = spark.createDataFrame(rel, "as_a bigint, as_b bigint, relationship string")
+    orgs = spark.createDataFrame([(o, f"org{k}") for k, o in enumerate(owners)], "asn bigint, org_id string")
+    return (frame(spark, rows), snapshots, roas, routes, links, orgs, spark.createDataFrame([], "prefix string")), truth
 
 
-def test_every_planted_anomaly_is_found(spark):
-    elements, rib, roas, routes, rel, orgs, anycast = planted(spark)
+@pytest.mark.parametrize("seed", [12, 31])
+def test_every_planted_anomaly_is_found(spark, seed):
+    (elements, rib, roas, routes, rel, orgs, anycast), truth = planted(spark, seed)
     found = detectors.moas(elements, roas, routes, rel, orgs, anycast)
     for more in (detectors.subprefix(elements, roas, routes), detectors.route_leaks(elements, rel), detectors.churn_spikes(elements), detectors.visibility_drops(rib, elements)):
         found = found.unionByName(more)
-    truth = [("41.72.96.0/22", 75), ("105.16.160.0/20", 128), ("154.64.0.0/12", 101), ("129.140.0.0/18", 146), ("156.32.0.0/13", 156)]
-    days = spark.createDataFrame([(p, (T0 + timedelta(hours=h)).date()) for p, h in truth], "prefix string, day date")
-    asns = spark.createDataFrame([(29100, "KE", True)], "asn bigint, country_iso2 string, is_african boolean")
+    days = spark.createDataFrame([(p, at.date()) for p, at, _ in truth], "prefix string, day date")
+    asns = spark.createDataFrame([(1, "KE", True)], "asn bigint, country_iso2 string, is_african boolean")
     events = detectors.finish(found, asns).cache()
     assert incidents.recall(days, events).first()["recall"] == 1.0
-    assert {r["detector"] for r in events.select("detector").collect()} == {"moas", "subprefix", "valley_free", "churn_spike", "visibility_drop"}
+    assert {(r["prefix"], r["detector"]) for r in events.collect()} == {(p, kind) for p, _, kind in truth}  # and nothing else
     again = detectors.finish(found, asns)
     assert {r[0] for r in again.select("event_id").collect()} == {r[0] for r in events.select("event_id").collect()}
 
 
 def test_stable_origins_are_legitimate(spark):
-    elements, rib, roas, routes, rel, orgs, anycast = planted(spark)
-    stable = spark.createDataFrame([("197.155.64.0/22", 45090)], "prefix string, origin_asn bigint")
-    got = detectors.moas(elements, roas, routes, rel, orgs, anycast, stable).where("prefix = '197.155.64.0/22'")
-    assert got.isEmpty()
+    (elements, rib, roas, routes, rel, orgs, anycast), truth = planted(spark, 12)
+    found = detectors.moas(elements, roas, routes, rel, orgs, anycast).select("prefix", F.col("asns")[1].alias("origin_asn")).collect()
+    assert sorted(r["prefix"] for r in found) == sorted(p for p, _, kind in truth if kind == "moas")
+    stable = spark.createDataFrame([tuple(found[0])], "prefix string, origin_asn bigint")
+    left = detectors.moas(elements, roas, routes, rel, orgs, anycast, stable)
+    assert [r["prefix"] for r in left.collect()] == [found[1]["prefix"]]
 
 
 def test_empty_elements_give_empty_tables(spark):

@@ -202,10 +202,73 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert tables.read_partitions(spark, path).count() == 2
 
 
-def test_live_state(spark, tmp_path):
-    query = live.live_state(live.live_stream(spark, live_file(tmp_path / "in"))).writeStream.format("memory").queryName("state").outputMode("update").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert [r["path"] for r in spark.table("state").collect()][-1] == ""
+def live_changes(spark, tmp_path, batches, **how):
+    """Changes of live state over micro-batches of (minute, peer, path or None) messages, one file each."""
+    folder = tmp_path / "in"
+    for k, batch in enumerate(batches):
+        rows = []
+        for minute, peer, path in batch:
+            rows.append({**LIVE[0], "timestamp": 1787533200.0 + minute * 60, "peer": peer, "path": path.split() if path else [], "announcements": [{"next_hop": "1.1.1.1", "prefixes": ["10.1.0.0/16"]}] if path is not None else [], "withdrawals": [] if path is not None else ["10.1.0.0/16"]})
+        aged(folder, f"{k}.json", rows, k)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        name = f"state_{tmp_path.name}"
+        stream = live.live_state(live.live_stream(spark, str(folder), 1), **how)
+        stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return [((r["micros"] // 60_000_000) - 1787533200 // 60, r["peer_ip"], r["path"], r["reason"]) for r in spark.table(name).collect()]
+
+
+def test_live_state_in_order_of_time(spark, tmp_path):
+    batches = [
+        [(3, "a", "174 2 9"), (1, "a", "174 1 9")],  # out of order within a file
+        [(2, "a", None), (4, "b", "3 9"), (4, "b", "4 9")],  # over files; the later of equal times counts
+        [(20, "c", "5 9")],  # the watermark passes minute 10
+        [(0, "a", "8 9"), (21, "a", ""), (22, "a", None)],  # too late; without a path
+        [(60, "c", "5 9"), (61, "c", "5 9")],  # no change
+        [(90, "d", "1 9")],
+    ]
+    got = live_changes(spark, tmp_path, batches)
+    assert [x for x in got if x[1] == "a"] == [(1, "a", "174 1 9", "announced"), (2, "a", "", "withdrawn"), (3, "a", "174 2 9", "announced"), (22, "a", "", "withdrawn")]
+    b = [x for x in got if x[1] == "b"]
+    assert len(b) == 1 and b[0][0] == 4 and b[0][2] in ("3 9", "4 9")  # one file has no order beyond its blocks
+    assert [x for x in got if x[1] == "c"] == [(20, "c", "5 9", "announced")]
+
+
+def test_silent_peers_lose_their_path(spark, tmp_path):
+    batches = [[(0, "a", "1 9"), (0, "b", "2 9")], [(50, "b", "2 9")], [(100, "c", "3 9")], [(200, "c", "3 9")], [(201, "c", "3 9")]]
+    got = live_changes(spark, tmp_path, batches, silence_ms=3_600_000)
+    assert [x for x in got if x[1] == "a"] == [(0, "a", "1 9", "announced"), (0, "a", "", "silent")]
+    assert [x for x in got if x[1] == "b"] == [(0, "b", "2 9", "announced"), (50, "b", "", "silent")]
+
+
+def test_as_sets(spark, tmp_path):
+    import random
+
+    from pathlight.operators import as_sets
+
+    objects = {"objects": {"object": [{"attributes": {"attribute": [{"name": "as-set", "value": "AS-A"}, {"name": "members", "value": "AS1, as2,AS-B"}, {"name": "members", "value": " AS3 "}]}}, {"attributes": {"attribute": [{"name": "as-set", "value": "as-b"}, {"name": "members", "value": "AS4"}, {"name": "members", "value": "AS-A"}]}}]}}
+    (tmp_path / "sets").write_text(json.dumps(objects))
+    members = readers.read_as_sets(spark, str(tmp_path / "sets"))
+    assert sorted(map(tuple, members.collect())) == [("AS-A", "AS-B"), ("AS-A", "AS1"), ("AS-A", "AS2"), ("AS-A", "AS3"), ("AS-B", "AS-A"), ("AS-B", "AS4")]
+    rng = random.Random(3)
+    pairs = [(f"AS-{rng.randrange(20)}", rng.choice([f"AS{rng.randrange(60)}", f"AS-{rng.randrange(24)}", "RS-X"])) for _ in range(90)] + [("AS-0", "AS-0")]
+    roots, frame = [f"AS-{i}" for i in range(0, 24, 2)], spark.createDataFrame(pairs, "as_set string, member string")
+    for depth in (1, 2, None):
+        want = {}
+        for root in roots:
+            level, seen, n = {root}, {root}, 0
+            while level and (depth is None or n < depth):
+                n += 1
+                met = {m for s, m in pairs if s in level}
+                for m in met:
+                    if m[2:].isdigit():
+                        want.setdefault((root, int(m[2:])), n)
+                level = {m for m in met if not m[2:].isdigit()} - seen
+                seen |= level
+        got = {(r["as_set"], r["asn"]): r["depth"] for r in as_sets.expand(spark.createDataFrame([(r,) for r in roots], "as_set string"), frame, depth).collect()}
+        assert got == want and (depth != None or max(want.values()) > 2)  # noqa: E711
 
 
 def test_catalog(spark, tmp_path):
