@@ -23,20 +23,38 @@ def length(prefix: Column) -> Column:
     return F.when(F.size(own) == 1, F.when(version(prefix) == 6, 128).otherwise(32)).otherwise(F.try_to_number(F.get(own, F.lit(1)), F.lit("999")).cast("int"))
 
 
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
+
+
+def _hextets(prefix: Column) -> Column:
+    """The IPv6 address of the prefix, an embedded IPv4 address as two groups and without a zone."""
+    address = F.substring_index(F.substring_index(prefix, "/", 1), "%", 1)
+    quad = F.regexp_extract(address, rf"(?<=:)({_QUAD})$", 1)
+    of = lambda k: F.lpad(F.conv(F.get(F.split(quad, r"\."), F.lit(k)), 10, 16), 2, "0")
+    return F.when(quad != "", F.concat(F.substring(address, F.lit(1), F.length(address) - F.length(quad)), of(0), of(1), F.lit(":"), of(2), of(3))).otherwise(address)
+
+
 def is_valid(prefix: Column) -> Column:
-    """Whether the text is an address of either version with a possible length."""
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-    v4 = rf"^{octet}(\.{octet}){{3}}(/([0-9]|[12][0-9]|3[0-2]))?$"
-    hextets = r"^(([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(([0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4})?::(([0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4})?)(/([0-9]|[1-9][0-9]|1[01][0-9]|12[0-8]))?$"
-    few = F.size(F.split(F.substring_index(prefix, "/", 1), ":")) <= 8
-    return F.coalesce(F.when(version(prefix) == 6, prefix.rlike(hextets) & few).otherwise(prefix.rlike(v4)), F.lit(False))
+    """Whether the text is an address of either version with a possible length; IPv6 with an embedded IPv4 address too.
+
+    An address may have a zone, a network (with a length) not.
+    """
+    v4 = rf"^{_QUAD}(/([0-9]|[12][0-9]|3[0-2]))?$"
+    whole = r"^(([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(([0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4})?::(([0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4})?)$"
+    size = r"^[^/]*(/([0-9]|[1-9][0-9]|1[01][0-9]|12[0-8]))?$"
+    address = _hextets(prefix)
+    groups = F.size(F.filter(F.split(address, ":"), lambda x: x != ""))
+    few = F.when(F.instr(address, "::") > 0, groups <= 7).otherwise(groups == 8)  # :: is a group at least
+    zone = ~prefix.contains("%") | prefix.rlike(r"^[^/%]*%[^/%]+$")
+    return F.coalesce(F.when(version(prefix) == 6, address.rlike(whole) & prefix.rlike(size) & few & zone).otherwise(prefix.rlike(v4)), F.lit(False))
 
 
 def bits(prefix: Column) -> Column:
     """The address as a string of 32 or 128 binary digits; invalid text gives null."""
-    address = F.substring_index(prefix, "/", 1)
     binary = lambda x, size, base: F.lpad(F.conv(x, base, 2), size, "0")
-    v4 = F.array_join(F.transform(F.split(address, r"\."), lambda x: binary(x, 8, 10)), "")
+    v4 = F.array_join(F.transform(F.split(F.substring_index(prefix, "/", 1), r"\."), lambda x: binary(x, 8, 10)), "")
+    address = _hextets(prefix)
     full = lambda text: F.filter(F.split(text, ":"), lambda x: x != "")
     left, right = full(F.substring_index(address, "::", 1)), F.when(F.instr(address, "::") > 0, full(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
     zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detector_queries, explorer_queries, function_queries, graph_queries, metric_queries, native_queries, reference_queries  # noqa: F401  they register themselves
+from . import card_queries, detector_queries, explorer_queries, function_queries, graph_queries, metric_queries, native_queries, reference_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 

@@ -30,7 +30,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         p.rib(spark, sf_dir).withColumn("date", F.to_date("snapshot_ts")).repartitionByRange("date", "prefix").write.partitionBy("date").parquet(paths["rib"])
         # The tables don't change within a session; files of live tables would be listed again each minute.
         held = Store(spark, f"{folder}/metrics", paths, p.asns(spark, sf_dir), p.roas(spark, sf_dir), p.roles(spark, sf_dir), window="1d", max_age=float("inf"))
-        held.build(held.days()[:-1], ["daily_prefix_origin", "daily_adjacency", "upstream", "visibility"])
+        held.build(held.days()[:-1], ["daily_prefix_origin", "daily_adjacency", "churn_prefix", "upstream", "visibility"])
         _STORES[key] = held
     return _STORES[key]
 

@@ -87,3 +87,35 @@ def test_islands_skip_days_without_collection(spark):
 def test_unknown_window():
     with pytest.raises(ValueError):
         windows.tumbling(None, "7m")
+
+
+def test_prefixes_agree_with_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from pathlight.functions import prefixes
+
+    rng, texts = random.Random(13), []
+    for _ in range(300):
+        address = ipaddress.IPv6Address(rng.choice([rng.getrandbits(128), rng.getrandbits(32), rng.getrandbits(16) << 112, 0xFFFF00000000 + rng.getrandbits(32), 0x20010DB8 << 96 | rng.getrandbits(20)]))
+        quad = str(ipaddress.IPv4Address(int(address) & 0xFFFFFFFF))
+        groups = address.exploded.split(":")
+        text = rng.choice([str(address), address.exploded, str(address).upper(), ":".join(groups[:6]) + ":" + quad, str(ipaddress.IPv6Address(int(address) >> 32 << 32)).removesuffix("::") + "::" + quad])
+        texts.append(text + rng.choice(["", f"/{rng.randrange(0, 131)}", "%eth0", ""]))
+        texts.append(str(ipaddress.IPv4Address(rng.getrandbits(32))) + rng.choice(["", f"/{rng.randrange(0, 35)}"]))
+    texts += ["::", "::/0", "1::2::3", ":::", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "::ffff:1.2.3.256", "::1.2.3", "1.2.3.4::", "fe80::1%", "fe80::1%a%b", "fe80::%1/64", "g::", "12345::", "", "/", ":", "1:", "::/129", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::1.2.3.4/120"]
+
+    def want(text):
+        try:
+            if "/" in text:
+                if "%" in text:
+                    return None  # no network has a zone
+                return format(int(ipaddress.ip_interface(text).ip), "0128b" if ":" in text else "032b")
+            return format(int(ipaddress.ip_address(text)), "0128b" if ":" in text else "032b")
+        except ValueError:
+            return None
+
+    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "p string")
+    got = {r["p"]: (r["ok"], r["b"]) for r in rows.select("p", prefixes.is_valid(F.col("p")).alias("ok"), prefixes.bits(F.col("p")).alias("b")).collect()}
+    wrong = {t: (got[t], want(t)) for t in got if got[t] != (want(t) is not None, want(t))}
+    assert not wrong, dict(list(wrong.items())[:8])
