@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from pathlight.functions import paths, prefixes
 from pathlight.operators import cards, origin
+from pathlight.sources import history
 
 from . import projection as p, stored
 from .explorer_queries import _EV, _TRANSIT, _daily, _events
 from .metric_queries import _DAYS, _VIS
 from .projection import CTE
-from .registry import query
+from .registry import ORACLES, query
 
 _PFX = "197.32.0.0/12"
 #: Events with AS numbers and prefixes, and incidents as the events of one customer.
@@ -112,6 +113,17 @@ def o8(spark, d):
     return explorer.prefix_list(daily, 4, 2, least_updates=least, total=True)
 
 
+@query("q14_roa_intervals", ORACLES["q14_roa_history"])
+def q14_intervals(spark, d):
+    """The history of q14 by merging one dated snapshot after the other."""
+    held, rows = None, p.roas(spark, d)
+    days = [f"2024-01-0{k + 1}" for k in range(5)]
+    for k, day in enumerate(days):
+        snapshot = rows.where(f"(asn + {k}) % 4 <> 1 or asn = 104")
+        held = history.merge(held, snapshot, ["prefix", "asn"], day, days[k - 1] if k else None)
+    return history.presence(held, ["prefix", "asn"], days[0], days[-1])
+
+
 #: IPv6 prefixes from events, some of them written with an embedded IPv4 address, and authorisations from parts.
 _V6 = """SELECT DISTINCT event_id % 40 AS k, event_id % 7 AS b, 32 + event_id % 3 * 8 AS len, 100 + event_id % 11 AS origin_asn,
  CASE WHEN event_id % 5 = 0 THEN concat('2c0f:', CAST(1000 + event_id % 40 AS VARCHAR(9)), ':', CAST(event_id % 7 AS VARCHAR(9)), '00:0:0:0:10.0.', CAST(event_id % 3 AS VARCHAR(9)), '.1/', CAST(32 + event_id % 3 * 8 AS VARCHAR(9)))

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["m1_churn_prefix", "m3_visibility", "m5_upstream", "m8_rpki_coverage", "d9_valley_free", "a9_anchor_grouping", "q5_asn_page", "q7_prefix_page", "q9_country_indicators", "q12_prefix_table", "q15_neighbours", "q23_replay", "j15_state_as_of", "w3_week_buckets", "w7_islands"]
+SOME = ["m1_churn_prefix", "m3_visibility", "m5_upstream", "m8_rpki_coverage", "d9_valley_free", "a9_anchor_grouping", "q5_asn_page", "q7_prefix_page", "q9_country_indicators", "q12_prefix_table", "q15_neighbours", "q23_replay", "j15_state_as_of", "q14_roa_intervals", "q23_replay_frames", "r10_difference", "q8_prefix_top_paths", "q32_related_events", "d2_ipv6_validation", "s18_all_members", "w3_week_buckets", "w7_islands"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't there")
 
