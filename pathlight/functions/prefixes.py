@@ -30,9 +30,14 @@ _QUAD = rf"{_OCTET}(\.{_OCTET}){{3}}"
 def _hextets(prefix: Column) -> Column:
     """The IPv6 address of the prefix, an embedded IPv4 address as two groups and without a zone."""
     address = F.substring_index(F.substring_index(prefix, "/", 1), "%", 1)
-    quad = F.regexp_extract(address, rf"(?<=:)({_QUAD})$", 1)
-    of = lambda k: F.lpad(F.conv(F.get(F.split(quad, r"\."), F.lit(k)), 10, 16), 2, "0")
-    return F.when(quad != "", F.concat(F.substring(address, F.lit(1), F.length(address) - F.length(quad)), of(0), of(1), F.lit(":"), of(2), of(3))).otherwise(address)
+    pair = lambda a, b: F.concat(*[F.lpad(F.conv(x, 10, 16), 2, "0") for x in (a, b)])
+    whole = lambda quad: F.concat(F.regexp_replace(address, rf"(?<=:){_QUAD}$", ""), pair(quad[0], quad[1]), F.lit(":"), pair(quad[2], quad[3]))
+    return F.when(address.rlike(rf":{_QUAD}$"), _named(F.split(F.regexp_extract(address, r"[0-9.]+$", 0), r"\."), whole)).otherwise(address)
+
+
+def _named(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def is_valid(prefix: Column) -> Column:
@@ -41,25 +46,37 @@ def is_valid(prefix: Column) -> Column:
     An address may have a zone, a network (with a length) not.
     """
     v4 = rf"^{_QUAD}(/([0-9]|[12][0-9]|3[0-2]))?$"
+    return F.coalesce(F.when(version(prefix) == 6, _valid_v6(prefix)).otherwise(prefix.rlike(v4)), F.lit(False))
+
+
+def _valid_v6(prefix: Column) -> Column:
     whole = r"^(([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(([0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4})?::(([0-9a-fA-F]{1,4}:)*[0-9a-fA-F]{1,4})?)$"
     size = r"^[^/]*(/([0-9]|[1-9][0-9]|1[01][0-9]|12[0-8]))?$"
-    address = _hextets(prefix)
-    groups = F.size(F.filter(F.split(address, ":"), lambda x: x != ""))
-    few = F.when(F.instr(address, "::") > 0, groups <= 7).otherwise(groups == 8)  # :: is a group at least
-    zone = ~prefix.contains("%") | prefix.rlike(r"^[^/%]*%[^/%]+$")
-    return F.coalesce(F.when(version(prefix) == 6, address.rlike(whole) & prefix.rlike(size) & few & zone).otherwise(prefix.rlike(v4)), F.lit(False))
+
+    def judged(address: Column) -> Column:
+        groups = F.size(F.filter(F.split(address, ":"), lambda x: x != ""))
+        return address.rlike(whole) & (groups <= F.when(F.instr(address, "::") > 0, 7).otherwise(8))  # :: is a group at least
+
+    return prefix.rlike(size) & (~prefix.contains("%") | prefix.rlike(r"^[^/%]*%[^/%]+$")) & _named(_hextets(prefix), judged)
 
 
 def bits(prefix: Column) -> Column:
     """The address as a string of 32 or 128 binary digits; invalid text gives null."""
+    return F.when(is_valid(prefix), valid_bits(prefix))
+
+
+def valid_bits(prefix: Column) -> Column:
+    """``bits`` of text that is known to be valid."""
     binary = lambda x, size, base: F.lpad(F.conv(x, base, 2), size, "0")
     v4 = F.array_join(F.transform(F.split(F.substring_index(prefix, "/", 1), r"\."), lambda x: binary(x, 8, 10)), "")
-    address = _hextets(prefix)
     full = lambda text: F.filter(F.split(text, ":"), lambda x: x != "")
-    left, right = full(F.substring_index(address, "::", 1)), F.when(F.instr(address, "::") > 0, full(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
-    v6 = F.array_join(F.transform(F.concat(left, zeros, right), lambda x: binary(x, 16, 16)), "")
-    return F.when(is_valid(prefix), F.when(version(prefix) == 6, v6).otherwise(v4))
+
+    def v6(address: Column) -> Column:
+        left, right = full(F.substring_index(address, "::", 1)), F.when(F.instr(address, "::") > 0, full(F.substring_index(address, "::", -1))).otherwise(F.array().cast("array<string>"))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(left) - F.size(right)))
+        return F.array_join(F.transform(F.concat(left, zeros, right), lambda x: binary(x, 16, 16)), "")
+
+    return F.when(version(prefix) == 6, _named(_hextets(prefix), v6)).otherwise(v4)
 
 
 def key(prefix: Column) -> Column:
@@ -80,7 +97,7 @@ def with_ancestors(prefixes: DataFrame, lengths: DataFrame | None = None) -> Dat
     ``lengths``: one row (lengths array<struct<version: int, len: int>>) of those worth probing; all without it.
     """
     held = prefixes.select("prefix").distinct().where(is_valid(F.col("prefix")))
-    held = held.select("prefix", version(F.col("prefix")).alias("version"), length(F.col("prefix")).alias("own"), bits(F.col("prefix")).alias("all_bits"))
+    held = held.select("prefix", version(F.col("prefix")).alias("version"), length(F.col("prefix")).alias("own"), valid_bits(F.col("prefix")).alias("all_bits"))
     probes = F.sequence(F.lit(0), F.col("own"))
     if lengths is not None:
         held = held.join(F.broadcast(lengths))  # one row, of 162 entries at most
@@ -96,7 +113,7 @@ def containment_join(prefixes: DataFrame, reference: DataFrame) -> DataFrame:
     of the prefix and ``len`` that of the covering one.
     """
     ref = reference.where(is_valid(F.col("prefix"))).withColumnRenamed("prefix", "covering")
-    ref = ref.withColumn("version", version(F.col("covering"))).withColumn("len", length(F.col("covering"))).withColumn("key", key(F.col("covering")))
+    ref = ref.withColumn("version", version(F.col("covering"))).withColumn("len", length(F.col("covering"))).withColumn("key", F.substring(valid_bits(F.col("covering")), F.lit(1), length(F.col("covering"))))
     lengths = ref.agg(F.collect_set(F.struct("version", "len")).alias("lengths"))
     return with_ancestors(prefixes, lengths).join(ref, ["version", "len", "key"]).drop("key")
 
