@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pathlight.functions import ids, paths, prefixes, windows
 
 from . import projection as p
-from .projection import CTE
+from .projection import BITS, CTE, VERSION
 from .registry import query, uuid_sql
 
 
@@ -46,7 +46,7 @@ def x8(spark, d):
     return links.groupBy(F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x10_prefix_parts", CTE + " SELECT DISTINCT prefix, 4 AS version, CAST(split_part(prefix, '/', 2) AS INTEGER) AS length, substr(concat(lpad(bin(CAST(split_part(prefix, '.', 1) AS BIGINT)), 8, '0'), lpad(bin(CAST(split_part(prefix, '.', 2) AS BIGINT)), 8, '0'), lpad(bin(CAST(split_part(prefix, '.', 3) AS BIGINT)), 8, '0'), '00000000'), 1, CAST(split_part(prefix, '/', 2) AS INTEGER)) AS key FROM obs")
+@query("x10_prefix_parts", CTE + f" SELECT DISTINCT prefix, {VERSION} AS version, CAST(split_part(prefix, '/', 2) AS INTEGER) AS length, substr({BITS}, 1, CAST(split_part(prefix, '/', 2) AS INTEGER)) AS key FROM obs")
 def x10(spark, d):
     held = p.elements(spark, d).select("prefix").distinct().where(prefixes.is_valid(F.col("prefix")))
     return held.select("prefix", prefixes.version(F.col("prefix")).alias("version"), prefixes.length(F.col("prefix")).alias("length"), prefixes.key(F.col("prefix")).alias("key"))

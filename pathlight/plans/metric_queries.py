@@ -8,7 +8,7 @@ from pathlight.functions import paths, windows
 from pathlight.operators import metrics
 
 from . import projection as p
-from .projection import CTE
+from .projection import BITS, CTE, VERSION
 from .registry import query
 
 _CHURN = "CAST(count(*) FILTER (WHERE elem_type = 'A') AS BIGINT) AS announcements, CAST(count(*) FILTER (WHERE elem_type = 'W') AS BIGINT) AS withdrawals, count(*) AS updates_total"
@@ -73,10 +73,11 @@ def m7(spark, d):
     return metrics.coverage(p.elements(spark, d), p.asns(spark, d)).withColumn("coverage_ratio", F.round("coverage_ratio", 6))
 
 
-#: Containment in the oracle: integer network of the address.
-NET = """, pairs AS (SELECT DISTINCT prefix, origin_asn FROM obs WHERE elem_type = 'A'),
- num AS (SELECT prefix, split_part(prefix, '.', 1)::BIGINT * 16777216 + split_part(prefix, '.', 2)::BIGINT * 65536 + split_part(prefix, '.', 3)::BIGINT * 256 AS ip, split_part(prefix, '/', 2)::INT AS len FROM (SELECT prefix FROM pairs UNION SELECT prefix FROM ref_roa UNION SELECT prefix FROM ref_irr UNION SELECT prefix FROM ref_anycast)),
- cover AS (SELECT a.prefix, a.len AS own, b.prefix AS covering, b.len AS len FROM num a JOIN num b ON b.len <= a.len AND a.ip >> (32 - b.len) = b.ip >> (32 - b.len)),
+#: Containment in the oracle: equal leading bits.
+NET = f""", pairs AS (SELECT DISTINCT prefix, origin_asn FROM obs WHERE elem_type = 'A'),
+ num AS (SELECT prefix, v, len, substr(bits, 1, len) AS bits FROM (SELECT prefix, {VERSION} AS v, {BITS} AS bits, CAST(split_part(prefix, '/', 2) AS INT) AS len FROM (SELECT prefix FROM pairs UNION SELECT prefix FROM ref_roa UNION SELECT prefix FROM ref_irr UNION SELECT prefix FROM ref_anycast))),
+ lens AS (SELECT DISTINCT v, len FROM num),
+ cover AS (SELECT a.prefix, a.len AS own, b.prefix AS covering, b.len AS len FROM num a JOIN lens l ON l.v = a.v AND l.len <= a.len JOIN num b ON b.v = a.v AND b.len = l.len AND b.bits = substr(a.bits, 1, l.len)),
  roa_hit AS (SELECT p.prefix, p.origin_asn, bool_or(r.asn = p.origin_asn AND c.own <= r.max_len) AS ok FROM pairs p JOIN cover c USING (prefix) JOIN ref_roa r ON r.prefix = c.covering GROUP BY 1, 2),
  irr_hit AS (SELECT p.prefix, p.origin_asn, bool_or(r.asn = p.origin_asn) AS ok FROM pairs p JOIN cover c USING (prefix) JOIN ref_irr r ON r.prefix = c.covering GROUP BY 1, 2),
  val AS (SELECT p.prefix, p.origin_asn, CASE WHEN h.ok IS NULL THEN 'not-found' WHEN h.ok THEN 'valid' ELSE 'invalid' END AS rpki_status, CASE WHEN i.ok IS NULL THEN 'absent' WHEN i.ok THEN 'consistent' ELSE 'inconsistent' END AS irr_status
