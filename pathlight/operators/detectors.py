@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pathlight.functions import ids, paths, prefixes, windows
+from pathlight.session import keep
 
 from . import origin, relations as rel
 
@@ -32,11 +33,13 @@ def confidence(peers: Column, collectors: Column) -> Column:
     return F.when((peers >= 5) & (collectors >= 2), "high").when((peers >= 3) | (collectors >= 2), "medium").otherwise("low")
 
 
-def _announced(elements: DataFrame) -> DataFrame:
-    """One row for each prefix and origin that was announced."""
+def announced(elements: DataFrame) -> DataFrame:
+    """One row for each prefix and origin that was announced, kept as a table: detectors may share it as their ``held``."""
     rows = elements.where("elem_type = 'A' and origin_asn is not null")
-    return rows.groupBy("prefix", "origin_asn").agg(
-        F.count_distinct("peer_asn").alias("peers"), F.array_sort(F.collect_set("collector")).alias("collectors"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("announcements")
+    return keep(
+        rows.groupBy("prefix", "origin_asn").agg(
+            F.count_distinct("peer_asn").alias("peers"), F.array_sort(F.collect_set("collector")).alias("collectors"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("announcements")
+        )
     )
 
 
@@ -57,13 +60,13 @@ def stable_pairs(history: DataFrame, start: Column, days: int = 14, least: int =
 
 
 def moas(
-    elements: DataFrame, roas: DataFrame, routes: DataFrame, relations: DataFrame, orgs: DataFrame, catalogue: DataFrame, stable: DataFrame | None = None, min_peers: int = 2, ceiling: float = 0.5
+    elements: DataFrame, roas: DataFrame, routes: DataFrame, relations: DataFrame, orgs: DataFrame, catalogue: DataFrame, stable: DataFrame | None = None, min_peers: int = 2, ceiling: float = 0.5, held: DataFrame | None = None
 ) -> DataFrame:
     """Prefixes with several origins: challengers of the most announced one that no filter finds legitimate.
 
     The cheap filters come first; path similarity is only computed for challengers inside known anycast space.
     """
-    held = _announced(elements)
+    held = announced(elements) if held is None else held
     order = Window.partitionBy("prefix").orderBy(F.desc("announcements"), "origin_asn")
     ranked = held.withColumn("rank", F.row_number().over(order))
     first = ranked.where("rank = 1").select("prefix", F.col("origin_asn").alias("incumbent"), F.col("announcements").alias("incumbent_announcements"), F.col("peers").alias("incumbent_peers"))
@@ -75,8 +78,8 @@ def moas(
     rows = rows.join(direct, ["incumbent", "origin_asn"], "left_anti")
     if stable is not None:
         rows = rows.join(stable, ["prefix", "origin_asn"], "left_anti")
-    rows = origin.validate(rows, roas, routes)
-    rows = rows.where("rpki_status <> 'valid' and not (rpki_status = 'not-found' and irr_status = 'consistent')")
+    rows = origin.validate(keep(rows), roas, routes)
+    rows = keep(rows.where("rpki_status <> 'valid' and not (rpki_status = 'not-found' and irr_status = 'consistent')"))
     known = origin.known_anycast(rows, catalogue).withColumn("known", F.lit(True))
     # Paths are ranked before they are collected: five a pair at most.
     own = elements.where("elem_type = 'A' and origin_asn is not null").join(known, "prefix", "left_semi").select("prefix", "origin_asn", "path").distinct()
@@ -90,9 +93,9 @@ def moas(
     return rows.select(*_event("moas", score, F.array("incumbent", "origin_asn"), F.col("peers"), competing_origin=F.col("origin_asn"), incumbent_origin=F.col("incumbent"), rpki_status=F.col("rpki_status")))
 
 
-def subprefix(elements: DataFrame, roas: DataFrame, routes: DataFrame, min_excess: int = 1) -> DataFrame:
+def subprefix(elements: DataFrame, roas: DataFrame, routes: DataFrame, min_excess: int = 1, held: DataFrame | None = None) -> DataFrame:
     """More-specific announcements beyond a covering authorisation, or beyond a covering route object of another AS."""
-    held = origin.validate_rpki(_announced(elements), roas)
+    held = keep(origin.validate_rpki(announced(elements) if held is None else held, roas))
     cover = prefixes.containment_join(held, roas)
     exceeded = cover.where((F.col("own") > F.col("max_len")) & (F.col("own") - F.col("len") >= min_excess))
     exceeded = exceeded.groupBy("prefix").agg(F.min_by(F.struct("covering", "asn", "max_len"), F.struct("len", "asn")).alias("cover"))
@@ -107,8 +110,8 @@ def subprefix(elements: DataFrame, roas: DataFrame, routes: DataFrame, min_exces
     return one.unionByName(two)
 
 
-def rpki_invalid(elements: DataFrame, roas: DataFrame, min_peers: int = 3) -> DataFrame:
-    held = origin.validate_rpki(_announced(elements), roas).where((F.col("rpki_status") == "invalid") & (F.col("peers") >= min_peers))
+def rpki_invalid(elements: DataFrame, roas: DataFrame, min_peers: int = 3, held: DataFrame | None = None) -> DataFrame:
+    held = keep(origin.validate_rpki(announced(elements) if held is None else held, roas).where((F.col("rpki_status") == "invalid") & (F.col("peers") >= min_peers)))
     rows = held.join(origin.authorised_asns(held, roas), "prefix", "left")
     asns = F.concat(F.array("origin_asn"), F.slice(F.coalesce("authorised", F.array().cast("array<bigint>")), 1, 3))
     return rows.select(*_event("rpki_invalid", 0.45 + F.least(F.lit(0.2), F.col("peers") * 0.02), asns, F.col("peers"), announcements=F.col("announcements")))
@@ -180,7 +183,7 @@ def visibility_drops(rib: DataFrame, active: DataFrame, drop: float = 0.4, min_c
 
 
 def unroutable(elements: DataFrame) -> DataFrame:
-    held = origin.bogons(_announced(elements)).where("is_bogon or is_reserved_asn")
+    held = origin.bogons(announced(elements)).where("is_bogon or is_reserved_asn")
     return held.select(*_event("bogon", F.lit(0.5), F.array("origin_asn"), F.col("peers"), is_bogon=F.col("is_bogon"), is_reserved_asn=F.col("is_reserved_asn")))
 
 
@@ -193,7 +196,7 @@ def finish(candidates: DataFrame, asns: DataFrame, coverage: DataFrame | None =
 
     ``coverage`` (country_iso2, coverage_ratio): high confidence falls to medium in countries of which little is observed.
     """
-    known = asns.select("asn", "country_iso2", "is_african")
+    candidates, known = keep(candidates), asns.select("asn", "country_iso2", "is_african")
     keyed = candidates.withColumn(
         "event_id",
         ids.uuid5(NAMESPACE, F.concat_ws("|", "detector", F.coalesce("prefix", F.lit("-")), F.array_join(F.transform(F.array_sort("asns"), lambda x: x.cast("string")), ","), F.col("first_seen").cast("string"))),

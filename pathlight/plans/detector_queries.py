@@ -34,9 +34,9 @@ _MOAS = CTE + NET + REL + _ANN + """, rk AS (SELECT *, row_number() OVER (PARTIT
  SELECT 'moas' AS detector, prefix, inc || ' ' || origin_asn AS asns, first_seen, last_seen, round(0.45 + CASE rpki_status WHEN 'invalid' THEN 0.35 ELSE 0 END + least(0.15, peers * 0.03) + CASE WHEN n < inc_n * 0.1 THEN 0.05 ELSE 0 END, 6)::DOUBLE AS score, """ + _CONF + " FROM moas"
 
 
-def _moas(spark, d):
+def _moas(spark, d, held=None):
     e = p.elements(spark, d)
-    return detectors.moas(e, p.roas(spark, d), p.irr_routes(spark, d), p.relations(spark, d), p.orgs(spark, d), p.anycast(spark, d))
+    return detectors.moas(e, p.roas(spark, d), p.irr_routes(spark, d), p.relations(spark, d), p.orgs(spark, d), p.anycast(spark, d), held=held)
 
 
 @query("a1_moas", _MOAS)
@@ -118,7 +118,8 @@ def a7(spark, d):
 
 def _events(spark, d) -> DataFrame:
     e = p.elements(spark, d)
-    found = _moas(spark, d).unionByName(detectors.rpki_invalid(e, p.roas(spark, d))).unionByName(detectors.subprefix(e, p.roas(spark, d), p.irr_routes(spark, d)))
+    held = detectors.announced(e)
+    found = _moas(spark, d, held).unionByName(detectors.rpki_invalid(e, p.roas(spark, d), held=held)).unionByName(detectors.subprefix(e, p.roas(spark, d), p.irr_routes(spark, d), held=held))
     return detectors.finish(found, p.asns(spark, d))
 
 

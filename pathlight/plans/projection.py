@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pathlight.functions import paths
+from pathlight.session import keep
 
 def _n(sql: str) -> str:
     return f"CAST({sql} AS VARCHAR(9))"
@@ -103,6 +104,17 @@ def _bind(sql: str, tables: tuple[str, ...]) -> str:
     return out
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _reference(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
+    """A reference relation as a table; made at its first use in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, sql)
+    if key not in _KEPT:
+        _KEPT[key] = keep(_view(spark, sf_dir, sql, *tables))
+    return _KEPT[key]
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements with as_path, path (without prepends) and as_path_len."""
     rows = _view(spark, sf_dir, ELEMENTS, "events")
@@ -117,23 +129,23 @@ def rib(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, ASNS, "part", "nation")
+    return _reference(spark, sf_dir, ASNS, "part", "nation")
 
 
 def roas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, ROAS, "part")
+    return _reference(spark, sf_dir, ROAS, "part")
 
 
 def irr_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, IRR_ROUTES, "part")
+    return _reference(spark, sf_dir, IRR_ROUTES, "part")
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, RELATIONS, "part")
+    return _reference(spark, sf_dir, RELATIONS, "part")
 
 
 def orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, ORGS, "part")
+    return _reference(spark, sf_dir, ORGS, "part")
 
 
 def roles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder, for sets that several joins read: made once, of known size."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget how it was made."""
     shared_folder(df.sparkSession)
