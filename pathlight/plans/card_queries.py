@@ -104,12 +104,12 @@ def q19_daily(spark, d):
     return cards.prefix_history(107, "197.32.16.0/20", _daily(spark, d))["daily"]
 
 
-@query("o8_filter_after_aggregation", CTE + ", a AS (SELECT prefix, count(*) AS updates, count(DISTINCT origin_asn) AS origins, max(ts) AS last_seen FROM obs WHERE elem_type <> 'R' GROUP BY 1), mo AS (SELECT prefix, origin_asn FROM (SELECT prefix, origin_asn, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, origin_asn) AS k FROM obs WHERE elem_type <> 'R' AND origin_asn IS NOT NULL GROUP BY 1, 2) WHERE k = 1) SELECT prefix, updates, origin_asn, origins, last_seen, (SELECT count(*) FROM a WHERE updates >= (SELECT count(*) / 20 FROM obs)) AS total FROM a JOIN mo USING (prefix) WHERE updates >= (SELECT count(*) / 20 FROM obs) ORDER BY updates DESC, prefix LIMIT 4 OFFSET 2")
+@query("o8_filter_after_aggregation", CTE + ", a AS (SELECT prefix, count(*) AS updates, count(DISTINCT origin_asn) AS origins, max(ts) AS last_seen FROM obs WHERE elem_type <> 'R' GROUP BY 1), mo AS (SELECT prefix, origin_asn FROM (SELECT prefix, origin_asn, row_number() OVER (PARTITION BY prefix ORDER BY count(*) DESC, origin_asn) AS k FROM obs WHERE elem_type <> 'R' AND origin_asn IS NOT NULL GROUP BY 1, 2) WHERE k = 1) SELECT prefix, updates, origin_asn, origins, last_seen, (SELECT count(*) FROM a WHERE updates >= (SELECT count(*) / 50 FROM obs)) AS total FROM a JOIN mo USING (prefix) WHERE updates >= (SELECT count(*) / 50 FROM obs) ORDER BY updates DESC, prefix LIMIT 4 OFFSET 2")
 def o8(spark, d):
     from pathlight.operators import explorer
 
     daily = _daily(spark, d)
-    least = daily.agg(F.sum(F.col("announcements") + F.col("withdrawals") + F.col("rib_rows"))).first()[0] / 20
+    least = daily.agg(F.sum(F.col("announcements") + F.col("withdrawals") + F.col("rib_rows"))).first()[0] / 50
     return explorer.prefix_list(daily, 4, 2, least_updates=least, total=True)
 
 

@@ -84,7 +84,7 @@ def a4(spark, d):
 
 _Z = """, ser AS (SELECT prefix, time_bucket(INTERVAL 6 HOUR, ts) AS w, count(*) AS updates, count(DISTINCT peer_asn) AS peers, list_sort(list(DISTINCT collector)) AS cs FROM obs WHERE elem_type <> 'R' GROUP BY 1, 2),
  md AS (SELECT prefix, median(updates) AS m, stddev_samp(updates) AS sd, count(*) AS k FROM ser GROUP BY 1), ad AS (SELECT ser.prefix, median(abs(updates - m)) AS mad FROM ser JOIN md USING (prefix) GROUP BY 1),
- zz AS (SELECT ser.*, CASE WHEN mad > 0 THEN 0.6745 * (updates - m) / mad WHEN sd > 0 THEN (updates - m) / sd ELSE 0.0 END AS z FROM ser JOIN md USING (prefix) JOIN ad USING (prefix) WHERE md.k >= 6)"""
+ zz AS (SELECT ser.*, md.k AS windows, CASE WHEN mad > 0 THEN 0.6745 * (updates - m) / mad WHEN sd > 0 THEN (updates - m) / sd ELSE 0.0 END AS z FROM ser JOIN md USING (prefix) JOIN ad USING (prefix))"""
 
 
 @query("w9_robust_z", CTE + _Z + " SELECT prefix, w AS first_seen, updates, round(z, 6)::DOUBLE AS z FROM zz")
@@ -95,9 +95,9 @@ def w9(spark, d):
     return detectors.robust_z(rows, ["prefix"], "updates").select("prefix", "first_seen", "updates", F.round("z", 6).alias("z"))
 
 
-@query("a5_churn_spikes", CTE + _Z + ", mo AS (SELECT prefix, w, origin_asn FROM (SELECT prefix, time_bucket(INTERVAL 6 HOUR, ts) AS w, origin_asn, row_number() OVER (PARTITION BY prefix, time_bucket(INTERVAL 6 HOUR, ts) ORDER BY count(*) DESC, origin_asn) AS k FROM obs WHERE elem_type <> 'R' AND origin_asn IS NOT NULL GROUP BY 1, 2, 3) WHERE k = 1) SELECT 'churn_spike' AS detector, prefix, coalesce(CAST(mo.origin_asn AS VARCHAR), '') AS asns, w AS first_seen, w + INTERVAL 6 HOUR AS last_seen, round(least(0.75, 0.25 + z / 40), 6)::DOUBLE AS score, " + _CONF + " FROM zz LEFT JOIN mo USING (prefix, w) WHERE z >= 2 AND updates >= 5")
+@query("a5_churn_spikes", CTE + _Z + ", mo AS (SELECT prefix, w, origin_asn FROM (SELECT prefix, time_bucket(INTERVAL 6 HOUR, ts) AS w, origin_asn, row_number() OVER (PARTITION BY prefix, time_bucket(INTERVAL 6 HOUR, ts) ORDER BY count(*) DESC, origin_asn) AS k FROM obs WHERE elem_type <> 'R' AND origin_asn IS NOT NULL GROUP BY 1, 2, 3) WHERE k = 1) SELECT 'churn_spike' AS detector, prefix, coalesce(CAST(mo.origin_asn AS VARCHAR), '') AS asns, w AS first_seen, w + INTERVAL 6 HOUR AS last_seen, round(least(0.75, 0.25 + z / 40), 6)::DOUBLE AS score, " + _CONF + " FROM zz LEFT JOIN mo USING (prefix, w) WHERE z >= 1 AND updates >= 5 AND windows >= 6")
 def a5(spark, d):
-    return _shown(detectors.churn_spikes(p.elements(spark, d), 2.0, 5, 6, "6h"))
+    return _shown(detectors.churn_spikes(p.elements(spark, d), 1.0, 5, 6, "6h"))
 
 
 @query("a6_visibility_drops", CTE + """, rib AS (SELECT date_trunc('day', ts) AS s, * FROM obs WHERE elem_type = 'R'), t0 AS (SELECT s, collector, count(DISTINCT peer_asn) AS n FROM rib GROUP BY 1, 2), t AS (SELECT s, sum(n) AS tot, count(*) AS act FROM t0 GROUP BY 1),

@@ -145,7 +145,8 @@ def _neighbour_sql(members: str) -> str:
     return CTE + REL + ADJ + _DAYS.replace("FROM obs)", "FROM obs WHERE len(path) >= 2)") + f""", mem AS ({members}), nb AS (SELECT adj.*, {_NAMED} AS kind FROM adj JOIN mem USING (asn) LEFT JOIN orel ON orel.a = adj.asn AND orel.b = adj.neighbour)"""
 
 
-_NT = """, t AS (SELECT asn, neighbour, string_agg(CASE WHEN n.day IS NULL THEN '0' ELSE '1' END, '' ORDER BY cal.day) AS s, min(n.day) AS first_day, max(n.day) AS last_day, CAST(count(n.day) AS INTEGER) AS n_days, max(kind) AS kind, bool_or(ip_version = 4) AS v4, bool_or(ip_version = 6) AS v6 FROM (SELECT DISTINCT asn, neighbour FROM nb) k CROSS JOIN cal LEFT JOIN nb n USING (asn, neighbour, day) GROUP BY 1, 2)
+_NT = """, nd AS (SELECT asn, neighbour, day, max(kind) AS kind, bool_or(ip_version = 4) AS v4, bool_or(ip_version = 6) AS v6 FROM nb GROUP BY 1, 2, 3),
+ t AS (SELECT asn, neighbour, string_agg(CASE WHEN n.day IS NULL THEN '0' ELSE '1' END, '' ORDER BY cal.day) AS s, min(n.day) AS first_day, max(n.day) AS last_day, CAST(count(n.day) AS INTEGER) AS n_days, max(kind) AS kind, bool_or(v4) AS v4, bool_or(v6) AS v6 FROM (SELECT DISTINCT asn, neighbour FROM nb) k CROSS JOIN cal LEFT JOIN nd n USING (asn, neighbour, day) GROUP BY 1, 2)
  SELECT asn, neighbour, kind, v4, v6, first_day, last_day, n_days, """ + _STATUS + " AS status, coalesce(country_iso2, '') AS country_iso2 FROM t LEFT JOIN (SELECT asn AS neighbour, country_iso2 FROM ref_asn) a USING (neighbour)"
 
 

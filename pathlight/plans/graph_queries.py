@@ -115,7 +115,7 @@ def r7(spark, d):
     return graph.depths(graph.fold(graph.edges(held, p.relations(spark, d)), groups), roots)
 
 
-@query("r5_offending_edges", CTE + LINKS + f" SELECT path[violation + 1] AS a, path[violation + 2] AS b, count(*) AS paths FROM vf WHERE violation IS NOT NULL AND path IN (SELECT path FROM obs WHERE prefix = '{_PFX}') GROUP BY 1, 2")
+@query("r5_offending_edges", CTE + LINKS + f" SELECT path[violation + 1] AS a, path[violation + 2] AS b, count(*) AS paths FROM vf WHERE violation IS NOT NULL AND path IN (SELECT path FROM obs WHERE prefix = '{_PFX}' AND elem_type = 'A') GROUP BY 1, 2")
 def r5(spark, d):
     rows = p.elements(spark, d).where((F.col("prefix") == _PFX) & (F.col("elem_type") == "A") & (F.col("as_path_len") >= 3))
     bad = rel.valley_free(rows, p.relations(spark, d)).where("violation is not null")

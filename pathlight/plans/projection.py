@@ -27,7 +27,7 @@ def _wide(t: str) -> str:
     return f"regexp_replace(regexp_replace({_tail(t)}, '[.][0-9]+[.]0/24', '.0.0/16'), ':[0-9]+::/48', '::/32')"
 
 
-#: Message elements, from the table events. Half of them are about twelve prefixes that are always busy (those of k >= 6
+#: Message elements, from the table events. Two thirds of them are about twelve prefixes that are always busy (those of k >= 6
 #: lie inside those of k - 6), the others about a tail that grows by 100 prefixes for 800 events, each with an origin of its own.
 ELEMENTS = f"""
 SELECT ts, event_id AS seq, concat('c', {_n("user_id % 3")}) AS collector, user_id % 12 + 64 AS peer_asn,
@@ -42,7 +42,7 @@ FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'W' WHEN event_type = 'signu
         CASE WHEN NOT busy AND t % 4 = 3 THEN 6 ELSE 4 END AS prefix_ip_version,
         CASE WHEN busy THEN CASE WHEN event_id % 12 >= 6 THEN 20 ELSE 12 END WHEN t % 4 = 3 THEN 48 ELSE 24 END AS prefix_len,
         CASE WHEN busy AND event_id % 17 = 0 THEN 100 + (event_id + 5) % 12 WHEN busy THEN 100 + event_id % 12 WHEN event_id % 17 = 0 THEN 146 + t ELSE 141 + t END AS origin
-      FROM (SELECT *, event_id % 24 < 12 AS busy, CAST((event_id - event_id % 800) / 8 AS BIGINT) + event_id % 100 AS t FROM events) AS e1) AS e2
+      FROM (SELECT *, event_id % 36 < 24 AS busy, CAST((event_id - event_id % 800) / 8 AS BIGINT) + event_id % 100 AS t FROM events) AS e1) AS e2
 """
 #: AS registry, from parts and nations.
 ASNS = f"""
