@@ -117,7 +117,8 @@ def q11(spark, d):
     return explorer.prefix_series(_daily(spark, d), _local(spark, d))
 
 
-_PT = CTE + NET + _DAYS + _DPO + """, t AS (SELECT prefix, origin_asn, string_agg(CASE WHEN o.day IS NULL THEN '0' ELSE '1' END, '' ORDER BY cal.day) AS s, min(o.day) AS first_day, max(o.day) AS last_day, CAST(count(o.day) AS INTEGER) AS n_days FROM (SELECT DISTINCT prefix, origin_asn FROM dpo WHERE origin_asn IN (100, 105, 107)) k CROSS JOIN cal LEFT JOIN dpo o USING (prefix, origin_asn, day) GROUP BY 1, 2),
+#: Pairs that only table dumps have are validated too.
+_PT = CTE + NET.replace("elem_type = 'A'", "elem_type <> 'W'", 1) + _DAYS + _DPO + """, t AS (SELECT prefix, origin_asn, string_agg(CASE WHEN o.day IS NULL THEN '0' ELSE '1' END, '' ORDER BY cal.day) AS s, min(o.day) AS first_day, max(o.day) AS last_day, CAST(count(o.day) AS INTEGER) AS n_days FROM (SELECT DISTINCT prefix, origin_asn FROM dpo WHERE origin_asn IN (100, 105, 107)) k CROSS JOIN cal LEFT JOIN dpo o USING (prefix, origin_asn, day) GROUP BY 1, 2),
  pt AS (SELECT prefix, origin_asn, first_day, last_day, n_days, """ + _STATUS + " AS status, rpki_status, irr_status FROM t JOIN val USING (prefix, origin_asn))"
 
 
