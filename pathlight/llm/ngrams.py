@@ -14,7 +14,8 @@ of their context. The answers, packed in the block's own order, meet the block's
 A shard's trie has Elias-Fano levels in one buffer: its words and contexts (ascending hashes), pointers
 from contexts to their successors (monotone), and the successors (monotone, as word numbers relative to
 the context). Discounted probabilities and backoff weights are quantised to bins of equal population.
-Levels are decoded a block at a time, the only part that is ever unpacked.
+Levels are decoded a block at a time, the only part that is ever unpacked, and once for the pairs of many
+text blocks together.
 
 The documents are read twice in the same order: those that come out of a shuffle are materialised first.
 
@@ -48,6 +49,8 @@ HELD_OUT = 2
 _END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _STEP = 1 << 16
+#: Pairs that are looked up together in a shard's trie: each look-up decodes its levels once.
+LOOK_UP_PAIRS = 1 << 20
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -158,6 +161,7 @@ class Trie:
 
     def look_up(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(seen probability of each pair, backoff weight of each context); ``sizes``: pairs of each context."""
+        sizes = sizes.astype(np.int64)
         rank = self.contexts.find(context)
         backoff = np.where(rank >= 0, self.backoff_book[self.backoff[np.maximum(rank, 0)]] if len(self.backoff) else 1.0, 1.0)
         of_pair = np.repeat(rank, sizes)
@@ -258,6 +262,19 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return kinds, np.bincount(inverse, weight[held], len(kinds)).astype(np.int64)
 
 
+def _together(held: list[dict[str, np.ndarray]]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Blocks in their order, in groups of about LOOK_UP_PAIRS pairs."""
+    group, size = [], 0
+    for r in held:
+        group.append(r)
+        size += len(r["words"])
+        if size >= LOOK_UP_PAIRS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _answer(rows: pa.Table) -> pa.Table:
     """A shard's answers to its blocks: token counts, seen probabilities and backoff weights."""
     held = [{c: unpack(r[c]) for c in ("counts", "sizes", "words", "pair_counts")} | {"tokens": unpack_ascending(r["tokens"])} for r in rows.select(["tokens", "counts", "sizes", "words", "pair_counts"]).to_pylist()]
@@ -272,11 +289,13 @@ def _answer(rows: pa.Table) -> pa.Table:
     head = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))) if len(context) else np.zeros(0, np.int64)
     trie = Trie(context[head], word[head], np.add.reduceat(count, head) if len(head) else count)
     out = []
-    for r in held:
-        at = np.minimum(np.searchsorted(kinds, r["tokens"]), max(len(kinds) - 1, 0))
-        own = np.where(kinds[at] == r["tokens"], counts[at], 0) if len(kinds) else np.zeros(len(r["tokens"]), np.int64)
-        seen, backoff = trie.look_up(r["tokens"], r["sizes"].astype(np.int64), r["words"])
-        out.append((pack(own), _pack_codes(seen), _pack_codes(backoff)))
+    for group in _together(held):
+        seen, backoff = trie.look_up(*(np.concatenate([r[c] for r in group]) for c in ("tokens", "sizes", "words")))
+        of_pairs, of_tokens = (np.cumsum([len(r[c]) for r in group])[:-1] for c in ("words", "tokens"))
+        for r, own_seen, own_backoff in zip(group, np.split(seen, of_pairs), np.split(backoff, of_tokens)):
+            at = np.minimum(np.searchsorted(kinds, r["tokens"]), max(len(kinds) - 1, 0))
+            own = np.where(kinds[at] == r["tokens"], counts[at], 0) if len(kinds) else np.zeros(len(r["tokens"]), np.int64)
+            out.append((pack(own), _pack_codes(own_seen), _pack_codes(own_backoff)))
     n = np.zeros(len(out), np.int64)
     n[0] = len(kinds)
     return pa.table(

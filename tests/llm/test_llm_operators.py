@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -572,3 +573,16 @@ def test_pieces_of_markup():
     assert read("<p>a<script>if (1 < 2) '</p>'</script>b</p><style>p{}</style>") == ["ab"]
     assert read("x<!-- open <p>y") == ["x"] and read("x<script>y") == ["x"] and read("a <b unclosed") == ["a <b unclosed"]
     assert read("<DIV>a<br/>b</DIV>c<?php x ?>d<!DOCTYPE e>f") == ["a b", "cdf"]
+
+
+def test_language_model_decodes_a_trie_once_for_many_blocks(monkeypatch):
+    calls, look_up = [], ngrams.Trie.look_up
+    monkeypatch.setattr(ngrams.Trie, "look_up", lambda self, *args: calls.append(1) or look_up(self, *args))
+    blocks = [(np.array([3, 5 + k], np.uint64), np.array([1, 2], np.uint64), np.array([2, 1], np.uint64), np.array([7, 9 + k, 4], np.uint64), np.array([1, k % 3, 1], np.uint64)) for k in range(50)]
+    names = ["tokens", "counts", "sizes", "words", "pair_counts"]
+    packed = [[(ngrams.pack_ascending if name == "tokens" else ngrams.pack)(b[i]) for b in blocks] for i, name in enumerate(names)]
+    table = pa.table({"shard": pa.array([0] * 50, pa.int32()), "block": pa.array(range(50), pa.int64()), **dict(zip(names, packed))})
+    together = ngrams._answer(table)
+    assert len(calls) == 1
+    monkeypatch.setattr(ngrams, "LOOK_UP_PAIRS", 1)
+    assert together.equals(ngrams._answer(table)) and len(calls) == 51
