@@ -11,6 +11,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pathlight.functions import paths, windows
+from pathlight.session import merged
 
 from . import metrics, origin, relations as rel
 
@@ -150,9 +151,10 @@ def facets(table: DataFrame, *columns: str) -> DataFrame:
 
 def _neighbours(adjacency: DataFrame, members: DataFrame, relations: DataFrame) -> DataFrame:
     held = adjacency.join(members.select("asn"), "asn", "left_semi")
-    kinds = rel.oriented(relations).select(F.col("a").alias("asn"), F.col("b").alias("neighbour"), "relation")
+    # Relations grow with the registry; those of the members are taken before they are joined.
+    kinds = rel.oriented(relations).select(F.col("a").alias("asn"), F.col("b").alias("neighbour"), "relation").join(members.select("asn"), "asn", "left_semi")
     named = F.when(F.col("relation") == "up", "provider").when(F.col("relation") == "down", "customer").when(F.col("relation") == "peer", "peer").otherwise("unknown")
-    return held.join(kinds, ["asn", "neighbour"], "left").withColumn("kind", named).drop("relation")
+    return held.join(merged(kinds), ["asn", "neighbour"], "left").withColumn("kind", named).drop("relation")
 
 
 def neighbour_table(adjacency: DataFrame, members: DataFrame, relations: DataFrame, asns: DataFrame, ip_version: int | None = None) -> DataFrame:
