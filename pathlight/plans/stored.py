@@ -1,8 +1,8 @@
 """The observation model as partitioned tables with stored metrics, kept in the shared folder for a session.
 
-The tables of a data folder become element and snapshot partitions once; the metrics of all days but the
-newest, which would still be growing, are stored then. The read queries take stored days and compute the
-newest one.
+The tables of a data folder become element and snapshot partitions once. A metric table is stored when a query
+first asks for it, for all days but the newest, which would still be growing; a query pays for no other table. The
+read queries take stored days and compute the newest one.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pathlight.sources import tables
 
 from . import projection as p
 
+#: Tables that are stored; the others are computed.
+BUILT = ("daily_prefix_origin", "daily_adjacency", "churn_prefix", "upstream", "visibility")
+
 _STORES: dict[tuple[str, str], Store] = {}
 
 
@@ -29,11 +32,13 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         tables.write_elements(p.elements(spark, sf_dir), paths["elements"])
         p.rib(spark, sf_dir).withColumn("date", F.to_date("snapshot_ts")).repartitionByRange("date", "prefix").write.partitionBy("date").parquet(paths["rib"])
         # The tables don't change within a session; files of live tables would be listed again each minute.
-        held = Store(spark, f"{folder}/metrics", paths, p.asns(spark, sf_dir), p.roas(spark, sf_dir), p.roles(spark, sf_dir), window="1d", max_age=float("inf"))
-        held.build(held.days()[:-1], ["daily_prefix_origin", "daily_adjacency", "churn_prefix", "upstream", "visibility"])
-        _STORES[key] = held
+        _STORES[key] = Store(spark, f"{folder}/metrics", paths, p.asns(spark, sf_dir), p.roas(spark, sf_dir), p.roles(spark, sf_dir), window="1d", max_age=float("inf"))
     return _STORES[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return store(spark, sf_dir).table(name)
+    """A metric table, stored at its first use."""
+    held = store(spark, sf_dir)
+    if name in BUILT and (days := held.days()[:-1]) and not held.current(name):
+        held.build(days, [name])
+    return held.table(name)

@@ -53,3 +53,12 @@ def test_partition_order_does_not_matter(spark):
     e = projection.elements(spark, SF)
     one = metrics.upstreams(e, "1d").exceptAll(metrics.upstreams(e.repartition(7, "seq").sortWithinPartitions(F.desc("seq")), "1d"))
     assert one.drop("hhi_transit").isEmpty() or one.count() == 0
+
+
+def test_a_query_stores_its_own_tables_alone(spark):
+    from pathlight.plans import stored
+
+    folder = f"{SF}/."  # a store of its own
+    assert stored.table(spark, folder, "daily_adjacency").count() > 0
+    held = stored.store(spark, folder)
+    assert held.current("daily_adjacency") == set(held.days()[:-1]) and not held.current("visibility") and not held.current("upstream")
